@@ -1,0 +1,157 @@
+"""Exact quantiles of very large groups.
+
+``percentile`` holds every distinct value of a group in one task. Here a quantile is found by narrowing instead: each
+pass counts a group's values in equal-width bins of the interval that must hold the wanted rank, and the next pass looks
+only into the bin that holds it. A pass is one scan with a map-side count; a task never holds more than the bins. Since
+every bin also reports its own smallest and largest value, intervals shrink to real values, and a bin whose smallest
+and largest value agree is the answer.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import local_rows
+
+BINS = 1024
+MAX_GROUPS = 2_000
+
+
+def _position(p: float, n: int) -> tuple[int, int, float]:
+    """Lower rank, upper rank and weight of the upper one, for linear interpolation among ``n`` sorted values."""
+    place = p * (n - 1)
+    lower = math.floor(place)
+    return lower, min(math.ceil(place), n - 1), place - lower
+
+
+def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", value: str = "x") -> DataFrame:
+    """``(group, n, min, max, q0, q1, …)`` per group of the double column ``value``, with linear interpolation.
+
+    Nulls and NaN are left out. With more than ``MAX_GROUPS`` groups the narrowing would need too much state, and
+    ``percentile`` over pre-counted values is used.
+    """
+    spark = df.sparkSession
+    x = F.col(value)
+    clean = df.select(F.col(group).alias("g"), x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    # Kind of the group column, to hand it back unchanged.
+    kind = clean.schema["g"].dataType.simpleString()
+    fields = ", ".join(["g " + kind, "n long", "min double", "max double", *[f"q{i} double" for i in range(len(probs))]])
+
+    inf = float("inf")
+    finite = F.when((F.col("x") > -inf) & (F.col("x") < inf), F.col("x"))
+    stats = (clean.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+        F.count_if(F.col("x") == -inf).alias("below"), F.count(finite).alias("inside"))
+        .limit(MAX_GROUPS + 1).collect())
+    if len(stats) > MAX_GROUPS:
+        counted = clean.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"))
+        return counted.groupBy("g").agg(
+            F.sum("k").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
+            *[F.percentile("x", F.lit(p), "k").alias(f"q{i}") for i, p in enumerate(probs)]
+        ).withColumnRenamed("g", group)
+
+    found: dict[tuple, float] = {}      # (group, rank) -> value
+    pending: dict[tuple, list] = {}     # (group, lo, hi) -> [(rank, rank within the interval)]
+    for r in stats:
+        for p in probs:
+            for rank in _position(p, r["n"])[:2]:
+                if rank < r["below"]:
+                    found[r["g"], rank] = -inf
+                elif rank >= r["below"] + r["inside"]:
+                    found[r["g"], rank] = inf
+                elif r["lo"] == r["hi"]:
+                    found[r["g"], rank] = r["lo"]
+                else:
+                    pending.setdefault((r["g"], r["lo"], r["hi"]), []).append((rank, rank - r["below"]))
+
+    while pending:
+        pending = _narrow(clean, pending, found, kind)
+
+    rows = []
+    for r in stats:
+        out = [r["g"], r["n"], r["min"], r["max"]]
+        for p in probs:
+            low, high, weight = _position(p, r["n"])
+            a, b = found[r["g"], low], found[r["g"], high]
+            out.append(a if weight == 0 or a == b else a + (b - a) * weight)
+        rows.append(tuple(out))
+    return local_rows(spark, rows, fields).withColumnRenamed("g", group)
+
+
+def _narrow(clean: DataFrame, pending: dict, found: dict, kind: str) -> dict:
+    """One pass: put the answers met into ``found`` and return the narrower intervals that are still open."""
+    spark = clean.sparkSession
+    intervals = list(pending)
+    wanted = [(i, sorted({place for _, place in pending[key]})) for i, key in enumerate(intervals)]
+    ranges = local_rows(spark, [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(intervals)],
+                        f"i int, ig {kind}, lo double, hi double")
+    places = local_rows(spark, [(i, place) for i, ps in wanted for place in ps], "i int, place long")
+
+    # At most groups x quantiles intervals: far below the size at which a broadcast would hurt.
+    inside = clean.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("ig")) & F.col("x").between(
+        F.col("lo"), F.col("hi")))
+    # Halves, so that the width of the widest interval does not overflow.
+    share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    bin_of = F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1))
+    counted = (inside.select("i", "x", bin_of.alias("bin")).groupBy("i", "bin")
+               .agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    upto = F.sum("k").over(Window.partitionBy("i").orderBy("bin"))      # at most BINS rows per interval
+    ends = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("k"))
+    hits = (ends.join(F.broadcast(places), "i")
+            .where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("upto")))
+            .select("i", "place", "before", "lo", "hi").collect())
+
+    still_open: dict[tuple, list] = {}
+    for h in hits:
+        key = intervals[h["i"]]
+        for rank, place in pending[key]:
+            if place != h["place"]:
+                continue
+            if h["lo"] == h["hi"]:
+                found[key[0], rank] = h["lo"]
+            elif place == h["before"]:
+                found[key[0], rank] = h["lo"]       # the first value of the bin is its smallest
+            else:
+                still_open.setdefault((key[0], h["lo"], h["hi"]), []).append((rank, place - h["before"]))
+    return still_open
+
+
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
+    """Exact quantiles of one column; an empty list when it has no values."""
+    from .transforms import number
+
+    rows = group_quantiles(df.select(F.lit(0).alias("g"), number(column).alias("x")), probs).collect()
+    return [rows[0][f"q{i}"] for i in range(len(probs))] if rows else []
+
+
+def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """Box-plot figures, in total or per group.
+
+    ``n, min, q1, median, q3, max``, the whiskers (the furthest values within 1.5 quartile distances of the box) and
+    the number of outliers beyond them.
+    """
+    from .transforms import number
+
+    group = by or "_all"
+    source = df.select((F.col(by) if by else F.lit("all")).alias(group), number(column).alias("x"))
+    boxes = group_quantiles(source, (0.25, 0.5, 0.75), group, "x").toDF(group, "n", "min", "max", "q1", "median", "q3")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    fences = boxes.select(F.col(group).alias("_g"), (F.col("q1") - reach).alias("_low"),
+                          (F.col("q3") + reach).alias("_high"))
+    # One row per group; broadcast only while the groups are as few as the narrowing allows.
+    small = boxes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    fences = F.broadcast(fences) if small else fences
+    within = F.col("x").between(F.col("_low"), F.col("_high"))
+    reached = (source.join(fences, F.col(group).eqNullSafe(F.col("_g"))).where("x is not null")
+               .groupBy(F.col("_g"))
+               .agg(F.min(F.when(within, F.col("x"))).alias("whisker_low"),
+                    F.max(F.when(within, F.col("x"))).alias("whisker_high"),
+                    F.count_if(~within).alias("n_outliers")))
+    result = (boxes.join(reached, F.col(group).eqNullSafe(F.col("_g")), "left")
+              .select(group, "n", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "n_outliers"))
+    return result if by else result.drop(group)
