@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import WEEKDAYS
-from .text import strip
+from .text import strip, word_array
 
 _TIME = r"(?:[T ]+\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?"
 _ZONE = r" ?(?:Z|UTC|[+-]\d{2}:?\d{2})"
@@ -157,7 +157,7 @@ DATE_PARTS = ("year", "month", "day", "weekday", "hour")
 def date_part(c: Column, part: str) -> Column:
     """One of year, month, day, weekday (English name) and hour of a date or timestamp."""
     if part == "weekday":
-        return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(c))
+        return F.element_at(word_array(WEEKDAYS), F.dayofweek(c))
     if part not in DATE_PARTS:
         raise ValueError(f"unknown date part {part!r}; choose from {', '.join(DATE_PARTS)}")
     return {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour}[part](c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,3 +18,13 @@ def strip(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """Stripped, lower-cased text: the form in which words are compared."""
     return F.lower(strip(c.cast("string")))
+
+
+def word_array_sql(words: Sequence[str]) -> str:
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return "array(" + ", ".join(f"'{w}'" for w in quoted) + ")"
+
+
+def word_array(words: Sequence[str]) -> Column:
+    """Constant array of strings, built in one call."""
+    return F.expr(word_array_sql(words))

@@ -1,0 +1,372 @@
+"""Semantic profile of a table: what each column means, with the evidence.
+
+Three passes, each reading only the columns it needs:
+
+1. every column: rows, non-null rows and a sketch of the distinct count, merged in two levels so that no single task
+   receives a sketch from every input split;
+2. columns with few distinct values: one table of (column, value, count), from which every detector works on distinct
+   values weighted by count; text columns with many distinct values: the same measures row by row, without moving a
+   value through a shuffle; if exact distinct counts are wanted, the remaining columns' distinct values are counted;
+3. tag columns and number-like text only: vocabulary and affixes.
+
+What reaches the driver is one row per column.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import constants as k
+from ..functions import date_pattern_hint, numeric_from_text, parse_dates, part_count, split_tags, strip, text_prefix, \
+    text_suffix
+from ..functions.ordinals import matching_scale
+from ..functions.text import word_array
+from ..session import local_rows
+
+GATE = 1_000            # estimated distinct values up to which a column gets a value table
+LIST_LIMIT = 1_000      # longest vocabulary kept inside the profile; the whole one is tag_vocabulary()
+SKETCH_SIZE = 12        # log2 of the sketch's registers: 1.6% error, 4 kB at most
+FAN_IN = 256            # first-level groups of the sketch merge
+
+PROFILE_SCHEMA = (
+    "position int, name string, dtype string, semantic_type string, nullable boolean, n_unique long, n_total long, "
+    "n_null long, sample_values array<string>, tag_separator string, tag_vocabulary array<string>, n_tags long, "
+    "boolean_map map<string,boolean>, ordinal_order array<string>, numeric_prefix string, numeric_suffix string, "
+    "categories array<string>, date_format_hint string, avg_length double, numeric_share double, date_share double")
+
+
+def categorical_threshold(n_total: Column | int) -> Column:
+    """Most distinct values a column of ``n_total`` rows may have to count as categorical."""
+    n = F.lit(n_total) if isinstance(n_total, int) else n_total
+    half = F.greatest(F.floor(n / 2), F.lit(10))
+    return F.when(n <= 50, half).when(n <= 500, F.lit(30)).otherwise(F.least(F.lit(50), F.floor(n * 0.05)))
+
+
+@dataclass
+class _Column:
+    """What the first pass knows of a column."""
+    position: int
+    name: str
+    kind: str           # datetime, number, text or other
+    dtype: str
+    n_filled: int = 0
+    estimate: int = 0
+    sample: tuple = ()
+
+    @property
+    def small(self) -> bool:
+        return self.estimate <= GATE
+
+
+def column_kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "datetime"
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return "number"
+    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+        return "text"
+    return "other"
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null, as NaN counts as missing; a negative zero equals zero."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c + F.lit(0.0).cast(df.schema[name].dataType))
+    return c
+
+
+def as_text(df: DataFrame, name: str) -> Column:
+    text = present(df, name).cast("string")
+    return F.initcap(text) if isinstance(df.schema[name].dataType, T.BooleanType) else text
+
+
+def long_form(df: DataFrame, names: list[str]) -> DataFrame:
+    """``name, value``: the non-null cells of some columns as text, one row each."""
+    texts = df.select(*[as_text(df, n).alias(str(i)) for i, n in enumerate(names)])
+    ids = [str(i) for i in range(len(names))]
+    return texts.unpivot([], ids, "name", "value").where("value is not null")
+
+
+def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = None) -> DataFrame:
+    """One row per column, in column order, with the fields of ``PROFILE_SCHEMA``.
+
+    ``distinct="exact"`` counts the distinct values of every column, which shuffles the distinct values of columns with
+    many of them. ``"approx"`` keeps the sketch's estimate for those (1.6% error) and counts only where the identifier
+    rule is near its cut; no value is then shuffled. ``sample_order`` names a column whose order defines the sample
+    values; without it any first rows are taken.
+    """
+    if distinct not in ("exact", "approx"):
+        raise ValueError("distinct must be exact or approx")
+    spark = df.sparkSession
+    n_total, columns = _count_columns(df)
+    _take_samples(df, columns, sample_order)
+    measures = _measure(df, columns, n_total, distinct)
+    base = local_rows(spark, [(c.position, c.name, c.dtype, c.kind, c.n_filled, c.estimate, list(c.sample), n_total)
+                              for c in columns],
+                      "position int, name string, dtype string, kind string, n_filled long, estimate long, "
+                      "sample_values array<string>, n_total long")
+    decided = _decide(base.join(measures, "position", "left")).collect()
+    extras = _extras(df, decided)
+    fields = T.StructType.fromDDL(PROFILE_SCHEMA).names
+    rows = []
+    for r in sorted(decided, key=lambda r: r["position"]):
+        d = r.asDict()
+        d.update(extras.get(r["name"], {}))
+        rows.append(tuple(d.get(f) for f in fields))
+    return local_rows(spark, rows, PROFILE_SCHEMA)
+
+
+# ---- pass 1 -------------------------------------------------------------------------------------------------------
+
+def _count_columns(df: DataFrame) -> tuple[int, list[_Column]]:
+    columns = [_Column(i, f.name, column_kind(f.dataType), f.dataType.simpleString())
+               for i, f in enumerate(df.schema.fields)]
+    if len({c.name for c in columns}) != len(columns):
+        raise ValueError("column names repeat; clean the headers first")
+    first = [F.count(F.lit(1)).alias("n")]
+    second = [F.sum("n").alias("n")]
+    for c in columns:
+        value = present(df, c.name)
+        first.append(F.count(value).alias(f"f{c.position}"))
+        second.append(F.sum(f"f{c.position}").alias(f"f{c.position}"))
+        if c.kind != "other":
+            hashed = F.when(value.isNotNull(), F.xxhash64(value))
+            first.append(F.hll_sketch_agg(hashed, F.lit(SKETCH_SIZE)).alias(f"d{c.position}"))
+            second.append(F.hll_sketch_estimate(F.hll_union_agg(f"d{c.position}")).alias(f"d{c.position}"))
+    row = (df.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+           .groupBy("_fan").agg(*first).agg(*second).first())
+    for c in columns:
+        c.n_filled = row[f"f{c.position}"] or 0
+        c.estimate = (row[f"d{c.position}"] or 0) if c.kind != "other" else 0
+    return row["n"] or 0, columns
+
+
+def _take_samples(df: DataFrame, columns: list[_Column], order: str | None) -> None:
+    """First non-null values of each column: one small read, and one more per column that it leaves short."""
+    source = df.orderBy(order) if order else df
+    head = source.select(*[as_text(df, c.name).alias(str(c.position)) for c in columns]).limit(200).collect()
+    for c in columns:
+        c.sample = tuple([r[c.position] for r in head if r[c.position] is not None][:k.SAMPLE_SIZE])
+        if len(c.sample) < min(k.SAMPLE_SIZE, c.n_filled) and len(head) == 200:
+            text = as_text(df, c.name)
+            more = source.where(text.isNotNull()).select(text.alias("v")).limit(k.SAMPLE_SIZE).collect()
+            c.sample = tuple(r["v"] for r in more)
+
+
+# ---- pass 2 -------------------------------------------------------------------------------------------------------
+
+def _text_measures(cells: DataFrame, with_words: bool) -> DataFrame:
+    """Detector sums per column over ``name, value, n``; ``words`` only where the distinct values are few."""
+    v = F.col("v")
+    flags = cells.withColumn("v", strip(F.col("value")))
+    # A letter that no number may hold rules the number test out at its first occurrence.
+    wordy = v.rlike(r"[a-zA-Z&&[^eEinftyINFTYR]]")
+    hits, parts, parts_in_text = [], [], []
+    for i, sep in enumerate(k.TAG_SEPARATORS):
+        has = F.contains("value", F.lit(sep))
+        hits.append(has.cast("int").alias(f"hit{i}"))
+        parts.append(F.when(has, part_count(F.col("value"), sep)).otherwise(1).alias(f"parts{i}"))
+        # Stripping the cell can only remove parts at separators that begin or end with a blank.
+        inner = F.when(has, part_count(v, sep)).otherwise(1) if sep != sep.strip() else None
+        parts_in_text.append(inner.alias(f"inner{i}") if inner is not None else None)
+    flags = flags.select(
+        "name", "n", "v",
+        F.when(wordy, False).otherwise(numeric_from_text(v).isNotNull()).alias("is_number"),
+        parse_dates(v).isNotNull().alias("is_date"),
+        F.length(v).alias("length"), *hits, *parts, *[p for p in parts_in_text if p is not None])
+    n = F.col("n")
+    sums = [F.sum(n).alias("n_values"),
+            F.sum(F.when(F.col("is_number"), n).otherwise(0)).alias("n_number"),
+            F.sum(F.when(F.col("is_date"), n).otherwise(0)).alias("n_date"),
+            F.sum(F.col("length") * n).alias("length"),
+            F.min(F.when(F.col("is_date"), v)).alias("first_date")]
+    for i, inner in enumerate(parts_in_text):
+        sums += [F.sum(F.col(f"hit{i}") * n).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
+                 F.sum(F.col(f"parts{i}" if inner is None else f"inner{i}") * n).alias(f"inner{i}")]
+    # The value table has at most GATE entries per column, so the sets are small.
+    empty = F.lit(None).cast("array<string>")
+    sums.append((F.collect_set(F.lower(v)) if with_words else F.first(empty)).alias("words"))
+    sums.append((F.collect_set(v) if with_words else F.first(empty)).alias("texts"))
+    sums.append(F.count(F.lit(1)).alias("n_entries"))
+    return flags.groupBy("name").agg(*sums)
+
+
+def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str) -> DataFrame:
+    """Measures per column position; every branch is one scan of the columns it needs."""
+    known = [c for c in columns if c.kind in ("number", "text") and c.n_filled > 0]
+    small = [c for c in known if c.small]
+    wide_text = [c for c in known if c.kind == "text" and not c.small]
+    wide = [c for c in columns if c.kind != "other" and not c.small]
+    # Dates are never judged by their values; their distinct count is only reported.
+    small_dates = [c for c in columns if c.kind == "datetime" and c.small and c.n_filled > 0]
+
+    def near_cut(c: _Column) -> bool:
+        return abs(c.estimate / max(n_total, 1) - k.IDENTIFIER_SHARE) < 0.1
+
+    counted = wide if distinct == "exact" else [c for c in wide if c.kind == "text" and near_cut(c)]
+
+    def place(group: list[_Column]) -> Column:
+        """Turn the running number of ``long_form`` into the column's position."""
+        return F.element_at(F.array(*[F.lit(c.position) for c in group]), F.col("name").cast("int") + 1)
+
+    branches = []
+    if small or small_dates:
+        group = small + small_dates
+        values = (long_form(df, [c.name for c in group]).groupBy("name", "value")
+                  .agg(F.count(F.lit(1)).alias("n")))
+        branches.append(_text_measures(values, True).withColumn("position", place(group))
+                        .withColumn("n_distinct", F.col("n_entries")))
+    if wide_text:
+        cells = long_form(df, [c.name for c in wide_text]).withColumn("n", F.lit(1).cast("long"))
+        branches.append(_text_measures(cells, False).withColumn("position", place(wide_text))
+                        .withColumn("n_distinct", F.lit(None).cast("long")))
+    schema = ("n_values long, n_number long, n_date long, length long, first_date string, "
+              + "".join(f"hits{i} long, parts{i} long, inner{i} long, " for i in range(len(k.TAG_SEPARATORS)))
+              + "words array<string>, texts array<string>, n_entries long, position int, n_distinct long")
+    rows: dict[int, dict] = {}
+    if branches:
+        merged = branches[0]
+        for b in branches[1:]:
+            merged = merged.unionByName(b)
+        rows = {r["position"]: r.asDict() for r in merged.drop("name").collect()}
+    if counted:
+        # Long values travel as digests.
+        value = F.col("value")
+        cells = long_form(df, [c.name for c in counted]).withColumn(
+            "value", F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value))
+        found = (cells.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_distinct"))
+                 .select(place(counted).alias("position"), "n_distinct").collect())
+        for r in found:
+            rows.setdefault(r["position"], {"position": r["position"]})["n_distinct"] = r["n_distinct"]
+    kind = T.StructType.fromDDL(schema)
+    return local_rows(df.sparkSession, [tuple(r.get(f) for f in kind.names) for r in rows.values()], kind)
+
+
+# ---- the rules ----------------------------------------------------------------------------------------------------
+
+def _decide(m: DataFrame) -> DataFrame:
+    """Semantic type of each column from its measures; the first rule that holds wins."""
+    n_values = F.col("n_filled")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), n_values), F.lit(0.0))
+    spoken = F.array_except("words", word_array(["nan", ""]))
+    yes, no = F.array_intersect(spoken, word_array(k.TRUE_WORDS)), F.array_intersect(spoken, word_array(k.FALSE_WORDS))
+    is_boolean = (F.size(spoken).between(1, k.MAX_BOOLEAN_WORDS) & (F.size(yes) > 0) & (F.size(no) > 0)
+                  & (F.size(yes) + F.size(no) == F.size(spoken)))
+    boolean_map = F.map_concat(F.map_from_arrays(yes, F.transform(yes, lambda _: F.lit(True))),
+                               F.map_from_arrays(no, F.transform(no, lambda _: F.lit(False))))
+    separator = F.coalesce(*[
+        F.when((share(f"hits{i}") > k.TAG_HIT_SHARE) & (share(f"parts{i}") > k.TAG_MEAN_PARTS), F.lit(i))
+        for i in range(len(k.TAG_SEPARATORS))])
+    inner_mean = F.element_at(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]),
+                              F.coalesce(F.col("sep_index"), F.lit(0)) + 1)
+    zero_or_one = word_array(["0", "1", "0.0", "1.0", "True", "False"])
+    zero_one = (F.col("n_unique") == 2) & (F.size(F.array_except("texts", zero_or_one)) == 0)
+    text, number = F.col("kind") == "text", F.col("kind") == "number"
+    few = F.col("n_unique") <= categorical_threshold(F.col("n_total"))
+    scattered = F.try_divide(F.col("n_unique"), F.col("n_total")) > k.IDENTIFIER_SHARE
+    mean_length = share("length")
+
+    d = m.withColumns({
+        "n_unique": F.coalesce("n_distinct", "estimate"),
+        "nullable": F.col("n_filled") < F.col("n_total"),
+        "n_null": F.col("n_total") - F.col("n_filled"),
+        "avg_length": F.when(text, F.try_divide(F.col("length"), n_values)),
+        "numeric_share": F.when(text, F.try_divide(F.col("n_number"), n_values)),
+        "date_share": F.when(text, F.try_divide(F.col("n_date"), n_values)),
+        "scale": F.when(text, matching_scale(F.col("words"))),
+        "sep_index": F.when(text, separator),
+    })
+    d = d.withColumn("maybe_tags", F.col("sep_index").isNotNull() & (inner_mean > k.TAG_MEAN_PARTS_CONFIRM))
+    semantic = (
+        F.when(F.col("kind") == "other", "unknown")
+        .when(F.col("kind") == "datetime", "datetime")
+        .when(n_values == 0, "categorical")
+        .when(number & zero_one, "boolean")
+        .when(number & few, "categorical")
+        .when(number, "numeric")
+        .when(is_boolean, "boolean")
+        .when(share("n_number") > k.NUMERIC_SHARE, "numeric_string")
+        .when(share("n_date") > k.DATE_SHARE, "date_string")
+        .when(F.col("maybe_tags"), "multi_value_tags")
+        .when(F.col("scale").isNotNull(), "ordinal"))
+    tail = (F.when(few, "categorical")
+            .when(scattered, F.when(mean_length > k.IDENTIFIER_TEXT_LENGTH, "free_text").otherwise("identifier"))
+            .when(mean_length > k.CATEGORY_TEXT_LENGTH, "free_text")
+            .otherwise("categorical"))
+    separators = word_array(k.TAG_SEPARATORS)
+    kind = F.col("semantic_type")
+    return (
+        d.withColumns({"tail": tail, "semantic_type": semantic})
+        .withColumn("semantic_type", F.coalesce("semantic_type", "tail"))
+        .withColumns({
+            "boolean_map": F.when((kind == "boolean") & number,
+                                  F.create_map(F.lit("1"), F.lit(True), F.lit("0"), F.lit(False)))
+            .when(kind == "boolean", boolean_map),
+            "ordinal_order": F.when(kind == "ordinal", F.col("scale")),
+            "tag_separator": F.when(kind == "multi_value_tags", F.element_at(separators, F.col("sep_index") + 1)),
+            "date_format_hint": F.when(kind == "date_string", date_pattern_hint(F.col("first_date"))),
+            "categories": F.when(kind == "ordinal", F.col("scale"))
+            .when(kind == "categorical", F.when(n_values == 0, F.array().cast("array<string>"))
+                  .otherwise(F.array_sort("texts"))),
+        }))
+
+
+# ---- pass 3 -------------------------------------------------------------------------------------------------------
+
+def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
+    """Vocabulary of tag columns and affixes of number-like text, read from those columns only.
+
+    A column with a separator but a single tag is no tag column; its type falls back to the later rules.
+    """
+    result: dict[str, dict] = {}
+    tags = [r for r in decided if r["semantic_type"] == "multi_value_tags"]
+    numbers = [r for r in decided if r["semantic_type"] == "numeric_string"]
+    if tags:
+        names = [r["name"] for r in tags]
+        pieces = None
+        cells = long_form(df, names)
+        for i, r in enumerate(tags):
+            split = split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False)
+            pieces = F.when(F.col("name") == str(i), split) if pieces is None else pieces.when(
+                F.col("name") == str(i), split)
+        words = cells.select("name", F.explode(pieces).alias("tag")).distinct()
+        # Counted first: only vocabularies of at most LIST_LIMIT tags are gathered.
+        counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("n_tags"), F.min("tag").alias("least"),
+                                           F.max("tag").alias("greatest"))
+        found = {r["name"]: r for r in counts.collect()}
+        listed = [str(i) for i in range(len(tags)) if str(i) in found and found[str(i)]["n_tags"] <= LIST_LIMIT]
+        vocab = {}
+        if listed:
+            lists = words.where(F.col("name").isin(*listed)).groupBy("name").agg(
+                F.array_sort(F.collect_set("tag")).alias("v"))
+            vocab = {r["name"]: r["v"] for r in lists.collect()}
+        for i, r in enumerate(tags):
+            n_tags = found[str(i)]["n_tags"] if str(i) in found else 0
+            if n_tags >= 2:
+                result[r["name"]] = {"n_tags": n_tags, "tag_vocabulary": vocab.get(str(i))}
+            else:
+                kind = "ordinal" if r["scale"] is not None else r["tail"]
+                cats = r["scale"] or (sorted(r["texts"]) if kind == "categorical" and r["texts"] is not None else None)
+                result[r["name"]] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
+                                     "categories": cats}
+    if numbers:
+        names = [r["name"] for r in numbers]
+        v = F.col("value")
+        affixes = long_form(df, names).select("name", F.explode(F.array(
+            F.struct(F.lit("numeric_prefix").alias("side"), text_prefix(v).alias("affix")),
+            F.struct(F.lit("numeric_suffix").alias("side"), text_suffix(v).alias("affix")))).alias("a"))
+        top = (affixes.select("name", "a.*").where("affix is not null").groupBy("name", "side", "affix")
+               .agg(F.count(F.lit(1)).alias("n")).groupBy("name", "side")
+               .agg(F.min(F.struct((-F.col("n")).alias("n"), "affix")).alias("best")).collect())
+        for r in numbers:
+            result[r["name"]] = {"numeric_prefix": "", "numeric_suffix": ""}
+        for t in top:
+            r = numbers[int(t["name"])]
+            if -t["best"]["n"] > r["n_filled"] * k.AFFIX_SHARE:
+                result[r["name"]][t["side"]] = t["best"]["affix"]
+    return result
