@@ -157,7 +157,7 @@ DATE_PARTS = ("year", "month", "day", "weekday", "hour")
 def date_part(c: Column, part: str) -> Column:
     """One of year, month, day, weekday (English name) and hour of a date or timestamp."""
     if part == "weekday":
-        return F.element_at(word_array(WEEKDAYS), F.dayofweek(c))
+        return F.get(word_array(WEEKDAYS), F.dayofweek(c) - 1)
     if part not in DATE_PARTS:
         raise ValueError(f"unknown date part {part!r}; choose from {', '.join(DATE_PARTS)}")
     return {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour}[part](c)

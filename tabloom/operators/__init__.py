@@ -3,7 +3,7 @@
 from .clean import (clean_headers, clean_names, drop_empty_columns, drop_empty_rows, drop_junk_rows, drop_missing,
                     fill_missing, filter_rows, merge_columns, rename_columns)
 from .encode import encode_categorical, encode_frequency, encode_label, encode_onehot
-from .quantiles import box_statistics, group_quantiles, quantiles
+from .order_statistics import box_statistics, group_quantiles, quantiles
 from .tables import (correlation_matrix, crosstab, crosstab_long, distributions, filter_in, group_summary, histogram,
                      key_metrics, ordinal_distribution, scatter_sample, share_by_group, time_trend, value_distribution)
 from .tags import detect_tag_separator, explode_tags, tag_cooccurrence, tag_frequency, tag_vocabulary, tags_long

@@ -98,11 +98,12 @@ def bin_numeric(df: DataFrame, column: str, bins: int | Sequence[float] = 5, lab
         raise ValueError("as many labels as bins are needed")
     place = F.col("_bin")
     if labels is not None:
-        result = F.element_at(_constants(labels), place)
+        # get, not element_at: under ANSI the latter claims never to be null, even for a null place.
+        result = F.get(_constants(labels), place - 1)
     else:
         result = F.when(place.isNotNull(), F.struct(
-            place.alias("bin"), F.element_at(_constants(edges[:-1]), place).alias("lo"),
-            F.element_at(_constants(edges[1:]), place).alias("hi")))
+            place.alias("bin"), F.get(_constants(edges[:-1]), place - 1).alias("lo"),
+            F.get(_constants(edges[1:]), place - 1).alias("hi")))
     return (df.withColumn("_bin", fx.bin_index(number(column), edges))
             .withColumn(output or f"{column}_bin", result).drop("_bin"))
 

@@ -1,11 +1,11 @@
 """Compositions of operators: profile, statistics, quality report, feature engineering, guided run."""
 
 from .dataset import Dataset
-from .describe import (column_overview, dataset_metrics, dataset_summary, describe, detect_changes, dominant_type,
+from .statistics import (column_overview, dataset_metrics, dataset_summary, describe, detect_changes, dominant_type,
                        merge_descriptions, profile_table, suggest, summary_lines, type_distribution)
-from .engineer import engineer
+from .features import engineer
 from .guided import GuidedResult, clean_table, dashboard_tables, guided_run
-from .profile import categorical_threshold, profile
+from .profiling import categorical_threshold, profile
 from .quality import quality_report
 
 __all__ = [

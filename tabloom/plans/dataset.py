@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..session import local_rows
-from .describe import merge_descriptions, profile_table
-from .profile import profile
+from .statistics import merge_descriptions, profile_table
+from .profiling import profile
 
 
 @dataclass(frozen=True)

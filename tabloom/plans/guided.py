@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 
-from ..operators import clean, quantiles, tables, tags
-from .engineer import engineer
-from .profile import profile
+from ..operators import clean, order_statistics, tables, tags
+from .features import engineer
+from .profiling import profile
 from .quality import quality_report
 
 
@@ -19,7 +20,7 @@ class GuidedResult:
     cleaned: DataFrame
     features: DataFrame
     profile: DataFrame
-    tables: dict[str, DataFrame]
+    tables: dict[str, Callable[[], DataFrame]]
     problems: tuple[str, ...] = ()
 
 
@@ -30,8 +31,8 @@ def clean_table(df: DataFrame) -> DataFrame:
     return clean.drop_empty_columns(clean.drop_empty_rows(clean.drop_junk_rows(named, names=labels)))
 
 
-def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) -> dict[str, DataFrame]:
-    """The tables that suit the column types; each is lazy and runs when it is read.
+def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The tables that suit the column types, each as a function that makes it: nothing runs for tables not asked for.
 
     ``source`` is the table before tags were spread over columns, ``prof`` its profile.
     """
@@ -40,27 +41,32 @@ def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) ->
     # Categories by the listing rule may be many; a chart of them needs few.
     groups = [r["name"] for r in rows if r["semantic_type"] in ("boolean", "categorical") and 0 < r["n_unique"] <= 50]
     numeric = of.get("numeric", []) + of.get("numeric_string", [])
-    found: dict[str, DataFrame] = {}
+    by = groups[0] if groups else None
+    found: dict[str, Callable[[], DataFrame]] = {}
     if numeric:
-        found["key_metrics"] = tables.key_metrics(features, numeric)
+        found["key_metrics"] = partial(tables.key_metrics, features, numeric)
     if groups:
-        found["distributions"] = tables.distributions(features, groups)
+        found["distributions"] = partial(tables.distributions, features, groups)
     if len(groups) >= 2:
-        found[f"crosstab:{groups[0]}:{groups[1]}"] = tables.crosstab_long(features, groups[0], groups[1])
+        found[f"crosstab:{groups[0]}:{groups[1]}"] = partial(tables.crosstab_long, features, groups[0], groups[1])
+        found[f"shares:{groups[0]}:{groups[1]}"] = partial(tables.share_by_group, features, groups[0], groups[1])
+    if groups and numeric:
+        found[f"summary:{by}"] = partial(tables.group_summary, features, [by], numeric)
     for c in numeric:
-        found[f"histogram:{c}"] = tables.histogram(features, c)
-        found[f"box:{c}"] = quantiles.box_statistics(features, c, groups[0] if groups else None)
+        found[f"histogram:{c}"] = partial(tables.histogram, features, c)
+        found[f"box:{c}"] = partial(order_statistics.box_statistics, features, c, by)
     if len(numeric) >= 2:
-        found["correlation"] = tables.correlation_matrix(features, numeric)
-        found[f"scatter:{numeric[0]}:{numeric[1]}"] = tables.scatter_sample(features, numeric[0], numeric[1])
+        found["correlation"] = partial(tables.correlation_matrix, features, numeric)
+        found[f"scatter:{numeric[0]}:{numeric[1]}"] = partial(tables.scatter_sample, features, *numeric[:2])
     for c in of.get("datetime", []) + of.get("date_string", []):
-        found[f"trend:{c}"] = tables.time_trend(features, c, "month")
+        found[f"trend:{c}"] = partial(tables.time_trend, features, c, "month")
     for r in rows:
         if r["semantic_type"] == "multi_value_tags" and r["tag_vocabulary"]:
-            found[f"tags:{r['name']}"] = tags.tag_frequency(source, r["name"], r["tag_separator"])
-            found[f"tag_pairs:{r['name']}"] = tags.tag_cooccurrence(source, r["name"], r["tag_separator"])
+            found[f"tags:{r['name']}"] = partial(tags.tag_frequency, source, r["name"], r["tag_separator"])
+            found[f"tag_pairs:{r['name']}"] = partial(tags.tag_cooccurrence, source, r["name"], r["tag_separator"])
         if r["semantic_type"] == "ordinal":
-            found[f"ordinal:{r['name']}"] = tables.ordinal_distribution(features, r["name"], r["ordinal_order"])
+            found[f"ordinal:{r['name']}"] = partial(tables.ordinal_distribution, features, r["name"],
+                                                    r["ordinal_order"])
     return found
 
 

@@ -212,7 +212,7 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
 
     def place(group: list[_Column]) -> Column:
         """Turn the running number of ``long_form`` into the column's position."""
-        return F.element_at(F.array(*[F.lit(c.position) for c in group]), F.col("name").cast("int") + 1)
+        return F.get(F.array(*[F.lit(c.position) for c in group]), F.col("name").cast("int"))
 
     branches = []
     if small or small_dates:
@@ -262,8 +262,7 @@ def _decide(m: DataFrame) -> DataFrame:
     separator = F.coalesce(*[
         F.when((share(f"hits{i}") > k.TAG_HIT_SHARE) & (share(f"parts{i}") > k.TAG_MEAN_PARTS), F.lit(i))
         for i in range(len(k.TAG_SEPARATORS))])
-    inner_mean = F.element_at(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]),
-                              F.coalesce(F.col("sep_index"), F.lit(0)) + 1)
+    inner_mean = F.get(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]), F.col("sep_index"))
     zero_or_one = word_array(["0", "1", "0.0", "1.0", "True", "False"])
     zero_one = (F.col("n_unique") == 2) & (F.size(F.array_except("texts", zero_or_one)) == 0)
     text, number = F.col("kind") == "text", F.col("kind") == "number"
@@ -308,7 +307,7 @@ def _decide(m: DataFrame) -> DataFrame:
                                   F.create_map(F.lit("1"), F.lit(True), F.lit("0"), F.lit(False)))
             .when(kind == "boolean", boolean_map),
             "ordinal_order": F.when(kind == "ordinal", F.col("scale")),
-            "tag_separator": F.when(kind == "multi_value_tags", F.element_at(separators, F.col("sep_index") + 1)),
+            "tag_separator": F.when(kind == "multi_value_tags", F.get(separators, F.col("sep_index"))),
             "date_format_hint": F.when(kind == "date_string", date_pattern_hint(F.col("first_date"))),
             "categories": F.when(kind == "ordinal", F.col("scale"))
             .when(kind == "categorical", F.when(n_values == 0, F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import clean_names, filled_cells, header_echo, is_unnamed
 from ..session import local_rows
-from .profile import profile as make_profile
+from .profiling import profile as make_profile
 
 _SCHEMA = "column string, issue string, n long, ratio double"
 

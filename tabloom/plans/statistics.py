@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import SEMANTIC_TYPES
-from ..operators.quantiles import group_quantiles
+from ..operators.order_statistics import group_quantiles
 from ..session import local_rows
-from .profile import as_text, column_kind, long_form, present
+from .profiling import as_text, column_kind, long_form, present
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def describe(df: DataFrame) -> DataFrame:
         moments = cells.groupBy("g").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
         is_date = F.col("g").cast("int") >= len(names["number"])
         parts.append(moments.join(quartiles, "g").select(
-            F.element_at(F.array(*[F.lit(n) for n in measured]), F.col("g").cast("int") + 1).alias("name"), "count",
+            F.get(F.array(*[F.lit(n) for n in measured]), F.col("g").cast("int")).alias("name"), "count",
             F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq"), "mean", F.when(~is_date, F.col("std")).alias("std"),
             "min", "p25", "p50", "p75", "max"))
@@ -45,7 +45,7 @@ def describe(df: DataFrame) -> DataFrame:
                   .groupBy("name").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
                                        F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best")))
         parts.append(counts.select(
-            F.element_at(F.array(*[F.lit(n) for n in names["text"]]), F.col("name").cast("int") + 1).alias("name"),
+            F.get(F.array(*[F.lit(n) for n in names["text"]]), F.col("name").cast("int")).alias("name"),
             "count", "unique", F.col("best.value").alias("top"), (-F.col("best.n")).alias("freq"), *none))
     if not parts:
         raise ValueError("no column can be described")
@@ -68,7 +68,7 @@ def dataset_metrics(df: DataFrame) -> DataFrame:
 
 def column_overview(df: DataFrame) -> DataFrame:
     """``name, dtype, n_filled, n_unique`` per column: the head of a dataset summary."""
-    from .profile import profile
+    from .profiling import profile
 
     return profile(df).select("name", "dtype", (F.col("n_total") - F.col("n_null")).alias("n_filled"), "n_unique")
 

@@ -68,7 +68,11 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    return [r[0].removeprefix("﻿") for r in spark.read.text(path).limit(n).collect()]
+    """First lines of the first file by name; Spark itself would start with the largest one."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return []
+    return [r[0].removeprefix("\ufeff") for r in spark.read.text(files[0]).limit(n).collect()]
 
 
 def sniff_separator(line: str) -> str:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """Write a folder of CSV (with headers), TSV, JSON lines, XML, Parquet or ORC files, one per partition."""
     writer = df.write.mode(mode)
     if fmt in ("csv", "tsv"):
-        # Quotes are doubled inside quoted cells, as the reader expects; timestamps are written as ISO text.
-        writer.options(header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"',
-                       timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]", emptyValue='""').csv(path)
+        # Timestamps as plain ISO text; quotes are doubled inside quoted cells, as the reader expects.
+        moments = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+        plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in moments})
+        plain.write.mode(mode).options(header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"').csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)
     elif fmt == "xml":

@@ -1,0 +1,5 @@
+"""Nothing here keeps state over time, so there is no streaming operator.
+
+The column functions, and ``plans.engineer`` with a profile taken from a batch table, are plain projections and apply to
+a ``readStream`` DataFrame as they are.
+"""
