@@ -1,8 +1,9 @@
 """Dates hidden in text, and the parts of a date.
 
-Parsing rewrites each supported shape to ISO text with one regular-expression replacement and then uses ``try_cast`` to
-``timestamp_ntz``. That avoids the exceptions a per-pattern formatter throws for every miss, and the result does not
-depend on the session time zone.
+Parsing rewrites every supported shape to ISO text with one regular expression, whose alternatives fill the same
+replacement (an alternative that did not match adds nothing), and then uses ``try_cast`` to ``timestamp_ntz``. That avoids
+the exception a per-pattern formatter throws for every miss, keeps the generated code small, and does not depend on the
+session time zone.
 """
 
 from __future__ import annotations
@@ -15,63 +16,67 @@ from pyspark.sql import functions as F
 from ..constants import WEEKDAYS
 from .text import strip, word_array
 
-_TIME = r"(?:[T ]+\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?"
-_ZONE = r" ?(?:Z|UTC|[+-]\d{2}:?\d{2})"
-_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
-_MONTH_WORD = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?"
-               r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?")
-
-
-def _iso_text(s: Column, day_first: bool) -> Column:
-    """ISO form of a supported date text, null for every other text."""
-    low = r"(0?[1-9]|1[0-2])"
-    sep = r"[/.\-]"
-    two = r"(\d{1,2})"
-    month_first = (rf"^{low}{sep}{two}{sep}", "$1-$2")
-    month_second = (rf"^{two}{sep}{low}{sep}", "$2-$1")
-    # The preferred reading comes first; the other one is for days above 12.
-    readings = [month_second, month_first] if day_first else [month_first, month_second]
-
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH_WORD = (r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+               r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?")
+_HALF = r"(?i)[ap]m$"
+_LONGEST = 64       # no supported shape is longer
+# Three parts, the cheapest thing to ask of a text before the full pattern; years and months alone are no dates.
+_OUTLINE = r"^(?:\d{1,4}[ /.\-]\w+\.?,?[ /.\-]\d|[A-Za-z]{3,9}\.? \d{1,2},? \d)"
+
+
+def _shape(day_first: bool) -> tuple[str, str]:
+    """Pattern of all shapes, and the replacement that makes ISO text of them. ``5M`` stands for a month given by name."""
+    month, two, sep = r"(0?[1-9]|1[0-2])", r"(\d{1,2})", r"[/.\-]"
+    month_first = (rf"{month}{sep}{two}{sep}(\d{{4}})", "mdy")
+    day_then_month = (rf"{two}{sep}{month}{sep}(\d{{4}})", "dmy")
+    shapes = [
+        (r"(\d{4})-(\d{1,2})-(\d{1,2})", "ymd"),
+        (r"(\d{4})/(\d{1,2})/(\d{1,2})", "ymd"),
+        # The preferred reading comes first; the other one is for days above 12.
+        *([day_then_month, month_first] if day_first else [month_first, day_then_month]),
+        (r"(\d{1,2})M (\d{1,2}),? (\d{4})", "mdy"),
+        (r"(\d{1,2})[ \-](\d{1,2})M,?[ \-](\d{4})", "dmy"),
+    ]
+    fields = {"y": "", "m": "", "d": ""}
+    group = 0
+    for _, order in shapes:
+        for field in order:
+            group += 1
+            fields[field] += f"${group}"
+    clock = r"(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)"
     # A zone is dropped: the local clock time is kept.
-    result = F.when(s.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"), s)
-    result = result.when(s.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}{_ZONE}$"), F.regexp_replace(s, rf"{_ZONE}$", ""))
-    result = result.when(s.rlike(rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_TIME}$"),
-                         F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/", "$1-$2-"))
-    for head, order in readings:
-        result = result.when(s.rlike(rf"{head}\d{{4}}{_TIME}$"), F.regexp_replace(s, rf"{head}(\d{{4}})", f"$3-{order}"))
-    for head, order in readings:
-        # Two-digit years: 69 to 99 are of the 1900s, the rest of the 2000s.
-        result = result.when(s.rlike(rf"{head}(?:69|[7-9]\d)$"), F.regexp_replace(s, rf"{head}(\d{{2}})$", f"19$3-{order}"))
-        result = result.when(s.rlike(rf"{head}\d{{2}}$"), F.regexp_replace(s, rf"{head}(\d{{2}})$", f"20$3-{order}"))
-    for shape, swap in ((rf"(?i)^{_MONTH_WORD} (\d{{1,2}}),? (\d{{4}})", "$3-$1-$2"),
-                        (rf"(?i)^(\d{{1,2}})[ \-]{_MONTH_WORD}[ \-,]+(\d{{4}})", "$3-$2-$1")):
-        result = result.when(s.rlike(rf"{shape}{_TIME}$"), _month_number(F.regexp_replace(s, shape, swap)))
-    return result
-
-
-def _month_number(iso: Column) -> Column:
-    """Replace the English month word of ``2024-Jan-5`` by its number."""
-    word = F.initcap(F.substring(F.substring_index(F.substring_index(iso, "-", 2), "-", -1), 1, 3))
-    number = F.floor((F.instr(F.lit(_MONTHS), word) + F.lit(2)) / F.lit(3)).cast("string")
-    return F.concat_ws("-", F.substring_index(iso, "-", 1), number, F.substring_index(iso, "-", -1))
+    after = r"(?: ?[AaPp][Mm]| ?(?:Z|UTC|[+\-]\d{2}:?\d{2}))?"
+    pattern = "^(?:" + "|".join(p for p, _ in shapes) + rf")(?:(?:T| {{1,3}}){clock}{after})?$"
+    return pattern, f"{fields['y']}-{fields['m']}-{fields['d']} ${group + 1}"
 
 
 def parse_dates(c: Column, day_first: bool = False) -> Column:
     """Text to ``timestamp_ntz``; each value is read on its own and unreadable ones give null.
 
     Supported: ``2024-05-15``, ``2024/05/15``, month and day in either order with ``/``, ``.`` or ``-`` and a four or
-    two digit year, English month names, each with an optional time and AM/PM. An ambiguous day and month is read month
-    first unless ``day_first``.
+    two digit year (69 to 99 are of the 1900s), English month names, each with an optional time and AM/PM. An ambiguous
+    day and month is read month first unless ``day_first``.
     """
-    text = strip(c.cast("string"))
-    clocked = F.lower(F.substring(text, -1, 1)) == "m"
-    bare = F.when(clocked, F.regexp_replace(text, r"(?i)\s*[ap]m$", "")).otherwise(text)
-    moment = _iso_text(bare, day_first).try_cast("timestamp_ntz")
-    after_noon = F.lower(F.substring(text, -2, 1)) == "p"
-    shifted = (F.when(after_noon & (F.hour(moment) < 12), moment + F.expr("INTERVAL '12' HOUR"))
-               .when(~after_noon & (F.hour(moment) == 12), moment - F.expr("INTERVAL '12' HOUR"))
-               .otherwise(moment))
-    return F.when(clocked, shifted).otherwise(moment)
+    return parse_stripped_dates(strip(c.cast("string")), day_first)
+
+
+def parse_stripped_dates(text: Column, day_first: bool = False) -> Column:
+    pattern, iso = _shape(day_first)
+    word = F.lower(F.substring(F.regexp_extract(text, _MONTH_WORD, 0), 1, 3))
+    number = F.floor((F.instr(F.lit(_MONTHS), word) + 2) / 3).cast("string")
+    plain = F.when(text.rlike(r"(?i)^(?:\d{1,2}[ \-])?[a-z]{3}"),
+                   F.regexp_replace(text, F.lit(_MONTH_WORD), F.concat(number, F.lit("M")))).otherwise(text)
+    for old, century in ((r"69|[7-9]\d", "19"), (r"\d{2}", "20")):
+        plain = F.regexp_replace(plain, rf"^(\d{{1,2}}[/.\-]\d{{1,2}}[/.\-])({old})(?=[ T]|$)", f"$1{century}$2")
+    # 12 AM is hour 0 and 12 PM hour 12: hour 0 and half a day later.
+    plain = F.regexp_replace(plain, r"(?i)\b12(:\d{1,2}(?::\d{1,2})? ?[ap]m)$", "0$1")
+    # Text of no supported shape is left as it is; past the outline below, the cast refuses it.
+    moment = F.regexp_replace(plain, pattern, iso).try_cast("timestamp_ntz")
+    half_day = F.when(text.rlike(_HALF), F.expr("INTERVAL '12' HOUR"))
+    afternoon = F.when(F.lower(F.substring(text, -2, 1)) == "p", half_day)
+    shifted = moment + F.coalesce(afternoon, F.expr("INTERVAL '0' HOUR"))
+    return F.when((F.length(text) <= _LONGEST) & text.rlike(_OUTLINE), shifted)
 
 
 # strftime directive -> (field, regular expression)
@@ -123,8 +128,8 @@ def parse_dates_as(c: Column, fmt: str) -> Column:
     else:
         year = F.lit(1900)
     if "month_word" in fields:
-        position = F.instr(F.lit(_MONTHS), F.initcap(F.substring(part("month_word"), 1, 3)))
-        month = F.when(position > 0, F.floor((position + 2) / 3).cast("int"))
+        position = F.instr(F.lit(_MONTHS), F.lower(F.substring(part("month_word"), 1, 3)))
+        month = F.when(position % 3 == 1, F.floor((position + 2) / 3).cast("int"))
     else:
         month = number("month", 1)
     if "hour12" in fields:
@@ -140,15 +145,28 @@ def parse_dates_as(c: Column, fmt: str) -> Column:
     return F.when(text.rlike(shape), moment)
 
 
+# How a date text starts -> its strftime-like pattern; the first that fits.
+DATE_HINTS = [
+    (r"^\d{4}-\d{2}-\d{2}", "%Y-%m-%d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "%m/%d/%y"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}", "%d-%m-%Y"),
+    ("", "auto"),
+]
+
+
+def date_hint_index(stripped: Column) -> Column:
+    """Place in ``DATE_HINTS`` of a stripped date text."""
+    found = F
+    for i, (shape, _) in enumerate(DATE_HINTS[:-1]):
+        found = found.when(stripped.rlike(shape), i)
+    return found.otherwise(len(DATE_HINTS) - 1)
+
+
 def date_pattern_hint(c: Column) -> Column:
     """strftime-like pattern of a date text, judged from how it starts; ``auto`` when none fits."""
-    s = strip(c)
-    return (F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), "%Y-%m-%d")
-            .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), "%m/%d/%Y")
-            .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), "%m/%d/%y")
-            .when(s.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}"), "%d.%m.%Y")
-            .when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}"), "%d-%m-%Y")
-            .when(s.isNotNull(), "auto"))
+    return F.when(c.isNotNull(), F.get(word_array([h for _, h in DATE_HINTS]), date_hint_index(strip(c))))
 
 
 DATE_PARTS = ("year", "month", "day", "weekday", "hour")

@@ -4,7 +4,8 @@
 pass counts a group's values in equal-width bins of the interval that must hold the wanted rank, and the next pass looks
 only into the bin that holds it. A pass is one scan with a map-side count; a task never holds more than the bins. Since
 every bin also reports its own smallest and largest value, intervals shrink to real values, and a bin whose smallest
-and largest value agree is the answer.
+and largest value agree is the answer. An interval that still spans several orders of magnitude is cut evenly by
+magnitude in every other pass, so that heavy tails take no more passes than even data.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import local_rows
@@ -56,7 +57,8 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
         ).withColumnRenamed("g", group)
 
     found: dict[tuple, float] = {}      # (group, rank) -> value
-    pending: dict[tuple, list] = {}     # (group, lo, hi) -> [(rank, rank within the interval)]
+    # (group, lo, hi, whether to cut by magnitude) -> [(rank, rank within the interval)]
+    pending: dict[tuple, list] = {}
     for r in stats:
         for p in probs:
             for rank in _position(p, r["n"])[:2]:
@@ -67,7 +69,7 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
                 elif r["lo"] == r["hi"]:
                     found[r["g"], rank] = r["lo"]
                 else:
-                    pending.setdefault((r["g"], r["lo"], r["hi"]), []).append((rank, rank - r["below"]))
+                    pending.setdefault((r["g"], r["lo"], r["hi"], False), []).append((rank, rank - r["below"]))
 
     while pending:
         pending = _narrow(clean, pending, found, kind)
@@ -88,15 +90,18 @@ def _narrow(clean: DataFrame, pending: dict, found: dict, kind: str) -> dict:
     spark = clean.sparkSession
     intervals = list(pending)
     wanted = [(i, sorted({place for _, place in pending[key]})) for i, key in enumerate(intervals)]
-    ranges = local_rows(spark, [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(intervals)],
-                        f"i int, ig {kind}, lo double, hi double")
+    ranges = local_rows(spark, [(i, *interval) for i, interval in enumerate(intervals)],
+                        f"i int, ig {kind}, lo double, hi double, by_magnitude boolean")
     places = local_rows(spark, [(i, place) for i, ps in wanted for place in ps], "i int, place long")
 
     # At most groups x quantiles intervals: far below the size at which a broadcast would hurt.
     inside = clean.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("ig")) & F.col("x").between(
         F.col("lo"), F.col("hi")))
-    # Halves, so that the width of the widest interval does not overflow.
-    share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    # Halves, so that the width of the widest interval does not overflow; the narrowest one may vanish by it.
+    even = F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.when(x == lo, 0.0).otherwise(1.0))
+    graded = (_magnitude(x) - _magnitude(lo)) / (_magnitude(hi) - _magnitude(lo))
+    share = F.when(F.col("by_magnitude"), graded).otherwise(even)
     bin_of = F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1))
     counted = (inside.select("i", "x", bin_of.alias("bin")).groupBy("i", "bin")
                .agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi")))
@@ -117,10 +122,21 @@ def _narrow(clean: DataFrame, pending: dict, found: dict, kind: str) -> dict:
             elif place == h["before"]:
                 found[key[0], rank] = h["lo"]       # the first value of the bin is its smallest
             else:
-                still_open.setdefault((key[0], h["lo"], h["hi"]), []).append((rank, place - h["before"]))
+                by_magnitude = not key[3] and _spans_magnitudes(h["lo"], h["hi"])
+                still_open.setdefault((key[0], h["lo"], h["hi"], by_magnitude), []).append((rank, place - h["before"]))
     return still_open
 
 
+def _spans_magnitudes(lo: float, hi: float) -> bool:
+    small, large = sorted((abs(lo), abs(hi)))
+    return lo * hi <= 0 or large / BINS > small
+
+
+def _magnitude(x: Column) -> Column:
+    """Grows with ``x`` as its exponent does: 0 at zero, 1 at the smallest positive double, negative below zero."""
+    return F.signum(x) * (F.log2(F.greatest(F.abs(x), F.lit(5e-324))) + 1075)
+
+
 def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
     """Exact quantiles of one column; an empty list when it has no values."""
     from .transforms import number

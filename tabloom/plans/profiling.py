@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as k
-from ..functions import date_pattern_hint, numeric_from_text, parse_dates, part_count, split_tags, strip, text_prefix, \
+from ..functions import numeric_from_text, part_count, split_tags, strip, text_prefix, \
     text_suffix
+from ..functions.dates import DATE_HINTS, date_hint_index, parse_stripped_dates
 from ..functions.ordinals import matching_scale
 from ..functions.text import word_array
 from ..session import local_rows
@@ -161,38 +162,38 @@ def _take_samples(df: DataFrame, columns: list[_Column], order: str | None) -> N
 # ---- pass 2 -------------------------------------------------------------------------------------------------------
 
 def _text_measures(cells: DataFrame, with_words: bool) -> DataFrame:
-    """Detector sums per column over ``name, value, n``; ``words`` only where the distinct values are few."""
-    v = F.col("v")
-    flags = cells.withColumn("v", strip(F.col("value")))
+    """Detector sums per column over ``name, value, n``; ``words`` and ``texts`` only where the distinct values are few.
+
+    Everything summed is a number: a smallest or first text would turn the aggregation into one that sorts its input.
+    """
+    v, n = F.col("v"), F.col("n")
     # A letter that no number may hold rules the number test out at its first occurrence.
     wordy = v.rlike(r"[a-zA-Z&&[^eEinftyINFTYR]]")
-    hits, parts, parts_in_text = [], [], []
+    measures = [F.when(wordy, False).otherwise(numeric_from_text(v).isNotNull()).alias("is_number"),
+                F.when(parse_stripped_dates(v).isNotNull(), date_hint_index(v)).alias("date_shape"),
+                F.length(v).alias("length")]
+    inner = []      # parts of the stripped text: fewer only for separators that begin or end with a blank
     for i, sep in enumerate(k.TAG_SEPARATORS):
         has = F.contains("value", F.lit(sep))
-        hits.append(has.cast("int").alias(f"hit{i}"))
-        parts.append(F.when(has, part_count(F.col("value"), sep)).otherwise(1).alias(f"parts{i}"))
-        # Stripping the cell can only remove parts at separators that begin or end with a blank.
-        inner = F.when(has, part_count(v, sep)).otherwise(1) if sep != sep.strip() else None
-        parts_in_text.append(inner.alias(f"inner{i}") if inner is not None else None)
-    flags = flags.select(
-        "name", "n", "v",
-        F.when(wordy, False).otherwise(numeric_from_text(v).isNotNull()).alias("is_number"),
-        parse_dates(v).isNotNull().alias("is_date"),
-        F.length(v).alias("length"), *hits, *parts, *[p for p in parts_in_text if p is not None])
-    n = F.col("n")
-    sums = [F.sum(n).alias("n_values"),
-            F.sum(F.when(F.col("is_number"), n).otherwise(0)).alias("n_number"),
-            F.sum(F.when(F.col("is_date"), n).otherwise(0)).alias("n_date"),
-            F.sum(F.col("length") * n).alias("length"),
-            F.min(F.when(F.col("is_date"), v)).alias("first_date")]
-    for i, inner in enumerate(parts_in_text):
-        sums += [F.sum(F.col(f"hit{i}") * n).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
-                 F.sum(F.col(f"parts{i}" if inner is None else f"inner{i}") * n).alias(f"inner{i}")]
-    # The value table has at most GATE entries per column, so the sets are small.
-    empty = F.lit(None).cast("array<string>")
-    sums.append((F.collect_set(F.lower(v)) if with_words else F.first(empty)).alias("words"))
-    sums.append((F.collect_set(v) if with_words else F.first(empty)).alias("texts"))
-    sums.append(F.count(F.lit(1)).alias("n_entries"))
+        measures.append(F.when(has, part_count(F.col("value"), sep)).otherwise(1).alias(f"parts{i}"))
+        if sep != sep.strip():
+            measures.append(F.when(has, part_count(v, sep)).otherwise(1).alias(f"inner{i}"))
+        inner.append(f"inner{i}" if sep != sep.strip() else f"parts{i}")
+    flags = (cells.withColumn("v", strip(F.col("value")))
+             .select("name", "n", *(["v"] if with_words else []), *measures))
+
+    def total(condition) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    sums = [F.sum(n).alias("n_values"), total(F.col("is_number")).alias("n_number"),
+            F.sum(F.col("length") * n).alias("length"), F.count(F.lit(1)).alias("n_entries")]
+    sums += [total(F.col("date_shape") == i).alias(f"dates{i}") for i in range(len(DATE_HINTS))]
+    for i in range(len(k.TAG_SEPARATORS)):
+        sums += [total(F.col(f"parts{i}") > 1).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
+                 F.sum(F.col(inner[i]) * n).alias(f"inner{i}")]
+    if with_words:
+        # The value table has at most GATE entries per column, so the sets are small.
+        sums += [F.collect_set(F.lower(v)).alias("words"), F.collect_set(v).alias("texts")]
     return flags.groupBy("name").agg(*sums)
 
 
@@ -225,14 +226,15 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
         cells = long_form(df, [c.name for c in wide_text]).withColumn("n", F.lit(1).cast("long"))
         branches.append(_text_measures(cells, False).withColumn("position", place(wide_text))
                         .withColumn("n_distinct", F.lit(None).cast("long")))
-    schema = ("n_values long, n_number long, n_date long, length long, first_date string, "
+    schema = ("n_values long, n_number long, length long, "
+              + "".join(f"dates{i} long, " for i in range(len(DATE_HINTS)))
               + "".join(f"hits{i} long, parts{i} long, inner{i} long, " for i in range(len(k.TAG_SEPARATORS)))
               + "words array<string>, texts array<string>, n_entries long, position int, n_distinct long")
     rows: dict[int, dict] = {}
     if branches:
         merged = branches[0]
         for b in branches[1:]:
-            merged = merged.unionByName(b)
+            merged = merged.unionByName(b, allowMissingColumns=True)
         rows = {r["position"]: r.asDict() for r in merged.drop("name").collect()}
     if counted:
         # Long values travel as digests.
@@ -270,6 +272,11 @@ def _decide(m: DataFrame) -> DataFrame:
     scattered = F.try_divide(F.col("n_unique"), F.col("n_total")) > k.IDENTIFIER_SHARE
     mean_length = share("length")
 
+    hint_counts = [F.coalesce(F.col(f"dates{i}"), F.lit(0)) for i in range(len(DATE_HINTS))]
+    # The most frequent shape; of equals, the one listed first.
+    usual_hint = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("i"), F.lit(hint).alias("hint"))
+                                       for i, (c, (_, hint)) in enumerate(zip(hint_counts, DATE_HINTS))]))["hint"]
+    m = m.withColumn("n_date", sum(hint_counts[1:], hint_counts[0]))
     d = m.withColumns({
         "n_unique": F.coalesce("n_distinct", "estimate"),
         "nullable": F.col("n_filled") < F.col("n_total"),
@@ -277,6 +284,7 @@ def _decide(m: DataFrame) -> DataFrame:
         "avg_length": F.when(text, F.try_divide(F.col("length"), n_values)),
         "numeric_share": F.when(text, F.try_divide(F.col("n_number"), n_values)),
         "date_share": F.when(text, F.try_divide(F.col("n_date"), n_values)),
+        "date_hint": usual_hint,
         "scale": F.when(text, matching_scale(F.col("words"))),
         "sep_index": F.when(text, separator),
     })
@@ -308,7 +316,7 @@ def _decide(m: DataFrame) -> DataFrame:
             .when(kind == "boolean", boolean_map),
             "ordinal_order": F.when(kind == "ordinal", F.col("scale")),
             "tag_separator": F.when(kind == "multi_value_tags", F.get(separators, F.col("sep_index"))),
-            "date_format_hint": F.when(kind == "date_string", date_pattern_hint(F.col("first_date"))),
+            "date_format_hint": F.when(kind == "date_string", F.col("date_hint")),
             "categories": F.when(kind == "ordinal", F.col("scale"))
             .when(kind == "categorical", F.when(n_values == 0, F.array().cast("array<string>"))
                   .otherwise(F.array_sort("texts"))),
