@@ -66,6 +66,7 @@ AFFIX_SHARE = 0.4          # share of values that must carry the affix
 TAG_HIT_SHARE = 0.25       # share of values that must contain the separator
 TAG_MEAN_PARTS = 1.3       # mean number of parts for a separator to count
 TAG_MEAN_PARTS_CONFIRM = 1.2
+PROSE_PART_LENGTH = 25     # mean part length above which the optional prose guard takes the text for sentences
 IDENTIFIER_SHARE = 0.9     # distinct share above which a column is an identifier or prose
 IDENTIFIER_TEXT_LENGTH = 50
 CATEGORY_TEXT_LENGTH = 80

@@ -56,8 +56,13 @@ def merged_header(rows: Sequence[Sequence[str | None]]) -> list[str]:
     return [" ".join(p) for p in parts]
 
 
+def _named(c: str) -> Column:
+    """A column by its whole name: headers as they come may hold dots."""
+    return F.col(f"`{c}`")
+
+
 def _blank(c: str) -> Column:
-    text = F.col(c).cast("string")
+    text = _named(c).cast("string")
     return text.isNull() | (strip(text) == "")
 
 
@@ -72,7 +77,7 @@ def header_echo(df: DataFrame, names: Sequence[str] | None = None) -> Column:
     labels = list(names or df.columns)
     same = F.lit(True)
     for c, label in zip(df.columns, labels, strict=True):
-        same = same & F.coalesce(normalise(F.col(c)) == label.strip(WHITESPACE).lower(), F.lit(False))
+        same = same & F.coalesce(normalise(_named(c)) == label.strip(WHITESPACE).lower(), F.lit(False))
     return same
 
 
@@ -92,8 +97,8 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop columns in which every cell is null or blank; one scan counts all of them."""
-    counts = df.agg(*[F.count_if(~_blank(c)).alias(c) for c in df.columns]).first()
-    return df.select(*[c for c in df.columns if counts is None or counts[c] > 0])
+    counts = df.agg(*[F.count_if(~_blank(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return df.select(*[_named(c) for i, c in enumerate(df.columns) if counts[f"n{i}"] > 0])
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -109,8 +114,8 @@ def filter_rows(df: DataFrame, condition: Column | str) -> DataFrame:
 
 def merge_columns(df: DataFrame, columns: Sequence[str], output: str, sep: str = " ", drop: bool = True) -> DataFrame:
     """Join the texts of several columns, leaving nulls out; a row with nulls only gives null."""
-    merged = F.concat_ws(sep, *[F.col(c).cast("string") for c in columns])
-    some = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+    merged = F.concat_ws(sep, *[_named(c).cast("string") for c in columns])
+    some = F.coalesce(*[_named(c).cast("string") for c in columns]).isNotNull()
     result = df.withColumn("_merged", F.when(some, merged))
     result = result.drop(*columns) if drop else result.drop(output)
     return result.withColumnRenamed("_merged", output)

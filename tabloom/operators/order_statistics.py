@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import local_rows
+from ..session import freeze, local_rows
 
 BINS = 1024
 MAX_GROUPS = 2_000
@@ -30,31 +30,27 @@ def _position(p: float, n: int) -> tuple[int, int, float]:
 
 
 def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", value: str = "x") -> DataFrame:
-    """``(group, n, min, max, q0, q1, …)`` per group of the double column ``value``, with linear interpolation.
+    """``(group, n, mean, std, min, max, q0, q1, …)`` per group of the double column ``value``, with linear interpolation.
 
-    Nulls and NaN are left out. With more than ``MAX_GROUPS`` groups the narrowing would need too much state, and
-    ``percentile`` over pre-counted values is used.
+    Nulls and NaN are left out. With more than ``MAX_GROUPS`` groups only the large ones are narrowed; the others are
+    sorted within their group.
     """
     spark = df.sparkSession
     x = F.col(value)
     clean = df.select(F.col(group).alias("g"), x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
     # Kind of the group column, to hand it back unchanged.
     kind = clean.schema["g"].dataType.simpleString()
-    fields = ", ".join(["g " + kind, "n long", "min double", "max double", *[f"q{i} double" for i in range(len(probs))]])
+    fields = ", ".join(["g " + kind, "n long", "mean double", "std double", "min double", "max double", *[f"q{i} double" for i in range(len(probs))]])
 
     inf = float("inf")
     finite = F.when((F.col("x") > -inf) & (F.col("x") < inf), F.col("x"))
-    stats = (clean.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+    stats_table = clean.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
         F.count_if(F.col("x") == -inf).alias("below"), F.count(finite).alias("inside"))
-        .limit(MAX_GROUPS + 1).collect())
+    stats = stats_table.limit(MAX_GROUPS + 1).collect()
     if len(stats) > MAX_GROUPS:
-        counted = clean.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"))
-        return counted.groupBy("g").agg(
-            F.sum("k").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
-            *[F.percentile("x", F.lit(p), "k").alias(f"q{i}") for i, p in enumerate(probs)]
-        ).withColumnRenamed("g", group)
+        return freeze(_many_groups(clean, stats_table, probs)).withColumnRenamed("g", group)
 
     found: dict[tuple, float] = {}      # (group, rank) -> value
     # (group, lo, hi, whether to cut by magnitude) -> [(rank, rank within the interval)]
@@ -76,7 +72,7 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
 
     rows = []
     for r in stats:
-        out = [r["g"], r["n"], r["min"], r["max"]]
+        out = [r["g"], r["n"], r["mean"], r["std"], r["min"], r["max"]]
         for p in probs:
             low, high, weight = _position(p, r["n"])
             a, b = found[r["g"], low], found[r["g"], high]
@@ -85,6 +81,42 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
     return local_rows(spark, rows, fields).withColumnRenamed("g", group)
 
 
+def _many_groups(clean: DataFrame, stats: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Groups with more than a ``MAX_GROUPS``-th of the rows (fewer than ``MAX_GROUPS``) by narrowing, the rest by sorting."""
+    sizes = freeze(stats.select("g", "n", "mean", "std"))
+    total = sizes.agg(F.sum("n")).first()[0]
+    large = sizes.where(F.col("n") * MAX_GROUPS > total).select(F.col("g").alias("lg"))
+    is_large = F.col("g").eqNullSafe(F.col("lg"))
+    by_sorting = _sorted_quantiles(clean.join(F.broadcast(large), is_large, "left_anti"), probs)
+    moments = sizes.select(F.col("g").alias("mg"), "mean", "std")
+    by_sorting = (by_sorting.join(moments, F.col("g").eqNullSafe(F.col("mg")))
+                  .select("g", "n", "mean", "std", "min", "max", *[f"q{i}" for i in range(len(probs))]))
+    if not large.take(1):
+        return by_sorting
+    by_narrowing = group_quantiles(clean.join(F.broadcast(large), is_large, "left_semi"), probs)
+    return by_sorting.unionByName(by_narrowing)
+
+
+def _sorted_quantiles(clean: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Running counts over the distinct values of each group, in one shuffle by group after the values are counted."""
+    counted = clean.groupBy("g", "x").agg(F.count(F.lit(1)).alias("k"))
+    whole = Window.partitionBy("g")
+    ranked = (counted.withColumn("upto", F.sum("k").over(whole.orderBy("x")))
+              .withColumn("n", F.sum("k").over(whole)).withColumn("before", F.col("upto") - F.col("k")))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("before")) & (rank < F.col("upto")), F.col("x")))
+
+    ends, quantile = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(p) * (F.col("n") - 1)
+        ends += [value_at(F.floor(place)).alias(f"a{i}"), value_at(F.ceil(place)).alias(f"b{i}")]
+        a, b, weight = F.col(f"a{i}"), F.col(f"b{i}"), place - F.floor(place)
+        quantile.append(F.when((weight == 0) | (a == b), a).otherwise(a + (b - a) * weight).alias(f"q{i}"))
+    return (ranked.groupBy("g").agg(F.max("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), *ends)
+            .select("g", "n", "min", "max", *quantile))
+
+
 def _narrow(clean: DataFrame, pending: dict, found: dict, kind: str) -> dict:
     """One pass: put the answers met into ``found`` and return the narrower intervals that are still open."""
     spark = clean.sparkSession
@@ -155,7 +187,8 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
 
     group = by or "_all"
     source = df.select((F.col(by) if by else F.lit("all")).alias(group), number(column).alias("x"))
-    boxes = group_quantiles(source, (0.25, 0.5, 0.75), group, "x").toDF(group, "n", "min", "max", "q1", "median", "q3")
+    boxes = group_quantiles(source, (0.25, 0.5, 0.75), group, "x").toDF(
+        group, "n", "mean", "std", "min", "max", "q1", "median", "q3")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = boxes.select(F.col(group).alias("_g"), (F.col("q1") - reach).alias("_low"),
                           (F.col("q3") + reach).alias("_high"))

@@ -130,12 +130,21 @@ GRAINS = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "
           "hour": "1 hour"}
 
 
+def period_of(moment: Column, grain: str) -> Column:
+    """Start of the period of a local time; no step goes through the session time zone."""
+    local = moment.cast("timestamp_ntz")
+    if grain == "hour":
+        return local.cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(local))
+    day = local.cast("date")
+    return (day if grain == "day" else F.trunc(day, grain)).cast("timestamp_ntz")
+
+
 def time_trend(df: DataFrame, moment: str, grain: str = "month", value: str | None = None,
                fill: bool = False) -> DataFrame:
     """``period, n`` and, with ``value``, its ``total`` and ``mean`` per period; ``fill`` lists empty periods with 0."""
     if grain not in GRAINS:
         raise ValueError(f"unknown grain {grain!r}; choose from {', '.join(GRAINS)}")
-    period = F.date_trunc(grain, F.col(moment)).cast("timestamp_ntz").alias("period")
+    period = period_of(F.col(moment), grain).alias("period")
     measures = [F.count(F.lit(1)).alias("n")]
     if value:
         measures += [F.sum(number(value)).alias("total"), F.avg(number(value)).alias("mean")]

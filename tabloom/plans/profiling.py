@@ -15,6 +15,7 @@ What reaches the driver is one row per column.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,24 +83,67 @@ def present(df: DataFrame, name: str) -> Column:
 
 
 def as_text(df: DataFrame, name: str) -> Column:
-    text = present(df, name).cast("string")
-    return F.initcap(text) if isinstance(df.schema[name].dataType, T.BooleanType) else text
+    return _text_of(present(df, name), df.schema[name].dataType)
+
+
+def _text_of(value: Column, dtype: T.DataType) -> Column:
+    text = value.cast("string")
+    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
 
 
 def long_form(df: DataFrame, names: list[str]) -> DataFrame:
-    """``name, value``: the non-null cells of some columns as text, one row each."""
+    """``name, value``: the non-null cells of some columns as text, one row each; the name is the place in ``names``."""
     texts = df.select(*[as_text(df, n).alias(str(i)) for i, n in enumerate(names)])
     ids = [str(i) for i in range(len(names))]
     return texts.unpivot([], ids, "name", "value").where("value is not null")
 
 
-def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = None) -> DataFrame:
+def _typed_long_forms(df: DataFrame, names: list[str]) -> list[tuple[T.DataType, DataFrame]]:
+    """``name, value`` per data type: cells are counted as they are, and only what is left is turned into text."""
+    groups: dict[str, tuple[T.DataType, list[int]]] = {}
+    for i, n in enumerate(names):
+        dtype = df.schema[n].dataType
+        if isinstance(dtype, T.IntegralType):
+            dtype = T.LongType()
+        groups.setdefault(dtype.simpleString(), (dtype, []))[1].append(i)
+    forms = []
+    for dtype, places in groups.values():
+        cells = df.select(*[present(df, names[i]).cast(dtype).alias(str(i)) for i in places])
+        forms.append((dtype, cells.unpivot([], [str(i) for i in places], "name", "value").where("value is not null")))
+    return forms
+
+
+def _value_table(df: DataFrame, names: list[str]) -> DataFrame:
+    """``name, value, n``: distinct values as text with their counts."""
+    return reduce(DataFrame.unionAll, [
+        cells.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        .select("name", _text_of(F.col("value"), dtype).alias("value"), "n")
+        for dtype, cells in _typed_long_forms(df, names)])
+
+
+def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``name, n_distinct``; long text travels through the shuffle as a digest."""
+    value = F.col("value")
+    parts = []
+    for dtype, cells in _typed_long_forms(df, names):
+        if isinstance(dtype, T.StringType):
+            cells = cells.withColumn("value", F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value))
+        parts.append(cells.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_distinct")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = None,
+            prose_guard: bool = False) -> DataFrame:
     """One row per column, in column order, with the fields of ``PROFILE_SCHEMA``.
 
     ``distinct="exact"`` counts the distinct values of every column, which shuffles the distinct values of columns with
     many of them. ``"approx"`` keeps the sketch's estimate for those (1.6% error) and counts only where the identifier
     rule is near its cut; no value is then shuffled. ``sample_order`` names a column whose order defines the sample
-    values; without it any first rows are taken.
+    values; without it any first rows are taken. ``prose_guard`` keeps sentences with commas from counting as tags: a
+    separator with parts of more than 25 characters on average is no tag separator.
+
+    ``categories`` and ``tag_vocabulary`` are listed up to 1,000 entries and null beyond; ``value_distribution`` and
+    ``tag_vocabulary`` give all of them as rows.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be exact or approx")
@@ -111,7 +155,7 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
                               for c in columns],
                       "position int, name string, dtype string, kind string, n_filled long, estimate long, "
                       "sample_values array<string>, n_total long")
-    decided = _decide(base.join(measures, "position", "left")).collect()
+    decided = _decide(base.join(measures, "position", "left"), prose_guard).collect()
     extras = _extras(df, decided)
     fields = T.StructType.fromDDL(PROFILE_SCHEMA).names
     rows = []
@@ -216,42 +260,34 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
         return F.get(F.array(*[F.lit(c.position) for c in group]), F.col("name").cast("int"))
 
     branches = []
-    if small or small_dates:
-        group = small + small_dates
-        values = (long_form(df, [c.name for c in group]).groupBy("name", "value")
-                  .agg(F.count(F.lit(1)).alias("n")))
+    group = small + small_dates
+    if group:
+        values = _value_table(df, [c.name for c in group])
         branches.append(_text_measures(values, True).withColumn("position", place(group))
                         .withColumn("n_distinct", F.col("n_entries")))
     if wide_text:
         cells = long_form(df, [c.name for c in wide_text]).withColumn("n", F.lit(1).cast("long"))
-        branches.append(_text_measures(cells, False).withColumn("position", place(wide_text))
-                        .withColumn("n_distinct", F.lit(None).cast("long")))
+        branches.append(_text_measures(cells, False).withColumn("position", place(wide_text)))
+    if counted:
+        branches.append(_distinct_counts(df, [c.name for c in counted]).withColumn("position", place(counted)))
     schema = ("n_values long, n_number long, length long, "
               + "".join(f"dates{i} long, " for i in range(len(DATE_HINTS)))
               + "".join(f"hits{i} long, parts{i} long, inner{i} long, " for i in range(len(k.TAG_SEPARATORS)))
-              + "words array<string>, texts array<string>, n_entries long, position int, n_distinct long")
+              + "words array<string>, texts array<string>, position int, n_distinct long")
     rows: dict[int, dict] = {}
     if branches:
-        merged = branches[0]
-        for b in branches[1:]:
-            merged = merged.unionByName(b, allowMissingColumns=True)
-        rows = {r["position"]: r.asDict() for r in merged.drop("name").collect()}
-    if counted:
-        # Long values travel as digests.
-        value = F.col("value")
-        cells = long_form(df, [c.name for c in counted]).withColumn(
-            "value", F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value))
-        found = (cells.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_distinct"))
-                 .select(place(counted).alias("position"), "n_distinct").collect())
-        for r in found:
-            rows.setdefault(r["position"], {"position": r["position"]})["n_distinct"] = r["n_distinct"]
+        # One job, so that the branches run side by side.
+        together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+        for r in together.collect():
+            known_of = rows.setdefault(r["position"], {})
+            known_of.update({f: v for f, v in r.asDict().items() if v is not None})
     kind = T.StructType.fromDDL(schema)
     return local_rows(df.sparkSession, [tuple(r.get(f) for f in kind.names) for r in rows.values()], kind)
 
 
 # ---- the rules ----------------------------------------------------------------------------------------------------
 
-def _decide(m: DataFrame) -> DataFrame:
+def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
     """Semantic type of each column from its measures; the first rule that holds wins."""
     n_values = F.col("n_filled")
     share = lambda c: F.coalesce(F.try_divide(F.col(c), n_values), F.lit(0.0))
@@ -261,9 +297,16 @@ def _decide(m: DataFrame) -> DataFrame:
                   & (F.size(yes) + F.size(no) == F.size(spoken)))
     boolean_map = F.map_concat(F.map_from_arrays(yes, F.transform(yes, lambda _: F.lit(True))),
                                F.map_from_arrays(no, F.transform(no, lambda _: F.lit(False))))
-    separator = F.coalesce(*[
-        F.when((share(f"hits{i}") > k.TAG_HIT_SHARE) & (share(f"parts{i}") > k.TAG_MEAN_PARTS), F.lit(i))
-        for i in range(len(k.TAG_SEPARATORS))])
+
+    def separates(i: int, sep: str) -> Column:
+        holds = (share(f"hits{i}") > k.TAG_HIT_SHARE) & (share(f"parts{i}") > k.TAG_MEAN_PARTS)
+        if prose_guard:
+            of_separators = (F.col(f"parts{i}") - n_values) * len(sep)
+            part_length = F.try_divide(F.col("length") - of_separators, F.col(f"parts{i}"))
+            holds = holds & (part_length <= k.PROSE_PART_LENGTH)
+        return holds
+
+    separator = F.coalesce(*[F.when(separates(i, sep), F.lit(i)) for i, sep in enumerate(k.TAG_SEPARATORS)])
     inner_mean = F.get(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]), F.col("sep_index"))
     zero_or_one = word_array(["0", "1", "0.0", "1.0", "True", "False"])
     zero_one = (F.col("n_unique") == 2) & (F.size(F.array_except("texts", zero_or_one)) == 0)
@@ -330,50 +373,57 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
 
     A column with a separator but a single tag is no tag column; its type falls back to the later rules.
     """
-    result: dict[str, dict] = {}
     tags = [r for r in decided if r["semantic_type"] == "multi_value_tags"]
     numbers = [r for r in decided if r["semantic_type"] == "numeric_string"]
+    branches = []
     if tags:
-        names = [r["name"] for r in tags]
-        pieces = None
-        cells = long_form(df, names)
-        for i, r in enumerate(tags):
-            split = split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False)
-            pieces = F.when(F.col("name") == str(i), split) if pieces is None else pieces.when(
-                F.col("name") == str(i), split)
-        words = cells.select("name", F.explode(pieces).alias("tag")).distinct()
-        # Counted first: only vocabularies of at most LIST_LIMIT tags are gathered.
-        counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("n_tags"), F.min("tag").alias("least"),
-                                           F.max("tag").alias("greatest"))
-        found = {r["name"]: r for r in counts.collect()}
-        listed = [str(i) for i in range(len(tags)) if str(i) in found and found[str(i)]["n_tags"] <= LIST_LIMIT]
-        vocab = {}
-        if listed:
-            lists = words.where(F.col("name").isin(*listed)).groupBy("name").agg(
-                F.array_sort(F.collect_set("tag")).alias("v"))
-            vocab = {r["name"]: r["v"] for r in lists.collect()}
-        for i, r in enumerate(tags):
-            n_tags = found[str(i)]["n_tags"] if str(i) in found else 0
-            if n_tags >= 2:
-                result[r["name"]] = {"n_tags": n_tags, "tag_vocabulary": vocab.get(str(i))}
-            else:
-                kind = "ordinal" if r["scale"] is not None else r["tail"]
-                cats = r["scale"] or (sorted(r["texts"]) if kind == "categorical" and r["texts"] is not None else None)
-                result[r["name"]] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
-                                     "categories": cats}
+        words = _tag_words(df, tags)
+        branches.append(words.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+                        .select(F.lit("tags").alias("side"), "name", "n", F.lit(None).cast("string").alias("affix")))
     if numbers:
-        names = [r["name"] for r in numbers]
-        v = F.col("value")
-        affixes = long_form(df, names).select("name", F.explode(F.array(
-            F.struct(F.lit("numeric_prefix").alias("side"), text_prefix(v).alias("affix")),
-            F.struct(F.lit("numeric_suffix").alias("side"), text_suffix(v).alias("affix")))).alias("a"))
-        top = (affixes.select("name", "a.*").where("affix is not null").groupBy("name", "side", "affix")
-               .agg(F.count(F.lit(1)).alias("n")).groupBy("name", "side")
-               .agg(F.min(F.struct((-F.col("n")).alias("n"), "affix")).alias("best")).collect())
-        for r in numbers:
-            result[r["name"]] = {"numeric_prefix": "", "numeric_suffix": ""}
-        for t in top:
+        branches.append(_top_affixes(df, numbers))
+    found = reduce(DataFrame.unionByName, branches).collect() if branches else []
+
+    result: dict[str, dict] = {r["name"]: {"numeric_prefix": "", "numeric_suffix": ""} for r in numbers}
+    for t in found:
+        if t["side"] != "tags":
             r = numbers[int(t["name"])]
-            if -t["best"]["n"] > r["n_filled"] * k.AFFIX_SHARE:
-                result[r["name"]][t["side"]] = t["best"]["affix"]
+            if t["n"] > r["n_filled"] * k.AFFIX_SHARE:
+                result[r["name"]][t["side"]] = t["affix"]
+    n_tags = {int(t["name"]): t["n"] for t in found if t["side"] == "tags"}
+    # Counted first: only vocabularies of at most LIST_LIMIT tags are gathered.
+    listed = [str(i) for i, n in n_tags.items() if 2 <= n <= LIST_LIMIT]
+    vocabularies = {}
+    if listed:
+        lists = words.where(F.col("name").isin(*listed)).groupBy("name").agg(F.array_sort(F.collect_set("tag")).alias("v"))
+        vocabularies = {int(r["name"]): r["v"] for r in lists.collect()}
+    for i, r in enumerate(tags):
+        if n_tags.get(i, 0) >= 2:
+            result[r["name"]] = {"n_tags": n_tags[i], "tag_vocabulary": vocabularies.get(i)}
+        else:
+            kind = "ordinal" if r["scale"] is not None else r["tail"]
+            texts = sorted(r["texts"]) if kind == "categorical" and r["texts"] is not None else None
+            result[r["name"]] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
+                                 "categories": r["scale"] or texts}
     return result
+
+
+def _tag_words(df: DataFrame, tags: list) -> DataFrame:
+    """``name, tag``: the distinct tags of each tag column."""
+    pieces = F
+    for i, r in enumerate(tags):
+        pieces = pieces.when(F.col("name") == str(i),
+                             split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False))
+    return long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("tag")).distinct()
+
+
+def _top_affixes(df: DataFrame, numbers: list) -> DataFrame:
+    """``side, name, n, affix``: most frequent prefix and suffix; of equals, the smallest."""
+    v = F.col("value")
+    sides = F.array(F.struct(F.lit("numeric_prefix").alias("side"), text_prefix(v).alias("affix")),
+                    F.struct(F.lit("numeric_suffix").alias("side"), text_suffix(v).alias("affix")))
+    counts = (long_form(df, [r["name"] for r in numbers]).select("name", F.explode(sides).alias("a"))
+              .select("name", "a.*").where("affix is not null")
+              .groupBy("name", "side", "affix").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("name", "side").agg(F.min(F.struct((-F.col("n")).alias("n"), "affix")).alias("best"))
+    return best.select("side", "name", (-F.col("best.n")).alias("n"), F.col("best.affix").alias("affix"))

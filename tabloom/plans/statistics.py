@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,10 @@ def describe(df: DataFrame) -> DataFrame:
         values = df.select(*[(present(df, n).cast("double") if n in names["number"] else epoch_seconds(df, n))
                              .alias(str(i)) for i, n in enumerate(measured)])
         cells = values.unpivot([], [str(i) for i in range(len(measured))], "g", "x").where("x is not null")
-        quartiles = group_quantiles(cells, (0.25, 0.5, 0.75)).toDF("g", "count", "min", "max", "p25", "p50", "p75")
-        moments = cells.groupBy("g").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+        figures = group_quantiles(cells, (0.25, 0.5, 0.75)).toDF(
+            "g", "count", "mean", "std", "min", "max", "p25", "p50", "p75")
         is_date = F.col("g").cast("int") >= len(names["number"])
-        parts.append(moments.join(quartiles, "g").select(
+        parts.append(figures.select(
             F.get(F.array(*[F.lit(n) for n in measured]), F.col("g").cast("int")).alias("name"), "count",
             F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq"), "mean", F.when(~is_date, F.col("std")).alias("std"),
@@ -55,10 +55,14 @@ def describe(df: DataFrame) -> DataFrame:
     return result
 
 
-def epoch_seconds(df: DataFrame, name: str):
-    """Seconds since 1970 as double, exact to the microsecond for current dates."""
-    moment = F.col(f"`{name}`").cast("timestamp")
-    return F.unix_micros(moment).cast("double") / 1e6
+def epoch_seconds(df: DataFrame, name: str) -> Column:
+    """Seconds since 1970 as double, exact to the microsecond for current dates; local times count as UTC."""
+    moment = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.unix_micros(moment).cast("double") / 1e6
+    local = moment.cast("timestamp_ntz")
+    whole = F.unix_date(local.cast("date")).cast("long") * 86_400 + F.hour(local) * 3_600 + F.minute(local) * 60
+    return whole.cast("double") + F.extract(F.lit("SECOND"), local).cast("double")
 
 
 def dataset_metrics(df: DataFrame) -> DataFrame:

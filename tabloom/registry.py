@@ -567,8 +567,9 @@ def csv_header_over_two_rows(spark, folder):
 
 @query
 def json_round_trip(spark, folder):
-    e = table(spark, folder, "events").select("event_id", F.unix_millis(F.date_trunc(
-        "second", F.col("ts")).cast("timestamp")).alias("created_at"), "event_type", "value")
+    events = table(spark, folder, "events")
+    millis = F.floor(d.epoch_seconds(events, "ts")) * 1_000
+    e = events.select("event_id", millis.alias("created_at"), "event_type", "value")
     return readers.load_table(spark, _copy(spark, e, "json"), "json")
 
 

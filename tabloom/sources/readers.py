@@ -68,11 +68,23 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """First lines of the first file by name; Spark itself would start with the largest one."""
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
-        return []
-    return [r[0].removeprefix("\ufeff") for r in spark.read.text(files[0]).limit(n).collect()]
+    """First lines of the first file by name that has any; Spark itself would start with the largest one."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        lines = [r[0] for r in spark.read.text(file).limit(n).collect()]
+        if lines:
+            return [line.removeprefix("\ufeff") for line in lines]
+    return []
+
+
+def _header_names(line: str, sep: str) -> list[str]:
+    """Names of a header line; missing ones become ``_c{i}``, repeated ones get ``_2``, ``_3``."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([line], delimiter=sep), [])):
+        unique, k = name or f"_c{i}", 2
+        while unique in names:
+            unique, k = f"{name or f'_c{i}'}_{k}", k + 1
+        names.append(unique)
+    return names
 
 
 def sniff_separator(line: str) -> str:
@@ -86,11 +98,13 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool
 
     ``multi_line`` allows line breaks inside quotes, at the price that a file can no longer be split between tasks.
     """
-    if sep is None:
-        lines = _first_lines(spark, path, 1)
-        sep = sniff_separator(lines[0] if lines else "")
+    line = next(iter(_first_lines(spark, path, 1)), "")
+    sep = sep or sniff_separator(line)
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line,
                         encoding="UTF-8")
+    names = _header_names(line, sep)
+    if len(names) == len(df.columns):
+        df = df.toDF(*names)
     return infer_types(blank_missing(df)) if infer else df
 
 

@@ -222,6 +222,21 @@ def test_time_trend_fills_gaps(spark):
         tl.time_trend(df, "d", "decade")
 
 
+@pytest.mark.parametrize("grain", ["year", "quarter", "month", "week", "day", "hour"])
+def test_periods_do_not_depend_on_the_time_zone(spark, grain):
+    """In New York 02:30 of this day does not exist."""
+    cells = ["2024-03-10 02:30:15", "2024-12-31 23:59:59", "2023-01-01 00:00:00"]
+    df = spark.createDataFrame([(c,) for c in cells], "d string").withColumn("d", F.col("d").cast("timestamp_ntz"))
+    freq = {"year": "Y", "quarter": "Q", "month": "M", "week": "W-SUN", "day": "D", "hour": "h"}[grain]
+    expected = sorted(str(pd.Timestamp(c).to_period(freq).start_time) for c in cells)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(r.p for r in tl.time_trend(df, "d", grain).select(F.col("period").cast("string").alias("p")).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == expected
+
+
 def test_scatter_sample(sales):
     df, pdf = sales
     first = {r.id for r in tl.scatter_sample(df, "a", "b", 50, ["id"]).collect()}
@@ -271,7 +286,7 @@ def test_quantiles_are_exact(column, make):
 def test_group_quantiles(sales, monkeypatch):
     df, pdf = sales
     expected = pdf.groupby("k").a.quantile([0.25, 0.5, 0.75]).unstack()
-    for limit in (2000, 1):     # narrowing, then the way for many groups
+    for limit in (2000, 1, 2):      # all narrowed; all sorted; large ones narrowed
         monkeypatch.setattr(order_statistics, "MAX_GROUPS", limit)
         got = tl.group_quantiles(df, [0.25, 0.5, 0.75], "k", "a").collect()
         assert len(got) == 3
@@ -280,6 +295,19 @@ def test_group_quantiles(sales, monkeypatch):
             assert r.n == pdf[pdf.k == r.k].a.notna().sum()
 
 
+def test_quantiles_of_many_groups_with_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(order_statistics, "MAX_GROUPS", 5)
+    rng = random.Random(11)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(600)] + [(rng.choice("abcdefghij"), float(rng.randint(0, 20)))
+                                                             for _ in range(300)]
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    expected = pdf.groupby("g").x.quantile([0.25, 0.5]).unstack()
+    got = tl.group_quantiles(spark.createDataFrame(rows, "g string, x double"), [0.25, 0.5]).collect()
+    assert {r.g for r in got} == set(expected.index)
+    assert all(abs(r.q0 - expected.loc[r.g, 0.25]) < 1e-9 and abs(r.q1 - expected.loc[r.g, 0.5]) < 1e-9 for r in got)
+    assert {r.g: r.n for r in got} == pdf.g.value_counts().to_dict()
+
+
 def test_box_statistics(sales):
     df, pdf = sales
     for r in tl.box_statistics(df, "b", "k").collect():
