@@ -348,7 +348,9 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
             .when(scattered, F.when(mean_length > k.IDENTIFIER_TEXT_LENGTH, "free_text").otherwise("identifier"))
             .when(mean_length > k.CATEGORY_TEXT_LENGTH, "free_text")
             .otherwise("categorical"))
-    separators = word_array(k.TAG_SEPARATORS)
+    separator_text = F.get(word_array(k.TAG_SEPARATORS), F.col("sep_index"))
+    known_tags = F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "texts", lambda cell: split_tags(cell, separator_text, drop_nan=False)))))
     kind = F.col("semantic_type")
     return (
         d.withColumns({"tail": tail, "semantic_type": semantic})
@@ -357,8 +359,9 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
             "boolean_map": F.when((kind == "boolean") & number,
                                   F.create_map(F.lit("1"), F.lit(True), F.lit("0"), F.lit(False)))
             .when(kind == "boolean", boolean_map),
+            "vocabulary": F.when((kind == "multi_value_tags") & F.col("texts").isNotNull(), known_tags),
             "ordinal_order": F.when(kind == "ordinal", F.col("scale")),
-            "tag_separator": F.when(kind == "multi_value_tags", F.get(separators, F.col("sep_index"))),
+            "tag_separator": F.when(kind == "multi_value_tags", separator_text),
             "date_format_hint": F.when(kind == "date_string", F.col("date_hint")),
             "categories": F.when(kind == "ordinal", F.col("scale"))
             .when(kind == "categorical", F.when(n_values == 0, F.array().cast("array<string>"))
@@ -374,40 +377,48 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
     A column with a separator but a single tag is no tag column; its type falls back to the later rules.
     """
     tags = [r for r in decided if r["semantic_type"] == "multi_value_tags"]
+    scanned = [r for r in tags if r["vocabulary"] is None]      # too many distinct cells for the value table
     numbers = [r for r in decided if r["semantic_type"] == "numeric_string"]
     branches = []
-    if tags:
-        words = _tag_words(df, tags)
-        branches.append(words.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-                        .select(F.lit("tags").alias("side"), "name", "n", F.lit(None).cast("string").alias("affix")))
+    if scanned:
+        branches.append(_vocabularies(df, scanned))
     if numbers:
         branches.append(_top_affixes(df, numbers))
-    found = reduce(DataFrame.unionByName, branches).collect() if branches else []
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches).collect() if branches else []
 
     result: dict[str, dict] = {r["name"]: {"numeric_prefix": "", "numeric_suffix": ""} for r in numbers}
+    n_tags = {r["name"]: len(r["vocabulary"]) for r in tags if r["vocabulary"] is not None}
+    words = {r["name"]: r["vocabulary"] for r in tags}
     for t in found:
-        if t["side"] != "tags":
+        if t["side"] == "tags":
+            name = scanned[int(t["name"])]["name"]
+            n_tags[name], words[name] = t["n"], t["vocabulary"]
+        else:
             r = numbers[int(t["name"])]
             if t["n"] > r["n_filled"] * k.AFFIX_SHARE:
                 result[r["name"]][t["side"]] = t["affix"]
-    n_tags = {int(t["name"]): t["n"] for t in found if t["side"] == "tags"}
-    # Counted first: only vocabularies of at most LIST_LIMIT tags are gathered.
-    listed = [str(i) for i, n in n_tags.items() if 2 <= n <= LIST_LIMIT]
-    vocabularies = {}
-    if listed:
-        lists = words.where(F.col("name").isin(*listed)).groupBy("name").agg(F.array_sort(F.collect_set("tag")).alias("v"))
-        vocabularies = {int(r["name"]): r["v"] for r in lists.collect()}
-    for i, r in enumerate(tags):
-        if n_tags.get(i, 0) >= 2:
-            result[r["name"]] = {"n_tags": n_tags[i], "tag_vocabulary": vocabularies.get(i)}
+    for r in tags:
+        name, n = r["name"], n_tags.get(r["name"], 0)
+        if n >= 2:
+            result[name] = {"n_tags": n, "tag_vocabulary": words[name] if n <= LIST_LIMIT else None}
         else:
             kind = "ordinal" if r["scale"] is not None else r["tail"]
             texts = sorted(r["texts"]) if kind == "categorical" and r["texts"] is not None else None
-            result[r["name"]] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
-                                 "categories": r["scale"] or texts}
+            result[name] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
+                            "categories": r["scale"] or texts}
     return result
 
 
+def _vocabularies(df: DataFrame, tags: list) -> DataFrame:
+    """``side, name, n, vocabulary``: distinct tags, listed only where they are few; one scan serves both."""
+    words = _tag_words(df, tags)
+    counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    # As many rows as there are tag columns.
+    few = F.broadcast(counts.where(F.col("n") <= LIST_LIMIT).select("name"))
+    lists = words.join(few, "name").groupBy("name").agg(F.array_sort(F.collect_set("tag")).alias("vocabulary"))
+    return counts.join(lists, "name", "left").select(F.lit("tags").alias("side"), "name", "n", "vocabulary")
+
+
 def _tag_words(df: DataFrame, tags: list) -> DataFrame:
     """``name, tag``: the distinct tags of each tag column."""
     pieces = F
