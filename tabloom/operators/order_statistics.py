@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..session import freeze, local_rows
 
 BINS = 1024
-MAX_GROUPS = 2_000
+MAX_GROUPS = 500
+MAX_BRANCHES = 64       # intervals up to which they are constants of the plan instead of a joined table
 
 
 def _position(p: float, n: int) -> tuple[int, int, float]:
@@ -122,13 +123,22 @@ def _narrow(clean: DataFrame, pending: dict, found: dict, kind: str) -> dict:
     spark = clean.sparkSession
     intervals = list(pending)
     wanted = [(i, sorted({place for _, place in pending[key]})) for i, key in enumerate(intervals)]
-    ranges = local_rows(spark, [(i, *interval) for i, interval in enumerate(intervals)],
-                        f"i int, ig {kind}, lo double, hi double, by_magnitude boolean")
     places = local_rows(spark, [(i, place) for i, ps in wanted for place in ps], "i int, place long")
 
-    # At most groups x quantiles intervals: far below the size at which a broadcast would hurt.
-    inside = clean.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("ig")) & F.col("x").between(
-        F.col("lo"), F.col("hi")))
+    # The intervals of a group are disjoint, so a value falls into one of them at most.
+    if len(intervals) <= MAX_BRANCHES:
+        chosen = F
+        for i, (g, low, high, _) in enumerate(intervals):
+            chosen = chosen.when(F.col("g").eqNullSafe(F.lit(g).cast(kind)) & F.col("x").between(low, high), i)
+        inside = clean.select("x", chosen.alias("i")).where("i is not null")
+        for name, part in (("lo", 1), ("hi", 2), ("by_magnitude", 3)):
+            inside = inside.withColumn(name, F.get(F.array(*[F.lit(v[part]) for v in intervals]), F.col("i")))
+    else:
+        ranges = local_rows(spark, [(i, *interval) for i, interval in enumerate(intervals)],
+                            f"i int, ig {kind}, lo double, hi double, by_magnitude boolean")
+        # At most groups x quantiles intervals: far below the size at which a broadcast would hurt.
+        inside = clean.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("ig"))
+                            & F.col("x").between(F.col("lo"), F.col("hi")))
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     # Halves, so that the width of the widest interval does not overflow; the narrowest one may vanish by it.
     even = F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.when(x == lo, 0.0).otherwise(1.0))
@@ -192,12 +202,17 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = boxes.select(F.col(group).alias("_g"), (F.col("q1") - reach).alias("_low"),
                           (F.col("q3") + reach).alias("_high"))
-    # One row per group; broadcast only while the groups are as few as the narrowing allows.
-    small = boxes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
-    fences = F.broadcast(fences) if small else fences
+    if by is None:
+        # One row: its fences are constants, and nothing is joined.
+        fence = fences.first()
+        fenced = source.withColumns({"_g": F.lit("all"), "_low": F.lit(fence and fence["_low"]).cast("double"),
+                                     "_high": F.lit(fence and fence["_high"]).cast("double")})
+    else:
+        # One row per group; broadcast only while the groups are as few as the narrowing allows.
+        few = boxes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+        fenced = source.join(F.broadcast(fences) if few else fences, F.col(group).eqNullSafe(F.col("_g")))
     within = F.col("x").between(F.col("_low"), F.col("_high"))
-    reached = (source.join(fences, F.col(group).eqNullSafe(F.col("_g"))).where("x is not null")
-               .groupBy(F.col("_g"))
+    reached = (fenced.where("x is not null").groupBy("_g")
                .agg(F.min(F.when(within, F.col("x"))).alias("whisker_low"),
                     F.max(F.when(within, F.col("x"))).alias("whisker_high"),
                     F.count_if(~within).alias("n_outliers")))

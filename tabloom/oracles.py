@@ -238,6 +238,12 @@ FROM q JOIN f ON q.g = f.g JOIN x ON x.g = q.g GROUP BY q.g"""
 ORACLES["box_statistics"] = _box("orders", "o_totalprice", None)
 ORACLES["box_statistics_by_group"] = _box("events", "value", "event_type")
 
+ORACLES["quantiles_of_many_groups"] = """
+SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 8) AS mean, round(stddev_samp(o_totalprice), 6) AS std,
+       min(o_totalprice) AS "min", max(o_totalprice) AS "max", round(quantile_cont(o_totalprice, 0.1), 8) AS q0,
+       round(quantile_cont(o_totalprice, 0.5), 8) AS q1, round(quantile_cont(o_totalprice, 0.9), 8) AS q2
+FROM orders GROUP BY o_custkey"""
+
 ORACLES["scatter_sample"] = """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 500"""
 
@@ -462,6 +468,17 @@ SELECT name, semantic_type, n_unique, nullable,
        CASE name WHEN 'Paid' THEN 'whether the order was paid' WHEN 'level' THEN 'urgency' ELSE '' END AS description
 FROM ({_profile('raw_orders')})"""
 
+ORACLES["summary_lines"] = f"""
+SELECT name, name || ' — ' || semantic_type || CASE WHEN detail <> '' THEN ': ' || detail ELSE '' END AS line
+FROM ({ORACLES['profile_table']})"""
+
+ORACLES["profile_with_approximate_counts"] = f"SELECT name, semantic_type FROM ({_profile('lineitem')})"
+
+# Prose has long parts between its commas; as one value per document it is free text or, with copies, still long.
+ORACLES["profile_with_prose_guard"] = f"""
+SELECT name, CASE WHEN name = 'text' THEN 'free_text' ELSE semantic_type END AS semantic_type, n_unique
+FROM ({_profile('documents')})"""
+
 ORACLES["suggested_analyses"] = """
 SELECT * FROM (VALUES
  (1, 'summary of the dataset and its column types', 'Order ID, Paid, Total Price, orderDate, tags, level, note, _c7'),

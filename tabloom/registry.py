@@ -322,6 +322,12 @@ def box_statistics_by_group(spark, folder):
     return rounded(b, 6, "q1", "median", "q3")
 
 
+@query
+def quantiles_of_many_groups(spark, folder):
+    q = order_statistics.group_quantiles(table(spark, folder, "orders"), (0.1, 0.5, 0.9), "o_custkey", "o_totalprice")
+    return rounded(rounded(q, 8, "mean", "q0", "q1", "q2"), 6, "std")
+
+
 @query
 def scatter_sample(spark, folder):
     return tables.scatter_sample(table(spark, folder, "orders"), "o_custkey", "o_totalprice", 500, ["o_orderkey"])
@@ -436,6 +442,22 @@ def profile_raw_orders(spark, folder):
     return flat_profile(profile(raw_orders(spark, folder)))
 
 
+@query
+def profile_with_approximate_counts(spark, folder):
+    """Types only: the counts themselves are estimates."""
+    return profile(table(spark, folder, "lineitem"), distinct="approx").select("name", "semantic_type")
+
+
+@query
+def profile_with_prose_guard(spark, folder):
+    return profile(table(spark, folder, "documents"), prose_guard=True).select("name", "semantic_type", "n_unique")
+
+
+@query
+def summary_lines(spark, folder):
+    return d.summary_lines(profile(raw_orders(spark, folder)))
+
+
 @query
 def column_overview(spark, folder):
     return d.column_overview(table(spark, folder, "orders")).drop("dtype")
