@@ -228,7 +228,7 @@ def test_periods_do_not_depend_on_the_time_zone(spark, grain):
     cells = ["2024-03-10 02:30:15", "2024-12-31 23:59:59", "2023-01-01 00:00:00"]
     df = spark.createDataFrame([(c,) for c in cells], "d string").withColumn("d", F.col("d").cast("timestamp_ntz"))
     freq = {"year": "Y", "quarter": "Q", "month": "M", "week": "W-SUN", "day": "D", "hour": "h"}[grain]
-    expected = sorted(str(pd.Timestamp(c).to_period(freq).start_time) for c in cells)
+    expected = sorted({str(pd.Timestamp(c).to_period(freq).start_time) for c in cells})
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         got = sorted(r.p for r in tl.time_trend(df, "d", grain).select(F.col("period").cast("string").alias("p")).collect())
