@@ -51,5 +51,7 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
                  for r in rows if r["semantic_type"] in ("date_string", "datetime") for part in DATE_PARTS}
         result = add_columns(result, parts) if parts else result
     for r in tagged:
-        result = explode_tags(result, r["name"], r["tag_separator"], vocabulary=list(r["tag_vocabulary"]))
+        # The profile lists the word nan like any other; as a tag it means missing.
+        words = [t for t in r["tag_vocabulary"] if t.lower() != "nan"]
+        result = explode_tags(result, r["name"], r["tag_separator"], vocabulary=words)
     return result

@@ -173,17 +173,20 @@ def _count_columns(df: DataFrame) -> tuple[int, list[_Column]]:
                for i, f in enumerate(df.schema.fields)]
     if len({c.name for c in columns}) != len(columns):
         raise ValueError("column names repeat; clean the headers first")
+    # Every cell is cut down to a hash in generated code; the sketches then see nothing but longs.
+    hashes = []
     first = [F.count(F.lit(1)).alias("n")]
     second = [F.sum("n").alias("n")]
     for c in columns:
-        value = present(df, c.name)
-        first.append(F.count(value).alias(f"f{c.position}"))
-        second.append(F.sum(f"f{c.position}").alias(f"f{c.position}"))
+        i, value = c.position, present(df, c.name)
+        mark = F.lit(1).cast("long") if c.kind == "other" else F.xxhash64(value)
+        hashes.append(F.when(value.isNotNull(), mark).alias(f"h{i}"))
+        first.append(F.count(f"h{i}").alias(f"f{i}"))
+        second.append(F.sum(f"f{i}").alias(f"f{i}"))
         if c.kind != "other":
-            hashed = F.when(value.isNotNull(), F.xxhash64(value))
-            first.append(F.hll_sketch_agg(hashed, F.lit(SKETCH_SIZE)).alias(f"d{c.position}"))
-            second.append(F.hll_sketch_estimate(F.hll_union_agg(f"d{c.position}")).alias(f"d{c.position}"))
-    row = (df.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+            first.append(F.hll_sketch_agg(f"h{i}", F.lit(SKETCH_SIZE)).alias(f"d{i}"))
+            second.append(F.hll_sketch_estimate(F.hll_union_agg(f"d{i}")).alias(f"d{i}"))
+    row = (df.select(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_fan"), *hashes)
            .groupBy("_fan").agg(*first).agg(*second).first())
     for c in columns:
         c.n_filled = row[f"f{c.position}"] or 0
@@ -308,8 +311,9 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
 
     separator = F.coalesce(*[F.when(separates(i, sep), F.lit(i)) for i, sep in enumerate(k.TAG_SEPARATORS)])
     inner_mean = F.get(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]), F.col("sep_index"))
-    zero_or_one = word_array(["0", "1", "0.0", "1.0", "True", "False"])
-    zero_one = (F.col("n_unique") == 2) & (F.size(F.array_except("texts", zero_or_one)) == 0)
+    # As numbers, since a decimal may read 1.00; booleans were turned into words.
+    others = F.filter("texts", lambda t: ~F.coalesce(t.try_cast("double").isin(0.0, 1.0), t.isin("True", "False")))
+    zero_one = (F.col("n_unique") == 2) & (F.size(others) == 0)
     text, number = F.col("kind") == "text", F.col("kind") == "number"
     few = F.col("n_unique") <= categorical_threshold(F.col("n_total"))
     scattered = F.try_divide(F.col("n_unique"), F.col("n_total")) > k.IDENTIFIER_SHARE

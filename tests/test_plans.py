@@ -118,6 +118,12 @@ def test_engineer(raw):
         assert r.price == float(b.price[3:]) and r.tags_a == int("a" in b.tags) and r.level == b.level.lower()
 
 
+def test_engineer_leaves_the_missing_word_out(spark):
+    df = spark.createDataFrame([("a,nan",), ("b,c",), ("NaN,a",)], "v string")
+    out = tl.engineer(df, tl.profile(df))
+    assert out.columns == ["v", "v_a", "v_b", "v_c"]
+
+
 def test_engineer_applies_to_a_stream(spark, raw, tmp_path):
     """A profile from a batch table turns a stream's rows the same way: the plan holds no state."""
     df = tl.clean_table(raw)

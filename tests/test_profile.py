@@ -127,6 +127,14 @@ def test_numbers(spark):
     assert p["f"].n_null == 1 and p["f"].nullable
 
 
+def test_decimals(spark):
+    df = spark.createDataFrame([("0", "5"), ("1", "7"), (None, "5")], "a string, b string").select(
+        F.col("a").cast("decimal(5,2)").alias("a"), F.col("b").cast("decimal(5,2)").alias("b"))
+    p = by_name(df)
+    assert p["a"].semantic_type == "boolean" and p["b"].semantic_type == "categorical"
+    assert p["b"].categories == ["5.00", "7.00"]
+
+
 def test_boolean_words(spark):
     df = spark.createDataFrame([("Yes", "yes", "sim", "1", "yes"), ("NO", "maybe", " SIM", "0", "no"),
                                 ("nan", "no", "Sim", " 1", "n"), ("", "no", "sim", "0", "nope")],
