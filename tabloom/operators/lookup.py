@@ -60,11 +60,13 @@ def attach(df: DataFrame, column: str, dictionary: DataFrame, payload: str, *, b
     hot = dictionary.where(is_hot).select(F.col("_value").alias("_hot"), F.col(payload).alias("_hot_payload"))
     cold = dictionary.where(~is_hot).select("_value", payload)
     step = df.join(F.broadcast(hot), F.col(column) == F.col("_hot"), "left")
-    open_value = F.when(F.col("_hot").isNull(), F.col(column))
-    step = step.withColumn("_open", open_value).withColumn(
-        "_salt", F.when(F.col("_open").isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-        .otherwise(F.lit(0)))
-    joined = step.join(cold.withColumn("_zero", F.lit(0).cast("long")),
-                       (F.col("_open") == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
+    # Both sides are placed by a hash of the value; rows without an open question take a running number instead. (A
+    # constant on the other side would be folded into a filter and leave the value as the only key.)
+    still_open = F.when(F.col("_hot").isNull(), F.col(column))
+    step = step.withColumn("_open", still_open).withColumn(
+        "_spread", F.when(F.col("_open").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        .otherwise(F.xxhash64("_open")))
+    joined = step.join(cold.withColumn("_hash", F.xxhash64("_value")),
+                       (F.col("_spread") == F.col("_hash")) & (F.col("_open") == F.col("_value")), "left")
     answer = F.coalesce(F.col("_hot_payload"), F.col(payload))
     return joined.select(*[F.col(c) for c in df.columns], answer.alias(payload))

@@ -107,6 +107,24 @@ def test_encode_with_hot_values_nulls_and_no_broadcast(spark):
     assert "Join LeftOuter" in plan and label.count() == len(cells)
 
 
+def test_answered_and_null_rows_are_spread_over_the_shuffle(spark):
+    """Without any broadcast of the rest, no partition of the large side gets the hot or the null rows."""
+    cells = ["hot"] * 3000 + [None] * 3000 + [f"v{i}" for i in range(2000)] * 2
+    df = spark.createDataFrame(list(enumerate(cells)), "id long, v string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = tl.encode_label(df, "v", broadcast_rows=5)
+        assert "hashpartitioning(_spread" in out._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        codes = {r.v: r.v_label for r in out.select("v", "v_label").distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == len(cells) and max(sizes) < 2 * len(cells) / len(sizes)
+    assert codes[None] == -1 and sorted(codes.values()) == list(range(-1, 2001))
+
+
 def test_dense_codes_over_many_partitions(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 3 % 1000).cast("string").alias("v"))
     codes = encode.with_dense_codes(encode.value_counts(df, "v")).select("_value", "_code").collect()
