@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, simhash
+from . import bpe, exact_dedup, mixing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,19 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs))
     return scored.select("doc_id", "quality_score", "weak_label", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
+#: Languages and the shares of expected tokens that training is to see of them.
+MIX = {"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.12}
+
+
+def labelled_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language as the domain of the labelled documents; the classifier carries it over to all others."""
+    known = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return known.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mixing_rates(docs, labelled_languages(spark, folder), MIX).drop("raw")
