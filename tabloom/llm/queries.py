@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash
+from . import bpe, exact_dedup, mixing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,8 @@ def labelled_languages(spark: SparkSession, folder: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mixing_rates(docs, labelled_languages(spark, folder), MIX).drop("raw")
+
+
+@query
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.balanced_shards(table(spark, folder, "documents"), shards=8)
