@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,30 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, folder, "documents"), shards=8)
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.collapse_conversations(table(spark, folder, "conversations"))
+
+
+ORACLES["op8_chat_formatting"] = """
+WITH placed AS (
+  SELECT conv_id, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+pieces AS (
+  SELECT *, coalesce(length(role)::VARCHAR || ':' || role, '-') || coalesce(length(text)::VARCHAR || ':' || text, '-')
+    AS whole,
+    '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|im_', '<| im_') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS piece
+  FROM placed),
+so_far AS (
+  SELECT conv_id, pos, n, string_agg(whole, '') OVER w AS whole, string_agg(piece, '') OVER w AS chat
+  FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ends AS (
+  SELECT n, whole, min(conv_id) AS conv_id, count(*) AS copies, any_value(chat) AS chat
+  FROM so_far WHERE pos = n GROUP BY n, whole)
+SELECT conv_id, n AS n_turns, copies, chat FROM ends
+WHERE NOT EXISTS (SELECT 1 FROM so_far s WHERE s.pos < s.n AND s.pos = ends.n AND s.whole = ends.whole)
+"""
