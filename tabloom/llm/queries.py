@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, mixing, order_minhash, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,8 @@ ends AS (
 SELECT conv_id, n AS n_turns, copies, chat FROM ends
 WHERE NOT EXISTS (SELECT 1 FROM so_far s WHERE s.pos < s.n AND s.pos = ends.n AND s.whole = ends.whole)
 """
+
+
+@query
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_neighbours(table(spark, folder, "documents"))
