@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, order_minhash, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, line_dedup, mixing, order_minhash, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,47 @@ WHERE NOT EXISTS (SELECT 1 FROM so_far s WHERE s.pos < s.n AND s.pos = ends.n AN
 @query
 def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.edited_neighbours(table(spark, folder, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.clean_lines(table(spark, folder, "documents"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+split AS (SELECT t, string_split(t, chr(10)) AS parts FROM texts),
+numbered AS (SELECT t, unnest(range(len(parts))) AS line, unnest(parts) AS own FROM split),
+parsed AS (
+  SELECT t, line, [CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END
+    FOR w IN regexp_split_to_array(own, '[ \t\x0B\f\r]+') IF w <> ''] AS words
+  FROM numbered),
+telling AS (
+  SELECT t, line, words, len(words) AS n, words[1:3] AS lead FROM parsed
+  WHERE len(words) > 0 AND len([w FOR w IN words IF w <> '<*>']) >= 0.5 * len(words)),
+whole AS (SELECT words FROM telling GROUP BY words HAVING count(DISTINCT t) >= 3),
+rest AS (SELECT * FROM telling r WHERE n > 3 AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.words = r.words)),
+leaves AS (SELECT n, lead FROM rest GROUP BY n, lead HAVING count(DISTINCT t) >= 3),
+shared AS (SELECT r.* FROM rest r JOIN leaves l ON r.n = l.n AND r.lead = l.lead),
+spots AS (SELECT t, line, n, lead, unnest(range(4, n + 1)) AS at_, unnest(words[4:]) AS word FROM shared),
+constants AS (
+  SELECT n, lead, at_, word FROM spots WHERE word <> '<*>' GROUP BY n, lead, at_, word HAVING count(*) >= 3),
+held AS (
+  SELECT s.t, s.line, count(*) AS held, string_agg(s.at_::VARCHAR || ':' || s.word, ' ' ORDER BY s.at_) AS form
+  FROM spots s JOIN constants c ON s.n = c.n AND s.lead = c.lead AND s.at_ = c.at_ AND s.word = c.word
+  GROUP BY s.t, s.line),
+templates AS (
+  SELECT s.t, s.line, s.n, s.lead, coalesce(form, '') AS form FROM shared s LEFT JOIN held h ON s.t = h.t AND s.line = h.line
+  WHERE len([w FOR w IN s.lead IF w <> '<*>']) + coalesce(held, 0) >= 0.5 * s.n),
+general AS (SELECT n, lead, form FROM templates GROUP BY n, lead, form HAVING count(DISTINCT t) >= 3),
+gone AS (
+  SELECT t, line FROM telling x WHERE EXISTS (SELECT 1 FROM whole w WHERE w.words = x.words)
+  UNION
+  SELECT x.t, x.line FROM templates x JOIN general g ON x.n = g.n AND x.lead = g.lead AND x.form = g.form),
+per_text AS (SELECT t, list(line) AS gone FROM gone GROUP BY t)
+SELECT doc_id, len(parts)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped,
+  CASE WHEN gone IS NULL THEN s.t
+  ELSE coalesce(array_to_string([parts[i + 1] FOR i IN range(len(parts)) IF NOT list_contains(gone, i)], chr(10)), '')
+  END AS text
+FROM documents d JOIN split s ON coalesce(d.text, '') = s.t LEFT JOIN per_text p ON s.t = p.t
+"""
