@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, order_minhash, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, html_text, line_dedup, mixing, order_minhash, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,8 @@ SELECT doc_id, len(parts)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_drop
   END AS text
 FROM documents d JOIN split s ON coalesce(d.text, '') = s.t LEFT JOIN per_text p ON s.t = p.t
 """
+
+
+@query
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages"))
