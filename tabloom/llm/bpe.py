@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, texts_in_arrow
 
 #: White space as the pattern language of rank files means it (Unicode White_Space); Python's adds control characters.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     Text between white space is encoded once while a worker remembers it. Its pieces by the pattern are looked up in
     the vocabulary by a minimal perfect hash; those that are no token are merged by a heap over linked bytes.
     """
-    read = docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text"))
+    read = texts_in_arrow(docs).select(named(id_column).alias("doc_id"), named(text_column).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     return read.mapInArrow(_both(path, pattern, True, False), f"doc_id {kind}, n_tokens long, ids binary")
 
@@ -257,7 +257,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
     """``encode`` and ``decode`` of its ids in one pass: ``doc_id, n_tokens, ids, decoded``."""
-    read = docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text"))
+    read = texts_in_arrow(docs).select(named(id_column).alias("doc_id"), named(text_column).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     return read.mapInArrow(_both(path, pattern, True, True), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 

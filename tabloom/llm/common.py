@@ -13,6 +13,9 @@ from ..session import checkpoint_root
 
 #: Rows up to which the small side of a join is broadcast; they are counted before, beyond them the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def write_down(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +38,17 @@ def remove_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def texts_in_arrow(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are going to Python: a batch is limited by rows, so the session's limit is lowered for them.
+
+    At the usual limit of 10,000 rows a batch of texts takes tens of megabytes, several times over, beside the heap.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a written table for broadcast if it has at most ``BROADCAST_ROWS`` rows, else leave the plan to Spark."""
     n = df.count() if rows is None else rows

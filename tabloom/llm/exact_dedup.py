@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, named, shuffle_partitions, small, spread, write_down
+from .common import free_name, named, shuffle_partitions, small, spread, texts_in_arrow, write_down
 
 _HEAD = struct.Struct("<qqqq")
 
@@ -170,6 +170,7 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def _members(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    docs = texts_in_arrow(docs)
     keys = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text")) \
         .mapInArrow(_digests, "doc_id long, raw long, mark long, digest binary")
     keys = write_down(keys.withColumn("row", F.monotonically_increasing_id()), "dedup-keys")

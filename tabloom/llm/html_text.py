@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, named, small, write_down
+from .common import free_name, named, small, texts_in_arrow, write_down
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,7 +285,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = PAGES, least_share: f
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
     page = F.xxhash64(host, F.coalesce("html", F.lit("")))
-    read = pages.select(page.alias("page"), F.xxhash64(host).alias("host"), "html")
+    read = texts_in_arrow(pages).select(page.alias("page"), F.xxhash64(host).alias("host"), "html")
     found = read.mapInArrow(_subtrees, "page long, host long, subtree long").distinct()
     found = write_down(found, "html-subtrees")
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))

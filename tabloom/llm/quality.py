@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, named, write_down
+from .common import free_name, named, texts_in_arrow, write_down
 
 #: Votes of a labeller.
 BAD, GOOD, SILENT = 0, 1, 2
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Mod
     there are at most ``3 ** 8``; these counts are what reaches the driver. The scorer is fitted to the posteriors of at
     most ``sample`` distinct texts of each weak label, those with the lowest hashes, so that copies count once.
     """
-    read = docs.select(F.xxhash64(F.coalesce(named(text_column), F.lit(""))).alias("raw"), named(text_column).alias("text"))
+    read = texts_in_arrow(docs).select(F.xxhash64(F.coalesce(named(text_column), F.lit(""))).alias("raw"), named(text_column).alias("text"))
     judged = write_down(read.mapInArrow(_votes, "raw long, code int"), "quality-votes")
     counted = judged.groupBy("code").agg(F.count("*").alias("n")).collect()
     if not counted:
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model | None, text_column: str = "text", score
     schema = T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType()),
                            T.StructField(weak_name, T.DoubleType())])
     at = docs.columns.index(text_column)
-    return docs.mapInArrow(_scores(model, at, schema.names), schema)
+    return texts_in_arrow(docs).mapInArrow(_scores(model, at, schema.names), schema)
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, named, small, spread, write_down
+from .common import free_name, named, small, spread, texts_in_arrow, write_down
 from .components import components
 
 #: Variants are spread by multiplication with an odd number, which can be undone.
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _components(docs: DataFrame, id_column: str, text_column: str, words_each: int, distance: int) -> DataFrame:
-    read = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
+    read = texts_in_arrow(docs).select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     rows = write_down(read.mapInArrow(_fingerprints(words_each), "doc_id long, raw long, mark long"), "simhash-rows")
     marks = write_down(rows.groupBy("mark").agg(F.min("doc_id").alias("first_id")), "simhash-marks")
     links = fingerprint_links(marks.select("mark"), distance)
