@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import free_name, named, small, write_down
 
 #: Labelled rows the classifier is fitted on, and hashed words it tells apart.
-SAMPLE, BUCKETS = 20_000, 1 << 16
+SAMPLE, BUCKETS = 20_000, 1 << 14
 #: Standard deviations by which a hashed word must be more frequent in a domain than in the rest to count, and log odds.
 #: Words a little more frequent somewhere would add up to certainty, as texts hold many; copies make rare ones look so.
 _SIGNIFICANT, _TELLING = 8.0, 1.0
@@ -52,7 +52,7 @@ class Classifier:
         """Per domain the mean weight of ``hits``, which come together in a text, or one weight for a text without any."""
         order, sums = sorted(self.weights), []
         for d in range(len(self.domains)):
-            values = F.split(F.lit(",".join(["0.0", *(repr(self.weights[b][d]) for b in order)])), ",").cast("array<double>")
+            values = F.split(F.lit(",".join(["0.0", *(f"{self.weights[b][d]:.3f}" for b in order)])), ",").cast("array<double>")
             found = F.aggregate(F.transform(hits, partial(F.get, values)), F.lit(0.0), lambda a, w: a + w)
             sums.append(F.when(F.size(hits) == 0, F.lit(self.silent[d])).otherwise(found / F.size(hits)))
         return sums
