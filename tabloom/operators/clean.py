@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import WHITESPACE
-from ..functions import normalise, strip
+from ..functions import cell as _named
+from ..functions import free_name, normalise, present, strip
 
 _NO_NAME = re.compile(r"^(?:|_c\d+|unnamed[:_ ]*\d*(?:_level_\d+)?)$", re.IGNORECASE)
 
@@ -56,19 +57,14 @@ def merged_header(rows: Sequence[Sequence[str | None]]) -> list[str]:
     return [" ".join(p) for p in parts]
 
 
-def _named(c: str) -> Column:
-    """A column by its whole name: headers as they come may hold dots."""
-    return F.col(f"`{c}`")
-
-
-def _blank(c: str) -> Column:
-    text = _named(c).cast("string")
+def _blank(df: DataFrame, c: str) -> Column:
+    text = present(df, c).cast("string")
     return text.isNull() | (strip(text) == "")
 
 
 def filled_cells(df: DataFrame) -> Column:
     """Number of cells of a row that hold something."""
-    filled = [F.when(_blank(c), 0).otherwise(1) for c in df.columns]
+    filled = [F.when(_blank(df, c), 0).otherwise(1) for c in df.columns]
     return F.aggregate(F.array(*filled), F.lit(0), lambda a, b: a + b)
 
 
@@ -91,13 +87,13 @@ def drop_junk_rows(df: DataFrame, min_filled: int = 2, names: Sequence[str] | No
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    """Drop rows in which every cell is null or blank."""
+    """Drop rows in which every cell is null, NaN or blank."""
     return df.where(filled_cells(df) > 0)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns in which every cell is null or blank; one scan counts all of them."""
-    counts = df.agg(*[F.count_if(~_blank(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    """Drop columns in which every cell is null, NaN or blank; one scan counts all of them."""
+    counts = df.agg(*[F.count_if(~_blank(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     return df.select(*[_named(c) for i, c in enumerate(df.columns) if counts[f"n{i}"] > 0])
 
 
@@ -116,9 +112,10 @@ def merge_columns(df: DataFrame, columns: Sequence[str], output: str, sep: str =
     """Join the texts of several columns, leaving nulls out; a row with nulls only gives null."""
     merged = F.concat_ws(sep, *[_named(c).cast("string") for c in columns])
     some = F.coalesce(*[_named(c).cast("string") for c in columns]).isNotNull()
-    result = df.withColumn("_merged", F.when(some, merged))
+    held = free_name([*df.columns, output], "_merged")
+    result = df.withColumn(held, F.when(some, merged))
     result = result.drop(*columns) if drop else result.drop(output)
-    return result.withColumnRenamed("_merged", output)
+    return result.withColumnRenamed(held, output)
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None, how: str = "any") -> DataFrame:
@@ -127,9 +124,9 @@ def drop_missing(df: DataFrame, columns: Sequence[str] | None = None, how: str =
 
 def fill_missing(df: DataFrame, values: Mapping[str, object] | None = None, method: str | None = None,
                  columns: Sequence[str] | None = None) -> DataFrame:
-    """Fill nulls by constants per column, or by each numeric column's ``mean``, ``min`` or ``max``.
+    """Fill nulls and NaN by constants per column, or by each numeric column's ``mean``, ``min`` or ``max``.
 
-    The statistics are one row, read by a scalar subquery.
+    The statistics are taken over the cells that are not missing; they are one row, read by a scalar subquery.
     """
     if values:
         df = df.na.fill(dict(values))
@@ -137,6 +134,6 @@ def fill_missing(df: DataFrame, values: Mapping[str, object] | None = None, meth
         if method not in ("mean", "min", "max"):
             raise ValueError("method must be mean, min or max")
         pick = {"mean": F.avg, "min": F.min, "max": F.max}[method]
-        stats = df.agg(F.struct(*[pick(c).alias(c) for c in columns or []]).alias("s")).scalar()
-        df = df.withColumns({c: F.coalesce(F.col(c), stats[c]) for c in columns or []})
+        stats = df.agg(F.struct(*[pick(present(df, c)).alias(f"s{i}") for i, c in enumerate(columns or [])]).alias("s")).scalar()
+        df = df.withColumns({c: F.coalesce(present(df, c), stats[f"s{i}"]) for i, c in enumerate(columns or [])})
     return df

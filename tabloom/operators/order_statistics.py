@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cell, present
 from ..session import freeze, local_rows
 
 BINS = 1024
@@ -37,8 +38,8 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
     sorted within their group.
     """
     spark = df.sparkSession
-    x = F.col(value)
-    clean = df.select(F.col(group).alias("g"), x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    x = cell(value)
+    clean = df.select(cell(group).alias("g"), x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
     # Kind of the group column, to hand it back unchanged.
     kind = clean.schema["g"].dataType.simpleString()
     fields = ", ".join(["g " + kind, "n long", "mean double", "std double", "min double", "max double", *[f"q{i} double" for i in range(len(probs))]])
@@ -195,27 +196,24 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
     """
     from .transforms import number
 
-    group = by or "_all"
-    source = df.select((F.col(by) if by else F.lit("all")).alias(group), number(column).alias("x"))
-    boxes = group_quantiles(source, (0.25, 0.5, 0.75), group, "x").toDF(
-        group, "n", "mean", "std", "min", "max", "q1", "median", "q3")
+    source = df.select((present(df, by) if by else F.lit("all")).alias("g"), number(column).alias("x"))
+    boxes = group_quantiles(source, (0.25, 0.5, 0.75)).toDF("g", "n", "mean", "std", "min", "max", "q1", "median", "q3")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = boxes.select(F.col(group).alias("_g"), (F.col("q1") - reach).alias("_low"),
-                          (F.col("q3") + reach).alias("_high"))
+    fences = boxes.select(F.col("g").alias("of"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     if by is None:
         # One row: its fences are constants, and nothing is joined.
         fence = fences.first()
-        fenced = source.withColumns({"_g": F.lit("all"), "_low": F.lit(fence and fence["_low"]).cast("double"),
-                                     "_high": F.lit(fence and fence["_high"]).cast("double")})
+        fenced = source.withColumns({"low": F.lit(fence and fence["low"]).cast("double"),
+                                     "high": F.lit(fence and fence["high"]).cast("double")})
     else:
         # One row per group; broadcast only while the groups are as few as the narrowing allows.
         few = boxes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
-        fenced = source.join(F.broadcast(fences) if few else fences, F.col(group).eqNullSafe(F.col("_g")))
-    within = F.col("x").between(F.col("_low"), F.col("_high"))
-    reached = (fenced.where("x is not null").groupBy("_g")
+        fenced = source.join(F.broadcast(fences) if few else fences, F.col("g").eqNullSafe(F.col("of")))
+    within = F.col("x").between(F.col("low"), F.col("high"))
+    reached = (fenced.where("x is not null").groupBy(F.col("g").alias("of"))
                .agg(F.min(F.when(within, F.col("x"))).alias("whisker_low"),
                     F.max(F.when(within, F.col("x"))).alias("whisker_high"),
                     F.count_if(~within).alias("n_outliers")))
-    result = (boxes.join(reached, F.col(group).eqNullSafe(F.col("_g")), "left")
-              .select(group, "n", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "n_outliers"))
-    return result if by else result.drop(group)
+    result = (boxes.join(reached, F.col("g").eqNullSafe(F.col("of")), "left")
+              .select("g", "n", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "n_outliers"))
+    return result.withColumnRenamed("g", by) if by else result.drop("g")

@@ -7,11 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import bin_index, ordinal_rank
+from ..functions import bin_index, cell, free_name, ordinal_rank, present
 from ..session import local_rows
-from .encode import MAX_COLUMNS, distinct_values
+from .encode import distinct_values
 from .transforms import bin_edges, infer_ordinal_order, number
 
 
@@ -32,20 +31,22 @@ def group_summary(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
         x = number(c)
         measures += [F.count(x).alias(f"{c}_count"), F.avg(x).alias(f"{c}_mean"),
                      F.stddev_samp(x).alias(f"{c}_std"), F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
-    return df.groupBy(*by).agg(*measures)
+    return df.groupBy(*[present(df, c).alias(c) for c in by]).agg(*measures)
 
 
 def value_distribution(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     """``value, n, share`` per distinct value. The total is summed from the counts, not from the rows."""
-    rows = df.where(F.col(column).isNotNull()) if dropna else df
-    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(present(df, column).alias("value"))
+    rows = values.where("value is not null") if dropna else values
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.select("value", "n", (F.col("n") / total).alias("share"))
 
 
 def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, n, share`` of several columns from one scan."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    long = df.select(*[present(df, c).cast("string").alias(c) for c in columns]).unpivot(
+        [], [cell(c) for c in columns], "column", "value")
     counts = (long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     # One total per column, as many rows as the table has columns.
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
@@ -55,8 +56,9 @@ def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def share_by_group(df: DataFrame, group: str | Column, value: str | Column) -> DataFrame:
     """``group, value, n, share``: the share of each value within its group; null values are left out."""
-    named = df.select((F.col(group) if isinstance(group, str) else group).alias("group"),
-                      (F.col(value) if isinstance(value, str) else value).alias("value"))
+    named = df.select((present(df, group) if isinstance(group, str) else group).alias("group"),
+                      (present(df, value) if isinstance(value, str) else value).alias("value"))
+    named = named.select(present(named, "group").alias("group"), present(named, "value").alias("value"))
     counts = named.where("value is not null").groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(F.col("group").alias("_group")).agg(F.sum("n").alias("_total"))
     return (counts.join(totals, F.col("group").eqNullSafe(F.col("_group")))
@@ -65,16 +67,25 @@ def share_by_group(df: DataFrame, group: str | Column, value: str | Column) -> D
 
 def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Counts of each pair of values that occurs: the heat-map table."""
-    both = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    return both.groupBy(rows, columns).agg(F.count(F.lit(1)).alias("n"))
+    both = _present_pairs(df, rows, columns)
+    return both.groupBy(cell(rows), cell(columns)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _present_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    both = df.select(present(df, a).alias(a), present(df, b).alias(b))
+    return both.where(cell(a).isNotNull() & cell(b).isNotNull())
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence | None = None,
-             max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """One row per value of ``rows`` and one count column per value of ``columns``; pairs that do not occur are 0."""
+             max_columns: int | None = None) -> DataFrame:
+    """One row per value of ``rows`` and one count column per value of ``columns``; pairs that do not occur are 0.
+
+    With ``max_columns`` more values of ``columns`` than that are an error.
+    """
     found = list(values) if values is not None else distinct_values(df, columns, max_columns)
-    both = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    return both.groupBy(rows).pivot(columns, found).count().na.fill(0)
+    wide = free_name([rows, *map(str, found)], "_column")
+    both = _present_pairs(df, rows, columns).select(cell(rows), cell(columns).alias(wide))
+    return both.groupBy(cell(rows)).pivot(wide, found).count().na.fill(0, [str(v) for v in found] or None)
 
 
 def histogram(df: DataFrame, column: str, bins: int | Sequence[float] = 10) -> DataFrame:
@@ -88,18 +99,22 @@ def histogram(df: DataFrame, column: str, bins: int | Sequence[float] = 10) -> D
             .select("bin", "lo", "hi", F.coalesce("_n", F.lit(0)).alias("n")))
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, cap: int = 5_000, key: Sequence[str] | None = None,
+def scatter_sample(df: DataFrame, x: str, y: str, cap: int | None = None, key: Sequence[str] | None = None,
                    seed: int = 42) -> DataFrame:
-    """At most ``cap`` points for a scatter plot.
+    """The points of a scatter plot: all of them, or with ``cap`` a sample of that many.
 
     With ``key`` columns the points are those with the smallest seeded hash, the same for every partitioning. Without,
     each row draws a seeded random number. Either way each task keeps ``cap`` rows only.
     """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    keys = [cell(k) for k in key or []]
+    points = df.select(*keys, present(df, x).alias(x), present(df, y).alias(y)).where(
+        cell(x).isNotNull() & cell(y).isNotNull())
+    if cap is None:
+        return points
     if key:
-        order = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-        return points.select(*key, x, y).orderBy(order, *key).limit(cap)
-    return points.select(x, y).orderBy(F.rand(seed)).limit(cap)
+        order = F.md5(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed))))
+        return points.orderBy(order, *keys).limit(cap)
+    return points.orderBy(F.rand(seed)).limit(cap)
 
 
 _PAIRS_PER_SCAN = 200
@@ -126,6 +141,17 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return result
 
 
+def _periods_between(first: Column, last: Column, grain: str) -> Column:
+    """Number of steps of a grain from one period's start to another's."""
+    months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
+    if grain in ("year", "quarter", "month"):
+        return F.floor(months / {"year": 12, "quarter": 3, "month": 1}[grain])
+    days = F.datediff(last, first)
+    if grain == "hour":
+        return days.cast("long") * 24 + F.hour(last) - F.hour(first)
+    return F.floor(days / (7 if grain == "week" else 1))
+
+
 GRAINS = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days", "day": "1 day",
           "hour": "1 hour"}
 
@@ -144,15 +170,25 @@ def time_trend(df: DataFrame, moment: str, grain: str = "month", value: str | No
     """``period, n`` and, with ``value``, its ``total`` and ``mean`` per period; ``fill`` lists empty periods with 0."""
     if grain not in GRAINS:
         raise ValueError(f"unknown grain {grain!r}; choose from {', '.join(GRAINS)}")
-    period = period_of(F.col(moment), grain).alias("period")
+    period = period_of(cell(moment), grain).alias("period")
     measures = [F.count(F.lit(1)).alias("n")]
     if value:
         measures += [F.sum(number(value)).alias("total"), F.avg(number(value)).alias("mean")]
-    trend = df.where(F.col(moment).isNotNull()).groupBy(period).agg(*measures)
+    trend = df.where(cell(moment).isNotNull()).groupBy(period).agg(*measures)
     if not fill:
         return trend
-    span = trend.agg(F.min("period").alias("first"), F.max("period").alias("last")).where("first is not null")
-    frame = span.select(F.explode(F.expr(f"sequence(first, last, interval {GRAINS[grain]})")).alias("period"))
+    first, last, periods = trend.agg(
+        F.min("period"), F.max("period"), _periods_between(F.min("period"), F.max("period"), grain)).first()
+    if first is None:
+        return trend.withColumn("total", F.coalesce("total", F.lit(0.0))) if value else trend
+    start = F.lit(first).cast("timestamp_ntz")
+    amount, unit = GRAINS[grain].split()
+    step = {"year": "make_ym_interval(id * {n}, 0)", "months": "make_ym_interval(0, id * {n})",
+            "month": "make_ym_interval(0, id * {n})", "days": "make_dt_interval(id * {n})",
+            "day": "make_dt_interval(id * {n})", "hour": "make_dt_interval(0, id * {n})"}[unit].format(n=amount)
+    # A range of numbers is made where it is needed, in as many tasks as the session has.
+    frame = df.sparkSession.range(periods + 1).select(
+        (start + F.expr(step.replace("id *", "cast(id as int) *"))).alias("period"))
     filled = frame.join(trend, "period", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.withColumn("total", F.coalesce("total", F.lit(0.0))) if value else filled
 
@@ -177,9 +213,5 @@ def filter_in(df: DataFrame, choices: Mapping[str, Sequence]) -> DataFrame:
     """Keep rows whose columns hold one of the chosen values; an empty choice keeps everything."""
     for column, values in choices.items():
         if values:
-            df = df.where(F.col(column).isin(*values))
+            df = df.where(cell(column).isin(*values))
     return df
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

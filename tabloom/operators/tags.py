@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TAG_HIT_SHARE, TAG_MEAN_PARTS, TAG_SEPARATORS
-from ..functions import part_count, split_tags, tag_suffix
-from .encode import MAX_COLUMNS, add_columns
+from ..functions import cell, free_name, name_key, part_count, split_tags, tag_suffix
+from .encode import add_columns
+
+
+#: Tags of a block in which pairs are formed.
+PAIR_BLOCK = 64
 
 
 def detect_tag_separator(df: DataFrame, column: str) -> str | None:
     """First separator that more than a quarter of the values contain and that gives 1.3 parts or more on average."""
-    text = F.col(column).cast("string")
+    text = cell(column).cast("string")
     measures = [F.count(text).alias("n")]
     for i, sep in enumerate(TAG_SEPARATORS):
         measures += [F.count_if(F.contains(text, F.lit(sep))).alias(f"hits_{i}"),
@@ -28,7 +32,7 @@ def detect_tag_separator(df: DataFrame, column: str) -> str | None:
 
 def tags_long(df: DataFrame, column: str, sep: str | None, keep: list[str] | None = None) -> DataFrame:
     """One row per tag of each cell, with the ``keep`` columns beside it; cells without tags give no row."""
-    return df.select(*(keep or []), F.explode(split_tags(F.col(column), sep)).alias("tag"))
+    return df.select(*([cell(c) for c in keep or []]), F.explode(split_tags(cell(column), sep)).alias("tag"))
 
 
 def tag_vocabulary(df: DataFrame, column: str, sep: str | None) -> DataFrame:
@@ -37,48 +41,60 @@ def tag_vocabulary(df: DataFrame, column: str, sep: str | None) -> DataFrame:
 
 
 def explode_tags(df: DataFrame, column: str, sep: str | None = None, prefix: str | None = None,
-                 vocabulary: list[str] | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
+                 vocabulary: list[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """Add a 0/1 column ``{prefix}_{tag}`` per distinct tag and keep the original column.
 
     ``sep=None`` looks for the separator and falls back to whitespace. Tags whose column names coincide share one
-    column, which is 1 when any of them is present. With more than ``max_columns`` tags this is an error: use
-    ``tags_long`` or ``tag_frequency``.
+    column, which is 1 when any of them is present; so do names that the session cannot tell apart. With
+    ``max_columns`` more tags than that are an error: use ``tags_long`` or ``tag_frequency``.
     """
     if sep is None:
         sep = detect_tag_separator(df, column)
     if vocabulary is None:
-        rows = tag_vocabulary(df, column, sep).limit(max_columns + 1).collect()
-        if len(rows) > max_columns:
+        tags = tag_vocabulary(df, column, sep)
+        rows = (tags if max_columns is None else tags.limit(max_columns + 1)).collect()
+        if max_columns is not None and len(rows) > max_columns:
             raise ValueError(f"{column!r} holds more than {max_columns} tags; use the long form instead of columns")
         vocabulary = sorted(r[0] for r in rows)
     named = defaultdict(list)
+    first: dict[str, str] = {}
+    key = name_key(df.sparkSession)
     for tag in vocabulary:
-        named[f"{column if prefix is None else prefix}_{tag_suffix(tag)}"].append(tag)
-    tags = F.col("_tags")
+        name = f"{column if prefix is None else prefix}_{tag_suffix(tag)}"
+        named[first.setdefault(key(name), name)].append(tag)
+    held = free_name([*df.columns, *named], "_tags")
+    tags = F.col(held)
     indicators = {
         name: (F.array_contains(tags, same[0]) if len(same) == 1
                else F.arrays_overlap(tags, F.array(*[F.lit(t) for t in same]))).cast("int")
         for name, same in named.items()
     }
-    return add_columns(df.withColumn("_tags", split_tags(F.col(column), sep)), indicators).drop("_tags")
+    return add_columns(df.withColumn(held, split_tags(cell(column), sep)), indicators).drop(held)
 
 
 def tag_frequency(df: DataFrame, column: str, sep: str | None) -> DataFrame:
     """Number of rows that hold each tag: ``tag, n``."""
-    tags = F.array_distinct(split_tags(F.col(column), sep))
+    tags = F.array_distinct(split_tags(cell(column), sep))
     return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_cooccurrence(df: DataFrame, column: str, sep: str | None) -> DataFrame:
     """Number of rows that hold both tags, for each pair of tags met in a row: ``tag_a < tag_b, n``.
 
-    Rows with the same set of tags are counted before their pairs are formed, so copies of a row cost nothing, and
-    pairs are streamed out of the set one tag at a time.
+    Rows with the same set of tags are counted before their pairs are formed, so copies of a row cost nothing. A set is
+    cut into blocks of tags; a task gets two blocks and makes the pairs between them, so a long set is many tasks' work
+    and its array travels once per block, not once per tag.
     """
-    sets = (df.select(F.array_sort(F.array_distinct(split_tags(F.col(column), sep))).alias("tags"))
+    sets = (df.select(F.array_sort(F.array_distinct(split_tags(cell(column), sep))).alias("tags"))
             .where(F.size("tags") > 1)
             .groupBy("tags").agg(F.count(F.lit(1)).alias("n")))
-    firsts = sets.select("n", "tags", F.posexplode("tags").alias("i", "tag_a"))
-    later = F.slice("tags", F.col("i") + 2, F.size("tags"))
-    pairs = firsts.select("n", "tag_a", F.explode(later).alias("tag_b"))
+    last = F.floor((F.size("tags") - 1) / PAIR_BLOCK).cast("int")
+    firsts = sets.select("n", "tags", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    blocks = firsts.select("n", "i", F.explode(F.sequence("i", "last")).alias("j"), "tags").select(
+        "n", (F.col("i") == F.col("j")).alias("same"), F.slice("tags", F.col("i") * PAIR_BLOCK + 1, PAIR_BLOCK).alias("a"),
+        F.slice("tags", F.col("j") * PAIR_BLOCK + 1, PAIR_BLOCK).alias("b"))
+    long = blocks.where(F.size("a") + F.size("b") > PAIR_BLOCK).repartition(F.xxhash64("a", "b"))
+    short = blocks.where(F.size("a") + F.size("b") <= PAIR_BLOCK)
+    pairs = long.unionAll(short).select("n", "same", F.explode("a").alias("tag_a"), "b") \
+        .select("n", "same", "tag_a", F.explode("b").alias("tag_b")).where(~F.col("same") | (F.col("tag_a") < F.col("tag_b")))
     return pairs.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n"))

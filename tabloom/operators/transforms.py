@@ -23,7 +23,7 @@ def to_boolean(df: DataFrame, column: str, true_values: Sequence[str] | None = N
 def boolean_column(df: DataFrame, column: str, true_values: Sequence[str] | None = None) -> Column:
     kind = df.schema[column].dataType
     if isinstance(kind, T.BooleanType) and true_values is None:
-        return F.col(column)
+        return fx.cell(column)
     if isinstance(kind, T.NumericType):
         numbers = []
         for word in TRUE_WORDS if true_values is None else true_values:
@@ -31,34 +31,35 @@ def boolean_column(df: DataFrame, column: str, true_values: Sequence[str] | None
                 numbers.append(float(word))
             except ValueError:
                 continue
-        value = F.col(column).cast("double")
+        value = fx.cell(column).cast("double")
         return F.when(~F.isnan(value), value.isin(*numbers))
-    return fx.boolean_from_text(F.col(column), true_values)
+    return fx.boolean_from_text(fx.cell(column), true_values)
 
 
 def parse_numeric_strings(df: DataFrame, column: str, decimal: str = ".", output: str | None = None) -> DataFrame:
     """Text such as ``$1,200`` or ``45%`` to double."""
-    return df.withColumn(output or column, fx.numeric_from_text(F.col(column), decimal))
+    return df.withColumn(output or column, fx.numeric_from_text(fx.cell(column), decimal))
 
 
 def parse_dates(df: DataFrame, column: str, fmt: str | None = None, day_first: bool = False,
                 output: str | None = None) -> DataFrame:
     """Text to ``timestamp_ntz``, by an explicit strftime format or value by value."""
     explicit = fmt and fmt != "auto"
-    parsed = fx.parse_dates_as(F.col(column), fmt) if explicit else fx.parse_dates(F.col(column), day_first)
+    parsed = fx.parse_dates_as(fx.cell(column), fmt) if explicit else fx.parse_dates(fx.cell(column), day_first)
     return df.withColumn(output or column, parsed)
 
 
 def extract_date_features(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
     """Add ``_year, _month, _day, _weekday, _hour``; text is parsed first."""
     kind = df.schema[column].dataType
-    moment = fx.parse_dates(F.col(column)) if isinstance(kind, T.StringType) else F.col(column)
+    moment = fx.parse_dates(fx.cell(column)) if isinstance(kind, T.StringType) else fx.cell(column)
     if isinstance(kind, T.DateType):
         moment = moment.cast("timestamp_ntz")
     name = column if prefix is None else prefix
-    return (df.withColumn("_moment", moment)
-            .withColumns({f"{name}_{part}": fx.date_part(F.col("_moment"), part) for part in DATE_PARTS})
-            .drop("_moment"))
+    held = fx.free_name([*df.columns, *(f"{name}_{part}" for part in DATE_PARTS)], "_moment")
+    return (df.withColumn(held, moment)
+            .withColumns({f"{name}_{part}": fx.date_part(F.col(held), part) for part in DATE_PARTS})
+            .drop(held))
 
 
 def bin_edges(df: DataFrame, column: str, bins: int | Sequence[float]) -> list[float]:
@@ -82,7 +83,7 @@ def bin_edges(df: DataFrame, column: str, bins: int | Sequence[float]) -> list[f
 
 def number(column: str) -> Column:
     """The column as double, with NaN as null."""
-    value = F.col(column).cast("double")
+    value = fx.cell(column).cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -96,7 +97,8 @@ def bin_numeric(df: DataFrame, column: str, bins: int | Sequence[float] = 5, lab
     edges = bin_edges(df, column, bins)
     if labels is not None and len(labels) != (bins if isinstance(bins, int) else len(edges) - 1):
         raise ValueError("as many labels as bins are needed")
-    place = F.col("_bin")
+    held = fx.free_name([*df.columns, output or f"{column}_bin"], "_bin")
+    place = F.col(held)
     if labels is not None:
         # get, not element_at: under ANSI the latter claims never to be null, even for a null place.
         result = F.get(_constants(labels), place - 1)
@@ -104,8 +106,8 @@ def bin_numeric(df: DataFrame, column: str, bins: int | Sequence[float] = 5, lab
         result = F.when(place.isNotNull(), F.struct(
             place.alias("bin"), F.get(_constants(edges[:-1]), place - 1).alias("lo"),
             F.get(_constants(edges[1:]), place - 1).alias("hi")))
-    return (df.withColumn("_bin", fx.bin_index(number(column), edges))
-            .withColumn(output or f"{column}_bin", result).drop("_bin"))
+    return (df.withColumn(held, fx.bin_index(number(column), edges))
+            .withColumn(output or f"{column}_bin", result).drop(held))
 
 
 def _constants(values: Sequence) -> Column:
@@ -131,7 +133,7 @@ def normalize(df: DataFrame, column: str, method: str = "minmax", output: str |
 
 def infer_ordinal_order(df: DataFrame, column: str) -> list[str] | None:
     """The known scale that covers the column's words, cut to the words present, or None."""
-    words = (df.select(fx.normalise(F.col(column)).alias("w")).where("w is not null").distinct()
+    words = (df.select(fx.normalise(fx.cell(column)).alias("w")).where("w is not null").distinct()
              .limit(MAX_ORDINAL_WORDS + 1))
     return words.agg(matching_scale(F.collect_set("w"))).first()[0]
 
@@ -145,7 +147,7 @@ def make_ordinal(df: DataFrame, column: str, order: Sequence[str] | None = None)
     if not scale:
         return df
     levels = [s.strip().lower() for s in scale]
-    rank = fx.ordinal_rank(F.col(column), levels)
-    level = F.when(rank.isNotNull(), fx.normalise(F.col(column)))
+    rank = fx.ordinal_rank(fx.cell(column), levels)
+    level = F.when(rank.isNotNull(), fx.normalise(fx.cell(column)))
     return (df.withColumns({f"{column}_rank": rank, column: level})
             .withMetadata(column, {"ordinal_order": levels}))

@@ -20,6 +20,7 @@ class Dataset:
     profile: DataFrame
     descriptions: Mapping[str, str] = field(default_factory=dict)
     view: str | None = None
+    distinct: str = "exact"
 
     @classmethod
     def of(cls, df: DataFrame, descriptions: Mapping[str, str] | None = None, view: str | None = None,
@@ -29,11 +30,11 @@ class Dataset:
         if view:
             df.createOrReplaceTempView(view)
         known = dict(descriptions or {})
-        return cls(df, profile(df, distinct), {c: known.get(c, "") for c in df.columns}, view)
+        return cls(df, profile(df, distinct), {c: known.get(c, "") for c in df.columns}, view, distinct)
 
     def update(self, new_df: DataFrame) -> Dataset:
         """Replace the table: profile it again, keep the descriptions of columns that survive, refresh the view."""
-        return Dataset.of(new_df, self.descriptions, self.view)
+        return Dataset.of(new_df, self.descriptions, self.view, self.distinct)
 
     def descriptions_table(self) -> DataFrame:
         return local_rows(self.df.sparkSession, list(self.descriptions.items()), "name string, description string")

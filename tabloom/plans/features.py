@@ -18,18 +18,18 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
     """Give every column the type its profile says.
 
     Boolean words become booleans, number-like text doubles and date text timestamps, in place; scales are normalised
-    and get a ``_rank``; tag columns get an indicator per tag when the profile lists their vocabulary; dates get their
-    parts. Everything but the tag indicators is one projection, and nothing is read again: the profile holds the
-    vocabularies and orders.
+    and get a ``_rank``; tag columns get an indicator per tag; dates get their
+    parts. Everything but the tag indicators is one projection, and the profile holds the
+    orders and short vocabularies; a vocabulary it does not list is read, as its words become column names.
     """
     rows = [r for r in profile.orderBy("position").collect() if r["name"] in df.columns and r["name"] not in skip]
     replaced, added, tagged = {}, {}, []
     for r in rows:
         name, kind = r["name"], r["semantic_type"]
-        c = F.col(f"`{name}`")
+        c = fx.cell(name)
         if kind == "boolean" and r["dtype"] != "boolean":
             yes = [word for word, value in (r["boolean_map"] or {}).items() if value]
-            replaced[name] = (c == 1) if r["dtype"] != "string" else fx.boolean_from_text(c, yes)
+            replaced[name] = (fx.present(df, name) == 1) if r["dtype"] != "string" else fx.boolean_from_text(c, yes)
         elif kind == "numeric_string":
             replaced[name] = fx.numeric_from_text(c, decimal)
         elif kind == "date_string":
@@ -38,7 +38,7 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
             rank = fx.ordinal_rank(c, r["ordinal_order"])
             replaced[name] = F.when(rank.isNotNull(), fx.normalise(c))
             added[f"{name}_rank"] = rank
-        elif kind == "multi_value_tags" and r["tag_vocabulary"]:
+        elif kind == "multi_value_tags":
             tagged.append(r)
     ranks = add_columns(df, added) if added else df
     result = ranks.withColumns(replaced) if replaced else ranks
@@ -47,11 +47,11 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
             result = result.withMetadata(r["name"], {"ordinal_order": list(r["ordinal_order"])})
     if date_parts:
         # Midnight dates have no hour worth a column, but which they are is only known by reading them.
-        parts = {f"{r['name']}_{part}": fx.date_part(F.col(f"`{r['name']}`"), part)
+        parts = {f"{r['name']}_{part}": fx.date_part(fx.cell(r["name"]), part)
                  for r in rows if r["semantic_type"] in ("date_string", "datetime") for part in DATE_PARTS}
         result = add_columns(result, parts) if parts else result
     for r in tagged:
         # The profile lists the word nan like any other; as a tag it means missing.
-        words = [t for t in r["tag_vocabulary"] if t.lower() != "nan"]
+        words = r["tag_vocabulary"] and [t for t in r["tag_vocabulary"] if t.lower() != "nan"]
         result = explode_tags(result, r["name"], r["tag_separator"], vocabulary=words)
     return result

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 
@@ -38,30 +39,31 @@ def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) ->
     """
     rows = prof.orderBy("position").collect()
     of = {kind: [r["name"] for r in rows if r["semantic_type"] == kind] for kind in {r["semantic_type"] for r in rows}}
-    # Categories by the listing rule may be many; a chart of them needs few.
-    groups = [r["name"] for r in rows if r["semantic_type"] in ("boolean", "categorical") and 0 < r["n_unique"] <= 50]
+    groups = [r["name"] for r in rows if r["semantic_type"] in ("boolean", "categorical") and r["n_unique"]]
     numeric = of.get("numeric", []) + of.get("numeric_string", [])
-    by = groups[0] if groups else None
     found: dict[str, Callable[[], DataFrame]] = {}
     if numeric:
         found["key_metrics"] = partial(tables.key_metrics, features, numeric)
     if groups:
         found["distributions"] = partial(tables.distributions, features, groups)
-    if len(groups) >= 2:
-        found[f"crosstab:{groups[0]}:{groups[1]}"] = partial(tables.crosstab_long, features, groups[0], groups[1])
-        found[f"shares:{groups[0]}:{groups[1]}"] = partial(tables.share_by_group, features, groups[0], groups[1])
-    if groups and numeric:
+    for a, b in combinations(groups, 2):
+        found[f"crosstab:{a}:{b}"] = partial(tables.crosstab_long, features, a, b)
+        found[f"shares:{a}:{b}"] = partial(tables.share_by_group, features, a, b)
+    for by in groups if numeric else ():
         found[f"summary:{by}"] = partial(tables.group_summary, features, [by], numeric)
     for c in numeric:
         found[f"histogram:{c}"] = partial(tables.histogram, features, c)
-        found[f"box:{c}"] = partial(order_statistics.box_statistics, features, c, by)
+        found[f"box:{c}"] = partial(order_statistics.box_statistics, features, c)
+        for by in groups:
+            found[f"box:{c}:{by}"] = partial(order_statistics.box_statistics, features, c, by)
     if len(numeric) >= 2:
         found["correlation"] = partial(tables.correlation_matrix, features, numeric)
-        found[f"scatter:{numeric[0]}:{numeric[1]}"] = partial(tables.scatter_sample, features, *numeric[:2])
+    for x, y in combinations(numeric, 2):
+        found[f"scatter:{x}:{y}"] = partial(tables.scatter_sample, features, x, y)
     for c in of.get("datetime", []) + of.get("date_string", []):
         found[f"trend:{c}"] = partial(tables.time_trend, features, c, "month")
     for r in rows:
-        if r["semantic_type"] == "multi_value_tags" and r["tag_vocabulary"]:
+        if r["semantic_type"] == "multi_value_tags":
             found[f"tags:{r['name']}"] = partial(tags.tag_frequency, source, r["name"], r["tag_separator"])
             found[f"tag_pairs:{r['name']}"] = partial(tags.tag_cooccurrence, source, r["name"], r["tag_separator"])
         if r["semantic_type"] == "ordinal":

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def local_session(cores: str | int = "*", app: str = "tabloom") -> SparkSession:
+def local_session(cores: str | int = "*", app: str = "tabloom", checkpoints: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the session the cluster gives."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -26,14 +25,15 @@ def local_session(cores: str | int = "*", app: str = "tabloom") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if checkpoints and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoints)
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session's checkpoints.
+    """The shared folder of the session's checkpoints: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    ``spark.checkpoint.dir`` wins. Only a local session that names none gets a temporary folder; on a cluster a folder
-    of one machine would be lost with it, so that is an error.
+    No folder is made up: one of a single machine would be lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,10 +42,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabloom-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return current
 
 
