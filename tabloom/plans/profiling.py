@@ -17,20 +17,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as k
-from ..functions import numeric_from_text, part_count, split_tags, strip, text_prefix, \
-    text_suffix
+from ..functions import cell, numeric_from_text, part_count, present, split_tags, strip, text_prefix, text_suffix
 from ..functions.dates import DATE_HINTS, date_hint_index, parse_stripped_dates
 from ..functions.ordinals import matching_scale
 from ..functions.text import word_array
 from ..session import local_rows
 
-GATE = 1_000            # estimated distinct values up to which a column gets a value table
-LIST_LIMIT = 1_000      # longest vocabulary kept inside the profile; the whole one is tag_vocabulary()
+GATE = 1_000            # estimated distinct values up to which values are counted before they are judged; a matter of plan
+LIST_LIMIT = 1_000      # most entries of a list kept inside the profile; profile_values() has all of them as rows
+LIST_LENGTH = 200_000   # and its most characters
+SAMPLE_LENGTH = 500     # characters kept of a sample value
+# The words that decide about types; a column's set of them is one bit per word.
+KNOWN_WORDS = sorted({"nan", *k.TRUE_WORDS, *k.FALSE_WORDS, *(w for scale in k.ORDINAL_SCALES for w in scale)})
+_BITS = 62
+_MASKS = range(-(-len(KNOWN_WORDS) // _BITS))
+_OTHER = "\0"           # stands for all other words
 SKETCH_SIZE = 12        # log2 of the sketch's registers: 1.6% error, 4 kB at most
 FAN_IN = 256            # first-level groups of the sketch merge
 
@@ -74,14 +80,6 @@ def column_kind(dtype: T.DataType) -> str:
     return "other"
 
 
-def present(df: DataFrame, name: str) -> Column:
-    """The column with NaN as null, as NaN counts as missing; a negative zero equals zero."""
-    c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c), c + F.lit(0.0).cast(df.schema[name].dataType))
-    return c
-
-
 def as_text(df: DataFrame, name: str) -> Column:
     return _text_of(present(df, name), df.schema[name].dataType)
 
@@ -142,8 +140,9 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
     values; without it any first rows are taken. ``prose_guard`` keeps sentences with commas from counting as tags: a
     separator with parts of more than 25 characters on average is no tag separator.
 
-    ``categories`` and ``tag_vocabulary`` are listed up to 1,000 entries and null beyond; ``value_distribution`` and
-    ``tag_vocabulary`` give all of them as rows.
+    Types depend on counts and on which of the known words occur, not on any list. ``categories`` and
+    ``tag_vocabulary`` are listed up to 1,000 entries and 200,000 characters and null beyond; ``profile_values`` gives
+    all of them as rows. Sample values are cut after 500 characters.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be exact or approx")
@@ -195,30 +194,50 @@ def _count_columns(df: DataFrame) -> tuple[int, list[_Column]]:
 
 
 def _take_samples(df: DataFrame, columns: list[_Column], order: str | None) -> None:
-    """First non-null values of each column: one small read, and one more per column that it leaves short."""
+    """First non-null values of each column: one small read, and one more for all columns that it leaves short.
+
+    The second read ranks the cells of these columns; Spark keeps the first ones of each in every task.
+    """
     source = df.orderBy(order) if order else df
-    head = source.select(*[as_text(df, c.name).alias(str(c.position)) for c in columns]).limit(200).collect()
+    head = source.select(*[F.left(as_text(df, c.name), F.lit(SAMPLE_LENGTH)).alias(str(c.position)) for c in columns]
+                         ).limit(200).collect()
+    short = []
     for c in columns:
         c.sample = tuple([r[c.position] for r in head if r[c.position] is not None][:k.SAMPLE_SIZE])
         if len(c.sample) < min(k.SAMPLE_SIZE, c.n_filled) and len(head) == 200:
-            text = as_text(df, c.name)
-            more = source.where(text.isNotNull()).select(text.alias("v")).limit(k.SAMPLE_SIZE).collect()
-            c.sample = tuple(r["v"] for r in more)
+            short.append(c)
+    if not short:
+        return
+    place = cell(order) if order else F.monotonically_increasing_id()
+    cells = df.select(place.alias("at"), *[F.left(as_text(df, c.name), F.lit(SAMPLE_LENGTH)).alias(str(c.position))
+                                           for c in short])
+    ids = [str(c.position) for c in short]
+    first = Window.partitionBy("name").orderBy("at")
+    more = (cells.unpivot(["at"], ids, "name", "value").where("value is not null")
+            .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k.SAMPLE_SIZE).collect())
+    for c in short:
+        c.sample = tuple(r["value"] for r in sorted(more, key=lambda r: r["rank"]) if r["name"] == str(c.position))
 
 
 # ---- pass 2 -------------------------------------------------------------------------------------------------------
 
-def _text_measures(cells: DataFrame, with_words: bool) -> DataFrame:
-    """Detector sums per column over ``name, value, n``; ``words`` and ``texts`` only where the distinct values are few.
+def _text_measures(cells: DataFrame) -> DataFrame:
+    """Detector sums per column over ``name, value, n``.
 
     Everything summed is a number: a smallest or first text would turn the aggregation into one that sorts its input.
+    Of the known words a column keeps one bit each, of all others their number.
     """
     v, n = F.col("v"), F.col("n")
     # A letter that no number may hold rules the number test out at its first occurrence.
     wordy = v.rlike(r"[a-zA-Z&&[^eEinftyINFTYR]]")
     measures = [F.when(wordy, False).otherwise(numeric_from_text(v).isNotNull()).alias("is_number"),
                 F.when(parse_stripped_dates(v).isNotNull(), date_hint_index(v)).alias("date_shape"),
-                F.length(v).alias("length")]
+                F.length(v).alias("length"),
+                F.when(F.length(v) <= max(map(len, KNOWN_WORDS)), F.array_position(word_array(KNOWN_WORDS), F.lower(v)))
+                .otherwise(0).alias("word"),
+                # As numbers, since a decimal may read 1.00; booleans were turned into words.
+                (~F.coalesce(F.when(F.length(v) <= 40, v.try_cast("double")).isin(0.0, 1.0) | v.isin("True", "False"),
+                             v.isin("True", "False"))).alias("beyond")]
     inner = []      # parts of the stripped text: fewer only for separators that begin or end with a blank
     for i, sep in enumerate(k.TAG_SEPARATORS):
         has = F.contains("value", F.lit(sep))
@@ -227,7 +246,7 @@ def _text_measures(cells: DataFrame, with_words: bool) -> DataFrame:
             measures.append(F.when(has, part_count(v, sep)).otherwise(1).alias(f"inner{i}"))
         inner.append(f"inner{i}" if sep != sep.strip() else f"parts{i}")
     flags = (cells.withColumn("v", strip(F.col("value")))
-             .select("name", "n", *(["v"] if with_words else []), *measures))
+             .select("name", "n", *measures))
 
     def total(condition) -> Column:
         return F.sum(F.when(condition, n).otherwise(0))
@@ -238,9 +257,11 @@ def _text_measures(cells: DataFrame, with_words: bool) -> DataFrame:
     for i in range(len(k.TAG_SEPARATORS)):
         sums += [total(F.col(f"parts{i}") > 1).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
                  F.sum(F.col(inner[i]) * n).alias(f"inner{i}")]
-    if with_words:
-        # The value table has at most GATE entries per column, so the sets are small.
-        sums += [F.collect_set(F.lower(v)).alias("words"), F.collect_set(v).alias("texts")]
+    word = F.col("word")
+    for m in _MASKS:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (word - 1 - m * _BITS).cast("int"))
+        sums.append(F.bit_or(F.when((word > m * _BITS) & (word <= (m + 1) * _BITS), bit).otherwise(0)).alias(f"words{m}"))
+    sums += [total(word == 0).alias("n_other"), total(F.col("beyond")).alias("n_beyond")]
     return flags.groupBy("name").agg(*sums)
 
 
@@ -266,17 +287,17 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
     group = small + small_dates
     if group:
         values = _value_table(df, [c.name for c in group])
-        branches.append(_text_measures(values, True).withColumn("position", place(group))
+        branches.append(_text_measures(values).withColumn("position", place(group))
                         .withColumn("n_distinct", F.col("n_entries")))
     if wide_text:
         cells = long_form(df, [c.name for c in wide_text]).withColumn("n", F.lit(1).cast("long"))
-        branches.append(_text_measures(cells, False).withColumn("position", place(wide_text)))
+        branches.append(_text_measures(cells).withColumn("position", place(wide_text)))
     if counted:
         branches.append(_distinct_counts(df, [c.name for c in counted]).withColumn("position", place(counted)))
     schema = ("n_values long, n_number long, length long, "
               + "".join(f"dates{i} long, " for i in range(len(DATE_HINTS)))
               + "".join(f"hits{i} long, parts{i} long, inner{i} long, " for i in range(len(k.TAG_SEPARATORS)))
-              + "words array<string>, texts array<string>, position int, n_distinct long")
+              + "".join(f"words{m} long, " for m in _MASKS) + "n_other long, n_beyond long, position int, n_distinct long")
     rows: dict[int, dict] = {}
     if branches:
         # One job, so that the branches run side by side.
@@ -288,12 +309,21 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
     return local_rows(df.sparkSession, [tuple(r.get(f) for f in kind.names) for r in rows.values()], kind)
 
 
+def _words() -> Column:
+    """The known words a column holds, and one that stands for all others if it holds any."""
+    bit = [F.call_function("shiftright", F.col(f"words{i // _BITS}"), F.lit(i % _BITS)).bitwiseAND(F.lit(1).cast("long")) == 1
+           for i in range(len(KNOWN_WORDS))]
+    held = F.array(*[F.when(b, F.lit(w)) for b, w in zip(bit, KNOWN_WORDS)], F.when(F.col("n_other") > 0, F.lit(_OTHER)))
+    return F.array_compact(held)
+
+
 # ---- the rules ----------------------------------------------------------------------------------------------------
 
 def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
     """Semantic type of each column from its measures; the first rule that holds wins."""
     n_values = F.col("n_filled")
     share = lambda c: F.coalesce(F.try_divide(F.col(c), n_values), F.lit(0.0))
+    m = m.withColumn("words", F.when(F.col("n_other").isNotNull(), _words()))
     spoken = F.array_except("words", word_array(["nan", ""]))
     yes, no = F.array_intersect(spoken, word_array(k.TRUE_WORDS)), F.array_intersect(spoken, word_array(k.FALSE_WORDS))
     is_boolean = (F.size(spoken).between(1, k.MAX_BOOLEAN_WORDS) & (F.size(yes) > 0) & (F.size(no) > 0)
@@ -311,9 +341,7 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
 
     separator = F.coalesce(*[F.when(separates(i, sep), F.lit(i)) for i, sep in enumerate(k.TAG_SEPARATORS)])
     inner_mean = F.get(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]), F.col("sep_index"))
-    # As numbers, since a decimal may read 1.00; booleans were turned into words.
-    others = F.filter("texts", lambda t: ~F.coalesce(t.try_cast("double").isin(0.0, 1.0), t.isin("True", "False")))
-    zero_one = (F.col("n_unique") == 2) & (F.size(others) == 0)
+    zero_one = (F.col("n_unique") == 2) & (F.col("n_beyond") == 0)
     text, number = F.col("kind") == "text", F.col("kind") == "number"
     few = F.col("n_unique") <= categorical_threshold(F.col("n_total"))
     scattered = F.try_divide(F.col("n_unique"), F.col("n_total")) > k.IDENTIFIER_SHARE
@@ -353,8 +381,6 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
             .when(mean_length > k.CATEGORY_TEXT_LENGTH, "free_text")
             .otherwise("categorical"))
     separator_text = F.get(word_array(k.TAG_SEPARATORS), F.col("sep_index"))
-    known_tags = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "texts", lambda cell: split_tags(cell, separator_text, drop_nan=False)))))
     kind = F.col("semantic_type")
     return (
         d.withColumns({"tail": tail, "semantic_type": semantic})
@@ -363,40 +389,45 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
             "boolean_map": F.when((kind == "boolean") & number,
                                   F.create_map(F.lit("1"), F.lit(True), F.lit("0"), F.lit(False)))
             .when(kind == "boolean", boolean_map),
-            "vocabulary": F.when((kind == "multi_value_tags") & F.col("texts").isNotNull(), known_tags),
             "ordinal_order": F.when(kind == "ordinal", F.col("scale")),
             "tag_separator": F.when(kind == "multi_value_tags", separator_text),
             "date_format_hint": F.when(kind == "date_string", F.col("date_hint")),
             "categories": F.when(kind == "ordinal", F.col("scale"))
-            .when(kind == "categorical", F.when(n_values == 0, F.array().cast("array<string>"))
-                  .otherwise(F.array_sort("texts"))),
+            .when((kind == "categorical") & (n_values == 0), F.array().cast("array<string>")),
         }))
 
 
 # ---- pass 3 -------------------------------------------------------------------------------------------------------
 
 def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
-    """Vocabulary of tag columns and affixes of number-like text, read from those columns only.
+    """Vocabulary of tag columns, categories and affixes of number-like text, read from those columns only.
 
     A column with a separator but a single tag is no tag column; its type falls back to the later rules.
     """
     tags = [r for r in decided if r["semantic_type"] == "multi_value_tags"]
-    scanned = [r for r in tags if r["vocabulary"] is None]      # too many distinct cells for the value table
     numbers = [r for r in decided if r["semantic_type"] == "numeric_string"]
+    listed = [r for r in decided if r["n_filled"] and (
+        r["semantic_type"] == "categorical" or (r["semantic_type"] == "multi_value_tags" and r["tail"] == "categorical"))]
     branches = []
-    if scanned:
-        branches.append(_vocabularies(df, scanned))
+    if tags:
+        branches.append(_lists("tags", _tag_words(df, tags)))
+    if listed:
+        values = _value_table(df, [r["name"] for r in listed]).select("name", strip(F.col("value")).alias("entry"))
+        branches.append(_lists("categories", values.distinct()))
     if numbers:
         branches.append(_top_affixes(df, numbers))
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches).collect() if branches else []
 
     result: dict[str, dict] = {r["name"]: {"numeric_prefix": "", "numeric_suffix": ""} for r in numbers}
-    n_tags = {r["name"]: len(r["vocabulary"]) for r in tags if r["vocabulary"] is not None}
-    words = {r["name"]: r["vocabulary"] for r in tags}
+    n_tags: dict[str, int] = {}
+    words: dict[str, list] = {}
+    categories: dict[str, list] = {}
     for t in found:
         if t["side"] == "tags":
-            name = scanned[int(t["name"])]["name"]
-            n_tags[name], words[name] = t["n"], t["vocabulary"]
+            name = tags[int(t["name"])]["name"]
+            n_tags[name], words[name] = t["n"], t["list"]
+        elif t["side"] == "categories":
+            categories[listed[int(t["name"])]["name"]] = t["list"]
         else:
             r = numbers[int(t["name"])]
             if t["n"] > r["n_filled"] * k.AFFIX_SHARE:
@@ -404,32 +435,33 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
     for r in tags:
         name, n = r["name"], n_tags.get(r["name"], 0)
         if n >= 2:
-            result[name] = {"n_tags": n, "tag_vocabulary": words[name] if n <= LIST_LIMIT else None}
+            result[name] = {"n_tags": n, "tag_vocabulary": words[name]}
         else:
             kind = "ordinal" if r["scale"] is not None else r["tail"]
-            texts = sorted(r["texts"]) if kind == "categorical" and r["texts"] is not None else None
             result[name] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
-                            "categories": r["scale"] or texts}
+                            "categories": r["scale"] or (categories.get(name) if kind == "categorical" else None)}
+    for r in listed:
+        if r["semantic_type"] == "categorical":
+            result[r["name"]] = {"categories": categories.get(r["name"])}
     return result
 
 
-def _vocabularies(df: DataFrame, tags: list) -> DataFrame:
-    """``side, name, n, vocabulary``: distinct tags, listed only where they are few; one scan serves both."""
-    words = _tag_words(df, tags)
-    counts = words.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    # As many rows as there are tag columns.
-    few = F.broadcast(counts.where(F.col("n") <= LIST_LIMIT).select("name"))
-    lists = words.join(few, "name").groupBy("name").agg(F.array_sort(F.collect_set("tag")).alias("vocabulary"))
-    return counts.join(lists, "name", "left").select(F.lit("tags").alias("side"), "name", "n", "vocabulary")
+def _lists(side: str, entries: DataFrame) -> DataFrame:
+    """``side, name, n, list`` of the distinct ``name, entry``: how many there are, and all of them where they are few."""
+    counts = entries.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("entry")).alias("length"))
+    # As many rows as there are columns to list.
+    few = F.broadcast(counts.where((F.col("n") <= LIST_LIMIT) & (F.col("length") <= LIST_LENGTH)).select("name"))
+    lists = entries.join(few, "name").groupBy("name").agg(F.array_sort(F.collect_set("entry")).alias("list"))
+    return counts.join(lists, "name", "left").select(F.lit(side).alias("side"), "name", "n", "list")
 
 
 def _tag_words(df: DataFrame, tags: list) -> DataFrame:
-    """``name, tag``: the distinct tags of each tag column."""
+    """``name, entry``: the distinct tags of each tag column."""
     pieces = F
     for i, r in enumerate(tags):
         pieces = pieces.when(F.col("name") == str(i),
                              split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False))
-    return long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("tag")).distinct()
+    return long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("entry")).distinct()
 
 
 def _top_affixes(df: DataFrame, numbers: list) -> DataFrame:
@@ -442,3 +474,30 @@ def _top_affixes(df: DataFrame, numbers: list) -> DataFrame:
               .groupBy("name", "side", "affix").agg(F.count(F.lit(1)).alias("n")))
     best = counts.groupBy("name", "side").agg(F.min(F.struct((-F.col("n")).alias("n"), "affix")).alias("best"))
     return best.select("side", "name", (-F.col("best.n")).alias("n"), F.col("best.affix").alias("affix"))
+
+
+def profile_values(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """``name, value, n``: every value of the boolean, categorical and ordinal columns and every tag of the tag columns of
+    a profile, with the number of rows that hold it. All of them, however many; nothing is collected.
+    """
+    rows = [r for r in profile.orderBy("position").collect() if r["name"] in df.columns]
+    plain = [r["name"] for r in rows if r["semantic_type"] in ("boolean", "categorical", "ordinal")]
+    tags = [r for r in rows if r["semantic_type"] == "multi_value_tags"]
+    parts = []
+    for group, cells in ((plain, long_form(df, plain) if plain else None),
+                         ([r["name"] for r in tags], _tag_cells(df, tags) if tags else None)):
+        if cells is not None:
+            name = F.get(F.array(*[F.lit(n) for n in group]), F.col("name").cast("int"))
+            counted = cells.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted.select(name.alias("name"), "value", "n"))
+    if not parts:
+        return local_rows(df.sparkSession, [], "name string, value string, n long")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _tag_cells(df: DataFrame, tags: list) -> DataFrame:
+    """``name, value``: the different tags of each cell of the tag columns."""
+    pieces = F
+    for i, r in enumerate(tags):
+        pieces = pieces.when(F.col("name") == str(i), F.array_distinct(split_tags(F.col("value"), r["tag_separator"])))
+    return long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("value"))
