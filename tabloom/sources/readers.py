@@ -6,12 +6,13 @@ import csv
 import re
 from collections.abc import Callable
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parse_dates, strip
+from ..functions import name_key, parse_dates, strip, unlike_names
 from ..operators.clean import clean_names, merged_header
 from .workbook import read_workbooks
 
@@ -67,24 +68,40 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+#: Characters of a line that are looked at to tell how a table is to be read.
+LINE_LENGTH = 100_000
+
+
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """First lines of the first file by name that has any; Spark itself would start with the largest one."""
+    """First lines of the first file by name that is not empty, cut to ``LINE_LENGTH`` characters by the task that reads
+    them. Spark itself would start with the largest file; sizes are asked of the file system, without a job."""
     for file in sorted(spark.read.text(path).inputFiles()):
-        lines = [r[0] for r in spark.read.text(file).limit(n).collect()]
-        if lines:
-            return [line.removeprefix("\ufeff") for line in lines]
+        place = spark._jvm.org.apache.hadoop.fs.Path(unquote(file))
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getLen():
+            lines = spark.read.text(unquote(file)).select(F.left("value", F.lit(LINE_LENGTH)))
+            return [r[0].removeprefix("\ufeff") for r in lines.limit(n).collect()]
     return []
 
 
-def _header_names(line: str, sep: str) -> list[str]:
-    """Names of a header line; missing ones become ``_c{i}``, repeated ones get ``_2``, ``_3``."""
-    names: list[str] = []
-    for i, name in enumerate(next(csv.reader([line], delimiter=sep), [])):
-        unique, k = name or f"_c{i}", 2
-        while unique in names:
-            unique, k = f"{name or f'_c{i}'}_{k}", k + 1
-        names.append(unique)
-    return names
+def _broken_files(spark: SparkSession, path: str) -> list[str]:
+    """Files with a line that leaves a quote open: one of their cells holds a line break, or a stray quote.
+
+    One distributed count per file; only the names of such files reach the driver.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (quotes % 2).alias("odd"))
+    odd = lines.groupBy("file").agg(F.max("odd").alias("odd")).where("odd = 1")
+    return sorted(_plain_path(r["file"]) for r in odd.collect())
+
+
+def _plain_path(uri: str) -> str:
+    return re.sub("^file:/+", "/", unquote(uri))
+
+
+def _header_names(line: str, sep: str, key: Callable[[str], str] = str.lower) -> list[str]:
+    """Names of a header line; missing ones become ``_c{i}``, those that look the same to the session get ``_2``, ``_3``."""
+    names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([line], delimiter=sep), []))]
+    return unlike_names(names, key)
 
 
 def sniff_separator(line: str) -> str:
@@ -93,18 +110,29 @@ def sniff_separator(line: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """CSV with a header line; the separator is judged from the first line.
 
-    ``multi_line`` allows line breaks inside quotes, at the price that a file can no longer be split between tasks.
+    Cells may hold line breaks inside quotes. Files that have such cells are found by counting the quotes of their lines;
+    each of them is one task, all others are split. ``multi_line`` says for all files instead whether cells may.
     """
     line = next(iter(_first_lines(spark, path, 1)), "")
     sep = sep or sniff_separator(line)
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line,
-                        encoding="UTF-8")
-    names = _header_names(line, sep)
-    if len(names) == len(df.columns):
-        df = df.toDF(*names)
+    broken = _broken_files(spark, path) if multi_line is None else []
+    if line.count('"') % 2:
+        # The header itself holds a line break.
+        line = sep.join(f'"{c}"' for c in spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True).columns)
+    names = _header_names(line, sep, name_key(spark))
+    # As many columns as the header has, whatever the rows below it hold.
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = dict(sep=sep, header=True, quote='"', escape='"', encoding="UTF-8", schema=schema, enforceSchema=True)
+    if broken:
+        whole = spark.read.csv(broken, multiLine=True, **options)
+        rest = sorted({_plain_path(f) for f in spark.read.text(path).inputFiles()} - set(broken))
+        df = whole.unionAll(spark.read.csv(rest, **options)) if rest else whole
+    else:
+        df = spark.read.csv(path, multiLine=bool(multi_line), **options)
+    df = df.toDF(*names)
     return infer_types(blank_missing(df)) if infer else df
 
 

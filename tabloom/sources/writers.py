@@ -14,7 +14,9 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorife
         # Timestamps as plain ISO text; quotes are doubled inside quoted cells, as the reader expects.
         moments = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
         plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in moments})
-        plain.write.mode(mode).options(header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"').csv(path)
+        # White space around a cell is part of it, line breaks too.
+        plain.write.mode(mode).options(header=True, sep="\t" if fmt == "tsv" else ",", quote='"', escape='"',
+                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)
     elif fmt == "xml":

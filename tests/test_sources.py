@@ -145,3 +145,19 @@ def test_round_trip(spark, tmp_path, fmt):
     options = {"row_tag": "row"} if fmt == "xml" else {}
     back = tl.load_table(spark, str(tmp_path / "t"), fmt, **options).select("i", "s", "x", "b")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    """Only files with such cells are read whole; a row is a row either way."""
+    text = "id,A,a\n1,\"one\ntwo, \"\"three\"\"\n\",x\n2,plain,y\n"
+    folder = tmp_path / "two words"
+    folder.mkdir()
+    write(folder / "a.csv", text)
+    write(folder / "b.csv", "id,A,a\n3,more,z\n")
+    write(folder / "0.csv", "")
+    df = tl.load_table(spark, str(folder), "csv")
+    assert df.columns == ["id", "A", "a_2"]
+    assert sorted(map(tuple, df.collect())) == [(1, 'one\ntwo, "three"\n', "x"), (2, "plain", "y"), (3, "more", "z")]
+    back = str(tmp_path / "out")
+    tl.save_table(df, back, "tsv")
+    assert sorted(map(tuple, tl.load_table(spark, back, "tsv").collect())) == sorted(map(tuple, df.collect()))
