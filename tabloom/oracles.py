@@ -486,8 +486,8 @@ SELECT * FROM (VALUES
  (3, 'frequency of each tag', 'tags'),
  (4, 'distribution of ordinal columns in order', 'level')) AS v(rank, analysis, columns)"""
 
-ORACLES["updated_descriptions"] = """
-SELECT * FROM (VALUES ('o_orderkey', 'key'), ('o_totalprice', ''), ('done', '')) AS v(name, description)"""
+ORACLES["updated_view"] = """
+SELECT o_orderkey, o_totalprice, o_orderstatus = 'F' AS done, 'o_orderkey=key' AS notes FROM orders"""
 
 ORACLES["detected_changes"] = """
 SELECT * FROM (VALUES ('column_removed', 'o_orderstatus', 'string'), ('column_removed', 'o_totalprice', 'double'),
@@ -583,3 +583,96 @@ ORACLES["json_round_trip"] = """
 SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at, event_type, value FROM events"""
 ORACLES["xml_round_trip"] = """
 SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part"""
+
+
+ORACLES["profile_values_raw_orders"] = f"""
+WITH {RAW_ORDERS}
+SELECT 'Paid' AS name, "Paid" AS value, count(*) AS n FROM raw_orders WHERE "Paid" IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'level', level, count(*) FROM raw_orders WHERE level IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'tags', tag, count(*) FROM (SELECT trim(unnest(string_split(tags, ','))) AS tag FROM raw_orders) GROUP BY 2"""
+
+ORACLES["profile_values_documents"] = """
+SELECT 'lang' AS name, lang AS value, count(*) AS n FROM documents GROUP BY 2
+UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2
+UNION ALL SELECT 'text', tag, count(*) FROM (
+  SELECT unnest(list_distinct([trim(t, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) FOR t IN string_split(text, ',')]))
+    AS tag FROM documents)
+WHERE lower(tag) NOT IN ('', 'nan') GROUP BY 2"""
+
+ORACLES["profile_embeddings"] = " UNION ALL ".join([
+    f"SELECT * FROM ({_number_profile('embeddings', 'vec_id')})", f"SELECT * FROM ({_number_profile('embeddings', 'label')})",
+    f"""SELECT * REPLACE ('unknown' AS semantic_type, NULL AS categories) FROM (
+        {_number_profile("(SELECT hash(embedding) AS embedding FROM embeddings)", "embedding")})"""])
+
+ORACLES["dataset_summary_lines"] = """
+WITH o AS (SELECT count(*) AS n FROM orders),
+columns AS (
+  SELECT 0 AS i, 'o_orderkey' AS c, 'bigint' AS t, count(DISTINCT o_orderkey) AS d, ' — numeric' AS m FROM orders
+  UNION ALL SELECT 1, 'o_custkey', 'bigint', count(DISTINCT o_custkey), ' — numeric' FROM orders
+  UNION ALL SELECT 2, 'o_orderstatus', 'string', count(DISTINCT o_orderstatus), ' — categorical: '
+    || count(DISTINCT o_orderstatus) || ' categories: ['
+    || string_agg(DISTINCT chr(39) || o_orderstatus || chr(39), ', ' ORDER BY chr(39) || o_orderstatus || chr(39)) || ']' FROM orders
+  UNION ALL SELECT 3, 'o_totalprice', 'double', count(DISTINCT o_totalprice), ' — numeric' FROM orders
+  UNION ALL SELECT 4, 'o_orderdate', 'timestamp_ntz', count(DISTINCT o_orderdate), ' — datetime' FROM orders
+  UNION ALL SELECT 5, 'o_orderpriority', 'string', count(DISTINCT o_orderpriority), ' — categorical: '
+    || count(DISTINCT o_orderpriority) || ' categories: ['
+    || string_agg(DISTINCT chr(39) || o_orderpriority || chr(39), ', ' ORDER BY chr(39) || o_orderpriority || chr(39)) || ']' FROM orders)
+SELECT 0 AS place, n || ' rows x 6 columns' AS line FROM o
+UNION ALL SELECT 1, '' UNION ALL SELECT 2, 'Columns:'
+UNION ALL SELECT 3 + i, '  ' || c || ' (' || t || '): ' || n || ' filled, ' || d || ' distinct' FROM columns, o
+UNION ALL SELECT 9, '' UNION ALL SELECT 10, 'Meaning:'
+UNION ALL SELECT 11 + i, '  ' || c || m FROM columns"""
+
+_WITH_NAN = """
+priced AS (SELECT o_orderkey, o_orderpriority,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 100000) AS BIGINT) % 3 END AS price FROM orders)"""
+
+ORACLES["encode_label_with_nan"] = f"""
+WITH {_WITH_NAN}, codes AS (SELECT price, row_number() OVER (ORDER BY price) - 1 AS code
+                            FROM (SELECT DISTINCT price FROM priced WHERE price IS NOT NULL))
+SELECT o_orderkey, coalesce(code, -1) AS code FROM priced LEFT JOIN codes USING (price)"""
+
+ORACLES["encode_frequency_with_nan"] = f"""
+WITH {_WITH_NAN}, shares AS (SELECT price, count(*) / sum(count(*)) OVER () AS share
+                             FROM priced WHERE price IS NOT NULL GROUP BY 1)
+SELECT o_orderkey, round(share, 9) AS share FROM priced LEFT JOIN shares USING (price)"""
+
+ORACLES["encode_onehot_with_nan"] = f"""
+WITH {_WITH_NAN}
+SELECT o_orderkey, """ + ", ".join(f"CAST(coalesce(price = {v}, false) AS INTEGER) AS p{v}" for v in range(3)) + " FROM priced"
+
+ORACLES["distribution_with_nan"] = f"""
+WITH {_WITH_NAN}
+SELECT CAST(price AS DOUBLE) AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share
+FROM priced WHERE price IS NOT NULL GROUP BY price"""
+
+ORACLES["crosstab_with_nan"] = f"""
+WITH {_WITH_NAN}
+SELECT o_orderpriority, CAST(price AS DOUBLE) AS price, count(*) AS n FROM priced WHERE price IS NOT NULL GROUP BY 1, 2"""
+
+ORACLES["share_with_nan"] = f"""
+WITH {_WITH_NAN}
+SELECT o_orderpriority AS "group", CAST(price AS DOUBLE) AS value, count(*) AS n,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 9) AS share
+FROM priced WHERE price IS NOT NULL GROUP BY o_orderpriority, price"""
+
+ORACLES["fill_mean_with_nan"] = f"""
+WITH {_WITH_NAN}
+SELECT o_orderkey, round(coalesce(CAST(price AS DOUBLE), avg(price) OVER ()), 6) AS price FROM priced"""
+
+ORACLES["engineer_with_nan"] = """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS flag FROM orders"""
+
+ORACLES["encode_onehot_case"] = f"""
+WITH {RAW_ORDERS}
+SELECT "Order ID" AS order_id, """ + ", ".join(
+    f"CAST(coalesce(level = '{v}', false) AS INTEGER) AS \"{n}\"" for v, n in (
+        ("High", "is_High"), ("Medium", "is_Medium"), ("high", "is_high_2"), (" low ", "is_low"))) + " FROM raw_orders"
+
+ORACLES["csv_round_trip_documents"] = "SELECT * FROM documents"
+
+ORACLES["tsv_round_trip_documents"] = "SELECT * FROM documents"
+
+ORACLES["xml_row_element_found"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
+
+ORACLES["json_array"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"

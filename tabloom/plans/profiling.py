@@ -34,9 +34,11 @@ LIST_LENGTH = 200_000   # and its most characters
 SAMPLE_LENGTH = 500     # characters kept of a sample value
 # The words that decide about types; a column's set of them is one bit per word.
 KNOWN_WORDS = sorted({"nan", *k.TRUE_WORDS, *k.FALSE_WORDS, *(w for scale in k.ORDINAL_SCALES for w in scale)})
-_BITS = 62
-_MASKS = range(-(-len(KNOWN_WORDS) // _BITS))
 _OTHER = "\0"           # stands for all other words
+_BEYOND = "\1"          # stands for all values but zero and one
+_SEEN = [*KNOWN_WORDS, _OTHER, _BEYOND]
+_BITS = 62
+_MASKS = range(-(-len(_SEEN) // _BITS))
 SKETCH_SIZE = 12        # log2 of the sketch's registers: 1.6% error, 4 kB at most
 FAN_IN = 256            # first-level groups of the sketch merge
 
@@ -64,10 +66,11 @@ class _Column:
     n_filled: int = 0
     estimate: int = 0
     sample: tuple = ()
+    countable: bool = True      # whether values can be told apart; maps cannot
 
     @property
     def small(self) -> bool:
-        return self.estimate <= GATE
+        return (self.estimate or 0) <= GATE
 
 
 def column_kind(dtype: T.DataType) -> str:
@@ -168,7 +171,8 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
 # ---- pass 1 -------------------------------------------------------------------------------------------------------
 
 def _count_columns(df: DataFrame) -> tuple[int, list[_Column]]:
-    columns = [_Column(i, f.name, column_kind(f.dataType), f.dataType.simpleString())
+    columns = [_Column(i, f.name, column_kind(f.dataType), f.dataType.simpleString(),
+                       countable="map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString())
                for i, f in enumerate(df.schema.fields)]
     if len({c.name for c in columns}) != len(columns):
         raise ValueError("column names repeat; clean the headers first")
@@ -178,18 +182,18 @@ def _count_columns(df: DataFrame) -> tuple[int, list[_Column]]:
     second = [F.sum("n").alias("n")]
     for c in columns:
         i, value = c.position, present(df, c.name)
-        mark = F.lit(1).cast("long") if c.kind == "other" else F.xxhash64(value)
+        mark = F.xxhash64(value) if c.countable else F.lit(1).cast("long")
         hashes.append(F.when(value.isNotNull(), mark).alias(f"h{i}"))
         first.append(F.count(f"h{i}").alias(f"f{i}"))
         second.append(F.sum(f"f{i}").alias(f"f{i}"))
-        if c.kind != "other":
+        if c.countable:
             first.append(F.hll_sketch_agg(f"h{i}", F.lit(SKETCH_SIZE)).alias(f"d{i}"))
             second.append(F.hll_sketch_estimate(F.hll_union_agg(f"d{i}")).alias(f"d{i}"))
     row = (df.select(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_fan"), *hashes)
            .groupBy("_fan").agg(*first).agg(*second).first())
     for c in columns:
         c.n_filled = row[f"f{c.position}"] or 0
-        c.estimate = (row[f"d{c.position}"] or 0) if c.kind != "other" else 0
+        c.estimate = (row[f"d{c.position}"] or 0) if c.countable else None
     return row["n"] or 0, columns
 
 
@@ -225,7 +229,7 @@ def _text_measures(cells: DataFrame) -> DataFrame:
     """Detector sums per column over ``name, value, n``.
 
     Everything summed is a number: a smallest or first text would turn the aggregation into one that sorts its input.
-    Of the known words a column keeps one bit each, of all others their number.
+    Of the known words a column keeps one bit each, and one bit for all others.
     """
     v, n = F.col("v"), F.col("n")
     # A letter that no number may hold rules the number test out at its first occurrence.
@@ -234,7 +238,7 @@ def _text_measures(cells: DataFrame) -> DataFrame:
                 F.when(parse_stripped_dates(v).isNotNull(), date_hint_index(v)).alias("date_shape"),
                 F.length(v).alias("length"),
                 F.when(F.length(v) <= max(map(len, KNOWN_WORDS)), F.array_position(word_array(KNOWN_WORDS), F.lower(v)))
-                .otherwise(0).alias("word"),
+                .otherwise(0).cast("int").alias("word"),
                 # As numbers, since a decimal may read 1.00; booleans were turned into words.
                 (~F.coalesce(F.when(F.length(v) <= 40, v.try_cast("double")).isin(0.0, 1.0) | v.isin("True", "False"),
                              v.isin("True", "False"))).alias("beyond")]
@@ -257,11 +261,14 @@ def _text_measures(cells: DataFrame) -> DataFrame:
     for i in range(len(k.TAG_SEPARATORS)):
         sums += [total(F.col(f"parts{i}") > 1).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
                  F.sum(F.col(inner[i]) * n).alias(f"inner{i}")]
-    word = F.col("word")
+    place = F.when(F.col("word") == 0, len(KNOWN_WORDS)).otherwise(F.col("word") - 1)
     for m in _MASKS:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (word - 1 - m * _BITS).cast("int"))
-        sums.append(F.bit_or(F.when((word > m * _BITS) & (word <= (m + 1) * _BITS), bit).otherwise(0)).alias(f"words{m}"))
-    sums += [total(word == 0).alias("n_other"), total(F.col("beyond")).alias("n_beyond")]
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") - m * _BITS)
+        inside = F.when(F.floor(F.col("place") / _BITS) == m, bit).otherwise(F.lit(0).cast("long"))
+        if len(_SEEN) - 1 in range(m * _BITS, (m + 1) * _BITS):
+            inside = inside.bitwiseOR(F.when(F.col("beyond"), F.lit(1 << (len(_SEEN) - 1 - m * _BITS))).otherwise(0))
+        flags = flags.withColumn("place", place).withColumn(f"words{m}", inside)
+        sums.append(F.bit_or(f"words{m}").alias(f"words{m}"))
     return flags.groupBy("name").agg(*sums)
 
 
@@ -270,7 +277,8 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
     known = [c for c in columns if c.kind in ("number", "text") and c.n_filled > 0]
     small = [c for c in known if c.small]
     wide_text = [c for c in known if c.kind == "text" and not c.small]
-    wide = [c for c in columns if c.kind != "other" and not c.small]
+    # Values of nested types are counted, not judged, and so never stand in the table of values.
+    wide = [c for c in columns if c.countable and (not c.small or (c.kind == "other" and c.n_filled > 0))]
     # Dates are never judged by their values; their distinct count is only reported.
     small_dates = [c for c in columns if c.kind == "datetime" and c.small and c.n_filled > 0]
 
@@ -297,7 +305,7 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
     schema = ("n_values long, n_number long, length long, "
               + "".join(f"dates{i} long, " for i in range(len(DATE_HINTS)))
               + "".join(f"hits{i} long, parts{i} long, inner{i} long, " for i in range(len(k.TAG_SEPARATORS)))
-              + "".join(f"words{m} long, " for m in _MASKS) + "n_other long, n_beyond long, position int, n_distinct long")
+              + "".join(f"words{m} long, " for m in _MASKS) + "position int, n_distinct long")
     rows: dict[int, dict] = {}
     if branches:
         # One job, so that the branches run side by side.
@@ -310,11 +318,10 @@ def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str)
 
 
 def _words() -> Column:
-    """The known words a column holds, and one that stands for all others if it holds any."""
+    """The known words a column holds, and those that stand for all others and for values besides zero and one."""
     bit = [F.call_function("shiftright", F.col(f"words{i // _BITS}"), F.lit(i % _BITS)).bitwiseAND(F.lit(1).cast("long")) == 1
-           for i in range(len(KNOWN_WORDS))]
-    held = F.array(*[F.when(b, F.lit(w)) for b, w in zip(bit, KNOWN_WORDS)], F.when(F.col("n_other") > 0, F.lit(_OTHER)))
-    return F.array_compact(held)
+           for i in range(len(_SEEN))]
+    return F.array_compact(F.array(*[F.when(b, F.lit(w)) for b, w in zip(bit, _SEEN)]))
 
 
 # ---- the rules ----------------------------------------------------------------------------------------------------
@@ -323,7 +330,8 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
     """Semantic type of each column from its measures; the first rule that holds wins."""
     n_values = F.col("n_filled")
     share = lambda c: F.coalesce(F.try_divide(F.col(c), n_values), F.lit(0.0))
-    m = m.withColumn("words", F.when(F.col("n_other").isNotNull(), _words()))
+    m = m.withColumn("seen", F.when(F.col("words0").isNotNull(), _words())).withColumn(
+        "words", F.array_remove("seen", _BEYOND))
     spoken = F.array_except("words", word_array(["nan", ""]))
     yes, no = F.array_intersect(spoken, word_array(k.TRUE_WORDS)), F.array_intersect(spoken, word_array(k.FALSE_WORDS))
     is_boolean = (F.size(spoken).between(1, k.MAX_BOOLEAN_WORDS) & (F.size(yes) > 0) & (F.size(no) > 0)
@@ -341,7 +349,7 @@ def _decide(m: DataFrame, prose_guard: bool = False) -> DataFrame:
 
     separator = F.coalesce(*[F.when(separates(i, sep), F.lit(i)) for i, sep in enumerate(k.TAG_SEPARATORS)])
     inner_mean = F.get(F.array(*[share(f"inner{i}") for i in range(len(k.TAG_SEPARATORS))]), F.col("sep_index"))
-    zero_one = (F.col("n_unique") == 2) & (F.col("n_beyond") == 0)
+    zero_one = (F.col("n_unique") == 2) & ~F.array_contains("seen", _BEYOND)
     text, number = F.col("kind") == "text", F.col("kind") == "number"
     few = F.col("n_unique") <= categorical_threshold(F.col("n_total"))
     scattered = F.try_divide(F.col("n_unique"), F.col("n_total")) > k.IDENTIFIER_SHARE

@@ -16,7 +16,7 @@ from .plans import statistics as d
 from .plans import guided
 from .plans.dataset import Dataset
 from .plans.features import engineer
-from .plans.profiling import profile
+from .plans.profiling import profile, profile_values
 from .plans.quality import quality_report
 from .session import checkpoint_root, local_rows
 from .sources import readers
@@ -490,12 +490,14 @@ def suggested_analyses(spark, folder):
 
 
 @query
-def updated_descriptions(spark, folder):
-    """Descriptions after an update that drops one column and adds another."""
+def updated_view(spark, folder):
+    """The view of a dataset after an update that drops one column and adds another, with the kept descriptions."""
     o = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    old = Dataset.of(o, {"o_orderkey": "key", "o_orderstatus": "state"})
+    old = Dataset.of(o, {"o_orderkey": "key", "o_orderstatus": "state"}, view="updated_orders", distinct="approx")
     new = old.update(transforms.to_boolean(o, "o_orderstatus", ["F"], "done").drop("o_orderstatus"))
-    return new.descriptions_table()
+    notes = new.descriptions_table().where("description <> ''").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "description"))), ";")).scalar()
+    return spark.table("updated_orders").withColumn("notes", notes)
 
 
 @query
@@ -530,6 +532,96 @@ def quality_report_raw_orders(spark, folder):
     return rounded(quality_report(raw_orders(spark, folder)), 9, "ratio")
 
 
+@query
+def profile_values_raw_orders(spark, folder):
+    raw = raw_orders(spark, folder)
+    return profile_values(raw, profile(raw))
+
+
+@query
+def profile_values_documents(spark, folder):
+    """All tags of the texts too, far more than a profile lists."""
+    docs = table(spark, folder, "documents")
+    return profile_values(docs, profile(docs, distinct="approx"))
+
+
+@query
+def profile_embeddings(spark, folder):
+    return flat_profile(profile(table(spark, folder, "embeddings")))
+
+
+@query
+def dataset_summary_lines(spark, folder):
+    """The summary's lines up to the first rows, which any rows may be."""
+    o = table(spark, folder, "orders")
+    text = d.dataset_summary(o, profile(o), max_rows=0)
+    lines = text.split("\n\nFirst")[0].split("\n")
+    return local_rows(spark, list(enumerate(lines)), "place int, line string")
+
+
+# ---- missing numbers -----------------------------------------------------------------------------------------------
+
+def with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose price class is NaN where the order is pending."""
+    price = F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(
+        F.floor(F.col("o_totalprice") / 100_000) % 3).cast("double")
+    flag = F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise((F.col("o_orderstatus") == "F").cast("double"))
+    return table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", price.alias("price"), flag.alias("flag"))
+
+
+@query
+def encode_label_with_nan(spark, folder):
+    return encode.encode_label(with_nan(spark, folder), "price", "code").select("o_orderkey", "code")
+
+
+@query
+def encode_frequency_with_nan(spark, folder):
+    found = encode.encode_frequency(with_nan(spark, folder), "price", "share").select("o_orderkey", "share")
+    return rounded(found, 9, "share")
+
+
+@query
+def encode_onehot_with_nan(spark, folder):
+    found = encode.encode_onehot(with_nan(spark, folder), "price", "p")
+    return found.select("o_orderkey", *[F.col(f"`p_{v}.0`").alias(f"p{v}") for v in range(3)])
+
+
+@query
+def distribution_with_nan(spark, folder):
+    return rounded(tables.value_distribution(with_nan(spark, folder), "price"), 9, "share")
+
+
+@query
+def crosstab_with_nan(spark, folder):
+    return tables.crosstab_long(with_nan(spark, folder), "o_orderpriority", "price")
+
+
+@query
+def share_with_nan(spark, folder):
+    return rounded(tables.share_by_group(with_nan(spark, folder), "o_orderpriority", "price"), 9, "share")
+
+
+@query
+def fill_mean_with_nan(spark, folder):
+    filled = clean.fill_missing(with_nan(spark, folder), method="mean", columns=["price"])
+    return rounded(filled.select("o_orderkey", "price"), 6, "price")
+
+
+@query
+def engineer_with_nan(spark, folder):
+    o = with_nan(spark, folder).select("o_orderkey", "flag")
+    return engineer(o, profile(o, distinct="approx"))
+
+
+@query
+def encode_onehot_case(spark, folder):
+    """Values that differ in case only keep columns that can be written and read again."""
+    raw = raw_orders(spark, folder).select(F.col("Order ID").alias("order_id"), "level")
+    path = f"{checkpoint_root(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+    encode.encode_onehot(raw, "level", "is").drop("level").write.parquet(path)
+    return spark.read.parquet(path).withColumnRenamed("is_ low ", "is_low")
+
+
 # ---- engineering --------------------------------------------------------------------------------------------------
 
 @query
@@ -599,3 +691,31 @@ def json_round_trip(spark, folder):
 def xml_round_trip(spark, folder):
     p = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     return readers.load_table(spark, _copy(spark, p, "xml"), "xml", row_tag="row")
+
+
+@query
+def csv_round_trip_documents(spark, folder):
+    """Texts with line breaks, quotes and separators."""
+    return readers.load_table(spark, _copy(spark, table(spark, folder, "documents"), "csv"), "csv")
+
+
+@query
+def tsv_round_trip_documents(spark, folder):
+    return readers.load_table(spark, _copy(spark, table(spark, folder, "documents"), "tsv"), "tsv")
+
+
+@query
+def xml_row_element_found(spark, folder):
+    """The row element is found by the reader."""
+    c = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return readers.load_table(spark, _copy(spark, c, "xml"), "xml")
+
+
+@query
+def json_array(spark, folder):
+    """One array of records over several lines."""
+    n = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    text = F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("*")))), ",\n"), F.lit("\n]"))
+    path = f"{checkpoint_root(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+    n.agg(text.alias("value")).write.text(path)
+    return readers.load_table(spark, path, "json")
