@@ -10,6 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 
 from ..operators import clean, order_statistics, tables, tags
+from ..session import stored
 from .features import engineer
 from .profiling import profile
 from .quality import quality_report
@@ -73,7 +74,11 @@ def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) ->
 
 
 def guided_run(df: DataFrame, distinct: str = "exact") -> GuidedResult:
-    """Audit, clean, engineer and tabulate. A step that fails leaves the table as it was and is noted."""
+    """Audit, clean, engineer and tabulate. A step that fails leaves the table as it was and is noted.
+
+    The cleaned and the engineered table are computed once and stored in the checkpoint folder; so a step that fails on a
+    row is noticed at its end, and the tables of the dashboard read what they need from there.
+    """
     problems: list[str] = []
 
     def attempt(step: str, run: Callable[[], DataFrame], fallback: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def guided_run(df: DataFrame, distinct: str = "exact") -> GuidedResult:
 
     raw_profile = profile(df, distinct)
     report = quality_report(df, raw_profile)
-    cleaned = attempt("clean", lambda: clean_table(df), df)
+    cleaned = attempt("clean", lambda: stored(clean_table(df)), df)
     prof = profile(cleaned, distinct)
-    features = attempt("engineer", lambda: engineer(cleaned, prof), cleaned)
+    features = attempt("engineer", lambda: stored(engineer(cleaned, prof)), cleaned)
     return GuidedResult(report, cleaned, features, prof, dashboard_tables(features, cleaned, prof), tuple(problems))

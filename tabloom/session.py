@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -56,6 +57,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder as Parquet and read from there, column by column as it is needed.
+
+    An error in any row shows here, and what reads the result does not repeat the work above it.
+    """
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation: planned as constants, with a known size and without a job."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

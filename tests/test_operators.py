@@ -371,3 +371,50 @@ def test_merge_rename_fill(spark):
     assert [r.y for r in tl.fill_missing(df, {"y": "?"}).collect()] == ["?", "?", "c"]
     assert tl.drop_missing(df, ["x"]).count() == 2
     assert tl.filter_rows(df, "n > 1").count() == 1
+
+
+def test_missing_is_null_or_nan(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, float("nan")), (3, None), (4, 1.0)], "id int, `a.b` double")
+
+    def read(frame, name):
+        return [r[name] for r in frame.orderBy("id").select(f"`{name}`").collect()]
+
+    assert read(tl.encode_label(df, "a.b", "code"), "code") == [0, 1, -1, -1, 1]
+    assert read(tl.encode_label(df, "a.b", "code", broadcast_rows=0), "code") == [0, 1, -1, -1, 1]
+    assert read(tl.encode_frequency(df, "a.b", "f"), "f") == [1 / 3, 2 / 3, None, None, 2 / 3]
+    assert tl.encode_onehot(df, "a.b", "v").columns == ["id", "a.b", "v_0.0", "v_1.0"]
+    assert sorted((r.value, r.n) for r in tl.value_distribution(df, "a.b").collect()) == [(0.0, 1), (1.0, 2)]
+    assert sorted((r.value, r.n) for r in tl.distributions(df, ["a.b"]).collect()) == [("0.0", 1), ("1.0", 2)]
+    assert tl.scatter_sample(df, "id", "a.b").count() == 3
+    assert tl.crosstab_long(df, "id", "a.b").count() == 3
+    assert read(tl.fill_missing(df, method="mean", columns=["a.b"]), "a.b") == [0.0, 1.0, 2 / 3, 2 / 3, 1.0]
+    empty = spark.createDataFrame([(1, float("nan")), (2, None)], "id int, x double")
+    assert tl.drop_empty_columns(empty).columns == ["id"]
+
+
+def test_names_that_look_the_same(spark, tmp_path):
+    df = spark.createDataFrame([("High", "Rede,rede"), ("high", "x"), ("low", "rede")], "p string, _tags string")
+    out = tl.encode_onehot(df, "p")
+    assert out.columns[2:] == ["p_High", "p_high_2", "p_low"]
+    out.write.parquet(str(tmp_path / "out"))
+    tags = tl.explode_tags(df, "_tags", ",", "t")
+    assert tags.columns == ["p", "_tags", "t_Rede", "t_x"]
+    assert sorted((r["_tags"], r["t_Rede"], r["t_x"]) for r in tags.collect()) == [("Rede,rede", 1, 0), ("rede", 1, 0), ("x", 0, 1)]
+    values = spark.createDataFrame([("b", 1), ("a", 2)], "_value string, _answer int")
+    assert sorted(map(tuple, tl.encode_label(values, "_value", "code").collect())) == [("a", 2, 0), ("b", 1, 1)]
+
+
+def test_pairs_of_a_long_set(spark):
+    words = [f"w{i:03}" for i in range(150)]
+    df = spark.createDataFrame([(",".join(words),), (",".join(words[:3]),), (",".join(words[:3]),)], "v string")
+    pairs = {(r.tag_a, r.tag_b): r.n for r in tl.tag_cooccurrence(df, "v", ",").collect()}
+    assert len(pairs) == 150 * 149 // 2 and all(a < b for a, b in pairs)
+    assert pairs["w000", "w001"] == 3 and pairs["w000", "w149"] == 1
+
+
+def test_filled_trend_of_every_grain(spark):
+    df = spark.sql("SELECT timestamp_ntz'2023-11-30 22:10:00' AS t UNION ALL SELECT timestamp_ntz'2024-03-02 01:00:00'")
+    expected = {"year": 2, "quarter": 2, "month": 5, "week": 14, "day": 94, "hour": 2212}
+    for grain, n in expected.items():
+        rows = tl.time_trend(df, "t", grain, fill=True).collect()
+        assert len(rows) == n and sum(r.n for r in rows) == 2, grain

@@ -149,6 +149,38 @@ def test_guided_run(raw):
         make().count()
 
 
+def test_guided_run_goes_on_after_a_failing_row(raw, monkeypatch):
+    def fail(df, *_):
+        return df.withColumn("bad", F.when(F.rand() >= 0, F.raise_error(F.lit("no such value"))))
+
+    monkeypatch.setattr("tabloom.plans.guided.engineer", fail)
+    run = tl.guided_run(raw)
+    assert len(run.problems) == 1 and "no such value" in run.problems[0]
+    assert run.features.columns == run.cleaned.columns and run.features.count() == 300
+
+
+def test_long_vocabularies_and_spellings(spark):
+    """Nothing about a column depends on how many values it has."""
+    df = spark.range(1500).select(
+        "id", F.concat(F.lit("tag"), "id", F.lit(", t"), F.col("id") + 1).alias("tags"),
+        F.concat(F.lpad(F.lit(""), (F.col("id") % 1100).cast("int"), " "),
+                 F.when(F.col("id") % 2 == 0, "yes").otherwise("No")).alias("answer"),
+        F.concat(F.lpad(F.lit(""), (F.col("id") % 1300).cast("int"), " "),
+                 F.element_at(F.array(F.lit("low"), F.lit("Medium"), F.lit("HIGH")), (F.col("id") % 3 + 1).cast("int")))
+        .alias("level"))
+    p = tl.profile(df)
+    kinds = {r.name: r for r in p.collect()}
+    assert [kinds[c].semantic_type for c in ("tags", "answer", "level")] == ["multi_value_tags", "boolean", "ordinal"]
+    assert kinds["tags"].tag_vocabulary is None and kinds["tags"].n_tags == 3000
+    assert kinds["level"].ordinal_order == ["low", "medium", "high"]
+    values = tl.profile_values(df, p)
+    assert values.where("name = 'tags'").count() == 3000
+    features = tl.engineer(df.select("id", "tags").limit(40), tl.profile(df.select("id", "tags")))
+    assert len(features.columns) == 2 + 80
+    tables = tl.dashboard_tables(df, df, p)
+    assert tables["tags:tags"]().count() == 3000
+
+
 def test_guided_run_goes_on_after_a_failing_step(raw, monkeypatch):
     def fail(*_):
         raise RuntimeError("no")
