@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 
-#: Rows up to which the small side of a join is broadcast; they are counted before, beyond them the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes on disk up to which the small side of a join is broadcast; they are measured before, beyond them the join
+#: shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -49,10 +50,15 @@ def texts_in_arrow(df: DataFrame) -> DataFrame:
     return df
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a written table for broadcast if it has at most ``BROADCAST_ROWS`` rows, else leave the plan to Spark."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """Mark rows of a written table for broadcast if they and its files are small, else leave the plan to Spark."""
+    if df.count() > BROADCAST_ROWS:
+        return df
+    spark, size = df.sparkSession, 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def free_name(columns: Sequence[str], wanted: str) -> str:
