@@ -73,4 +73,14 @@ CATEGORY_TEXT_LENGTH = 80
 
 WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 
+# How a date text starts -> its strftime-like pattern; the first that fits.
+DATE_HINTS = [
+    (r"^\d{4}-\d{2}-\d{2}", "%Y-%m-%d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "%m/%d/%y"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}", "%d-%m-%Y"),
+    ("", "auto"),
+]
+
 # ---- end of fixed values ------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import WEEKDAYS
+from ..constants import DATE_HINTS, WEEKDAYS
 from .text import strip, word_array
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -145,17 +145,6 @@ def parse_dates_as(c: Column, fmt: str) -> Column:
     return F.when(text.rlike(shape), moment)
 
 
-# How a date text starts -> its strftime-like pattern; the first that fits.
-DATE_HINTS = [
-    (r"^\d{4}-\d{2}-\d{2}", "%Y-%m-%d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "%m/%d/%y"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}", "%d-%m-%Y"),
-    ("", "auto"),
-]
-
-
 def date_hint_index(stripped: Column) -> Column:
     """Place in ``DATE_HINTS`` of a stripped date text."""
     found = F
