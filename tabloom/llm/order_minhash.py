@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import local_rows
-from .common import free_name, spread, write_down
+from .common import free_name, spread
 
 #: Units per k-mer, buckets of a fingerprint, k-mers per bucket whose order is kept.
 K, BUCKETS, TUPLE = 3, 64, 2
@@ -117,13 +119,15 @@ def printed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), "")
 
 
-def with_next(df: DataFrame, id_column: str, columns: dict[str, str], order: str) -> DataFrame:
+def with_next(df: DataFrame, id_column: str, columns: dict[str, str], order: str,
+              prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``df`` with, for each pair of ``columns``, the value of its first in the row with the next id; the last row's
     next is the first. Rows of the same id follow each other by ``order``; a null id comes first.
 
     Ids are cut into ranges of about equal numbers of rows by approximate quantiles, of which a bounded number is held.
     A range is one window partition, so ``df`` is shuffled once; the first row of each range is also dealt to the range
-    before it, as the one that follows its last row.
+    before it, as the one that follows its last row. ``prepare`` adds columns row by row before the shuffle; it runs once
+    for each row dealt, not for those looked through for the first rows.
     """
     spark = df.sparkSession
     part, guest = (free_name([*df.columns, *columns.values()], n) for n in ("_range", "_guest"))
@@ -145,7 +149,8 @@ def with_next(df: DataFrame, id_column: str, columns: dict[str, str], order: str
     firsts = [tuple(r) for r in dealt.groupBy(part).agg(F.min(id_column), F.count_if(id_.isNull())).collect()]
     firsts = sorted((p, None if nulls else low) for p, low, nulls in firsts)
     if not firsts:
-        return df.withColumns({new: F.lit(None).cast(df.schema[old].dataType) for old, new in columns.items()})
+        none = prepare(df)
+        return none.withColumns({new: F.lit(None).cast(none.schema[old].dataType) for old, new in columns.items()})
     before = [(p, low, firsts[k - 1][0]) for k, (p, low) in enumerate(firsts)]
     to, low = free_name(df.columns, "_to"), free_name(df.columns, "_low")
     known = F.broadcast(local_rows(spark, before, f"`{part}` int, `{low}` long, `{to}` int"))
@@ -153,7 +158,7 @@ def with_next(df: DataFrame, id_column: str, columns: dict[str, str], order: str
         .select(*(dealt[c] for c in df.columns), F.col(to).alias(part))
     # Of rows that share the lowest id of a range the first by the order is the guest.
     guests = guests.groupBy(part).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*", part)
-    both = dealt.withColumn(guest, F.lit(False)).unionByName(guests.withColumn(guest, F.lit(True)))
+    both = prepare(dealt).withColumn(guest, F.lit(False)).unionByName(prepare(guests).withColumn(guest, F.lit(True)))
     window = Window.partitionBy(part).orderBy(guest, id_column, order)
     both = both.withColumns({new: F.lead(old).over(window) for old, new in columns.items()})
     return both.filter(~F.col(guest)).drop(guest, part)
@@ -169,7 +174,8 @@ def edited_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     read = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text"))
-    found = with_next(with_fingerprint(read, "text", "own"), "doc_id", {"text": "next_text", "own": "next"}, "text")
+    found = with_next(read, "doc_id", {"text": "next_text", "own": "next"}, "text",
+                      lambda rows: with_fingerprint(rows, "text", "own"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     found = found.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(
         F.left("text", F.char_length("text") - half), F.left("next_text", half))).drop("text", "next_text")
