@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import free_name, named, spread
 
 
-def numbered(df: DataFrame, by: Sequence[str], key: Column, rows: int, name: str, each: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], key: Column, rows: int, name: str, each: int = 4_000) -> DataFrame:
     """``df`` with ``name``: the row's number from 0 within its group, without gaps, in the order of a hash of ``key``.
 
     Rows are dealt into slices of the hash. A slice's rows are numbered by a window, the rows of the slices before it

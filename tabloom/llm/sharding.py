@@ -27,7 +27,7 @@ def shard_of(rank: Column, sizes: list[int]) -> Column:
 
 def _start(groups: DataFrame, linked: int, rows: int, shards: int) -> DataFrame:
     """Linked rows dealt over the shards in equal numbers: ``group, shard, n``, a group's rows in one run of numbers."""
-    bits = max(0, (spread(rows, 20_000) - 1).bit_length())
+    bits = max(0, (spread(rows, 4_000) - 1).bit_length())
     cut = groups.withColumn("slice", F.shiftrightunsigned(F.col("mix"), 64 - bits).cast("int") if bits else F.lit(0))
     totals = cut.groupBy("slice").agg(F.sum("n").alias("rows"))
     running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +69,7 @@ def propagate(pieces: DataFrame, capacity: list[int], rounds: int = 30) -> DataF
         count = asking.count()
         if not count:
             break
-        bits = max(0, (spread(count, 20_000) - 1).bit_length())
+        bits = max(0, (spread(count, 4_000) - 1).bit_length())
         cut = asking.withColumn("slice", F.shiftrightunsigned("mix", 64 - bits).cast("int") if bits else F.lit(0))
         running = Window.partitionBy("to").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         starts = cut.groupBy("to", "slice").agg(F.sum("n").alias("rows")).select(
