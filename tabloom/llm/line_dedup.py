@@ -9,6 +9,8 @@ from .common import free_name, named, small, write_down
 
 #: Leading words that choose a leaf, distinct texts in which a template recurs, least share of constant words.
 DEPTH, TEXTS, SIMILAR = 3, 3, 0.5
+#: Ascending shares of a leaf's lines that a word must hold at its place to be constant; one view of a line for each.
+SHARES = (0.0, 0.001, 0.01, 0.1, 0.5)
 _BLANKS = r"[ \t\x0B\f\r]+"
 
 
@@ -43,9 +45,11 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
 
     The tree has a fixed depth: number of words, then the first ``depth`` words, words with a digit being variable from
     the start. Lines that recur as a whole are their own template. The others share a leaf with lines of as many words
-    and the same beginning; there a word is constant at its place if at least ``texts`` lines have it there, otherwise
-    the place is a variable field. Lines with the same constants at the same places have the same template. Templates
-    with less than ``similar`` of their words constant say too little to drop anything. Copies of a text count once.
+    and the same beginning; there a word is constant at its place if at least ``texts`` lines and a share of the leaf's
+    lines have it there, otherwise the place is a variable field. A line is seen at each of ``SHARES``: values of a field
+    that recur in a large leaf are constants at the low ones only, a template that is rare in its leaf keeps its words
+    there. Lines with the same constants at the same places have the same template. Templates with less than ``similar``
+    of their words constant say too little to drop anything. Copies of a text count once.
     """
     lines = write_down(parsed_lines(docs, text_column, depth), "lines")
     telling = lines.filter(F.col("fixed") >= similar * F.col("n"))
@@ -64,12 +68,20 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
     begin = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("word")))
     spots = rest.select("raw", "line", "leaf", "n", led.alias("led"), F.explode(F.concat(begin, body)).alias("s")) \
         .select("raw", "line", "leaf", "n", "led", "s.at", "s.word").filter("word <> 0 OR at < 0")
-    constant = spots.groupBy("leaf", "at", "word").agg(F.count("*").alias("t")).filter(F.col("t") >= texts).drop("t")
+    counted = spots.groupBy("leaf", "at", "word").agg(F.count("*").alias("t")).filter(F.col("t") >= texts)
+    counted = write_down(counted, "lines-counted")
+    sizes = write_down(counted.filter("at < 0").select("leaf", F.col("t").alias("lines")), "lines-sizes")
+    reached = sum(((F.col("t") >= share * F.col("lines")).cast("int") for share in SHARES), F.lit(0))
+    constant = counted.join(small(sizes), "leaf").select("leaf", "at", "word", reached.alias("reached"))
     constant = write_down(constant, "lines-constants")
-    found = spots.join(small(constant), ["leaf", "at", "word"]).groupBy("raw", "line", "leaf", "n", "led").agg(
-        (F.count("*") - 1).alias("held"), F.bit_xor(F.xxhash64("at", "word")).alias("mix"))
-    found = found.filter(F.col("led") + F.col("held") >= similar * F.col("n")) \
-        .select("raw", "line", F.xxhash64("leaf", "mix").alias("template"))
+    views = []
+    for k in range(len(SHARES)):
+        views += [(F.count_if(F.col("reached") > k) - 1).alias(f"held{k}"),
+                  F.bit_xor(F.when(F.col("reached") > k, F.xxhash64("at", "word"))).alias(f"mix{k}")]
+    found = spots.join(small(constant), ["leaf", "at", "word"]).groupBy("raw", "line", "leaf", "n", "led").agg(*views)
+    telling_views = F.array(*(F.when(F.col("led") + F.col(f"held{k}") >= similar * F.col("n"), F.xxhash64("leaf", f"mix{k}"))
+                              for k in range(len(SHARES))))
+    found = found.select("raw", "line", F.explode(F.array_distinct(F.array_compact(telling_views))).alias("template"))
     found = write_down(found, "lines-templates")
     general = found.join(small(write_down(_recurring(found, "template", texts), "lines-general")), "template", "left_semi")
     return exact.unionByName(general.select("raw", "line")).distinct()

@@ -157,6 +157,7 @@ def test_next_row_over_many_ranges(spark, monkeypatch):
     assert {(r["t"], r["following"]) for r in got} == expected and len(got) == len(ids)
 
 
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 LINES = [
     (1, "Posted here by anna on 12 may\nunique words of the first text\nAll rights reserved"),
     (2, "Posted here by bert on 13 june\nother things are said here now\nAll rights reserved"),
@@ -185,6 +186,18 @@ def test_lines_of_awkward_rows(awkward):
     assert len(rows) == len(AWKWARD)
 
 
+@pytest.mark.parametrize("values", [6, 20, 50])
+def test_lines_with_recurring_field_values(documents, values):
+    """A template's fields stay fields however many lines hold each value; other lines of the leaf stay."""
+    posts = [f"Posted here by name{chr(97 + i // 26)}{chr(97 + i % 26)} from city{chr(97 + j // 26)}{chr(97 + j % 26)} "
+             f"for our readers" for i in range(values) for j in range(values)]
+    own = [" ".join(["Posted here by", *("w" + hashlib.md5(f"{i}/{k}".encode()).hexdigest().translate(LETTERS)
+                                         for k in range(6))]) for i in range(len(posts))]
+    texts = [f"{p}\n{o}" for p, o in zip(posts, own)]
+    rows = line_dedup.clean_lines(documents(list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(own))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><nav><ul><li>menu</ul></nav>
 <main><article><header><h1>Title &amp; more</h1><p class="byline">by X</p></header><p>One&nbsp;two<br>three <b>bold</b></p>
