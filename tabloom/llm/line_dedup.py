@@ -18,20 +18,23 @@ def _text(column: str) -> Column:
     return F.coalesce(named(column), F.lit(""))
 
 
-def parsed_lines(docs: DataFrame, text_column: str, depth: int) -> DataFrame:
+def parsed_lines(docs: DataFrame, text_column: str, depth: int, similar: float = SIMILAR) -> DataFrame:
     """``raw, line, n, fixed, leaf, whole, words`` per line with any word; words are hashes, those with a digit zero.
 
-    ``raw`` is a hash of the text the line is in, ``whole`` of its masked words, ``leaf`` of their number and the first
-    ``depth`` of them; ``fixed`` counts words that are not masked.
+    ``raw`` is a hash of the text the line is in, ``leaf`` of the number of its words and the first ``depth`` of them
+    masked; ``fixed`` counts words that are not masked. ``whole`` is a hash of the masked words, or of the words as they
+    are where less than ``similar`` of them would be left.
     """
     read = docs.select(F.xxhash64(_text(text_column)).alias("raw"),
                        F.posexplode(F.split(_text(text_column), "\n")).alias("line", "own"))
-    words = F.transform(F.filter(F.split("own", _BLANKS), lambda w: w != ""),
-                        lambda w: F.when(w.rlike("[0-9]"), F.lit(0)).otherwise(F.hash(w)))
-    read = read.select("raw", "line", words.alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    fixed = F.size(F.filter("words", lambda w: w != 0))
-    return read.select("raw", "line", "n", fixed.alias("fixed"), F.xxhash64("n", F.slice("words", 1, depth)).alias("leaf"),
-                       F.xxhash64("words").alias("whole"), "words")
+    own = F.filter(F.split("own", _BLANKS), lambda w: w != "")
+    words = F.transform(own, lambda w: F.when(w.rlike("[0-9]"), F.lit(0)).otherwise(F.hash(w)))
+    read = read.select("raw", "line", words.alias("words"), F.xxhash64(own).alias("verbatim"))
+    read = read.withColumn("n", F.size("words")).filter("n > 0")
+    read = read.withColumn("fixed", F.size(F.filter("words", lambda w: w != 0)))
+    whole = F.when(F.col("fixed") >= similar * F.col("n"), F.xxhash64("words")).otherwise(F.col("verbatim"))
+    return read.select("raw", "line", "n", "fixed", F.xxhash64("n", F.slice("words", 1, depth)).alias("leaf"),
+                       whole.alias("whole"), "words")
 
 
 def _recurring(rows: DataFrame, key: str, texts: int) -> DataFrame:
@@ -44,17 +47,19 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
     """``raw, line``: the lines of ``docs`` whose template recurs in at least ``texts`` distinct texts.
 
     The tree has a fixed depth: number of words, then the first ``depth`` words, words with a digit being variable from
-    the start. Lines that recur as a whole are their own template. The others share a leaf with lines of as many words
+    the start. Lines that recur as a whole are their own template; those of which less than ``similar`` would be constant
+    recur if all their words do, digits included, unless none is free of digits. The others share a leaf with lines of as many words
     and the same beginning; there a word is constant at its place if at least ``texts`` lines and a share of the leaf's
     lines have it there, otherwise the place is a variable field. A line is seen at each of ``SHARES``: values of a field
     that recur in a large leaf are constants at the low ones only, a template that is rare in its leaf keeps its words
     there. Lines with the same constants at the same places have the same template. Templates with less than ``similar``
     of their words constant say too little to drop anything. Copies of a text count once.
     """
-    lines = write_down(parsed_lines(docs, text_column, depth), "lines")
+    lines = write_down(parsed_lines(docs, text_column, depth, similar), "lines")
     telling = lines.filter(F.col("fixed") >= similar * F.col("n"))
-    whole = write_down(_recurring(telling, "whole", texts), "lines-whole")
-    exact = telling.select("raw", "line", "whole").join(small(whole), "whole", "left_semi").select("raw", "line")
+    worded = lines.filter((F.col("fixed") >= similar * F.col("n")) | (F.col("fixed") > 0))
+    whole = write_down(_recurring(worded, "whole", texts), "lines-whole")
+    exact = worded.select("raw", "line", "whole").join(small(whole), "whole", "left_semi").select("raw", "line")
 
     rest = lines.filter(F.col("n") > depth)
     shared = write_down(_recurring(telling.select("leaf", "raw", "whole").filter(F.col("n") > depth)
