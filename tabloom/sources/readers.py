@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,21 +68,29 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-#: Characters of a line that are looked at to tell how a table is to be read.
+#: Characters of a line that are looked at to order the columns of a JSON array and to find the row element of XML.
 LINE_LENGTH = 100_000
+_BLANK = "\ufeff \t\r\n"
+#: A string of JSON, with the colon after it if it is a name. Strings are taken whole, so that each character is read once.
+_JSON_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"(?:\s*:)?|\\?\z)'
 
 
-def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """First lines of the first file by name that is not empty, cut to ``LINE_LENGTH`` characters by the task that reads
-    them. Spark itself would start with the largest file; sizes are asked of the file system, without a job."""
+def _first_rows(spark: SparkSession, path: str, n: int, *facts: Column) -> list[Row]:
+    """``facts`` of the first lines (``value``) of the first file by name that is not empty, by the task that reads them.
+    Spark itself would start with the largest file; sizes are asked of the file system, without a job."""
     for file in sorted(spark.read.text(path).inputFiles()):
         place = spark._jvm.org.apache.hadoop.fs.Path(unquote(file))
         if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getLen():
-            lines = spark.read.text(unquote(file)).select(F.left("value", F.lit(LINE_LENGTH)))
-            return [r[0].removeprefix("\ufeff") for r in lines.limit(n).collect()]
+            return spark.read.text(unquote(file)).select(*facts).limit(n).collect()
     return []
 
 
+def _first_lines(spark: SparkSession, path: str, n: int, length: int | None = None) -> list[str]:
+    """First lines of the first file by name that is not empty, cut to ``length`` characters if given."""
+    value = F.col("value") if length is None else F.left("value", F.lit(length))
+    return [r[0].removeprefix("\ufeff") for r in _first_rows(spark, path, n, value)]
+
+
 def _broken_files(spark: SparkSession, path: str) -> list[str]:
     """Files with a line that leaves a quote open: one of their cells holds a line break, or a stray quote.
 
@@ -212,21 +220,21 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
     JSON lines are split between tasks; an array is one task per file. Column-oriented JSON is an error.
     """
-    lines = [line for line in _first_lines(spark, path, 200) if line.strip()]
-    if not lines:
+    ends = F.trim("value", F.lit(_BLANK))
+    ends = [tuple(r) for r in _first_rows(spark, path, 200, F.left(ends, F.lit(1)), F.right(ends, F.lit(1))) if r[0]]
+    if not ends:
         raise ValueError(f"{path} is empty")
-    start = lines[0].strip()
-    per_line = start.startswith("{") and start.endswith("}")
+    per_line = ends[0] == ("{", "}")
     df = spark.read.option("multiLine", not per_line).json(path)
     nested = [f for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType))]
-    if "_corrupt_record" in df.columns or (not start.startswith("[") and df.columns and len(nested) == len(df.columns)):
+    if "_corrupt_record" in df.columns or (ends[0][0] != "[" and df.columns and len(nested) == len(df.columns)):
         raise ValueError(f"{path}: only JSON lines and arrays of records can be read; column-oriented JSON is one "
                          "value that cannot be split into rows")
     # Spark sorts the fields; take the order in which the first records name them.
-    order: dict[str, None] = {}
-    for key in re.findall(r'"((?:[^"\\]|\\.)*)"\s*:', "\n".join(lines)):
-        if key in df.columns:
-            order.setdefault(key)
+    lines = F.col("value") if per_line else F.left("value", F.lit(LINE_LENGTH))
+    names = F.filter(F.regexp_extract_all(lines, F.lit(_JSON_STRING), F.lit(0)), lambda s: F.endswith(s, F.lit(":")))
+    keys = F.array_intersect(F.transform(names, lambda s: F.regexp_replace(s, r'^"|"\s*:$', "")), F.lit(df.columns))
+    order = dict.fromkeys(key for r in _first_rows(spark, path, 200, keys) for key in r[0])
     ordered = [*order, *[c for c in df.columns if c not in order]]
     return dates_by_name(df.select(*[F.col(f"`{c}`") for c in ordered]))
 
@@ -240,7 +248,7 @@ def find_row_tag(lines: list[str]) -> str | None:
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
     """XML with one element per row; the row element is the first one below the root unless named."""
-    tag = row_tag or find_row_tag(_first_lines(spark, path, 50))
+    tag = row_tag or find_row_tag(_first_lines(spark, path, 50, LINE_LENGTH))
     if tag is None:
         raise ValueError(f"{path}: no row element found; pass row_tag")
     df = spark.read.format("xml").options(rowTag=tag, inferSchema=False, attributePrefix="").load(path)

@@ -161,3 +161,20 @@ def test_line_breaks_in_cells(spark, tmp_path):
     back = str(tmp_path / "out")
     tl.save_table(df, back, "tsv")
     assert sorted(map(tuple, tl.load_table(spark, back, "tsv").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_json_lines_after_a_long_record(spark, tmp_path):
+    """What a file is rests on whole lines, however long the first one is."""
+    rows = [{"z": 1, "text": 'x "a": ' * 30_000, "b": 2, "a": 3}, {"z": 4, "text": "short", "b": 5, "a": 6}]
+    for name, first in (("l.json", rows), ("one.json", rows[:1])):
+        df = tl.load_table(spark, write(tmp_path / name, "\ufeff" + "\n".join(map(json.dumps, first)) + "\n"))
+        assert df.columns == ["z", "text", "b", "a"]
+        assert [r.asDict() for r in df.orderBy("z").collect()] == first
+
+
+def test_csv_with_a_long_header(spark, tmp_path):
+    names = [f"{letter * 30_000}_{letter}" for letter in "abcde"]
+    path = write(tmp_path / "w.csv", ",".join(names) + "\n1,2,3,4,5\n")
+    for df in (tl.read_csv(spark, path), tl.read_csv_under_header(spark, path)):
+        assert df.columns == names
+        assert [tuple(r) for r in df.collect()] == [(1, 2, 3, 4, 5)]
