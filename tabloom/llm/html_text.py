@@ -41,8 +41,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Containers of which one inside an article is deleted if it recurs; outside of it any element is.
 CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset hgroup".split())
 
-#: A subtree recurs if it stands on this many different pages of a host and on this share of them.
-PAGES, SHARE = 4, 0.05
+#: A subtree recurs if it stands on this many different pages of a host, however many the host has.
+PAGES = 4
 
 _TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)"
                   r"(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
@@ -255,7 +255,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, hosts, hashes = [], [], []
         for page, host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = [0, *subtrees(text.as_py() or "")]  # zero stands for the page itself
+            found = subtrees(text.as_py() or "")
             pages += [page] * len(found)
             hosts += [host] * len(found)
             hashes += found
@@ -271,12 +271,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = PAGES) -> DataFrame:
     """One row per row of ``pages`` (``page_id, url, html``): ``page_id, url, text, n_chars``.
 
-    Element subtrees are hashed and counted per host; those on at least ``least_pages`` different pages and a
-    ``least_share`` of a host's pages are the site's template and are deleted, besides the elements that never are
-    content. Copies of a page count once. Inside an article only containers are deleted for recurring: its paragraphs
+    Element subtrees are hashed and counted per host; those on at least ``least_pages`` different pages of
+    a host are the site's template and are deleted, besides the elements that never are content. Copies of a page count once. Inside an article only containers are deleted for recurring: its paragraphs
     and headings are what the article says. Null pages are empty, a null address is a host of its own; rows that repeat
     give equal texts; other columns are not read. An empty table gives an empty result.
 
@@ -288,11 +287,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = PAGES, least_share: f
     read = texts_in_arrow(pages).select(page.alias("page"), F.xxhash64(host).alias("host"), "html")
     found = read.mapInArrow(_subtrees, "page long, host long, subtree long").distinct()
     found = write_down(found, "html-subtrees")
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = write_down(counts.filter(f"n >= {int(least_pages)} OR subtree = 0"), "html-counts")
-    totals = small(counts.filter("subtree = 0").select("host", F.col("n").alias("pages")))
-    template = counts.filter(f"subtree <> 0 AND n >= {int(least_pages)}").join(totals, "host") \
-        .filter(F.col("n") >= F.lit(least_share) * F.col("pages")).select("host", "subtree")
+    template = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= int(least_pages))
+    template = template.select("host", "subtree")
     held = found.join(small(write_down(template, "html-template")), ["host", "subtree"], "left_semi")
     held = write_down(held.groupBy("page").agg(F.collect_list("subtree").alias("gone")), "html-gone")
     key = free_name(["page_id", "url", "html", "gone"], "page")

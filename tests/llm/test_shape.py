@@ -224,6 +224,18 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_template_of_few_pages_of_a_large_host(spark):
+    """A box on 2 % of a host's pages is a template, without a telling name and within an article too."""
+    rows = []
+    for i in range(300):
+        box = f"<div class=q{i % 50}>Visit shop {i % 50}</div>"
+        own = f"<p>story {i}</p>"
+        rows.append((i, "http://a.example/", f"<article>{own}{box}</article>" if i % 4 < 2 else f"<body>{own}{box}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).collect()}
+    assert got == {i: f"story {i}" for i in range(300)}
+
+
 def test_pages(spark):
     """Boxes that only recur are deleted by the count; the article's own recurring paragraph stays."""
     def page(i, box):
