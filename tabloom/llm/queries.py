@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, line_dedup, mixing, order_minhash, quality, sharding, simhash
+from . import (
+    bpe,
+    chat,
+    exact_dedup,
+    html_text,
+    line_dedup,
+    mixing,
+    order_minhash,
+    packing,
+    quality,
+    search,
+    sharding,
+    simhash,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +174,52 @@ FROM documents d JOIN split s ON coalesce(d.text, '') = s.t LEFT JOIN per_text p
 @query
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    own = whitening.whiten(table(spark, folder, "embeddings"), components=16, weights="one")
+    return own.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.PATTERN, capacity=1024, end=2)
+    return packed.drop("ids")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), most=10)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS row
+  FROM documents),
+asked AS (
+  SELECT item_id, row, term, count(*) AS repeats FROM (
+    SELECT item_id, row_number() OVER () AS row, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+whole AS (SELECT count(*) AS nn, sum(len(terms))::BIGINT AS ll FROM words WHERE len(terms) > 0),
+postings AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (
+    SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM words) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, nn),
+scores AS (
+  SELECT a.row, a.item_id, p.row AS doc, p.doc_id,
+    sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+  FROM asked a JOIN postings p ON a.term = p.term JOIN weights w ON w.term = p.term, whole
+  GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
