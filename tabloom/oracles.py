@@ -676,3 +676,15 @@ ORACLES["tsv_round_trip_documents"] = "SELECT * FROM documents"
 ORACLES["xml_row_element_found"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
 
 ORACLES["json_array"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+ORACLES["csv_one_file_documents"] = "SELECT * FROM documents"
+
+ORACLES["csv_other_column_orders"] = """
+SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderpriority END AS o_orderpriority
+FROM orders"""
+
+ORACLES["csv_header_over_two_rows_documents"] = """
+SELECT doc_id AS document_key, text AS document_text, lang AS where_from_language, source AS where_from_source,
+  n_chars AS size_characters FROM documents"""
+
+ORACLES["json_mixed_layouts"] = "SELECT * FROM documents"

@@ -719,3 +719,55 @@ def json_array(spark, folder):
     path = f"{checkpoint_root(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
     n.agg(text.alias("value")).write.text(path)
     return readers.load_table(spark, path, "json")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+
+
+@query
+def csv_one_file_documents(spark, folder):
+    """All documents in one file whose cells hold line breaks; its splits are tasks of their own."""
+    return readers.load_table(spark, _copy(spark, table(spark, folder, "documents").coalesce(1), "csv"), "csv")
+
+
+@query
+def csv_other_column_orders(spark, folder):
+    """A folder of files that name their columns in another order; one of them lacks a column."""
+    o, path = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), _folder(spark)
+    first, second, third = (o.filter(F.pmod("o_orderkey", F.lit(3)) == k) for k in range(3))
+    save_table(first, path, "csv")
+    save_table(second.select("o_orderpriority", "o_totalprice", "o_orderkey", "o_custkey"), path, "csv", "append")
+    save_table(third.select("o_custkey", "o_orderkey", "o_totalprice"), path, "csv", "append")
+    return readers.load_table(spark, path, "csv")
+
+
+@query
+def csv_header_over_two_rows_documents(spark, folder):
+    """Titles in two rows above texts with line breaks, quotes and separators."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, folder, "documents").select(
+        F.concat_ws(",", F.col("doc_id").cast("string"), quoted, "lang", "source", F.col("n_chars").cast("string")).alias("value"))
+    titles = local_rows(spark, [('Document,,"Where\nfrom",,Size',), ("Key,Text,Language,Source,Characters",)],
+                        "value string").coalesce(1)
+    path = _folder(spark)
+    titles.unionAll(rows).write.text(path)
+    return readers.read_csv_under_header(spark, path, 2)
+
+
+@query
+def json_mixed_layouts(spark, folder):
+    """One folder of records per line, arrays over lines, arrays of one line, and records laid out over lines."""
+    docs, path = table(spark, folder, "documents"), _folder(spark)
+    parts = [docs.filter(F.pmod("doc_id", F.lit(4)) == k) for k in range(4)]
+    save_table(parts[0], path, "json")
+    compact = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    pretty = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"})
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.col("value")))), lambda r: r["value"])
+    for part, text, glue, ends in ((parts[1], compact, ",\n", ("[\n", "\n]")), (parts[2], compact, ", ", ("[", "]")),
+                                   (parts[3], pretty, "\n", ("", ""))):
+        # Some files of each layout, each of them a value of one row.
+        rows = part.select("doc_id", text.alias("value")).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("file"))
+        whole = rows.agg(F.concat(F.lit(ends[0]), F.array_join(in_order, glue), F.lit(ends[1])).alias("value"))
+        whole.repartition(64, "file").select("value").write.mode("append").text(path)
+    return readers.load_table(spark, path, "json")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Callable
+from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -12,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..constants import WHITESPACE
 from ..functions import name_key, parse_dates, strip, unlike_names
 from ..operators.clean import clean_names, merged_header
+from ..session import local_rows
+from . import splits
 from .workbook import read_workbooks
 
 # ---- fixed values: texts that stand for a missing cell, besides the empty one -----------------------------------------
@@ -68,7 +73,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-#: Characters of a line that are looked at to order the columns of a JSON array and to find the row element of XML.
+#: Characters of a line that are looked at to find the row element of XML.
 LINE_LENGTH = 100_000
 _BLANK = "\ufeff \t\r\n"
 #: A string of JSON, with the colon after it if it is a name. Strings are taken whole, so that each character is read once.
@@ -91,15 +96,28 @@ def _first_lines(spark: SparkSession, path: str, n: int, length: int | None = No
     return [r[0].removeprefix("\ufeff") for r in _first_rows(spark, path, n, value)]
 
 
-def _broken_files(spark: SparkSession, path: str) -> list[str]:
-    """Files with a line that leaves a quote open: one of their cells holds a line break, or a stray quote.
+def _csv_files(spark: SparkSession, path: str, look: bool) -> list[tuple[str, bool, str]]:
+    """Each file of ``path`` that is not blank: ``file, broken, first line``. ``look`` for lines that leave a quote open:
+    a cell of the file holds a line break, or a stray quote.
 
-    One distributed count per file; only the names of such files reach the driver.
+    One count per file over all lines; with more than one file another scan for their first lines. What reaches the driver
+    is one row per file.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (quotes % 2).alias("odd"))
-    odd = lines.groupBy("file").agg(F.max("odd").alias("odd")).where("odd = 1")
-    return sorted(_plain_path(r["file"]) for r in odd.collect())
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place"),
+        (F.col("_metadata.file_block_start") == 0).alias("top"))
+    some = F.length(F.trim("value")) > 0
+    if not look and len(lines.inputFiles()) == 1:
+        return [(lines.inputFiles()[0], False, line) for line in _first_lines(spark, path, 1)]
+    seen = lines.filter(some).groupBy("file").agg(
+        F.max((quotes % 2 if look else F.lit(0)) == 1).alias("odd"), F.min(F.when(F.col("top"), F.col("place"))).alias("place"))
+    found = [r for r in seen.collect() if r["place"] is not None]
+    if len(found) == 1 and len(lines.inputFiles()) == 1:
+        return [(found[0]["file"], found[0]["odd"], line) for line in _first_lines(spark, path, 1)]
+    places = local_rows(spark, [(r["file"], r["place"], r["odd"]) for r in found], "file string, place long, odd boolean")
+    firsts = lines.join(F.broadcast(places), ["file", "place"]).select("file", "odd", F.ltrim("value", F.lit("\ufeff")))
+    return sorted(tuple(r) for r in firsts.collect())
 
 
 def _plain_path(uri: str) -> str:
@@ -108,7 +126,8 @@ def _plain_path(uri: str) -> str:
 
 def _header_names(line: str, sep: str, key: Callable[[str], str] = str.lower) -> list[str]:
     """Names of a header line; missing ones become ``_c{i}``, those that look the same to the session get ``_2``, ``_3``."""
-    names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([line], delimiter=sep), []))]
+    cells = next(csv.reader(io.StringIO(line, newline=""), delimiter=sep), [])
+    names = [name or f"_c{i}" for i, name in enumerate(cells)]
     return unlike_names(names, key)
 
 
@@ -117,30 +136,46 @@ def sniff_separator(line: str) -> str:
     return next((s for s in ("\t", ";") if s in line), ",")
 
 
+def _csv_cells(spark: SparkSession, files: list[str], broken: list[str], sep: str, width: int, header: bool) -> DataFrame:
+    """Cells ``c0, c1, …`` of CSV files without their header line; those of ``broken`` files may hold line breaks."""
+    # As many columns as the header has, whatever the rows below it hold.
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    options = dict(sep=sep, quote='"', escape='"', encoding="UTF-8")
+    parts = []
+    if files:
+        parts.append(spark.read.csv(files, header=header, schema=schema, enforceSchema=True, **options))
+    if broken:
+        own = splits.records(spark, broken, splits.CsvScanner(sep))
+        own = own.filter(~F.col("first")) if header else own
+        parsed = F.from_csv("record", schema.toDDL(), {**options, "multiLine": "true"}).alias("r")
+        parts.append(own.select(parsed).select("r.*"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True,
              multi_line: bool | None = None) -> DataFrame:
-    """CSV with a header line; the separator is judged from the first line.
+    """CSV with a header line in each file; the separator is judged from the first one.
 
-    Cells may hold line breaks inside quotes. Files that have such cells are found by counting the quotes of their lines;
-    each of them is one task, all others are split. ``multi_line`` says for all files instead whether cells may.
+    Files may name their columns in another order or have others: cells go by name, columns a file lacks are null. Cells
+    may hold line breaks inside quotes. Files that have such cells are found by counting the quotes of their lines, and
+    their records are put together over line ends and splits (``splits``); all others are parsed line by line.
+    ``multi_line`` says for all files instead whether cells may hold line breaks.
     """
-    line = next(iter(_first_lines(spark, path, 1)), "")
-    sep = sep or sniff_separator(line)
-    broken = _broken_files(spark, path) if multi_line is None else []
-    if line.count('"') % 2:
-        # The header itself holds a line break.
-        line = sep.join(f'"{c}"' for c in spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True).columns)
-    names = _header_names(line, sep, name_key(spark))
-    # As many columns as the header has, whatever the rows below it hold.
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = dict(sep=sep, header=True, quote='"', escape='"', encoding="UTF-8", schema=schema, enforceSchema=True)
-    if broken:
-        whole = spark.read.csv(broken, multiLine=True, **options)
-        rest = sorted({_plain_path(f) for f in spark.read.text(path).inputFiles()} - set(broken))
-        df = whole.unionAll(spark.read.csv(rest, **options)) if rest else whole
-    else:
-        df = spark.read.csv(path, multiLine=bool(multi_line), **options)
-    df = df.toDF(*names)
+    files = _csv_files(spark, path, multi_line is None)
+    key = name_key(spark)
+    if not files:
+        return spark.createDataFrame([], T.StructType([]))
+    sep = sep or sniff_separator(files[0][2])
+    groups: dict[tuple[str, ...], tuple[list[str], list[str]]] = {}
+    for file, odd, line in files:
+        broken = odd or bool(multi_line)
+        if broken and line.count('"') % 2:  # the header itself holds a line break
+            line = splits.records(spark, [_plain_path(file)], splits.CsvScanner(sep)).filter("first").first()["record"]
+        names = tuple(_header_names(line, sep, key))
+        groups.setdefault(names, ([], []))[int(broken)].append(_plain_path(file))
+    parts = [_csv_cells(spark, plain, broken, sep, len(names), True).toDF(*names)
+             for names, (plain, broken) in groups.items()]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return infer_types(blank_missing(df)) if infer else df
 
 
@@ -152,21 +187,27 @@ def read_csv_under_header(spark: SparkSession, path: str, header_rows: int = 1,
                           infer: bool = True) -> DataFrame:
     """CSV whose names are spread over the first rows, such as merged section titles above the real header.
 
-    Only those lines reach the driver, which builds the names. The rows are then read without a header, and rows equal
-    to one of the header lines are filtered out, in every file.
+    Only those rows reach the driver, which builds the names. The rows are then read without a header, and rows equal
+    to one of the header rows are filtered out, in every file. Cells, titles too, may hold line breaks.
     """
-    lines = _first_lines(spark, path, header_rows)
-    if not lines:
+    files = _csv_files(spark, path, True)
+    if not files:
         raise ValueError(f"{path} is empty")
-    sep = sep or sniff_separator(lines[0])
-    titles = list(csv.reader(lines, delimiter=sep))
+    sep = sep or sniff_separator(files[0][2])
+    plain, broken = ([_plain_path(f) for f, odd, _ in files if odd is kind] for kind in (False, True))
+    first = _plain_path(files[0][0])
+    if files[0][1]:
+        top = splits.records(spark, [first], splits.CsvScanner(sep)).select("record")
+    else:
+        top = spark.read.text(first).filter(F.length(F.trim("value")) > 0)
+    lines = [r[0].removeprefix("\ufeff") for r in top.limit(header_rows).collect()]
+    titles = [next(csv.reader(io.StringIO(line, newline=""), delimiter=sep), []) for line in lines]
     names = clean_names(merged_header(titles))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    body = spark.read.csv(path, sep=sep, header=False, schema=schema, quote='"', escape='"')
+    body = _csv_cells(spark, plain, broken, sep, len(names), False)
     for title in titles:
         same = F.lit(True)
         for i in range(len(names)):
-            cell = (title[i] if i < len(title) else "").strip()
+            cell = (title[i] if i < len(title) else "").strip(WHITESPACE)
             same = same & (F.coalesce(strip(F.col(f"c{i}")), F.lit("")) == cell)
         body = body.where(~same)
     named = body.toDF(*names)
@@ -215,28 +256,50 @@ def dates_by_name(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files of ``path`` that hold one object per line, and all others; blank ones are neither. One count per file."""
+    line = F.trim("value", F.lit(_BLANK))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+    # Two objects of one line have no comma between them; inside of a value there always is one.
+    whole = F.startswith("line", F.lit("{")) & F.endswith("line", F.lit("}")) & ~F.regexp_like("line", F.lit(r"\}\s*\{"))
+    seen = lines.filter("line <> ''").groupBy("file").agg(F.count_if(~whole).alias("others")).collect()
+    return tuple(sorted(_plain_path(r["file"]) for r in seen if (r["others"] > 0) is other) for other in (False, True))
+
+
+def _named_order(records: DataFrame, columns: list[str]) -> list[str]:
+    """``columns`` in the order in which the first records name them."""
+    names = F.filter(F.regexp_extract_all("record", F.lit(_JSON_STRING), F.lit(0)), lambda s: F.endswith(s, F.lit(":")))
+    keys = F.array_intersect(F.transform(names, lambda s: F.regexp_replace(s, r'^"|"\s*:$', "")), F.lit(columns))
+    order = dict.fromkeys(key for r in records.select(keys).limit(200).collect() for key in r[0])
+    return [*order, *[c for c in columns if c not in order]]
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or an array of records; epoch numbers in columns named like dates become timestamps.
+    """JSON records in any layout, file by file: one per line, an array, or objects laid out over lines; epoch numbers in
+    columns named like dates become timestamps.
 
-    JSON lines are split between tasks; an array is one task per file. Column-oriented JSON is an error.
+    Files of one record per line go to Spark's own reader. The records of all others are put together over line ends and
+    splits (``splits``), an array of one line too. What is no record, a file that ends inside one and column-oriented JSON
+    are errors.
     """
-    ends = F.trim("value", F.lit(_BLANK))
-    ends = [tuple(r) for r in _first_rows(spark, path, 200, F.left(ends, F.lit(1)), F.right(ends, F.lit(1))) if r[0]]
-    if not ends:
+    lines, others = _json_files(spark, path)
+    if not lines and not others:
         raise ValueError(f"{path} is empty")
-    per_line = ends[0] == ("{", "}")
-    df = spark.read.option("multiLine", not per_line).json(path)
+    text = spark.read.text(lines).select(F.trim("value", F.lit(_BLANK)).alias("record")).filter("record <> ''") if lines else None
+    if others:
+        records = splits.records(spark, others, splits.JsonScanner()).select("record")
+        records = records if text is None else text.unionAll(records)
+        schema = spark.read.json(records.rdd.map(lambda r: r[0])).schema
+        parsed = F.from_json("record", schema, {"mode": "PERMISSIVE"}).alias("r")
+        df = records.select(parsed).select("r.*")
+    else:
+        records, df = text, spark.read.json(lines)
     nested = [f for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType))]
-    if "_corrupt_record" in df.columns or (ends[0][0] != "[" and df.columns and len(nested) == len(df.columns)):
-        raise ValueError(f"{path}: only JSON lines and arrays of records can be read; column-oriented JSON is one "
-                         "value that cannot be split into rows")
-    # Spark sorts the fields; take the order in which the first records name them.
-    lines = F.col("value") if per_line else F.left("value", F.lit(LINE_LENGTH))
-    names = F.filter(F.regexp_extract_all(lines, F.lit(_JSON_STRING), F.lit(0)), lambda s: F.endswith(s, F.lit(":")))
-    keys = F.array_intersect(F.transform(names, lambda s: F.regexp_replace(s, r'^"|"\s*:$', "")), F.lit(df.columns))
-    order = dict.fromkeys(key for r in _first_rows(spark, path, 200, keys) for key in r[0])
-    ordered = [*order, *[c for c in df.columns if c not in order]]
-    return dates_by_name(df.select(*[F.col(f"`{c}`") for c in ordered]))
+    lone = df.columns and len(nested) == len(df.columns) and len(records.limit(2).collect()) == 1
+    if "_corrupt_record" in df.columns or lone:
+        raise ValueError(f"{path}: only JSON records can be read; column-oriented JSON is one value that cannot be split "
+                         "into rows")
+    return dates_by_name(df.select(*[F.col(f"`{c}`") for c in _named_order(records, df.columns)]))
 
 
 def find_row_tag(lines: list[str]) -> str | None:
