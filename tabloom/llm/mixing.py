@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from .common import free_name, named, small, write_down
 
 #: Labelled rows the classifier is fitted on, and hashed words it tells apart.
 SAMPLE, BUCKETS = 20_000, 1 << 14
-#: Standard deviations by which a hashed word must be more frequent in a domain than in the rest to count, and log odds.
+#: Correlation of a hashed word with a domain from which on it counts, whatever the number of labels, and log odds.
 #: Words a little more frequent somewhere would add up to certainty, as texts hold many; copies make rare ones look so.
-_SIGNIFICANT, _TELLING = 8.0, 1.0
+_CORRELATED, _TELLING = 0.15, 1.0
 _TEMPERATURES = (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0)
 
 
@@ -72,6 +73,12 @@ def _odds(inside: int, size: int, everywhere: int, total: int) -> float:
     return max(-5.0, min(5.0, odds))
 
 
+def _correlation(inside: int, size: int, everywhere: int, total: int) -> float:
+    """Correlation of holding a word with being in a domain, over labelled rows."""
+    spread = size * (total - size) * everywhere * (total - everywhere)
+    return (inside * total - everywhere * size) / math.sqrt(spread) if spread else 0.0
+
+
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], id_column: str = "doc_id",
                    text_column: str = "text", sample: int = SAMPLE) -> Classifier:
     """A classifier from ``labelled`` (``doc_id, domain``): at most ``sample`` of its rows, those with the lowest hashes.
@@ -102,10 +109,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: Sequence[str],
             if not n or not rest:
                 logs.append(0.0)
                 continue
-            expected = everywhere * n / total
-            off = (counts[k] - expected) / math.sqrt(max(expected * rest / total, 1e-9))
             odds = _odds(counts[k], n, everywhere, total)
-            telling |= abs(off) >= _SIGNIFICANT and odds >= _TELLING
+            telling |= _correlation(counts[k], n, everywhere, total) >= _CORRELATED and odds >= _TELLING
             logs.append(odds)
         if telling:
             weights[row["word"]] = tuple(logs)
@@ -140,39 +145,93 @@ def membership(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id
     return read.select("doc_id", "raw", "n_tokens", *(p.alias(f"p_{d}") for p, d in zip(chances, classifier.domains)))
 
 
+@dataclass
+class Rates:
+    """Steps that lead from rates of one to the fitted ones, the totals per domain they reach and those they should."""
+
+    domains: tuple[str, ...]
+    lowest: float
+    most: float | None
+    steps: list[tuple[float, ...]]
+    totals: dict[str, float]
+    goal: dict[str, float]
+
+    def column(self) -> Column:
+        """A document's rate: each step moves it by its posteriors and back into the bounds. The steps are one constant."""
+        if not self.steps:
+            return F.lit(1.0)
+        member = F.array(*(named(f"p_{d}") for d in self.domains))
+        steps = F.split(F.lit(";".join(",".join(f"{v:.17g}" for v in s) for s in self.steps)), ";")
+        vectors = F.transform(steps, lambda s: F.split(s, ",").cast("array<double>"))
+
+        def moved(rate: Column, step: Column) -> Column:
+            way = F.aggregate(F.zip_with(member, step, lambda p, v: p * v), F.lit(0.0), lambda a, v: a + v)
+            bounded = F.greatest(F.lit(self.lowest), rate - way)
+            return bounded if self.most is None else F.least(F.lit(float(self.most)), bounded)
+
+        return F.aggregate(vectors, F.lit(1.0), moved)
+
+    def off(self) -> float:
+        """How far the farthest domain is from its target, as a share of it."""
+        return max((abs(self.totals[d] - g) / g for d, g in self.goal.items() if g > 0), default=0.0)
+
+
 def fit_rates(members: DataFrame, targets: Mapping[str, float], total_tokens: float | None = None,
-              most: float | None = None, rounds: int = 60, tolerance: float = 1e-3) -> tuple[Column, dict[str, float]]:
-    """The rate of each row of ``members`` (a written table) as an expression, and the reached totals per domain.
-
-    Least squares on the domains' expected token totals: the rates start at one and take full projected gradient
-    steps, measured by a document's tokens, in which a step of one always descends. A step is one number per domain, so
-    what a task needs is the list of steps so far; a round is one aggregate over the table. It ends when all totals are
-    within ``tolerance`` of their targets or no longer change. Rates lie above zero, and up to ``most`` if given.
-    ``total_tokens`` is the sum of the target totals; by default it is the least at which no domain has to shrink.
+              most: float | None = None, rounds: int = 60, tolerance: float = 1e-3) -> Rates:
+    """The rate of each row of ``members`` (a written table).
+
+    Least squares on the domains' expected token totals: rates start at one and take projected gradient steps. A step is
+    one number per domain, so what a task needs is the list of steps so far; a round is one aggregate over the table.
+
+    Without ``total_tokens`` no document is left out: rates stay at one or above, and the total is the least so far at
+    which no domain would have to shrink, so it rises with the tokens that documents of other domains bring along. Steps
+    are then scaled by the products of the posteriors of documents that are free to move. With ``total_tokens`` rates lie
+    above zero and steps are plain ones, measured by a document's tokens, which always descend. ``most`` bounds rates.
+
+    It ends when all totals are within ``tolerance`` of their targets. As those may be out of reach, it also ends when plain
+    steps change no total, and when ten scaled ones came no nearer; the rates that came nearest then count. ``off`` tells
+    how near that is.
     """
-    domains = list(targets)
-    weight = sum(targets.values())
-    mass = {d: F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in domains}
-    start = members.agg(*(F.coalesce(mass[d], F.lit(0.0)).alias(d) for d in domains)).first().asDict()
-    open_ = [d for d in domains if start[d] > 0]
-    if not any(targets[d] > 0 for d in open_):
-        return F.lit(1.0), start
-    least = max(start[d] / max(targets[d] / weight, 1e-9) for d in open_ if targets[d] > 0)
-    total = total_tokens if total_tokens is not None else least
-    goal = {d: total * targets[d] / weight for d in open_}
-    rate, now, reached = F.lit(1.0), start, []
-    for _ in range(rounds):
-        off = max(abs(now[d] - goal[d]) / max(goal[d], 1e-9 * total) for d in open_)
-        reached.append([now[d] for d in open_])
-        if off <= tolerance or (len(reached) > 1 and all(abs(a - b) <= 1e-5 * total
-                                                         for a, b in zip(reached[-1], reached[-2]))):
+    domains = tuple(targets)
+    shares = {d: targets[d] / sum(targets.values()) for d in domains}
+    lowest = 1.0 if total_tokens is None else 0.0
+    mass = {d: F.col("n_tokens") * named(f"p_{d}") for d in domains}
+    pairs = [(a, b) for i, a in enumerate(domains) for b in domains[i:]]
+    now = Rates(domains, lowest, most, [], {}, {})
+    best, start, before, total, waited = None, None, None, total_tokens or 0.0, 0
+    for _ in range(rounds + 1):
+        rate = F.col("rate")
+        free = F.lit(not now.steps) | ((rate > lowest) & (F.lit(True) if most is None else rate < float(most)))
+        row = members.withColumn("rate", now.column()).agg(
+            *(F.coalesce(F.sum(mass[d] * rate), F.lit(0.0)).alias(f"t_{d}") for d in domains),
+            *(F.coalesce(F.sum(F.when(free, mass[a] * named(f"p_{b}"))), F.lit(0.0)).alias(f"g{i}")
+              for i, (a, b) in enumerate(pairs))).first()
+        now.totals = {d: row[f"t_{d}"] for d in domains}
+        start = start or dict(now.totals)
+        open_ = [d for d in domains if start[d] > 0]
+        if not any(shares[d] > 0 for d in open_):
+            return now
+        if total_tokens is None:
+            total = max(total, *(now.totals[d] / shares[d] for d in open_ if shares[d] > 0))
+        now.goal = {d: total * shares[d] for d in open_}
+        if best is None or now.off() < 0.99 * best.off() or now.off() <= tolerance:
+            best, waited = replace(now, steps=list(now.steps)), 0
+        waited += 1
+        if now.off() <= tolerance or len(now.steps) == rounds:
             break
-        step = reduce(lambda a, b: a + b,
-                      (F.col(f"p_{d}") * F.lit((now[d] - goal[d]) / start[d]) for d in open_))
-        rate = F.greatest(F.lit(0.0), rate - step)
-        rate = rate if most is None else F.least(F.lit(float(most)), rate)
-        now = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in domains)).first().asDict()
-    return rate, now
+        if waited > 10 if total_tokens is None else before and all(abs(before[d] - now.totals[d]) <= 1e-5 * total for d in open_):
+            break
+        before = now.totals
+        gap = np.array([now.totals[d] - now.goal[d] if d in now.goal else 0.0 for d in domains])
+        if total_tokens is None:
+            products = np.zeros((len(domains), len(domains)))
+            for i, (a, b) in enumerate(pairs):
+                products[domains.index(a), domains.index(b)] = products[domains.index(b), domains.index(a)] = row[f"g{i}"]
+            step = np.linalg.lstsq(products, gap, rcond=1e-6)[0]
+        else:
+            step = np.array([g / start[d] if start[d] > 0 else 0.0 for g, d in zip(gap, domains)])
+        now.steps.append(tuple(step.tolist()))
+    return now if total_tokens is not None else best
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -182,17 +241,25 @@ def copies(rate: Column, *key: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_column: str = "doc_id",
-                 text_column: str = "text", total_tokens: float | None = None, most: float | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, raw, n_tokens, p_<domain>..., rate, copies``.
+                 text_column: str = "text", total_tokens: float | None = None, most: float | None = None,
+                 tolerance: float = 1e-3, strict: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, raw, n_tokens, p_<domain>..., rate, copies, off_target``.
 
     ``labelled`` (``doc_id, domain``) trains the classifier, ``targets`` maps domains to weights. Null counts as the
     empty text, which has no tokens and the priors as its posteriors. Rows that repeat get equal rates and, with equal
     ids, equal copies. An empty table gives an empty result; a domain that no text belongs to is left out of the fit.
+
+    ``off_target`` is the same for all rows: how far the farthest domain stays from its target, as a share of it. Where
+    texts cannot be told apart, targets may be out of reach; ``strict`` then raises an error. Unless ``total_tokens`` is
+    given every rate is at least one, so no row is left out.
     """
     classifier = fit_classifier(docs, labelled, list(targets), id_column, text_column)
     members = write_down(membership(docs, classifier, id_column, text_column), "mixing-members")
-    rate, _ = fit_rates(members, targets, total_tokens, most)
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("raw")))
+    fitted = fit_rates(members, targets, total_tokens, most, tolerance=tolerance)
+    if strict and fitted.off() > tolerance:
+        raise ValueError(f"targets are out of reach: totals {fitted.totals} instead of {fitted.goal}")
+    return members.withColumn("rate", fitted.column()).withColumns(
+        {"copies": copies(F.col("rate"), F.col("doc_id"), F.col("raw")), "off_target": F.lit(fitted.off())})
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_column: str = "doc_id",

@@ -86,8 +86,8 @@ def test_rates_are_projected_gradients(spark):
     rows = [(i, i, int(n[i]), *map(float, p[i])) for i in range(300)]
     members = spark.createDataFrame(rows, "doc_id long, raw long, n_tokens long, p_a double, p_b double, p_c double")
     targets = {"a": 0.7, "b": 0.29, "c": 0.01}
-    rate, now = mixing.fit_rates(members, targets, total_tokens=float(n.sum()), rounds=25, tolerance=0)
-    got = np.array([r["rate"] for r in members.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()])
+    fitted = mixing.fit_rates(members, targets, total_tokens=float(n.sum()), rounds=25, tolerance=0)
+    got = np.array([r["rate"] for r in members.select("doc_id", fitted.column().alias("rate")).orderBy("doc_id").collect()])
     goal, start, r = n.sum() * np.array([0.7, 0.29, 0.01]), (n[:, None] * p).sum(0), np.ones(300)
     for _ in range(25):
         r = np.maximum(0, r - p @ ((((r * n)[:, None] * p).sum(0) - goal) / start))
@@ -100,7 +100,47 @@ def test_rates_are_projected_gradients(spark):
     for _ in range(5000):
         best = np.maximum(0, best - p @ ((((best * n)[:, None] * p).sum(0) - goal) / start))
     assert loss(r) < loss(best) + 0.01 * loss(np.ones(300))
-    assert np.allclose([now[d] for d in "abc"], ((r * n)[:, None] * p).sum(0), rtol=1e-6)
+    assert np.allclose([fitted.totals[d] for d in "abc"], ((r * n)[:, None] * p).sum(0), rtol=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_without_a_total_leave_none_out(spark, seed):
+    """Targets are met with rates of one or more, or what is out of reach is told."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.2, 0.1, 0.3], 300)
+    n = rng.integers(1, 500, 300)
+    members = spark.createDataFrame([(i, i, int(n[i]), *map(float, p[i])) for i in range(300)],
+                                    "doc_id long, raw long, n_tokens long, p_a double, p_b double, p_c double").cache()
+    fitted = mixing.fit_rates(members, {"a": 0.55, "b": 0.3, "c": 0.15})
+    got = np.array([r[0] for r in members.orderBy("doc_id").select(fitted.column()).collect()])
+    totals = ((got * n)[:, None] * p).sum(0)
+    assert (got >= 1).all() and np.allclose(totals / totals.sum(), [0.55, 0.3, 0.15], atol=1e-3)
+    assert fitted.off() <= 1e-3 and len(fitted.steps) < 20
+    # Domains that no document tells apart: rates stay as they are, as nothing comes nearer.
+    blind = members.selectExpr("doc_id", "raw", "n_tokens", "0.5D AS p_a", "0.5D AS p_b")
+    fitted = mixing.fit_rates(blind, {"a": 0.8, "b": 0.2})
+    assert fitted.steps == [] and fitted.off() > 0.5
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_mixing_leaves_no_document_out(spark, sf):
+    rows = QUERIES["op7_source_mixing"](spark, f"/root/testdata/sf{sf}").collect()
+    assert min(r["rate"] for r in rows) >= 1 and min(r["copies"] for r in rows) >= 1
+    assert rows[0]["off_target"] <= 1e-3
+    totals = {d: sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in rows) for d in MIX}
+    assert all(abs(totals[d] / sum(totals.values()) - MIX[d]) < 0.002 for d in MIX)
+
+
+def test_targets_out_of_reach(spark, awkward):
+    known = spark.createDataFrame([], "doc_id long, domain string")
+    rows = mixing.mixing_rates(awkward, known, {"a": 3, "b": 1}).collect()
+    assert all(r["rate"] == 1 and r["copies"] == 1 and r["off_target"] > 0.1 for r in rows)
+    with pytest.raises(ValueError, match="out of reach"):
+        mixing.mixing_rates(awkward, known, {"a": 3, "b": 1}, strict=True)
+    # A column of nulls only has no tokens.
+    nulls = awkward.withColumn("text", F.lit(None).cast("string"))
+    assert all(r["rate"] == 1 and r["n_tokens"] == 0 for r in mixing.mixing_rates(nulls, known, {"a": 3, "b": 1}).collect())
+    assert quality.keep_good(nulls).count() in (0, len(AWKWARD))
 
 
 def test_copies_average_to_the_rate(spark):
