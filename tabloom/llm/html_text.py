@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +31,19 @@ FENCE = frozenset("ul ol dl table tbody thead tfoot tr article section main body
 NEVER = frozenset(
     "head title script style noscript template nav footer aside form button input select option textarea iframe noembed "
     "noframes object svg canvas video audio map dialog menu xmp".split())
-#: Words of a class or id that tell the same of any other element; the second group only outside of an article.
+#: Words of a class or id that may tell the same of any other element; the second group only outside of an article. They
+#: decide where a name holds nothing else but words of place and form; any other name is a hint that needs recurrence.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar widget "
     "menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond reply replies disqus share sharing "
     "social related recommended pagination pager login".split())
 MARKED_OUTSIDE = frozenset("header masthead topbar toolbar search".split())
+FORM_WORDS = frozenset(
+    "area article bar block body bottom box button buttons col column container content div entry flex footer fixed form grid "
+    "group head heading holder inner item items js label large layout left link links list main mobile outer page panel "
+    "placeholder post region right row section site slot small sticky strip thread title top unit wrap wrapper zone".split())
+COMMENTS = frozenset("comment comments respond reply replies disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Containers of which one inside an article is deleted if it recurs; outside of it any element is.
 CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset hgroup".split())
@@ -54,27 +61,35 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     tag: str
     start: int
-    marked: bool
-    marked_outside: bool
+    named: bool          # its name says that it is no content
+    named_outside: bool  # the same, unless it is in an article
+    hinted: bool         # a part of its name does
+    comments: bool       # its name says that it holds comments
     end: int = -1
     hash: int = 0
     parts: list[bytes] = field(default_factory=list)
 
 
-def _marks(rest: str) -> tuple[bool, bool]:
-    """Whether class, id or role say that an element is no content: anywhere, and outside of an article."""
+def _names(rest: str) -> tuple[bool, bool, bool, bool]:
+    """What class, id and role say of an element: see ``Node``."""
     if "=" not in rest:
-        return False, False
-    anywhere = outside = False
+        return False, False, False, False
+    named = outside = hinted = comments = False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value = a or b or c
         if name.lower() == "role":
-            anywhere |= value.strip().lower() in ROLES
-        else:
-            words = {w.lower() for w in _WORDS.findall(value)}
-            anywhere |= not words.isdisjoint(MARKED)
-            outside |= not words.isdisjoint(MARKED_OUTSIDE)
-    return anywhere, outside
+            named |= value.strip().lower() in ROLES
+            continue
+        for token in value.split():
+            words = {w.lower() for w in _WORDS.findall(token)}
+            telling = words & (MARKED | MARKED_OUTSIDE)
+            if telling:
+                hinted = True
+                if words <= MARKED | MARKED_OUTSIDE | FORM_WORDS:
+                    named |= bool(telling & MARKED)
+                    outside = True
+                    comments |= bool(telling & COMMENTS)
+    return named, outside, hinted, comments
 
 
 def parse(page: str) -> list[str | Node]:
@@ -144,7 +159,7 @@ def parse(page: str) -> list[str | Node]:
             close_open(("p",), FENCE)
         if tag in CLOSES:
             close_open(CLOSES[tag], FENCE - set(CLOSES[tag]))
-        node = Node(tag, len(flat), *_marks(found["rest"]))
+        node = Node(tag, len(flat), *_names(found["rest"]))
         flat.append(node)
         if tag in VOID or (found["rest"].endswith("/") and tag in ("svg", "path")):
             node.end = len(flat)
@@ -161,69 +176,113 @@ def parse(page: str) -> list[str | Node]:
     return flat
 
 
-def _removed(node: Node, inside: bool) -> bool:
-    if node.tag in NEVER:
-        return True
-    if node.tag in HEADINGS or node.tag in ("html", "body", "main"):
-        return False
-    return node.marked or (not inside and (node.tag == "header" or node.marked_outside))
-
-
-def _walk(flat: list[str | Node], recurring: frozenset[int], root: str | None) -> Iterator[tuple[str, str | Node, bool]]:
-    """What is left of a page in order: ``(kind, text or node, inside an article)``; kinds are text, start and end."""
+@dataclass
+class Page:
+    """A parsed page, the element that holds its article, and the places of elements that no name deletes."""
+
+    flat: list[str | Node]
+    root: str | None = None
+    kept: frozenset[int] = frozenset()
+
+    def removed(self, node: Node, inside: bool, recurring: frozenset[int]) -> bool:
+        if node.tag in NEVER:
+            return True
+        again = node.hash in recurring and node.tag not in ("html", "body", "main", "article")
+        if again and (not inside or node.tag in CONTAINERS or node.hinted):
+            return True
+        if node.start in self.kept or node.tag in HEADINGS or node.tag in ("html", "body", "main"):
+            return False
+        # Inside an article a name alone decides about boxes, not about its paragraphs.
+        if inside:
+            return node.named and (node.tag in CONTAINERS or node.tag == "article")
+        return node.named or node.named_outside or node.tag == "header"
+
+
+def _walk(page: Page, recurring: frozenset[int], root: str | None) -> Iterator[tuple[str, int, str | Node, bool]]:
+    """What is left of a page in order: ``(kind, place, text or node, inside an article)``; kinds are text, start, end and
+    gone."""
     ends: list[Node] = []
-    inside, k = 0, 0
+    inside, k, flat = 0, 0, page.flat
     while k < len(flat):
         while ends and ends[-1].end <= k:
             node = ends.pop()
             inside -= node.tag == root
-            yield "end", node, inside > 0
+            yield "end", node.start, node, inside > 0
         item = flat[k]
         if isinstance(item, str):
-            yield "text", item, inside > 0
+            yield "text", k, item, inside > 0
             k += 1
             continue
-        again = item.hash in recurring and (not inside or item.tag in CONTAINERS) \
-            and item.tag not in ("html", "body", "main", "article")
-        if _removed(item, inside > 0) or again:
-            yield "gone", item, inside > 0
+        if page.removed(item, inside > 0, recurring):
+            yield "gone", k, item, inside > 0
             k = max(item.end, k + 1)
             continue
         inside += item.tag == root
-        yield "start", item, inside > 0
+        yield "start", k, item, inside > 0
         ends.append(item)
         k += 1
     while ends:
         node = ends.pop()
         inside -= node.tag == root
-        yield "end", node, inside > 0
+        yield "end", node.start, node, inside > 0
+
 
+def _plan(flat: list[str | Node], recurring: frozenset[int]) -> Page:
+    """Find the article: ``article`` elements, else ``main``, else none, which means the whole page.
 
-def _root(flat: list[str | Node], recurring: frozenset[int]) -> str | None:
-    """The element that holds the article: ``article``, else ``main``, else none, which means the whole page."""
-    found = {item.tag for kind, item, _ in _walk(flat, recurring, None) if kind == "start"}
-    return "article" if "article" in found else "main" if "main" in found else None
+    No name deletes an element that holds most of the article's text, except for comments, which may be longer than it. If
+    names would leave neither of the two elements they do not count for what holds one.
+    """
+    page = Page(flat)
+
+    def holder() -> str | None:
+        found = {item.tag for kind, _, item, _ in _walk(page, recurring, None) if kind == "start"}
+        return "article" if "article" in found else "main" if "main" in found else None
+
+    page.root = holder()
+    named = [n for n in flat if not isinstance(n, str) and (n.named or n.named_outside)]
+    if not named:
+        return page
+    if page.root is None:
+        tops = list(accumulate((not isinstance(n, str) and n.tag in ("article", "main") for n in flat), initial=0))
+        page.kept = frozenset(n.start for n in named if tops[n.end] > tops[n.start])
+        page.root = holder() if page.kept else None
+    depth = [0] * (len(flat) + 1)  # how many elements of the article are open before each place
+    for kind, _, item, _ in _walk(page, recurring, page.root):
+        if kind == "start" and item.tag == page.root:
+            depth[item.start + 1] += 1
+            depth[item.end] -= 1
+    depth, known = list(accumulate(depth)), page.kept
+    page.kept = known | frozenset(n.start for n in named if page.root is None or depth[n.start] > 0)
+    # Characters of the article before each place, with what only names would delete.
+    before = [0] * (len(flat) + 1)
+    for kind, place, item, inside in _walk(page, recurring, page.root):
+        if kind == "text" and (inside or page.root is None):
+            before[place + 1] = len(item)
+    before = list(accumulate(before))
+    page.kept = known | frozenset(n.start for n in named if not n.comments and n.end > n.start
+                                  and 2 * (before[n.end] - before[n.start]) > before[-1])
+    return page
 
 
 def subtrees(page: str) -> set[int]:
     """Hashes of the block elements of a page that may be part of a site's template."""
     flat = parse(page)
-    root = _root(flat, frozenset())
+    plan = _plan(flat, frozenset())
     out, upto = set(), 0  # upto: the end of the article's elements so far
     for k, item in enumerate(flat):
         if isinstance(item, str) or not item.hash:
             continue
-        if item.tag == root and k >= upto and not _removed(item, False):
+        if item.tag == plan.root and k >= upto and not plan.removed(item, False, frozenset()):
             upto = item.end
-        if item.tag in CONTAINERS or (k >= upto and item.tag in BLOCK):
+        if item.tag in CONTAINERS or (item.tag in BLOCK and (k >= upto or item.hinted)):
             out.add(item.hash)
     return out
 
 
 def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
     """The blocks of a page's article, white space as single blanks, two line feeds between blocks."""
-    flat = parse(page)
-    root = _root(flat, recurring)
+    plan = _plan(parse(page), recurring)
     blocks: list[str] = []
     now: list[str] = []
     header = heading = 0
@@ -233,9 +292,9 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
             blocks.append(" ".join(words))
         now.clear()
 
-    for kind, item, inside in _walk(flat, recurring, root):
+    for kind, _, item, inside in _walk(plan, recurring, plan.root):
         if kind == "text":
-            if (inside or root is None) and (not header or heading):
+            if (inside or plan.root is None) and (not header or heading):
                 now.append(item)
             continue
         if item.tag in BLOCK:

@@ -218,6 +218,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     (PAGE, "Title & more\n\nOne two three bold\n\na\n\nb\n\nQ\n\n1 2\n\na < b & c\n\nlast"),
     ("", ""), ("just  text", "just text"), ("<p>cut off <b", "cut off"), ("<article><p>one<p>two &am", "one\n\ntwo &am"),
     ("<body><div role='navigation'>no</div>yes</body>", "yes"), ("<main>m<nav>n</nav></main>rest", "m"),
+    ('<div class="layout with-sidebar"><article>one</article></div>', "one"),
+    ('<article class="post comments-open">one</article>', "one"),
+    ('<div id="content" class="has-nav"><p>one</p></div>', "one"),
+    ('<main><div class="widget-text">one</div></main>', "one"),
+    ('<article><p>a</p><section id="social-impact"><p>one</p></section></article>', "a\n\none"),
+    ('<article><p>a</p><p class="share-price">one</p></article>', "a\n\none"),
+    # What is named like a box but holds the article, or most of its text.
+    ('<div class="sidebar"><article>one</article></div>', "one"), ('<article class="comment">one</article>', "one"),
+    ('<div class="widget"><p>the whole story</p></div><p>x</p>', "the whole story\n\nx"),
+    ('<div class="sidebar"><article>teaser</article></div><article>one</article>', "one"),
+    ('<article><p>one</p><div id="comments">first! and a lot more of it</div></article>', "one"),
+    ('<body><p>one two three</p><div class="cookie-notice">ok?</div><div id="siteFooter">f</div></body>', "one two three"),
     ("<article>" + "<div>" * 3000 + "deep", "deep"), ("<script>never closed <p>x</p>", ""), ("<>< a", "<>< a"),
 ])
 def test_main_text(page, text):
@@ -236,6 +248,23 @@ def test_template_of_few_pages_of_a_large_host(spark):
     assert got == {i: f"story {i}" for i in range(300)}
 
 
+def test_hinted_names_inside_an_article_need_recurrence(spark):
+    """A paragraph whose name hints at a template goes where it recurs and stays where it does not."""
+    rows = [(i, "http://a.example/", f"<article><p>story {i}</p><p class='share-hint'>Tell your friends</p>"
+                                     f"<p class='share-price'>{i} euro</p></article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).collect()}
+    assert got == {i: f"story {i}\n\n{i} euro" for i in range(6)}
+
+
+def test_very_long_and_null_pages(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} of many</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a.example/", long), (2, "http://a.example/", None), (3, None, "x" * 500_000), (None, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).collect()}
+    assert got[1].count("\n\n") == 19_999 and got[2] == "" and got[3] == "x" * 500_000 and got[None] == ""
+
+
 def test_pages(spark):
     """Boxes that only recur are deleted by the count; the article's own recurring paragraph stays."""
     def page(i, box):
