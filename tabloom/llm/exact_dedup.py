@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import free_name, named, shuffle_partitions, small, spread, texts_in_arrow, write_down
 
 _HEAD = struct.Struct("<qqqq")
+#: Marks of a partition that are gathered before its filters are built, 8 bytes each.
+MARKS = 1_000_000
 
 
 def build_filter(fingerprints: np.ndarray, low_bits: int) -> bytes:
@@ -103,19 +105,30 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["mark", "bytes"])
 
 
-def _filters_of_partition(block_bits: int):
+def _filters_of_partition(block_bits: int, at_once: int = MARKS):
+    """Filters of a partition's marks, one per block; beyond ``at_once`` marks another set of them begins."""
+    def give(held: list[np.ndarray]) -> pa.RecordBatch:
+        marks = np.concatenate(held)
+        marks.sort()
+        blocks = (marks >> np.uint64(64 - block_bits)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+        ends = [*starts[1:], len(blocks)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(blocks[s]) for s in starts], pa.int32()),
+             pa.array([build_filter(marks[s:e], 64 - block_bits) for s, e in zip(starts, ends)], pa.binary())],
+            names=["block", "filter"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             # Marks are shifted to be signed; shifting back gives the unsigned fingerprint.
-            marks = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(1 << 63)
-            marks.sort()
-            blocks = (marks >> np.uint64(64 - block_bits)).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(blocks) else []
-            ends = [*starts[1:], len(blocks)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(blocks[s]) for s in starts], pa.int32()),
-                 pa.array([build_filter(marks[s:e], 64 - block_bits) for s, e in zip(starts, ends)], pa.binary())],
-                names=["block", "filter"])
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(1 << 63))
+            size += batch.num_rows
+            if size >= at_once:
+                yield give(held)
+                held, size = [], 0
+        if size:
+            yield give(held)
     return run
 
 
@@ -129,7 +142,7 @@ def _repeated_of_block(block_bits: int):
                                           names=["mark", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
+        now, held = None, []
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if block != now and held:
@@ -145,8 +158,9 @@ def _repeated_of_block(block_bits: int):
 def repeated_fingerprints(marks: DataFrame, rows: int) -> DataFrame:
     """``mark, n`` of every 64-bit fingerprint that occurs more than once in the one column of ``marks``.
 
-    Each partition builds one filter per block of the fingerprint space (its highest bits), so a fingerprint reaches
-    the merge once per batch however often it occurs; blocks are small enough for a task at any number of rows.
+    Each partition builds one filter per block of the fingerprint space (its highest bits) from all of its marks, a million
+    at a time, so a fingerprint reaches the merge once per partition and million however often it occurs; blocks are small
+    enough for a task at any number of rows.
     """
     block_bits = max(8, (spread(rows, 250_000) - 1).bit_length())
     filters = marks.mapInArrow(_filters_of_partition(block_bits), "block int, filter binary")

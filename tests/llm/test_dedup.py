@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -26,6 +27,24 @@ def test_filters_lose_nothing():
     assert (np.diff(values.astype(np.int64)) > 0).all()
 
 
+def test_a_partition_builds_one_filter_per_block():
+    """However its rows come in batches; a fingerprint leaves it once, with its count."""
+    rng = np.random.default_rng(2)
+    marks = rng.integers(-(1 << 63), 1 << 63, 5_000, dtype=np.int64)
+    marks = np.concatenate([marks, np.full(3_000, marks[0])])
+    batches = [pa.RecordBatch.from_arrays([pa.array(marks[i:i + 500])], names=["mark"]) for i in range(0, len(marks), 500)]
+    for at_once, sets in ((10_000, 1), (4_000, 2)):
+        given = list(exact_dedup._filters_of_partition(4, at_once)(iter(batches)))
+        assert len(given) == sets and all(b.column(0).to_pylist() == list(range(16)) for b in given)
+        total = Counter()
+        for batch in given:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for value, count in zip(*exact_dedup.read_filter(data)):
+                    total[(block << 60 | int(value)) - (1 << 63)] += int(count)
+        assert total == Counter(marks.tolist())
+    assert list(exact_dedup._filters_of_partition(4)(iter([]))) == []
+
+
 def test_exact_groups_of_awkward_rows(awkward):
     rows = exact_dedup.duplicate_groups(awkward).collect()
     groups = {}
