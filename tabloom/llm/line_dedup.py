@@ -28,7 +28,7 @@ def parsed_lines(docs: DataFrame, text_column: str, depth: int, similar: float =
     read = docs.select(F.xxhash64(_text(text_column)).alias("raw"),
                        F.posexplode(F.split(_text(text_column), "\n")).alias("line", "own"))
     own = F.filter(F.split("own", _BLANKS), lambda w: w != "")
-    words = F.transform(own, lambda w: F.when(w.rlike("[0-9]"), F.lit(0)).otherwise(F.hash(w)))
+    words = F.transform(own, lambda w: F.when(w.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.xxhash64(w)))
     read = read.select("raw", "line", words.alias("words"), F.xxhash64(own).alias("verbatim"))
     read = read.withColumn("n", F.size("words")).filter("n > 0")
     read = read.withColumn("fixed", F.size(F.filter("words", lambda w: w != 0)))
@@ -48,7 +48,7 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
 
     The tree has a fixed depth: number of words, then the first ``depth`` words, words with a digit being variable from
     the start. Lines that recur as a whole are their own template; those of which less than ``similar`` would be constant
-    recur if all their words do, digits included, unless none is free of digits. The others share a leaf with lines of as many words
+    recur if all their words do, digits included. The others share a leaf with lines of as many words
     and the same beginning; there a word is constant at its place if at least ``texts`` lines and a share of the leaf's
     lines have it there, otherwise the place is a variable field. A line is seen at each of ``SHARES``: values of a field
     that recur in a large leaf are constants at the low ones only, a template that is rare in its leaf keeps its words
@@ -57,9 +57,8 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
     """
     lines = write_down(parsed_lines(docs, text_column, depth, similar), "lines")
     telling = lines.filter(F.col("fixed") >= similar * F.col("n"))
-    worded = lines.filter((F.col("fixed") >= similar * F.col("n")) | (F.col("fixed") > 0))
-    whole = write_down(_recurring(worded, "whole", texts), "lines-whole")
-    exact = worded.select("raw", "line", "whole").join(small(whole), "whole", "left_semi").select("raw", "line")
+    whole = write_down(_recurring(lines, "whole", texts), "lines-whole")
+    exact = lines.select("raw", "line", "whole").join(small(whole), "whole", "left_semi").select("raw", "line")
 
     rest = lines.filter(F.col("n") > depth)
     shared = write_down(_recurring(telling.select("leaf", "raw", "whole").filter(F.col("n") > depth)
@@ -69,22 +68,24 @@ def recurring_lines(docs: DataFrame, text_column: str = "text", depth: int = DEP
     rest = write_down(rest.drop("whole"), "lines-rest")
     led = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != 0))
     body = F.transform(F.slice("words", depth + 1, 1 << 30), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    # The mark before the first place stands in every line, so that lines without a constant have a template too.
-    begin = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("word")))
-    spots = rest.select("raw", "line", "leaf", "n", led.alias("led"), F.explode(F.concat(begin, body)).alias("s")) \
-        .select("raw", "line", "leaf", "n", "led", "s.at", "s.word").filter("word <> 0 OR at < 0")
+    spots = rest.select("raw", "line", "leaf", "n", led.alias("led"), F.explode(F.filter(body, lambda s: s["word"] != 0)).alias("s")) \
+        .select("raw", "line", "leaf", "n", "led", "s.at", "s.word")
     counted = spots.groupBy("leaf", "at", "word").agg(F.count("*").alias("t")).filter(F.col("t") >= texts)
-    counted = write_down(counted, "lines-counted")
-    sizes = write_down(counted.filter("at < 0").select("leaf", F.col("t").alias("lines")), "lines-sizes")
+    sizes = write_down(rest.groupBy("leaf").agg(F.count("*").alias("lines")), "lines-sizes")
     reached = sum(((F.col("t") >= share * F.col("lines")).cast("int") for share in SHARES), F.lit(0))
     constant = counted.join(small(sizes), "leaf").select("leaf", "at", "word", reached.alias("reached"))
     constant = write_down(constant, "lines-constants")
     views = []
     for k in range(len(SHARES)):
-        views += [(F.count_if(F.col("reached") > k) - 1).alias(f"held{k}"),
+        views += [F.count_if(F.col("reached") > k).alias(f"held{k}"),
                   F.bit_xor(F.when(F.col("reached") > k, F.xxhash64("at", "word"))).alias(f"mix{k}")]
-    found = spots.join(small(constant), ["leaf", "at", "word"]).groupBy("raw", "line", "leaf", "n", "led").agg(*views)
-    telling_views = F.array(*(F.when(F.col("led") + F.col(f"held{k}") >= similar * F.col("n"), F.xxhash64("leaf", f"mix{k}"))
+    held = spots.join(small(constant), ["leaf", "at", "word"])
+    # Lines without a constant have a template too: a row of each takes part that meets nothing.
+    bare = rest.select("raw", "line", "leaf", "n", led.alias("led"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("word"),
+                       F.lit(0).alias("reached"))
+    found = held.unionByName(bare).groupBy("raw", "line", "leaf", "n", "led").agg(*views)
+    telling_views = F.array(*(F.when(F.col("led") + F.col(f"held{k}") >= similar * F.col("n"),
+                                     F.xxhash64("leaf", F.coalesce(f"mix{k}", F.lit(0))))
                               for k in range(len(SHARES))))
     found = found.select("raw", "line", F.explode(F.array_distinct(F.array_compact(telling_views))).alias("template"))
     found = write_down(found, "lines-templates")

@@ -133,33 +133,40 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op5_line_dedup"] = r"""
-WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+WITH shares AS (SELECT unnest([0.0, 0.001, 0.01, 0.1, 0.5]::DOUBLE[]) AS share),
+texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
 split AS (SELECT t, string_split(t, chr(10)) AS parts FROM texts),
 numbered AS (SELECT t, unnest(range(len(parts))) AS line, unnest(parts) AS own FROM split),
+worded AS (SELECT t, line, [w FOR w IN regexp_split_to_array(own, '[ \t\x0B\f\r]+') IF w <> ''] AS own FROM numbered),
+masked AS (
+  SELECT t, line, own, [CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END FOR w IN own] AS words,
+    len([w FOR w IN own IF NOT regexp_matches(w, '[0-9]')]) AS fixed
+  FROM worded WHERE len(own) > 0),
 parsed AS (
-  SELECT t, line, [CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END
-    FOR w IN regexp_split_to_array(own, '[ \t\x0B\f\r]+') IF w <> ''] AS words
-  FROM numbered),
-telling AS (
-  SELECT t, line, words, len(words) AS n, words[1:3] AS lead FROM parsed
-  WHERE len(words) > 0 AND len([w FOR w IN words IF w <> '<*>']) >= 0.5 * len(words)),
-whole AS (SELECT words FROM telling GROUP BY words HAVING count(DISTINCT t) >= 3),
-rest AS (SELECT * FROM telling r WHERE n > 3 AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.words = r.words)),
-leaves AS (SELECT n, lead FROM rest GROUP BY n, lead HAVING count(DISTINCT t) >= 3),
-shared AS (SELECT r.* FROM rest r JOIN leaves l ON r.n = l.n AND r.lead = l.lead),
+  SELECT t, line, words, len(words) AS n, words[1:3] AS lead, fixed, fixed >= 0.5 * len(words) AS telling,
+    CASE WHEN fixed >= 0.5 * len(words) THEN words ELSE list_prepend('<own>', own) END AS whole FROM masked),
+whole AS (SELECT whole FROM parsed GROUP BY whole HAVING count(DISTINCT t) >= 3),
+rest AS (SELECT * FROM parsed r WHERE telling AND n > 3 AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.whole = r.whole)),
+leaves AS (SELECT n, lead, count(*) AS lines FROM rest GROUP BY n, lead HAVING count(DISTINCT t) >= 3),
+shared AS (
+  SELECT r.*, len([w FOR w IN r.lead IF w <> '<*>']) AS led FROM rest r JOIN leaves l ON r.n = l.n AND r.lead = l.lead),
 spots AS (SELECT t, line, n, lead, unnest(range(4, n + 1)) AS at_, unnest(words[4:]) AS word FROM shared),
+counted AS (
+  SELECT n, lead, at_, word, count(*) AS c FROM spots WHERE word <> '<*>' GROUP BY n, lead, at_, word HAVING count(*) >= 3),
 constants AS (
-  SELECT n, lead, at_, word FROM spots WHERE word <> '<*>' GROUP BY n, lead, at_, word HAVING count(*) >= 3),
+  SELECT c.n, c.lead, at_, word, share FROM counted c JOIN leaves l ON c.n = l.n AND c.lead = l.lead, shares
+  WHERE c.c >= share * l.lines),
 held AS (
-  SELECT s.t, s.line, count(*) AS held, string_agg(s.at_::VARCHAR || ':' || s.word, ' ' ORDER BY s.at_) AS form
+  SELECT s.t, s.line, share, count(*) AS held, string_agg(s.at_::VARCHAR || ':' || s.word, ' ' ORDER BY s.at_) AS form
   FROM spots s JOIN constants c ON s.n = c.n AND s.lead = c.lead AND s.at_ = c.at_ AND s.word = c.word
-  GROUP BY s.t, s.line),
+  GROUP BY s.t, s.line, share),
 templates AS (
-  SELECT s.t, s.line, s.n, s.lead, coalesce(form, '') AS form FROM shared s LEFT JOIN held h ON s.t = h.t AND s.line = h.line
-  WHERE len([w FOR w IN s.lead IF w <> '<*>']) + coalesce(held, 0) >= 0.5 * s.n),
+  SELECT DISTINCT s.t, s.line, s.n, s.lead, coalesce(form, '') AS form
+  FROM (SELECT * FROM shared, shares) s LEFT JOIN held h ON s.t = h.t AND s.line = h.line AND s.share = h.share
+  WHERE s.led + coalesce(held, 0) >= 0.5 * s.n),
 general AS (SELECT n, lead, form FROM templates GROUP BY n, lead, form HAVING count(DISTINCT t) >= 3),
 gone AS (
-  SELECT t, line FROM telling x WHERE EXISTS (SELECT 1 FROM whole w WHERE w.words = x.words)
+  SELECT t, line FROM parsed x WHERE EXISTS (SELECT 1 FROM whole w WHERE w.whole = x.whole)
   UNION
   SELECT x.t, x.line FROM templates x JOIN general g ON x.n = g.n AND x.lead = g.lead AND x.form = g.form),
 per_text AS (SELECT t, list(line) AS gone FROM gone GROUP BY t)
