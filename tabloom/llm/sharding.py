@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, named, remove_written, small, spread, write_down
-from .ranks import numbered
+from ..session import local_rows
+from .common import free_name, named, remove_written, small, write_down
+from .ranks import numbered, slice_bits
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -25,76 +26,103 @@ def shard_of(rank: Column, sizes: list[int]) -> Column:
     return out.cast("int")
 
 
-def _start(groups: DataFrame, linked: int, rows: int, shards: int) -> DataFrame:
-    """Linked rows dealt over the shards in equal numbers: ``group, shard, n``, a group's rows in one run of numbers."""
-    bits = max(0, (spread(rows, 4_000) - 1).bit_length())
-    cut = groups.withColumn("slice", F.shiftrightunsigned(F.col("mix"), 64 - bits).cast("int") if bits else F.lit(0))
-    totals = cut.groupBy("slice").agg(F.sum("n").alias("rows"))
-    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("slice", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("slice").orderBy("mix", "group").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.join(starts, "slice").withColumn("low", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    sizes, pieces, edge = quotas(linked, shards), [], 0
-    for s, size in enumerate(sizes):
-        n = F.least(F.col("low") + F.col("n"), F.lit(edge + size)) - F.greatest("low", F.lit(edge))
-        pieces.append(F.struct(F.lit(s).alias("shard"), n.alias("n")))
-        edge += size
-    return placed.select("group", F.explode(F.filter(F.array(*pieces), lambda p: p["n"] > 0)).alias("p")) \
-        .select("group", "p.shard", "p.n")
-
-
-def propagate(pieces: DataFrame, capacity: list[int], rounds: int = 30) -> DataFrame:
+def cut_edges(pieces: DataFrame) -> int:
+    """Pairs of rows of one group that lie in different shards."""
+    whole = pieces.groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("together"))
+    return whole.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) - F.col("together")) / 2), F.lit(0.0))).first()[0]
+
+
+def admitted(asked: dict[tuple[int, int], int], load: Sequence[int], capacity: Sequence[int]) -> dict[tuple[int, int], int]:
+    """How many of the rows that ask to move from one shard to another may, so that no shard is over its capacity.
+
+    All that ask at first; a shard that would be too full turns away the surplus, from the most asked way on, which may
+    leave others too full, until none is. What leaves a full shard makes room, so full shards swap rows.
+    """
+    flow = dict(asked)
+    after = list(load)
+    for (here, to), n in flow.items():
+        after[here] -= n
+        after[to] += n
+    full = [s for s, n in enumerate(after) if n > capacity[s]]
+    while full:
+        to = full.pop()
+        for way in sorted((w for w in flow if w[1] == to), key=lambda w: (-flow[w], w)):
+            less = min(flow[way], max(0, after[to] - capacity[to]))
+            flow[way] -= less
+            after[to] -= less
+            after[way[0]] += less
+            if less and after[way[0]] > capacity[way[0]]:
+                full.append(way[0])
+    return {way: n for way, n in flow.items() if n}
+
+
+def propagate(pieces: DataFrame, capacity: list[int], rounds: int = 50,
+              seen: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Move linked rows towards their neighbours: ``group, shard, n`` after balanced label propagation.
 
     All rows of a group link to each other, so the labels around a row are its group's rows per shard; rows of one group
-    and shard are interchangeable, and their number is all that moves. In a round every piece that is not its group's
-    largest in a shard with room asks to move there; a shard admits as many rows as it has room for, in the order of a
-    hash, and what does not fit stays. The sum of the squared pieces grows with each move, so it ends.
+    and shard are interchangeable, and their number is all that moves. In a round every piece asks to move to its group's
+    largest piece among the shards that are open. Shards admit what keeps them within ``capacity`` (``admitted``), in the
+    order of a hash; what is turned away stays. A shard that turned rows away is closed until no open one is left, so that
+    a group larger than a shard goes on to the next one. The sum of the squared pieces grows with each move; it ends when no
+    move is left with all shards open, after ``rounds`` rounds at the latest. ``seen`` is shown each round's pieces and moves.
     """
     shards = len(capacity)
     tie = F.xxhash64("group", "shard")
+    open_, moved = set(range(shards)), False
     for _ in range(rounds):
-        sums = pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()
-        load = {r["shard"]: r["n"] for r in sums}
-        room = [capacity[s] - load.get(s, 0) for s in range(shards)]
-        room_of = reduce(lambda a, s: F.when(F.col("to") == s, room[s]).otherwise(a), range(shards), F.lit(0))
-        open_ = [s for s in range(shards) if room[s] > 0]
-        if not open_:
-            break
-        best = (pieces.filter(F.col("shard").isin(open_)).groupBy("group")
+        load = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        best = (pieces.filter(F.col("shard").isin(sorted(open_))).groupBy("group")
                 .agg(F.max(F.struct(F.col("n"), tie.alias("tie"), F.col("shard"))).alias("best")))
-        asking = (pieces.join(best, "group").filter(F.struct("n", tie.alias("tie")) < F.struct("best.n", "best.tie"))
+        # Of two equal pieces the one in a closed shard moves, else the one with the lower hash.
+        lower = (tie < F.col("best.tie")) | ~F.col("shard").isin(sorted(open_))
+        asking = (pieces.join(best, "group").filter((F.col("n") < F.col("best.n")) | ((F.col("n") == F.col("best.n")) & lower))
                   .select("group", "shard", "n", F.col("best.shard").alias("to"), F.xxhash64("group").alias("mix")))
         asking = write_down(asking, "shard-asking")
-        count = asking.count()
-        if not count:
-            break
-        bits = max(0, (spread(count, 4_000) - 1).bit_length())
-        cut = asking.withColumn("slice", F.shiftrightunsigned("mix", 64 - bits).cast("int") if bits else F.lit(0))
-        running = Window.partitionBy("to").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        starts = cut.groupBy("to", "slice").agg(F.sum("n").alias("rows")).select(
-            "to", "slice", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("start"))
-        inside = Window.partitionBy("to", "slice").orderBy("mix", "group", "shard").rowsBetween(
-            Window.unboundedPreceding, -1)
-        queued = cut.join(starts, ["to", "slice"]).withColumn(
-            "before", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        moves = queued.withColumn("moved", F.least(F.col("n"), room_of - F.col("before"))).filter("moved > 0")
-        changes = moves.select("group", F.explode(F.array(
-            F.struct(F.col("shard").alias("shard"), (-F.col("moved")).alias("n")),
-            F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c")).select("group", "c.shard", "c.n")
-        following = write_down(pieces.unionByName(changes).groupBy("group", "shard").agg(F.sum("n").alias("n"))
-                               .filter("n > 0"), "shard-pieces")
-        remove_written(pieces)
+        asked = {(r["shard"], r["to"]): r["n"]
+                 for r in asking.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        flow = admitted(asked, [load.get(s, 0) for s in range(shards)], capacity)
+        if flow:
+            following = _moved(pieces, asking, flow)
+            remove_written(pieces)
+            pieces, moved = following, True
+            if seen:
+                seen(pieces, sum(flow.values()))
         remove_written(asking)
-        pieces = following
+        open_ -= {way[1] for way, n in asked.items() if flow.get(way, 0) < n}
+        if not open_ or not asked:
+            if not moved or (not asked and len(open_) == shards):
+                break
+            open_, moved = set(range(shards)), False
     return pieces
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _moved(pieces: DataFrame, asking: DataFrame, flow: dict[tuple[int, int], int]) -> DataFrame:
+    """``pieces`` after as many rows went each way as ``flow`` says, those that asked first by a hash of their group."""
+    ways = local_rows(pieces.sparkSession, [(here, to, n) for (here, to), n in flow.items()], "shard int, to int, most long")
+    queue = asking.join(F.broadcast(ways), ["shard", "to"])  # a row per pair of shards
+    bits = slice_bits(asking.count())
+    cut = queue.withColumn("slice", F.shiftrightunsigned("mix", 64 - bits).cast("int") if bits else F.lit(0))
+    running = Window.partitionBy("shard", "to").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("shard", "to", "slice").agg(F.sum("n").alias("rows")).select(
+        "shard", "to", "slice", F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "to", "slice").orderBy("mix", "group").rowsBetween(Window.unboundedPreceding, -1)
+    queued = cut.join(starts, ["shard", "to", "slice"]).withColumn(
+        "before", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    moves = queued.withColumn("moved", F.least(F.col("n"), F.col("most") - F.col("before"))).filter("moved > 0")
+    changes = moves.select("group", F.explode(F.array(
+        F.struct(F.col("shard").alias("shard"), (-F.col("moved")).alias("n")),
+        F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c")).select("group", "c.shard", "c.n")
+    return write_down(pieces.unionByName(changes).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0"),
+                      "shard-pieces")
+
+
+def balanced_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text",
+                    seen: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
-    Law ``rows``: the shards' numbers of rows are at most one apart. Under it as few links as possible between rows of
-    equal text are cut (see ``propagate``); rows without such a link fill what room is left. A group larger than a shard
+    Law ``rows``: the shards' numbers of rows are at most one apart. Rows start where a hash puts them; under the law label
+    propagation then cuts as few links as it can between rows of equal text (see ``propagate``, which ``seen`` follows). Rows without such a link fill what room is left. A group larger than a shard
     is spread over as few shards as have room. ``slot`` numbers a shard's rows from 0 without gaps; ``grown_shard`` is
     null under this law. Null counts as the empty text, so null and empty texts form a group; size is the text's UTF-8
     bytes plus one. Ids may be null or repeat: every row has its own place. An empty table gives an empty result; other
@@ -106,17 +134,20 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     rows = write_down(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     total = rows.count()
     groups = rows.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
-    groups = write_down(groups.withColumn("mix", F.xxhash64("group")), "shard-groups")
+    groups = write_down(groups, "shard-groups")
     linked = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     capacity = quotas(total, shards)
+    marked = rows.select("row", "group").join(small(groups), "group", "left")
+    marked = write_down(marked, "shard-marked")
 
-    pieces = propagate(write_down(_start(groups, linked, total, shards), "shard-pieces"), capacity)
+    # The start knows nothing of the groups: linked rows are dealt by a hash of their own.
+    dealt = numbered(marked.filter("n IS NOT NULL").select("row", "group"), [], F.col("row"), linked, "rank")
+    dealt = dealt.select("group", shard_of(F.col("rank"), quotas(linked, shards)).alias("shard"))
+    pieces = propagate(write_down(dealt.groupBy("group", "shard").agg(F.count("*").alias("n")), "shard-pieces"), capacity,
+                       seen=seen)
     load = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     ends = (pieces.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("pieces")))
     ends = write_down(ends, "shard-ends")
-
-    marked = rows.select("row", "group").join(small(groups.select("group", "n")), "group", "left")
-    marked = write_down(marked, "shard-marked")
     members = numbered(marked.filter("n IS NOT NULL").select("row", "group"), ["group"], F.col("row"), linked, "rank")
     # A group has at most one piece per shard: its rows fill them in turn.
     place = F.aggregate("pieces", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(-1).alias("shard")),
@@ -135,8 +166,14 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
 
 
 def add_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with its shard, for ``write.partitionBy``. Ids must be unique here; all columns stay."""
+    """``docs`` with its shard, for ``write.partitionBy``; all columns stay, whatever their names.
+
+    Ids, one null among them, must tell the rows apart; an error names one that does not.
+    """
     id_, shard = free_name(docs.columns, "_shard_id"), free_name(docs.columns, "shard")
     placed = balanced_shards(docs, shards, id_column, text_column).select(F.col("doc_id").alias(id_),
                                                                           F.col("shard").alias(shard))
-    return docs.join(write_down(placed, "shard-of-id"), named(id_column).eqNullSafe(F.col(id_))).drop(id_)
+    placed = write_down(placed, "shard-of-id")
+    if again := placed.groupBy(id_).count().filter("count > 1").head():
+        raise ValueError(f"{again['count']} rows have the {id_column} {again[id_]!r}")
+    return docs.join(placed, named(id_column).eqNullSafe(F.col(id_))).drop(id_)

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.llm import chat, html_text, line_dedup, order_minhash, ranks, sharding
-from tabloom.llm.queries import QUERIES, table
+from tabloom.llm.queries import ORACLES, QUERIES, table
 
 from .conftest import AWKWARD, SF
 
@@ -50,6 +51,42 @@ def test_all_rows_in_groups_still_fit(documents):
     check_law(rows, texts, 4)
 
 
+@pytest.mark.parametrize(("groups", "alone"), [(20, 200), (120, 200), (120, 0)])
+def test_propagation_gathers_groups(documents, groups, alone):
+    """The start knows no groups: moves grow with their number, and every round cuts fewer links; full shards swap."""
+    texts = [f"group {i % groups}" for i in range(groups * 5)] + [f"own {i}" for i in range(alone)]
+    rounds = []
+    rows = sharding.balanced_shards(documents(list(enumerate(texts))), 8,
+                                    seen=lambda pieces, moves: rounds.append((sharding.cut_edges(pieces), moves))).collect()
+    check_law(rows, texts)
+    cuts = [c for c, _ in rounds]
+    assert all(a > b for a, b in zip(cuts, cuts[1:]))
+    moves = sum(m for _, m in rounds)
+    assert 2 * groups < moves < 8 * groups
+    assert cuts[-1] <= (0 if alone else groups * 10 * 0.3)
+
+
+def test_slices_grow_with_the_square_root():
+    assert ranks.slice_bits(4_000) == 0 and 2 ** ranks.slice_bits(10**6) <= 512
+    assert 2 ** ranks.slice_bits(10**11) <= 2 * 10**5.5 * 2
+
+
+def test_admitted_moves_keep_the_capacity():
+    # Two full shards swap; a third has room for some of what asks.
+    assert sharding.admitted({(0, 1): 5, (1, 0): 3, (0, 2): 4}, [10, 10, 8], [10, 10, 10]) == {(0, 1): 3, (1, 0): 3, (0, 2): 2}
+    assert sharding.admitted({(0, 1): 5}, [10, 10], [10, 10]) == {}
+    assert sharding.admitted({(0, 1): 5, (1, 2): 5, (2, 0): 5}, [9, 9, 9], [9, 9, 9]) == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+
+
+def test_add_shards(documents, spark):
+    df = documents([(None, "a"), (1, "a"), (2, None), (3, "b")]).withColumn("shard", F.lit("taken"))
+    got = sharding.add_shards(df, 2)
+    assert got.columns == [*df.columns, "shard_1"] and Counter(r["shard_1"] for r in got.collect()) == {0: 2, 1: 2}
+    assert sharding.add_shards(df.limit(0), 2).count() == 0
+    with pytest.raises(ValueError, match="2 rows have the doc_id 5"):
+        sharding.add_shards(documents([(5, "a"), (5, "b")]), 2)
+
+
 def test_numbered_without_gaps(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
     rows = ranks.numbered(df, ["g"], F.col("id"), 5000, "n", each=100).collect()
@@ -173,8 +210,8 @@ def test_lines(documents):
     assert rows[1]["text"] == "unique words of the first text" and rows[1]["n_dropped"] == 2
     assert rows[2]["text"] == "other things are said here now"
     assert rows[3]["text"] == "some more text of its own\n\n" and rows[3]["n_lines"] == 5
-    assert rows[4]["text"] == "All rights\n4711"  # a number alone says nothing, two words recur nowhere else
-    assert rows[5]["text"] == "x\n4711"
+    assert rows[4]["text"] == "All rights"  # a number that recurs as it is goes, two words recur nowhere else
+    assert rows[5]["text"] == "x"
     assert rows[7]["n_dropped"] == 0  # copies of one text count once
     assert rows[8]["text"] == rows[9]["text"] == "" and rows[8]["n_lines"] == 1
     assert line_dedup.clean_lines(documents(LINES)).count() == len(LINES)
@@ -187,7 +224,7 @@ def test_lines_of_awkward_rows(awkward):
 
 
 def test_lines_of_few_words_without_digits(documents):
-    """They recur word for word; lines that differ in a number only are not told to be alike by so few words."""
+    """They recur word for word, digits or not; lines that differ in a number only are not told to be alike by so few."""
     same = "2024-05-01 12:01:33 10.0.0.1 GET 200 512\nTel  0800 123 456 789"
     texts = [f"{same}\n2024-05-01 12:01:3{i} 10.0.0.1 PUT 200 51{i}" for i in range(4)]
     rows = line_dedup.clean_lines(documents(list(enumerate(texts)))).collect()
@@ -206,6 +243,36 @@ def test_lines_with_recurring_field_values(documents, values):
     assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(own))
 
 
+def by_sql(df):
+    """The rows that the SQL counterpart gives for a table of documents."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("documents", df.select("doc_id", "text").toArrow())
+    return Counter(db.sql(ORACLES["op5_line_dedup"]).fetchall())
+
+
+def test_lines_by_sql(documents, awkward):
+    """All views and the verbatim rule, on texts in which they matter: fields whose values recur, rare templates in a large
+    leaf, lines of numbers, leaves with a hot template."""
+    rng = random.Random(5)
+    names = [f"n{a}" for a in "abcdefghijklmnop"]
+    lines = [f"Posted here by {rng.choice(names)} from c{rng.choice(names)} for our readers" for _ in range(900)]
+    lines += [f"Posted here by {rng.choice(names)} at the {rng.choice('xyz')} gate today" for _ in range(60)]
+    lines += [f"Posted here by anna from {rng.choice(names)} to {rng.choice(names)} on foot" for _ in range(12)]
+    lines += [f"{rng.randint(1, 4)}:{rng.randint(1, 4)} 2024-05-0{rng.randint(1, 3)}" for _ in range(40)]
+    lines += [f"{rng.randint(1, 9)} of 99 items left {rng.choice(names)}" for _ in range(40)]
+    lines += [" ".join(rng.choices(names, k=rng.randint(1, 9))) for _ in range(500)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i:i + 3]) for i in range(0, len(lines), 3)]
+    texts += texts[:40] + [None, "", "\n\n", "  \t "]
+    df = documents(list(enumerate(texts)))
+    for table_ in (df, awkward):
+        got = line_dedup.clean_lines(table_)
+        assert Counter(map(tuple, got.collect())) == by_sql(table_)
+    assert line_dedup.clean_lines(df).agg(F.sum("n_dropped")).first()[0] > 500
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><nav><ul><li>menu</ul></nav>
 <main><article><header><h1>Title &amp; more</h1><p class="byline">by X</p></header><p>One&nbsp;two<br>three <b>bold</b></p>
