@@ -4,7 +4,7 @@ Three passes, each reading only the columns it needs:
 
 1. every column: rows, non-null rows and a sketch of the distinct count, merged in two levels so that no single task
    receives a sketch from every input split;
-2. columns with few distinct values: one table of (column, value, count), from which every detector works on distinct
+2. columns with few distinct values, also for their rows: one table of (column, value, count), from which every detector works on distinct
    values weighted by count; text columns with many distinct values: the same measures row by row, without moving a
    value through a shuffle; if exact distinct counts are wanted, the remaining columns' distinct values are counted;
 3. tag columns and number-like text only: vocabulary and affixes.
@@ -28,7 +28,9 @@ from ..functions.ordinals import matching_scale
 from ..functions.text import word_array
 from ..session import local_rows
 
-GATE = 1_000            # estimated distinct values up to which values are counted before they are judged; a matter of plan
+# Estimated distinct values up to which values are counted before they are judged: few, or few for the rows but no more
+# than a task holds. A matter of plan.
+GATE, GATE_SHARE, GATE_MOST = 1_000, 0.05, 100_000
 LIST_LIMIT = 1_000      # most entries of a list kept inside the profile; profile_values() has all of them as rows
 LIST_LENGTH = 200_000   # and its most characters
 SAMPLE_LENGTH = 500     # characters kept of a sample value
@@ -70,7 +72,7 @@ class _Column:
 
     @property
     def small(self) -> bool:
-        return (self.estimate or 0) <= GATE
+        return (self.estimate or 0) <= max(GATE, min(GATE_MOST, GATE_SHARE * self.n_filled))
 
 
 def column_kind(dtype: T.DataType) -> str:
@@ -234,11 +236,13 @@ def _text_measures(cells: DataFrame) -> DataFrame:
     v, n = F.col("v"), F.col("n")
     # A letter that no number may hold rules the number test out at its first occurrence.
     wordy = v.rlike(r"[a-zA-Z&&[^eEinftyINFTYR]]")
+    known = (F.length(v) <= max(map(len, KNOWN_WORDS))) & F.lower(v).isin(*KNOWN_WORDS)
     measures = [F.when(wordy, False).otherwise(numeric_from_text(v).isNotNull()).alias("is_number"),
                 F.when(parse_stripped_dates(v).isNotNull(), date_hint_index(v)).alias("date_shape"),
                 F.length(v).alias("length"),
-                F.when(F.length(v) <= max(map(len, KNOWN_WORDS)), F.array_position(word_array(KNOWN_WORDS), F.lower(v)))
-                .otherwise(0).cast("int").alias("word"),
+                # The place of a known word; all others share the one after them.
+                F.when(known, F.array_position(word_array(KNOWN_WORDS), F.lower(v)) - 1)
+                .otherwise(len(KNOWN_WORDS)).cast("int").alias("place"),
                 # As numbers, since a decimal may read 1.00; booleans were turned into words.
                 (~F.coalesce(F.when(F.length(v) <= 40, v.try_cast("double")).isin(0.0, 1.0) | v.isin("True", "False"),
                              v.isin("True", "False"))).alias("beyond")]
@@ -249,27 +253,33 @@ def _text_measures(cells: DataFrame) -> DataFrame:
         if sep != sep.strip():
             measures.append(F.when(has, part_count(v, sep)).otherwise(1).alias(f"inner{i}"))
         inner.append(f"inner{i}" if sep != sep.strip() else f"parts{i}")
-    flags = (cells.withColumn("v", strip(F.col("value")))
+    # The text is copied into a variable of its own: Spark passes an unpivoted one to functions under a name that does not
+    # compile, and then interprets the whole stage.
+    flags = (cells.select("name", "n", strip(F.col("value")).alias("v"), F.concat("value", F.lit("")).alias("value"))
              .select("name", "n", *measures))
 
-    def total(condition) -> Column:
-        return F.sum(F.when(condition, n).otherwise(0))
-
-    sums = [F.sum(n).alias("n_values"), total(F.col("is_number")).alias("n_number"),
-            F.sum(F.col("length") * n).alias("length"), F.count(F.lit(1)).alias("n_entries")]
-    sums += [total(F.col("date_shape") == i).alias(f"dates{i}") for i in range(len(DATE_HINTS))]
+    # Few states, so that the code of one aggregate stays small: shapes of dates are groups, the rest are plain sums.
+    numbers = [n.alias("n_values"), F.when(F.col("is_number"), n).otherwise(0).alias("n_number"),
+               (F.col("length") * n).alias("length"), F.lit(1).cast("long").alias("n_entries")]
     for i in range(len(k.TAG_SEPARATORS)):
-        sums += [total(F.col(f"parts{i}") > 1).alias(f"hits{i}"), F.sum(F.col(f"parts{i}") * n).alias(f"parts{i}"),
-                 F.sum(F.col(inner[i]) * n).alias(f"inner{i}")]
-    place = F.when(F.col("word") == 0, len(KNOWN_WORDS)).otherwise(F.col("word") - 1)
+        numbers += [F.when(F.col(f"parts{i}") > 1, n).otherwise(0).alias(f"hits{i}"), (F.col(f"parts{i}") * n).alias(f"parts{i}")]
+        numbers += [(F.col(inner[i]) * n).alias(f"inner{i}")] if inner[i] != f"parts{i}" else []
+    bits = []
     for m in _MASKS:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") - m * _BITS)
-        inside = F.when(F.floor(F.col("place") / _BITS) == m, bit).otherwise(F.lit(0).cast("long"))
+        inside = F.when(F.col("place").between(m * _BITS, (m + 1) * _BITS - 1), bit).otherwise(F.lit(0).cast("long"))
         if len(_SEEN) - 1 in range(m * _BITS, (m + 1) * _BITS):
             inside = inside.bitwiseOR(F.when(F.col("beyond"), F.lit(1 << (len(_SEEN) - 1 - m * _BITS))).otherwise(0))
-        flags = flags.withColumn("place", place).withColumn(f"words{m}", inside)
-        sums.append(F.bit_or(f"words{m}").alias(f"words{m}"))
-    return flags.groupBy("name").agg(*sums)
+        bits.append(inside.alias(f"words{m}"))
+    cut = flags.select("name", "date_shape", *numbers, *bits)
+    masks = [F.bit_or(f"words{m}").alias(f"words{m}") for m in _MASKS]
+    summed = [c for c in cut.columns if c not in ("name", "date_shape") and not c.startswith("words")]
+    shapes = cut.groupBy("name", "date_shape").agg(*[F.sum(c).alias(c) for c in summed], *masks)
+    whole = shapes.groupBy("name").agg(
+        *[F.sum(c).alias(c) for c in summed], *masks,
+        *[F.sum(F.when(F.col("date_shape") == i, F.col("n_values")).otherwise(0)).alias(f"dates{i}")
+          for i in range(len(DATE_HINTS))])
+    return whole.withColumns({f"inner{i}": F.col(f"parts{i}") for i, c in enumerate(inner) if c == f"parts{i}"})
 
 
 def _measure(df: DataFrame, columns: list[_Column], n_total: int, distinct: str) -> DataFrame:

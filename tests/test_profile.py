@@ -227,3 +227,18 @@ def test_samples(spark):
 def test_repeated_names_are_refused(spark):
     with pytest.raises(ValueError):
         tl.profile(spark.range(3).select("id", "id"))
+
+
+@pytest.mark.parametrize("rows", [40, 3000])
+def test_generated_code_compiles(spark, rows):
+    """No stage of the profile falls back to interpreted expressions, whichever way its columns go."""
+    df = spark.range(rows).selectExpr(
+        "concat('ORD-', id) AS a", "concat('R$ ', id, '.50') AS b", "date_format(date_add(DATE'2020-01-01', cast(id AS int)), 'dd/MM/yyyy') AS c",
+        "concat('order ', id, ' was placed, then shipped') AS d", "if(id % 2 = 0, 'yes', 'no') AS e", "id AS f", "id / 3 AS g")
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {r["name"]: r["semantic_type"] for r in tl.profile(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+    assert got["b"] == "numeric_string" and got["c"] == "date_string" and got["e"] == "boolean"
