@@ -57,14 +57,15 @@ def merged_header(rows: Sequence[Sequence[str | None]]) -> list[str]:
     return [" ".join(p) for p in parts]
 
 
-def _blank(df: DataFrame, c: str) -> Column:
+def blank(df: DataFrame, c: str) -> Column:
+    """Whether a cell is null, NaN or blank."""
     text = present(df, c).cast("string")
     return text.isNull() | (strip(text) == "")
 
 
 def filled_cells(df: DataFrame) -> Column:
     """Number of cells of a row that hold something."""
-    filled = [F.when(_blank(df, c), 0).otherwise(1) for c in df.columns]
+    filled = [F.when(blank(df, c), 0).otherwise(1) for c in df.columns]
     return F.aggregate(F.array(*filled), F.lit(0), lambda a, b: a + b)
 
 
@@ -93,7 +94,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop columns in which every cell is null, NaN or blank; one scan counts all of them."""
-    counts = df.agg(*[F.count_if(~_blank(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    counts = df.agg(*[F.count_if(~blank(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     return df.select(*[_named(c) for i, c in enumerate(df.columns) if counts[f"n{i}"] > 0])
 
 

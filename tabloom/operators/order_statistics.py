@@ -1,11 +1,12 @@
-"""Exact quantiles of very large groups.
-
-``percentile`` holds every distinct value of a group in one task. Here a quantile is found by narrowing instead: each
-pass counts a group's values in equal-width bins of the interval that must hold the wanted rank, and the next pass looks
-only into the bin that holds it. A pass is one scan with a map-side count; a task never holds more than the bins. Since
-every bin also reports its own smallest and largest value, intervals shrink to real values, and a bin whose smallest
-and largest value agree is the answer. An interval that still spans several orders of magnitude is cut evenly by
-magnitude in every other pass, so that heavy tails take no more passes than even data.
+"""Exact quantiles of very large groups in two scans.
+
+``percentile`` holds every distinct value of a group in one task. Here the first scan sketches each group (KLL, which merges
+map-side), and the sketch gives an interval that holds the wanted rank but for a tiny chance. The second scan counts what
+lies below and between the intervals and keeps the values inside them with their counts, about a hundredth of the rows.
+Whether a rank really is inside its interval shows there; if it is not, or if an interval holds more values than are to be
+kept, it is narrowed: each further pass counts a group's values in equal-width bins of the interval, and the next one looks
+only into the bin that holds the rank. Every bin reports its own smallest and largest value, so intervals shrink to real
+values. An interval that still spans several orders of magnitude is cut evenly by magnitude in every other pass.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..session import freeze, local_rows
 BINS = 1024
 MAX_GROUPS = 500
 MAX_BRANCHES = 64       # intervals up to which they are constants of the plan instead of a joined table
+SKETCH, ERROR = 2048, 0.006     # size of a sketch, about 33 kB, and three times its error as a share of the rows
+KEEP = 5_000_000        # values of a group that are kept in the second scan; beyond them bins are
 
 
 def _position(p: float, n: int) -> tuple[int, int, float]:
@@ -31,10 +34,12 @@ def _position(p: float, n: int) -> tuple[int, int, float]:
     return lower, min(math.ceil(place), n - 1), place - lower
 
 
-def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", value: str = "x") -> DataFrame:
+def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", value: str = "x",
+                    groups: int | None = None) -> DataFrame:
     """``(group, n, mean, std, min, max, q0, q1, …)`` per group of the double column ``value``, with linear interpolation.
 
-    Nulls and NaN are left out. With more than ``MAX_GROUPS`` groups only the large ones are narrowed; the others are
+    Nulls and NaN are left out. ``groups`` tells how many groups there are at most; if it is not known, a scan of the group
+    column finds whether there are more than ``MAX_GROUPS``. With more only the large ones are sketched; the others are
     sorted within their group.
     """
     spark = df.sparkSession
@@ -46,29 +51,41 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
 
     inf = float("inf")
     finite = F.when((F.col("x") > -inf) & (F.col("x") < inf), F.col("x"))
-    stats_table = clean.groupBy("g").agg(
+    figures = [
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
-        F.count_if(F.col("x") == -inf).alias("below"), F.count(finite).alias("inside"))
-    stats = stats_table.limit(MAX_GROUPS + 1).collect()
-    if len(stats) > MAX_GROUPS:
-        return freeze(_many_groups(clean, stats_table, probs)).withColumnRenamed("g", group)
+        F.count_if(F.col("x") == -inf).alias("below"), F.count(finite).alias("inside")]
+    if groups is None:
+        groups = clean.select("g").distinct().limit(MAX_GROUPS + 1).count()
+    if groups > MAX_GROUPS:
+        return freeze(_many_groups(clean, clean.groupBy("g").agg(*figures), probs)).withColumnRenamed("g", group)
+    ends = sorted({e for p in probs for e in (max(0.0, p - ERROR), min(1.0, p + ERROR))})
+    sketched = clean.groupBy("g").agg(*figures, F.kll_sketch_agg_double(finite, F.lit(SKETCH)).alias("sketch"))
+    at_ends = F.when(F.col("inside") > 0, F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(e) for e in ends])))
+    stats = sketched.withColumn("ends", at_ends).drop("sketch").collect()
 
     found: dict[tuple, float] = {}      # (group, rank) -> value
     # (group, lo, hi, whether to cut by magnitude) -> [(rank, rank within the interval)]
     pending: dict[tuple, list] = {}
+    brackets: dict = {}                 # group -> (disjoint intervals in order, whether to keep values, wanted ranks)
     for r in stats:
-        for p in probs:
-            for rank in _position(p, r["n"])[:2]:
-                if rank < r["below"]:
-                    found[r["g"], rank] = -inf
-                elif rank >= r["below"] + r["inside"]:
-                    found[r["g"], rank] = inf
-                elif r["lo"] == r["hi"]:
-                    found[r["g"], rank] = r["lo"]
-                else:
-                    pending.setdefault((r["g"], r["lo"], r["hi"], False), []).append((rank, rank - r["below"]))
-
+        ranks = {rank for p in probs for rank in _position(p, r["n"])[:2]}
+        for rank in ranks:
+            if rank < r["below"]:
+                found[r["g"], rank] = -inf
+            elif rank >= r["below"] + r["inside"]:
+                found[r["g"], rank] = inf
+            elif r["lo"] == r["hi"]:
+                found[r["g"], rank] = r["lo"]
+            elif r["inside"] < r["n"]:
+                pending.setdefault((r["g"], r["lo"], r["hi"], False), []).append((rank, rank - r["below"]))
+        if r["lo"] != r["hi"] and r["inside"] == r["n"]:
+            of_end = dict(zip(ends, r["ends"])) | {0.0: r["lo"], 1.0: r["hi"]}
+            pairs = sorted((of_end[max(0.0, p - ERROR)], of_end[min(1.0, p + ERROR)]) for p in probs)
+            brackets[r["g"]] = _disjoint(pairs), 2 * ERROR * len(probs) * r["n"] <= KEEP, ranks
+    if brackets:
+        for key, wanted in _keep(clean, brackets, found, kind).items():
+            pending.setdefault(key, []).extend(wanted)
     while pending:
         pending = _narrow(clean, pending, found, kind)
 
@@ -83,6 +100,70 @@ def group_quantiles(df: DataFrame, probs: Sequence[float], group: str = "g", val
     return local_rows(spark, rows, fields).withColumnRenamed("g", group)
 
 
+def _disjoint(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted intervals, those that overlap as one."""
+    out: list[tuple[float, float]] = []
+    for low, high in pairs:
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out
+
+
+def _keep(clean: DataFrame, brackets: dict, found: dict, kind: str) -> dict:
+    """The second scan: put the answers into ``found`` and return the intervals of ranks that are still open.
+
+    The intervals cut a group into zones; odd ones are intervals. Of a zone between them only a count, the smallest and the
+    largest value are kept, of an interval every value, or every bin where a group is too large for that.
+    """
+    x, g = F.col("x"), F.col("g")
+    if len(brackets) <= MAX_BRANCHES:
+        chain = {"zone": F, "low": F, "high": F, "keep": F}
+        for key, (intervals, keep, _) in brackets.items():
+            own = g.eqNullSafe(F.lit(key).cast(kind))
+            passed = [(x >= low).cast("int") + (x > high).cast("int") for low, high in intervals]
+            chain["zone"] = chain["zone"].when(own, sum(passed[1:], passed[0]))
+            chain["keep"] = chain["keep"].when(own, F.lit(keep))
+            for i, name in enumerate(("low", "high")):
+                chain[name] = chain[name].when(own, F.array(*[F.lit(v[i]) for v in intervals]))
+        cut = clean.withColumns(chain)
+    else:
+        rows = [(key, [low for low, _ in intervals], [high for _, high in intervals], keep)
+                for key, (intervals, keep, _) in brackets.items()]
+        edges = local_rows(clean.sparkSession, rows, f"bg {kind}, low array<double>, high array<double>, keep boolean")
+        # At most MAX_GROUPS rows.
+        cut = clean.join(F.broadcast(edges), g.eqNullSafe(F.col("bg"))).withColumn(
+            "zone", F.size(F.filter("low", lambda e: x >= e)) + F.size(F.filter("high", lambda e: x > e)))
+    cut = cut.where("zone is not null")
+    place = F.floor(F.col("zone") / 2).cast("int")
+    low, high = F.get(F.col("low"), place), F.get(F.col("high"), place)
+    if all(keep for _, keep, _ in brackets.values()):
+        slot = F.when(F.col("zone") % 2 == 1, x)
+    else:
+        even = F.coalesce(F.try_divide(x / 2 - low / 2, high / 2 - low / 2), F.when(x == low, 0.0).otherwise(1.0))
+        binned = F.least(F.floor(even * BINS), F.lit(BINS - 1)).cast("double")
+        slot = F.when(F.col("zone") % 2 == 1, F.when(F.col("keep"), x).otherwise(binned))
+    counted = (cut.select("g", "x", "zone", slot.alias("slot")).groupBy("g", "zone", "slot")
+               .agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    upto = F.sum("k").over(Window.partitionBy("g").orderBy("zone", "slot"))
+    wanted = local_rows(clean.sparkSession, [(key, rank) for key, (_, _, ranks) in brackets.items() for rank in ranks],
+                        f"wg {kind}, rank long")
+    hits = (counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("k"))
+            .join(F.broadcast(wanted), g.eqNullSafe(F.col("wg")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
+            .select("g", "rank", "before", "upto", "lo", "hi").collect())
+    still_open: dict[tuple, list] = {}
+    for h in hits:
+        if h["lo"] == h["hi"] or h["rank"] == h["before"]:
+            found[h["g"], h["rank"]] = h["lo"]
+        elif h["rank"] == h["upto"] - 1:
+            found[h["g"], h["rank"]] = h["hi"]
+        else:
+            key = h["g"], h["lo"], h["hi"], _spans_magnitudes(h["lo"], h["hi"])
+            still_open.setdefault(key, []).append((h["rank"], h["rank"] - h["before"]))
+    return still_open
+
+
 def _many_groups(clean: DataFrame, stats: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Groups with more than a ``MAX_GROUPS``-th of the rows (fewer than ``MAX_GROUPS``) by narrowing, the rest by sorting."""
     sizes = freeze(stats.select("g", "n", "mean", "std"))
@@ -95,7 +176,7 @@ def _many_groups(clean: DataFrame, stats: DataFrame, probs: Sequence[float]) ->
                   .select("g", "n", "mean", "std", "min", "max", *[f"q{i}" for i in range(len(probs))]))
     if not large.take(1):
         return by_sorting
-    by_narrowing = group_quantiles(clean.join(F.broadcast(large), is_large, "left_semi"), probs)
+    by_narrowing = group_quantiles(clean.join(F.broadcast(large), is_large, "left_semi"), probs, groups=MAX_GROUPS)
     return by_sorting.unionByName(by_narrowing)
 
 
@@ -184,7 +265,7 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]
     """Exact quantiles of one column; an empty list when it has no values."""
     from .transforms import number
 
-    rows = group_quantiles(df.select(F.lit(0).alias("g"), number(column).alias("x")), probs).collect()
+    rows = group_quantiles(df.select(F.lit(0).alias("g"), number(column).alias("x")), probs, groups=1).collect()
     return [rows[0][f"q{i}"] for i in range(len(probs))] if rows else []
 
 
@@ -197,7 +278,7 @@ def box_statistics(df: DataFrame, column: str, by: str | None = None) -> DataFra
     from .transforms import number
 
     source = df.select((present(df, by) if by else F.lit("all")).alias("g"), number(column).alias("x"))
-    boxes = group_quantiles(source, (0.25, 0.5, 0.75)).toDF("g", "n", "mean", "std", "min", "max", "q1", "median", "q3")
+    boxes = group_quantiles(source, (0.25, 0.5, 0.75), groups=None if by else 1).toDF("g", "n", "mean", "std", "min", "max", "q1", "median", "q3")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = boxes.select(F.col("g").alias("of"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     if by is None:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import bin_index, cell, free_name, ordinal_rank, present
 from ..session import local_rows
+from .correlation import correlations
 from .encode import distinct_values
 from .transforms import bin_edges, infer_ordinal_order, number
 
 
+_PAIRS_OF_AN_AGGREGATE = 100
+
+
 def key_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: the row count and count, sum, mean, min and max of each numeric column, in one scan."""
     measures: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
@@ -117,28 +121,22 @@ def scatter_sample(df: DataFrame, x: str, y: str, cap: int | None = None, key: S
     return points.orderBy(F.rand(seed)).limit(cap)
 
 
-_PAIRS_PER_SCAN = 200
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``x, y, r``: Pearson correlation of every pair of columns, both ways and with itself, over the rows where both
     have a value.
 
-    Up to 200 pairs are measured per scan; each scan reads only the columns of its pairs.
+    Few pairs are expressions of one aggregate; more go through ``correlations``, still in one scan.
     """
     pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    result = None
-    for start in range(0, len(pairs), _PAIRS_PER_SCAN):
-        batch = pairs[start:start + _PAIRS_PER_SCAN]
-        row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        cells = []
-        for i, (a, b) in enumerate(batch):
-            cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")))
-            if a != b:
-                cells.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r{i}").alias("r")))
-        long = row.select(F.inline(F.array(*cells)))
-        result = long if result is None else result.unionAll(long)
-    return result
+    if len(pairs) > _PAIRS_OF_AN_AGGREGATE:
+        return correlations(df, columns)
+    row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")))
+        if a != b:
+            cells.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r{i}").alias("r")))
+    return row.select(F.inline(F.array(*cells)))
 
 
 def _periods_between(first: Column, last: Column, grain: str) -> Column:
@@ -198,7 +196,7 @@ def ordinal_distribution(df: DataFrame, column: str, order: Sequence[str] | None
     scale = list(order) if order is not None else infer_ordinal_order(df, column)
     if not scale:
         raise ValueError(f"no known scale for {column!r}; pass an order")
-    counts = (df.select(ordinal_rank(F.col(column), scale).alias("_rank")).where("_rank is not null")
+    counts = (df.select(ordinal_rank(cell(column), scale).alias("_rank")).where("_rank is not null")
               .groupBy("_rank").agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).scalar()
     levels = local_rows(df.sparkSession, [(i, s.strip().lower()) for i, s in enumerate(scale)],

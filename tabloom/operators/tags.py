@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TAG_HIT_SHARE, TAG_MEAN_PARTS, TAG_SEPARATORS
 from ..functions import cell, free_name, name_key, part_count, split_tags, tag_suffix
+from ..session import freeze
 from .encode import add_columns
+from .lookup import BROADCAST_BYTES, BROADCAST_ROWS
 
 
-#: Tags of a block in which pairs are formed.
-PAIR_BLOCK = 64
+#: Tags of a block in which pairs are formed, and places of the table in which pairs are counted by their hash.
+PAIR_BLOCK, PAIR_SPOTS = 64, 1 << 20
 
 
 def detect_tag_separator(df: DataFrame, column: str) -> str | None:
@@ -78,16 +82,50 @@ def tag_frequency(df: DataFrame, column: str, sep: str | None) -> DataFrame:
     return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tag_cooccurrence(df: DataFrame, column: str, sep: str | None) -> DataFrame:
-    """Number of rows that hold both tags, for each pair of tags met in a row: ``tag_a < tag_b, n``.
+def tag_cooccurrence(df: DataFrame, column: str, sep: str | None, min_rows: int = 1) -> DataFrame:
+    """Number of rows that hold both tags, for each pair of tags met in a row: ``tag_a < tag_b, n``; with ``min_rows`` only
+    pairs that at least so many rows hold, exact.
 
     Rows with the same set of tags are counted before their pairs are formed, so copies of a row cost nothing. A set is
     cut into blocks of tags; a task gets two blocks and makes the pairs between them, so a long set is many tasks' work
     and its array travels once per block, not once per tag.
+
+    With ``min_rows`` tags that fewer rows hold go first, as no pair with them can reach it. Then pairs are counted by a
+    hash into a table of fixed size, map-side, and only pairs whose place in it reaches ``min_rows`` are counted one by one.
     """
-    sets = (df.select(F.array_sort(F.array_distinct(split_tags(cell(column), sep))).alias("tags"))
-            .where(F.size("tags") > 1)
-            .groupBy("tags").agg(F.count(F.lit(1)).alias("n")))
+    held = df.select(F.array_sort(F.array_distinct(split_tags(cell(column), sep))).alias("tags"))
+    if min_rows > 1:
+        held = _without_rare(held, min_rows)
+    sets = held.where(F.size("tags") > 1).groupBy("tags").agg(F.count(F.lit(1)).alias("n"))
+    if min_rows <= 1:
+        return _pairs(sets).groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n"))
+    sets = freeze(sets)
+    spot = F.pmod(F.xxhash64("tag_a", "tag_b"), F.lit(PAIR_SPOTS)).cast("int").alias("spot")
+    reached = _pairs(sets).groupBy(spot).agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows).select("spot")
+    # A number for each of the fixed number of places at most.
+    left = _pairs(sets).withColumn("spot", spot).join(F.broadcast(freeze(reached)), "spot", "left_semi")
+    return left.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
+
+
+def _without_rare(held: DataFrame, min_rows: int) -> DataFrame:
+    """``tags`` without those that fewer than ``min_rows`` rows hold, where the others are few enough to travel to the tasks."""
+    often = freeze(held.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+                   .where(F.col("n") >= min_rows).select("tag"))
+    size = often.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("tag") + 64), F.lit(0)).alias("bytes")).first()
+    if size["n"] > BROADCAST_ROWS or size["bytes"] > BROADCAST_BYTES:
+        return held
+    words = frozenset(r["tag"] for r in often.collect())
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[t for t in row if t in words] for row in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["tags"])
+
+    return held.mapInArrow(kept, "tags array<string>")
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """``n, tag_a, tag_b`` of each pair of each set of tags."""
     last = F.floor((F.size("tags") - 1) / PAIR_BLOCK).cast("int")
     firsts = sets.select("n", "tags", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
     blocks = firsts.select("n", "i", F.explode(F.sequence("i", "last")).alias("j"), "tags").select(
@@ -95,6 +133,5 @@ def tag_cooccurrence(df: DataFrame, column: str, sep: str | None) -> DataFrame:
         F.slice("tags", F.col("j") * PAIR_BLOCK + 1, PAIR_BLOCK).alias("b"))
     long = blocks.where(F.size("a") + F.size("b") > PAIR_BLOCK).repartition(F.xxhash64("a", "b"))
     short = blocks.where(F.size("a") + F.size("b") <= PAIR_BLOCK)
-    pairs = long.unionAll(short).select("n", "same", F.explode("a").alias("tag_a"), "b") \
+    return long.unionAll(short).select("n", "same", F.explode("a").alias("tag_a"), "b") \
         .select("n", "same", "tag_a", F.explode("b").alias("tag_b")).where(~F.col("same") | (F.col("tag_a") < F.col("tag_b")))
-    return pairs.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n"))

@@ -688,3 +688,78 @@ SELECT doc_id AS document_key, text AS document_text, lang AS where_from_languag
   n_chars AS size_characters FROM documents"""
 
 ORACLES["json_mixed_layouts"] = "SELECT * FROM documents"
+
+# ---- frequent values, sparse indicators, patterns and changes -----------------------------------------------------
+
+ORACLES["most_frequent_values"] = """
+WITH c AS (
+  SELECT 'customer' AS name, CAST(o_custkey AS VARCHAR) AS value FROM orders
+  UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders
+  UNION ALL SELECT 'total', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) FROM orders),
+counted AS (SELECT name, value, count(*) AS n FROM c GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS INTEGER) AS rank FROM counted)
+SELECT name, value, n, rank FROM ranked WHERE rank <= 5"""
+
+_TEXT_TAGS = """tags AS (
+  SELECT doc_id, unnest(list_distinct([trim(t, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))
+    FOR t IN string_split(text, ',')])) AS value FROM documents),
+held AS (SELECT * FROM tags WHERE lower(value) NOT IN ('', 'nan')),
+counted AS (SELECT value, count(*) AS n FROM held GROUP BY value),
+coded AS (SELECT value, n, row_number() OVER (ORDER BY value) - 1 AS code FROM counted)"""
+
+ORACLES["profile_most_frequent_documents"] = f"""
+WITH {_TEXT_TAGS},
+ranked AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS place FROM counted)
+SELECT 'text' AS name, (SELECT count(DISTINCT value) FROM tags WHERE value <> '') AS n_tags, CAST(place AS INTEGER) AS place, value
+FROM ranked WHERE place < 12"""
+
+ORACLES["engineer_documents"] = f"""
+WITH {_TEXT_TAGS},
+rows_ AS (SELECT doc_id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY code) AS codes
+          FROM held JOIN coded USING (value) GROUP BY doc_id)
+SELECT doc_id, lang, source, n_chars, coalesce(codes, '') AS text_tags FROM documents LEFT JOIN rows_ USING (doc_id)"""
+
+ORACLES["sparse_tag_sums_documents"] = f"WITH {_TEXT_TAGS} SELECT value, n FROM counted"
+
+ORACLES["sparse_onehot_customers"] = """
+SELECT o_orderkey, o_custkey, CAST(o_custkey = 1 AS INTEGER) AS is_1, CAST(o_custkey = 4 AS INTEGER) AS is_4, 0 AS is_none
+FROM orders"""
+
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_quantity * l_discount", "l_extendedprice * l_tax + l_quantity",
+         "l_quantity * l_quantity", "l_extendedprice / l_quantity"]
+_WIDE_NAMES = [f"{side}{i}" for side in "ab" for i in range(len(_WIDE))]
+ORACLES["correlation_matrix_wide"] = "WITH items AS (SELECT " + ", ".join(
+    [f"{c} AS a{i}" for i, c in enumerate(_WIDE)]
+    + [f"CASE WHEN l_orderkey % {i + 2} <> 0 THEN {c} END AS b{i}" for i, c in enumerate(_WIDE)]) + " FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM items" for a in _WIDE_NAMES for b in _WIDE_NAMES)
+
+ORACLES["tag_cooccurrence_frequent_documents"] = f"""
+WITH {_TEXT_TAGS}, often AS (SELECT h.* FROM held h JOIN counted c ON h.value = c.value WHERE c.n >= 20)
+SELECT a.value AS tag_a, b.value AS tag_b, count(*) AS n FROM often a JOIN often b ON a.doc_id = b.doc_id AND a.value < b.value
+GROUP BY 1, 2 HAVING count(*) >= 20"""
+
+ORACLES["missing_patterns"] = f"""
+WITH {RAW_ORDERS}, m AS (
+  SELECT concat_ws('+', """ + ", ".join(
+    f"""CASE WHEN "{c}" IS NULL OR trim("{c}") = '' THEN '{c}' END""" for c in (
+        "Order ID", "Paid", "Total Price", "orderDate", "tags", "level", "note", "_c7")) + """) AS columns FROM raw_orders)
+SELECT columns, len(string_split(columns, '+')) * CAST(columns <> '' AS BIGINT) AS n_missing, count(*) AS n,
+  round(count(*) / (SELECT count(*) FROM m), 9) AS ratio FROM m GROUP BY columns"""
+
+ORACLES["missing_together_planted"] = """
+WITH o AS (SELECT o_orderkey AS k FROM orders)
+SELECT columns, n, round(n / (SELECT count(*) FROM o), 9) AS ratio FROM (
+  SELECT 'customer+price' AS columns, count(*) AS n FROM o WHERE k % 7 = 0
+  UNION ALL SELECT 'customer+price+day+priority', count(*) FROM o WHERE k % 14 = 0
+  UNION ALL SELECT 'customer+price+priority', count(*) FROM o WHERE k % 7 = 0 AND (k % 14 = 0 OR k % 5 = 0))"""
+
+ORACLES["cell_changes_orders"] = """
+WITH c AS (
+  SELECT o_orderkey, unnest([
+    {'column': 'o_custkey', 'before': CAST(o_custkey AS VARCHAR), 'after': CAST(o_custkey + CAST(o_orderkey % 97 = 0 AS INTEGER) AS VARCHAR)},
+    {'column': 'o_orderstatus', 'before': o_orderstatus, 'after': CASE WHEN o_orderkey % 101 > 0 THEN o_orderstatus END},
+    {'column': 'o_orderpriority', 'before': o_orderpriority, 'after': o_orderpriority}]) AS cell FROM orders)
+SELECT o_orderkey, cell.column AS "column", 'changed' AS change, cell.before AS before, cell.after AS after FROM c
+WHERE o_orderkey % 89 > 0 AND cell.before IS DISTINCT FROM cell.after
+UNION ALL SELECT o_orderkey, cell.column, 'removed', cell.before, NULL FROM c WHERE o_orderkey % 89 = 0
+UNION ALL SELECT o_orderkey + 100000000, cell.column, 'added', NULL, cell.before FROM c WHERE o_orderkey % 83 = 0"""

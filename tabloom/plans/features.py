@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fx
 from ..functions.dates import DATE_PARTS
 from ..operators.encode import add_columns
+from ..operators.sparse import sparse_tags
 from ..operators.tags import explode_tags
 
 
@@ -20,7 +21,8 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
     Boolean words become booleans, number-like text doubles and date text timestamps, in place; scales are normalised
     and get a ``_rank``; tag columns get an indicator per tag; dates get their
     parts. Everything but the tag indicators is one projection, and the profile holds the
-    orders and short vocabularies; a vocabulary it does not list is read, as its words become column names.
+    orders and short vocabularies. Tags whose vocabulary is too long for it become one sparse column ``{name}_tags``, an array
+    of the sorted numbers of the tags, in their order; ``sparse_tags`` gives their dictionary.
     """
     rows = [r for r in profile.orderBy("position").collect() if r["name"] in df.columns and r["name"] not in skip]
     replaced, added, tagged = {}, {}, []
@@ -52,6 +54,9 @@ def engineer(df: DataFrame, profile: DataFrame, date_parts: bool = True, decimal
         result = add_columns(result, parts) if parts else result
     for r in tagged:
         # The profile lists the word nan like any other; as a tag it means missing.
-        words = r["tag_vocabulary"] and [t for t in r["tag_vocabulary"] if t.lower() != "nan"]
+        if r["tag_vocabulary"] is None:
+            result = sparse_tags(result, r["name"], r["tag_separator"]).data
+            continue
+        words = [t for t in r["tag_vocabulary"] if t.lower() != "nan"]
         result = explode_tags(result, r["name"], r["tag_separator"], vocabulary=words)
     return result

@@ -26,6 +26,7 @@ from ..functions import cell, numeric_from_text, part_count, present, split_tags
 from ..functions.dates import DATE_HINTS, date_hint_index, parse_stripped_dates
 from ..functions.ordinals import matching_scale
 from ..functions.text import word_array
+from ..operators.frequent import most_frequent
 from ..session import local_rows
 
 # Estimated distinct values up to which values are counted before they are judged: few, or few for the rows but no more
@@ -33,6 +34,7 @@ from ..session import local_rows
 GATE, GATE_SHARE, GATE_MOST = 1_000, 0.05, 100_000
 LIST_LIMIT = 1_000      # most entries of a list kept inside the profile; profile_values() has all of them as rows
 LIST_LENGTH = 200_000   # and its most characters
+MOST_FREQUENT = 12      # entries of a longer list that the profile names
 SAMPLE_LENGTH = 500     # characters kept of a sample value
 # The words that decide about types; a column's set of them is one bit per word.
 KNOWN_WORDS = sorted({"nan", *k.TRUE_WORDS, *k.FALSE_WORDS, *(w for scale in k.ORDINAL_SCALES for w in scale)})
@@ -48,7 +50,8 @@ PROFILE_SCHEMA = (
     "position int, name string, dtype string, semantic_type string, nullable boolean, n_unique long, n_total long, "
     "n_null long, sample_values array<string>, tag_separator string, tag_vocabulary array<string>, n_tags long, "
     "boolean_map map<string,boolean>, ordinal_order array<string>, numeric_prefix string, numeric_suffix string, "
-    "categories array<string>, date_format_hint string, avg_length double, numeric_share double, date_share double")
+    "categories array<string>, date_format_hint string, avg_length double, numeric_share double, date_share double, "
+    "most_frequent array<string>")
 
 
 def categorical_threshold(n_total: Column | int) -> Column:
@@ -146,8 +149,9 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
     separator with parts of more than 25 characters on average is no tag separator.
 
     Types depend on counts and on which of the known words occur, not on any list. ``categories`` and
-    ``tag_vocabulary`` are listed up to 1,000 entries and 200,000 characters and null beyond; ``profile_values`` gives
-    all of them as rows. Sample values are cut after 500 characters.
+    ``tag_vocabulary`` are listed up to 1,000 entries and 200,000 characters and null beyond; ``most_frequent`` then holds
+    the 12 of them that most rows hold (of equals, the smallest), and ``profile_values`` gives all as rows. Sample values are
+    cut after 500 characters.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be exact or approx")
@@ -461,9 +465,37 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
     for r in listed:
         if r["semantic_type"] == "categorical":
             result[r["name"]] = {"categories": categories.get(r["name"])}
+    for name, top in _top_entries(df, decided, result).items():
+        result[name]["most_frequent"] = top
     return result
 
 
+def _top_entries(df: DataFrame, decided: list, extras: dict[str, dict]) -> dict[str, list[str]]:
+    """The most frequent categories and tags of the columns whose lists are too long for the profile."""
+    long_tags, long_categories = [], []
+    for r in decided:
+        own = {**r.asDict(), **extras.get(r["name"], {})}
+        if own["semantic_type"] == "multi_value_tags" and own.get("tag_vocabulary") is None:
+            long_tags.append(r)
+        elif own["semantic_type"] == "categorical" and own.get("categories") is None and r["n_filled"]:
+            long_categories.append(r)
+    parts = []
+    if long_categories:
+        # Names are places in a list: categories first.
+        values = long_form(df, [r["name"] for r in long_categories])
+        parts.append(values.select("name", strip(F.col("value")).alias("value")))
+    if long_tags:
+        after = F.lit(len(long_categories))
+        parts.append(_tag_cells(df, long_tags).select((F.col("name").cast("int") + after).cast("string").alias("name"), "value"))
+    if not parts:
+        return {}
+    names = [r["name"] for r in [*long_categories, *long_tags]]
+    top: dict[str, list[str]] = {}
+    for r in sorted(most_frequent(reduce(DataFrame.unionAll, parts), MOST_FREQUENT).collect(), key=lambda r: r["rank"]):
+        top.setdefault(names[int(r["name"])], []).append(r["value"])
+    return top
+
+
 def _lists(side: str, entries: DataFrame) -> DataFrame:
     """``side, name, n, list`` of the distinct ``name, entry``: how many there are, and all of them where they are few."""
     counts = entries.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("entry")).alias("length"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import SEMANTIC_TYPES
+from ..operators.frequent import counts_by_digest, top_of_counts
 from ..operators.order_statistics import group_quantiles
-from ..session import local_rows
+from ..session import freeze, local_rows
 from .profiling import as_text, column_kind, long_form, present
 
 
@@ -31,7 +32,7 @@ def describe(df: DataFrame) -> DataFrame:
         values = df.select(*[(present(df, n).cast("double") if n in names["number"] else epoch_seconds(df, n))
                              .alias(str(i)) for i, n in enumerate(measured)])
         cells = values.unpivot([], [str(i) for i in range(len(measured))], "g", "x").where("x is not null")
-        figures = group_quantiles(cells, (0.25, 0.5, 0.75)).toDF(
+        figures = group_quantiles(cells, (0.25, 0.5, 0.75), groups=len(measured)).toDF(
             "g", "count", "mean", "std", "min", "max", "p25", "p50", "p75")
         is_date = F.col("g").cast("int") >= len(names["number"])
         parts.append(figures.select(
@@ -41,12 +42,13 @@ def describe(df: DataFrame) -> DataFrame:
             "min", "p25", "p50", "p75", "max"))
     if names["text"]:
         none = [F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
-        counts = (long_form(df, names["text"]).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-                  .groupBy("name").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-                                       F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best")))
-        parts.append(counts.select(
+        cells = long_form(df, names["text"])
+        counts = freeze(counts_by_digest(cells))
+        sizes = counts.groupBy("name").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))
+        best = top_of_counts(cells, counts, 1).select("name", F.col("value").alias("top"), F.col("n").alias("freq"))
+        parts.append(sizes.join(F.broadcast(best), "name").select(  # a row per column
             F.get(F.array(*[F.lit(n) for n in names["text"]]), F.col("name").cast("int")).alias("name"),
-            "count", "unique", F.col("best.value").alias("top"), (-F.col("best.n")).alias("freq"), *none))
+            "count", "unique", "top", "freq", *none))
     if not parts:
         raise ValueError("no column can be described")
     result = parts[0]
@@ -92,16 +94,23 @@ def _keys(flag: bool):
     return _quoted(F.array_sort(words), 100)
 
 
+def _listed(column: str, limit: int):
+    """The first entries of a list, or the most frequent ones where it is too long for the profile."""
+    often = F.slice("most_frequent", 1, limit)
+    return (F.when(F.col(column).isNotNull(), F.concat(F.lit(": "), _quoted(F.col(column), limit)))
+            .when(often.isNotNull(), F.concat(F.lit(", most frequent: "), _quoted(often, limit), F.lit("…")))
+            .otherwise(""))
+
+
 def detail(profile: DataFrame, tags: int = 12, values: int = 10):
     """What matters for the column's type, as one text."""
     kind = F.col("semantic_type")
     return (F.when(kind == "boolean", F.concat(F.lit("true="), _keys(True), F.lit(", false="), _keys(False)))
             .when(kind == "multi_value_tags", F.concat(
                 F.lit("sep='"), F.col("tag_separator"), F.lit("', "), F.col("n_tags").cast("string"), F.lit(" tags"),
-                F.coalesce(F.concat(F.lit(": "), _quoted(F.col("tag_vocabulary"), tags)), F.lit(""))))
+                _listed("tag_vocabulary", tags)))
             .when(kind == "categorical", F.concat(
-                F.col("n_unique").cast("string"), F.lit(" categories"),
-                F.coalesce(F.concat(F.lit(": "), _quoted(F.col("categories"), values)), F.lit(""))))
+                F.col("n_unique").cast("string"), F.lit(" categories"), _listed("categories", values)))
             .when(kind == "ordinal", F.array_join("ordinal_order", " → "))
             .when(kind == "numeric_string", F.concat(F.lit("prefix='"), F.col("numeric_prefix"), F.lit("' suffix='"),
                                                      F.col("numeric_suffix"), F.lit("'")))

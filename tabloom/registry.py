@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, encode, order_statistics, tables, tags, transforms
+from .operators import clean, encode, frequent, order_statistics, sparse, tables, tags, transforms
 from .plans import statistics as d
-from .plans import guided
+from .plans import changes, guided, missing
 from .plans.dataset import Dataset
 from .plans.features import engineer
 from .plans.profiling import profile, profile_values
@@ -771,3 +771,97 @@ def json_mixed_layouts(spark, folder):
         whole = rows.agg(F.concat(F.lit(ends[0]), F.array_join(in_order, glue), F.lit(ends[1])).alias("value"))
         whole.repartition(64, "file").select("value").write.mode("append").text(path)
     return readers.load_table(spark, path, "json")
+
+
+# ---- frequent values, sparse indicators, patterns and changes -----------------------------------------------------
+
+@query
+def most_frequent_values(spark, folder):
+    """The five most frequent customers, days and totals of the orders."""
+    o = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("customer"), F.date_format(
+        "o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("total"))
+    return frequent.most_frequent(o.unpivot([], ["customer", "day", "total"], "name", "value"), 5)
+
+
+@query
+def profile_most_frequent_documents(spark, folder):
+    """Tags of a vocabulary that is too long for the profile."""
+    p = profile(table(spark, folder, "documents")).where("most_frequent is not null")
+    return p.select("name", "n_tags", F.posexplode("most_frequent").alias("place", "value"))
+
+
+@query
+def engineer_documents(spark, folder):
+    """Thousands of tags as one sparse column."""
+    docs = table(spark, folder, "documents")
+    e = engineer(docs, profile(docs))
+    return e.select("doc_id", "lang", "source", "n_chars", F.array_join(F.col("text_tags").cast("array<string>"), ",").alias("text_tags"))
+
+
+@query
+def sparse_tag_sums_documents(spark, folder):
+    """Rows per tag, summed over the sparse column."""
+    return sparse.sparse_tags(table(spark, folder, "documents"), "text", ",").sums()
+
+
+@query
+def sparse_onehot_customers(spark, folder):
+    """Some customers of the orders as columns on request."""
+    o = sparse.sparse_onehot(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+    return o.with_indicators({"is_1": "1", "is_4": "4", "is_none": "none"}).drop("o_custkey_value")
+
+
+def _wide_items(spark, folder):
+    """Twenty columns of numbers, some of them missing in places, some far from zero."""
+    i = table(spark, folder, "lineitem")
+    q, p, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    base = [q, p, d, t, q * d, p * t + q, q * q, p / q]
+    columns = [c.alias(f"a{k}") for k, c in enumerate(base)]
+    columns += [F.when(F.col("l_orderkey") % (k + 2) != 0, c + F.lit(1e6)).alias(f"b{k}") for k, c in enumerate(base)]
+    return i.select(*columns)
+
+
+@query
+def correlation_matrix_wide(spark, folder):
+    items = _wide_items(spark, folder)
+    return rounded(tables.correlation_matrix(items, items.columns), 6, "r")
+
+
+@query
+def tag_cooccurrence_frequent_documents(spark, folder):
+    """Pairs that at least twenty documents hold, of millions of pairs."""
+    return tags.tag_cooccurrence(table(spark, folder, "documents"), "text", ",", min_rows=20)
+
+
+def _planted_gaps(spark, folder):
+    """Orders whose customer and price are missing together, with the day beside them in a part of these rows."""
+    o = table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey", F.when(k % 7 > 0, F.col("o_custkey")).alias("customer"),
+                    F.when(k % 7 > 0, F.col("o_totalprice")).otherwise(float("nan")).alias("price"),
+                    F.when(k % 14 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("  ").alias("day"),
+                    F.when((k % 14 > 0) & (k % 5 > 0), F.col("o_orderpriority")).alias("priority"))
+
+
+@query
+def missing_patterns(spark, folder):
+    found = missing.missing_patterns(raw_orders(spark, folder))
+    return rounded(found.withColumn("columns", F.array_join("columns", "+")), 9, "ratio")
+
+
+@query
+def missing_together_planted(spark, folder):
+    found = missing.missing_together(_planted_gaps(spark, folder))
+    return rounded(found.withColumn("columns", F.array_join("columns", "+")), 9, "ratio")
+
+
+@query
+def cell_changes_orders(spark, folder):
+    """Changed, cleared, lost and new rows of the orders, and a column of another type."""
+    old = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    k = F.col("o_orderkey")
+    new = old.where(k % 89 > 0).withColumns({
+        "o_custkey": F.when(k % 97 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string"),
+        "o_orderstatus": F.when(k % 101 > 0, F.col("o_orderstatus"))})
+    more = old.where(k % 83 == 0).withColumns({"o_orderkey": k + 100_000_000, "o_custkey": F.col("o_custkey").cast("string")})
+    return changes.cell_changes(old, new.unionByName(more).repartition(5), "o_orderkey")
