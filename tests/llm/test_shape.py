@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabloom.llm import chat, html_text, line_dedup, order_minhash, ranks, sharding
@@ -140,6 +141,56 @@ def test_conversations(spark, monkeypatch):
     assert chat.collapse_conversations(df.limit(0)).count() == 0
 
 
+def murmur(value, seed=42):
+    """Murmur3 of a long, as the published algorithm has it for 8 bytes."""
+    def rot(x, r):
+        return (x << r | x >> 32 - r) & 0xFFFFFFFF
+
+    h = seed & 0xFFFFFFFF
+    for k in (value & 0xFFFFFFFF, value >> 32 & 0xFFFFFFFF):
+        k = rot(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def plain_order_minhash(text):
+    """The fingerprint by its definition: numbered k-mers, the two least of each bucket, hashed in text order."""
+    def mix(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p, h)
+        return h & ((1 << 43) - 1)
+
+    units = [u.encode() for u in re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")]
+    mers = [mix(*units[i:i + 3]) for i in range(len(units) - 2)] or ([mix(b" ".join(units))] if units else [])
+    met, buckets = Counter(), {}
+    for at, mer in enumerate(mers):
+        own = mix(mer.to_bytes(8, "little"), met[mer].to_bytes(4, "little"))
+        met[mer] += 1
+        buckets.setdefault(own >> 37, []).append((own, at))
+    out = []
+    for bucket, own in buckets.items():
+        seed = 42
+        for value, _ in sorted(sorted(own)[:2], key=lambda e: e[1]):
+            seed = murmur(value, seed)
+        out.append(bucket << 32 | seed)
+    return sorted(out)
+
+
+def test_fingerprints_by_brute_force(spark, awkward):
+    """Signatures recomputed from their definition, over whole texts and awkward ones."""
+    rng = random.Random(11)
+    repeats = [" ".join(rng.choices("abc", k=rng.randint(1, 300))) for _ in range(30)]
+    texts = [t for _, t in AWKWARD] + [r["text"] for r in table(spark, SF, "documents").collect()] + repeats
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["f"] for r in order_minhash.with_fingerprint(df, "t", "f").collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == plain_order_minhash(text), text[:80]
+
+
 def test_fingerprints_query(spark):
     docs = sorted((r["doc_id"], r["text"] or "") for r in table(spark, SF, "documents").collect())
     rows = {r["doc_id"]: r for r in QUERIES["op6_order_minhash"](spark, SF).collect()}
