@@ -55,6 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``: ``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per training document,
+    one row for each copy that the mixing asks for.
+
+    Null and empty texts are rejected by the first stage; an empty table gives an empty result. Rows that repeat in id and
+    text count as copies, of which one stays. Other columns pass through the stages, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = write_down(stage(spark, docs, sf_dir), "corpus")
