@@ -763,3 +763,6 @@ SELECT o_orderkey, cell.column AS "column", 'changed' AS change, cell.before AS
 WHERE o_orderkey % 89 > 0 AND cell.before IS DISTINCT FROM cell.after
 UNION ALL SELECT o_orderkey, cell.column, 'removed', cell.before, NULL FROM c WHERE o_orderkey % 89 = 0
 UNION ALL SELECT o_orderkey + 100000000, cell.column, 'added', NULL, cell.before FROM c WHERE o_orderkey % 83 = 0"""
+
+for _name in ("orders", "documents", "raw_orders"):
+    ORACLES[f"profile_merged_{_name}"] = ORACLES[f"profile_{_name}"]

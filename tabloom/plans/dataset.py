@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from ..session import local_rows
+from .incremental import ProfileState, Rescan, profile_state
 from .statistics import merge_descriptions, profile_table
 from .profiling import profile
 
@@ -21,6 +22,7 @@ class Dataset:
     descriptions: Mapping[str, str] = field(default_factory=dict)
     view: str | None = None
     distinct: str = "exact"
+    state: ProfileState | None = None
 
     @classmethod
     def of(cls, df: DataFrame, descriptions: Mapping[str, str] | None = None, view: str | None = None,
@@ -36,6 +38,22 @@ class Dataset:
         """Replace the table: profile it again, keep the descriptions of columns that survive, refresh the view."""
         return Dataset.of(new_df, self.descriptions, self.view, self.distinct)
 
+    def append(self, rows: DataFrame) -> Dataset:
+        """Add rows of the same columns: only they are profiled, and merged with what is known of the others.
+
+        The first call measures the table once for that. Where the merged profile needs what was not kept of a part, the
+        whole table is profiled.
+        """
+        state = (self.state or profile_state(self.df)).merge(profile_state(rows.select(*self.df.columns)))
+        whole = self.df.unionByName(rows)
+        if self.view:
+            whole.createOrReplaceTempView(self.view)
+        try:
+            known = state.profile()
+        except Rescan:
+            known = profile(whole, self.distinct)
+        return replace(self, df=whole, profile=known, state=state)
+
     def descriptions_table(self) -> DataFrame:
         return local_rows(self.df.sparkSession, list(self.descriptions.items()), "name string, description string")
 

@@ -16,6 +16,7 @@ from .plans import statistics as d
 from .plans import changes, guided, missing
 from .plans.dataset import Dataset
 from .plans.features import engineer
+from .plans.incremental import profile_state
 from .plans.profiling import profile, profile_values
 from .plans.quality import quality_report
 from .session import checkpoint_root, local_rows
@@ -442,6 +443,27 @@ def profile_raw_orders(spark, folder):
     return flat_profile(profile(raw_orders(spark, folder)))
 
 
+def merged_profile(df: DataFrame, key: str) -> DataFrame:
+    """The profile of a table from the states of its halves."""
+    even = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    return profile_state(df.where(even)).merge(profile_state(df.where(~even))).profile()
+
+
+@query
+def profile_merged_orders(spark, folder):
+    return flat_profile(merged_profile(table(spark, folder, "orders"), "o_orderkey"))
+
+
+@query
+def profile_merged_documents(spark, folder):
+    return flat_profile(merged_profile(table(spark, folder, "documents"), "doc_id"))
+
+
+@query
+def profile_merged_raw_orders(spark, folder):
+    return flat_profile(merged_profile(raw_orders(spark, folder), "Order ID"))
+
+
 @query
 def profile_with_approximate_counts(spark, folder):
     """Types only: the counts themselves are estimates."""
