@@ -165,14 +165,9 @@ def _profile_of(state: ProfileState, prose_guard: bool) -> DataFrame:
     text = F.when(F.startswith("key", F.lit("\0")), F.col("prefix")).otherwise(F.col("key"))
     named = held.select(F.col("position").cast("string").alias("name"), "list", "n",
                         F.when(F.col("list") == "categories", strip(text)).otherwise(text).alias("entry"))
+    counted = named.groupBy("name", "list", "entry").agg(F.sum("n").alias("n"))
     lists = {(r["side"], int(r["name"])): r for side in ("tags", "categories")
-             for r in p._lists(side, named.where(F.col("list") == side).select("name", "entry").distinct()).collect()}
-    place = Window.partitionBy("name", "list").orderBy(F.desc("n"), "entry")
-    real = ~(F.lower("entry").isin("", "nan") & (F.col("list") == "tags"))
-    top: dict[tuple, list] = {}
-    counted = named.where(real).groupBy("name", "list", "entry").agg(F.sum("n").alias("n"))
-    for r in counted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= p.MOST_FREQUENT).orderBy("place").collect():
-        top.setdefault((r["list"], int(r["name"])), []).append(r["entry"])
+             for r in p._lists(side, counted.where(F.col("list") == side).select("name", "entry", "n")).collect()}
     sides = state.entries.where(F.col("side").startswith("numeric_")).withColumn(
         "place", F.row_number().over(Window.partitionBy("position", "side").orderBy(F.desc("n"), "key"))).where("place = 1")
     affixes = {(r["position"], r["side"]): r for r in sides.collect()}
@@ -183,14 +178,13 @@ def _profile_of(state: ProfileState, prose_guard: bool) -> DataFrame:
         if i in tags:
             found = lists.get(("tags", i))
             if found and found["n"] >= 2:
-                d |= {"n_tags": found["n"], "tag_vocabulary": found["list"],
-                      "most_frequent": None if found["list"] else top.get(("tags", i))}
+                d |= {"n_tags": found["n"], "tag_vocabulary": found["list"], "most_frequent": found["top"]}
             else:
                 kind = "ordinal" if r["scale"] is not None else r["tail"]
                 d |= {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"], "categories": r["scale"]}
         if d["semantic_type"] == "categorical" and r["n_filled"]:
             found = lists.get(("categories", i))
-            d |= {"categories": found["list"], "most_frequent": None if found["list"] else top.get(("categories", i))}
+            d |= {"categories": found["list"], "most_frequent": found["top"]}
         if d["semantic_type"] == "numeric_string":
             for side in ("numeric_prefix", "numeric_suffix"):
                 best = affixes.get((i, side))

@@ -26,7 +26,6 @@ from ..functions import cell, numeric_from_text, part_count, present, split_tags
 from ..functions.dates import DATE_HINTS, date_hint_index, parse_stripped_dates
 from ..functions.ordinals import matching_scale
 from ..functions.text import word_array
-from ..operators.frequent import most_frequent
 from ..session import local_rows
 
 # Estimated distinct values up to which values are counted before they are judged: few, or few for the rows but no more
@@ -434,22 +433,22 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
     if tags:
         branches.append(_lists("tags", _tag_words(df, tags)))
     if listed:
-        values = _value_table(df, [r["name"] for r in listed]).select("name", strip(F.col("value")).alias("entry"))
-        branches.append(_lists("categories", values.distinct()))
+        values = _value_table(df, [r["name"] for r in listed]).select("name", strip(F.col("value")).alias("entry"), "n")
+        branches.append(_lists("categories", values.groupBy("name", "entry").agg(F.sum("n").alias("n"))))
     if numbers:
         branches.append(_top_affixes(df, numbers))
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches).collect() if branches else []
 
     result: dict[str, dict] = {r["name"]: {"numeric_prefix": "", "numeric_suffix": ""} for r in numbers}
     n_tags: dict[str, int] = {}
-    words: dict[str, list] = {}
-    categories: dict[str, list] = {}
+    words: dict[str, dict] = {}
+    categories: dict[str, dict] = {}
     for t in found:
         if t["side"] == "tags":
             name = tags[int(t["name"])]["name"]
-            n_tags[name], words[name] = t["n"], t["list"]
+            n_tags[name], words[name] = t["n"], {"tag_vocabulary": t["list"], "most_frequent": t["top"]}
         elif t["side"] == "categories":
-            categories[listed[int(t["name"])]["name"]] = t["list"]
+            categories[listed[int(t["name"])]["name"]] = {"categories": t["list"], "most_frequent": t["top"]}
         else:
             r = numbers[int(t["name"])]
             if t["n"] > r["n_filled"] * k.AFFIX_SHARE:
@@ -457,61 +456,44 @@ def _extras(df: DataFrame, decided: list) -> dict[str, dict]:
     for r in tags:
         name, n = r["name"], n_tags.get(r["name"], 0)
         if n >= 2:
-            result[name] = {"n_tags": n, "tag_vocabulary": words[name]}
+            result[name] = {"n_tags": n, **words[name]}
         else:
             kind = "ordinal" if r["scale"] is not None else r["tail"]
-            result[name] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"],
-                            "categories": r["scale"] or (categories.get(name) if kind == "categorical" else None)}
+            result[name] = {"semantic_type": kind, "tag_separator": None, "ordinal_order": r["scale"], "categories": r["scale"]}
+            if kind == "categorical":
+                result[name] |= categories.get(name, {})
     for r in listed:
         if r["semantic_type"] == "categorical":
-            result[r["name"]] = {"categories": categories.get(r["name"])}
-    for name, top in _top_entries(df, decided, result).items():
-        result[name]["most_frequent"] = top
+            result[r["name"]] = categories.get(r["name"], {"categories": None})
     return result
 
 
-def _top_entries(df: DataFrame, decided: list, extras: dict[str, dict]) -> dict[str, list[str]]:
-    """The most frequent categories and tags of the columns whose lists are too long for the profile."""
-    long_tags, long_categories = [], []
-    for r in decided:
-        own = {**r.asDict(), **extras.get(r["name"], {})}
-        if own["semantic_type"] == "multi_value_tags" and own.get("tag_vocabulary") is None:
-            long_tags.append(r)
-        elif own["semantic_type"] == "categorical" and own.get("categories") is None and r["n_filled"]:
-            long_categories.append(r)
-    parts = []
-    if long_categories:
-        # Names are places in a list: categories first.
-        values = long_form(df, [r["name"] for r in long_categories])
-        parts.append(values.select("name", strip(F.col("value")).alias("value")))
-    if long_tags:
-        after = F.lit(len(long_categories))
-        parts.append(_tag_cells(df, long_tags).select((F.col("name").cast("int") + after).cast("string").alias("name"), "value"))
-    if not parts:
-        return {}
-    names = [r["name"] for r in [*long_categories, *long_tags]]
-    top: dict[str, list[str]] = {}
-    for r in sorted(most_frequent(reduce(DataFrame.unionAll, parts), MOST_FREQUENT).collect(), key=lambda r: r["rank"]):
-        top.setdefault(names[int(r["name"])], []).append(r["value"])
-    return top
-
-
 def _lists(side: str, entries: DataFrame) -> DataFrame:
-    """``side, name, n, list`` of the distinct ``name, entry``: how many there are, and all of them where they are few."""
+    """``side, name, n, list, top`` of the distinct ``name, entry, n``: how many entries there are, all of them where they
+    are few, and the most frequent ones where they are not; of equals, the smallest. Of these Spark keeps the first in
+    every task."""
     counts = entries.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("entry")).alias("length"))
     # As many rows as there are columns to list.
-    few = F.broadcast(counts.where((F.col("n") <= LIST_LIMIT) & (F.col("length") <= LIST_LENGTH)).select("name"))
-    lists = entries.join(few, "name").groupBy("name").agg(F.array_sort(F.collect_set("entry")).alias("list"))
-    return counts.join(lists, "name", "left").select(F.lit(side).alias("side"), "name", "n", "list")
+    few = counts.withColumn("few", (F.col("n") <= LIST_LIMIT) & (F.col("length") <= LIST_LENGTH)).select("name", "few")
+    marked = entries.join(F.broadcast(few), "name")
+    lists = marked.where("few").groupBy("name").agg(F.array_sort(F.collect_set("entry")).alias("list"))
+    often = Window.partitionBy("name").orderBy(F.desc("n"), "entry")
+    real = ~F.lower("entry").isin("", "nan") if side == "tags" else F.lit(True)
+    top = (marked.where(~F.col("few") & real).withColumn("place", F.row_number().over(often))
+           .where(F.col("place") <= MOST_FREQUENT).groupBy("name")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e["entry"]).alias("top")))
+    return (counts.join(lists, "name", "left").join(top, "name", "left")
+            .select(F.lit(side).alias("side"), "name", "n", "list", "top"))
 
 
 def _tag_words(df: DataFrame, tags: list) -> DataFrame:
-    """``name, entry``: the distinct tags of each tag column."""
+    """``name, entry, n``: the distinct tags of each tag column and how many rows hold them."""
     pieces = F
     for i, r in enumerate(tags):
-        pieces = pieces.when(F.col("name") == str(i),
-                             split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False))
-    return long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("entry")).distinct()
+        pieces = pieces.when(F.col("name") == str(i), F.array_distinct(
+            split_tags(strip(F.col("value")), r["tag_separator"], drop_nan=False)))
+    return (long_form(df, [r["name"] for r in tags]).select("name", F.explode(pieces).alias("entry"))
+            .groupBy("name", "entry").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _top_affixes(df: DataFrame, numbers: list) -> DataFrame:
