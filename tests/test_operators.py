@@ -222,11 +222,11 @@ def test_correlation_over_common_rows(sales):
     assert all(abs(r - expected.loc[x, y]) < 1e-9 for (x, y), r in got.items())
 
 
-def test_correlation_in_batches(sales, monkeypatch):
+def test_correlation_by_either_way(sales, monkeypatch):
     df, _ = sales
     whole = {(r.x, r.y): r.r for r in tl.correlation_matrix(df, ["a", "b", "id"]).collect()}
-    monkeypatch.setattr("tabloom.operators.tables._PAIRS_PER_SCAN", 2)
-    assert {(r.x, r.y): r.r for r in tl.correlation_matrix(df, ["a", "b", "id"]).collect()} == whole
+    monkeypatch.setattr("tabloom.operators.tables._PAIRS_OF_AN_AGGREGATE", 2)
+    assert {(r.x, r.y): r.r for r in tl.correlation_matrix(df, ["a", "b", "id"]).collect()} == pytest.approx(whole, abs=1e-12)
 
 
 def test_time_trend_fills_gaps(spark):
