@@ -73,6 +73,29 @@ CATEGORY_TEXT_LENGTH = 80
 
 WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 
+# Names of the months, and words beside a date that do not change it, in lower case.
+MONTH_WORDS = [
+    ["january", "jan", "janeiro"],
+    ["february", "feb", "fevereiro", "fev"],
+    ["march", "mar", "março"],
+    ["april", "apr", "abril", "abr"],
+    ["may", "maio", "mai"],
+    ["june", "jun", "junho"],
+    ["july", "jul", "julho"],
+    ["august", "aug", "agosto", "ago"],
+    ["september", "sept", "sep", "setembro", "set"],
+    ["october", "oct", "outubro", "out"],
+    ["november", "nov", "novembro"],
+    ["december", "dec", "dezembro", "dez"],
+]
+DATE_FILLERS = [
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun",
+    "segunda-feira", "terça-feira", "quarta-feira", "quinta-feira", "sexta-feira", "sábado", "domingo",
+    "segunda", "terça", "quarta", "quinta", "sexta", "seg", "ter", "qua", "qui", "sex", "sáb", "dom",
+    "the", "of", "at", "on", "de", "do", "em", "às", "st", "nd", "rd", "th", "º", "t", "年", "月", "日",
+]
+
 # How a date text starts -> its strftime-like pattern; the first that fits.
 DATE_HINTS = [
     (r"^\d{4}-\d{2}-\d{2}", "%Y-%m-%d"),

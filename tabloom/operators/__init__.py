@@ -4,6 +4,7 @@ from .clean import (clean_headers, clean_names, drop_empty_columns, drop_empty_r
                     fill_missing, filter_rows, merge_columns, rename_columns)
 from .encode import encode_categorical, encode_frequency, encode_label, encode_onehot
 from .correlation import correlations
+from .found_dates import date_shapes, parse_dates_by_column
 from .frequent import most_frequent
 from .order_statistics import box_statistics, group_quantiles, quantiles
 from .sparse import Sparse, sparse_onehot, sparse_tags
@@ -14,7 +15,7 @@ from .transforms import (bin_numeric, extract_date_features, infer_ordinal_order
                          parse_numeric_strings, to_boolean)
 
 __all__ = [
-    "Sparse", "correlations", "most_frequent", "sparse_onehot", "sparse_tags", "bin_numeric", "box_statistics", "clean_headers", "clean_names", "correlation_matrix", "crosstab", "crosstab_long",
+    "Sparse", "correlations", "date_shapes", "parse_dates_by_column", "most_frequent", "sparse_onehot", "sparse_tags", "bin_numeric", "box_statistics", "clean_headers", "clean_names", "correlation_matrix", "crosstab", "crosstab_long",
     "detect_tag_separator", "distributions", "drop_empty_columns", "drop_empty_rows", "drop_junk_rows", "drop_missing",
     "encode_categorical", "encode_frequency", "encode_label", "encode_onehot", "explode_tags", "extract_date_features",
     "fill_missing", "filter_in", "filter_rows", "group_quantiles", "group_summary", "histogram", "infer_ordinal_order",

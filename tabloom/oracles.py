@@ -54,6 +54,38 @@ SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS day FROM
 ORACLES["parse_dates_explicit"] = """
 SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS moment FROM events"""
 
+ORACLES["parse_dates_by_column_unlisted"] = """
+SELECT o_orderkey,
+       CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) + CASE WHEN o_orderkey % 3 = 1 THEN INTERVAL '870 minutes'
+            ELSE INTERVAL '0 minutes' END AS day,
+       CASE WHEN o_orderkey % 11 > 0 THEN CAST(date_trunc('minute', o_orderdate) AS TIMESTAMP) END AS shipped
+FROM orders"""
+
+ORACLES["parse_dates_by_column_order"] = """
+SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS moment FROM events"""
+
+ORACLES["date_shapes_orders"] = """
+WITH d AS (SELECT o_orderkey AS k, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) % 100 AS y FROM orders),
+     -- Of the short year and the day, which the name of the month separates, either may come first.
+     shapes AS (
+       SELECT 'day' AS name, 'C' AS layout, '' AS mark, '%Y%m%d' AS pattern, count(*) AS n_values, count(*) AS n_read,
+              -- 2007 may be the 20th of July.
+              count(*) FILTER (WHERE y BETWEEN 1 AND 12) AS n_next, 'values' AS settled_by FROM d WHERE k % 3 = 0
+       UNION ALL
+       SELECT 'day', 'NMN', ' ', '%d %b %y', count(*), count(*),
+              count(*) FILTER (WHERE y BETWEEN 1 AND 31 AND TRY_CAST(
+                  printf('%04d-%02d-%02d', d + CASE WHEN d >= 69 THEN 1900 ELSE 2000 END, m, y) AS DATE) IS NOT NULL),
+              'values' FROM d WHERE k % 3 = 1
+       UNION ALL
+       SELECT 'day', 'YNN', ' ', '%Y %m %d', count(*), count(*), count(*) FILTER (WHERE d <= 12), 'values'
+       FROM d WHERE k % 3 = 2
+       UNION ALL
+       SELECT 'shipped', 'NNY', '.', '%d.%m.%Y', count(*), count(*), count(*) FILTER (WHERE d <= 12), 'values'
+       FROM d WHERE k % 11 > 0
+       UNION ALL
+       SELECT 'shipped', NULL, NULL, NULL, count(*), 0, 0, NULL FROM d WHERE k % 11 = 0 AND k % 2 = 0)
+SELECT * FROM shapes WHERE n_values > 0"""
+
 ORACLES["extract_date_features"] = """
 SELECT event_id, CAST(year(ts) AS INTEGER) AS t_year, CAST(month(ts) AS INTEGER) AS t_month,
        CAST(day(ts) AS INTEGER) AS t_day, dayname(ts) AS t_weekday, CAST(hour(ts) AS INTEGER) AS t_hour

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, encode, frequent, order_statistics, sparse, tables, tags, transforms
+from .operators import clean, encode, found_dates, frequent, order_statistics, sparse, tables, tags, transforms
 from .plans import statistics as d
 from .plans import changes, guided, missing
 from .plans.dataset import Dataset
@@ -119,6 +119,37 @@ def parse_dates_explicit(spark, folder):
     return transforms.parse_dates(e, "moment", "%d/%m/%Y %H:%M:%S")
 
 
+def _days_in_unlisted_shapes(spark, folder):
+    """Order days as eight digits, with the month's name, day first in some rows, and shipping days as day and month."""
+    o = table(spark, folder, "orders")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    number = F.dayofmonth(day).cast("string")
+    month = F.get(F.array(*[F.lit(m) for m in "jan fev mar abr mai jun jul ago set out nov dez".split()]), F.month(day) - 1)
+    return o.select(
+        "o_orderkey",
+        F.when(k % 3 == 0, F.date_format(day, "yyyyMMdd"))
+        .when(k % 3 == 1, F.concat(F.date_format(day, "EEE, "), number, F.lit(" de "), month, F.date_format(day, " yy 14'h'30")))
+        .otherwise(F.date_format(day, "yyyy年M月d日")).alias("day"),
+        F.when(k % 11 > 0, F.date_format(day, "d.M.yyyy h:mm a")).when(k % 2 == 0, "unknown").alias("shipped"))
+
+
+@query
+def parse_dates_by_column_unlisted(spark, folder):
+    return found_dates.parse_dates_by_column(_days_in_unlisted_shapes(spark, folder), ["day", "shipped"])
+
+
+@query
+def parse_dates_by_column_order(spark, folder):
+    """Days up to the twelfth could be read either way; the others of the column settle it."""
+    e = table(spark, folder, "events").select("event_id", F.date_format("ts", "dd/MM/yy HH:mm:ss").alias("moment"))
+    return found_dates.parse_dates_by_column(e, "moment")
+
+
+@query
+def date_shapes_orders(spark, folder):
+    return found_dates.date_shapes(_days_in_unlisted_shapes(spark, folder))
+
+
 @query
 def extract_date_features(spark, folder):
     e = table(spark, folder, "events").select("event_id", "ts")
