@@ -573,7 +573,8 @@ SELECT "column", issue, found.n AS n, round(found.n / total, 9) AS ratio FROM fo
 
 # ---- engineering --------------------------------------------------------------------------------------------------
 
-ORACLES["engineer_raw_orders"] = f"""
+def _engineered(*others: str) -> str:
+    return f"""
 WITH {RAW_ORDERS}, p AS (SELECT *, CAST(coalesce(try_strptime("orderDate", '%m/%d/%Y'),
                                  try_strptime("orderDate", '%d/%m/%Y')) AS TIMESTAMP) AS day FROM raw_orders)
 SELECT "Order ID" AS order_id, CASE WHEN "Paid" = 'Sim' THEN true WHEN "Paid" IS NOT NULL THEN false END AS paid,
@@ -586,9 +587,30 @@ SELECT "Order ID" AS order_id, CASE WHEN "Paid" = 'Sim' THEN true WHEN "Paid" IS
        CAST(tags LIKE 'low,%' AS INTEGER) AS tags_low, CAST(tags LIKE 'medium,%' AS INTEGER) AS tags_medium,
        CAST(tags LIKE 'not specified,%' AS INTEGER) AS tags_not_specified,
        CAST(tags LIKE '%plástico' AS INTEGER) AS tags_pl_stico, CAST(tags LIKE '%rede' AS INTEGER) AS tags_rede,
-       CAST(tags LIKE 'urgent,%' AS INTEGER) AS tags_urgent
+       CAST(tags LIKE 'urgent,%' AS INTEGER) AS tags_urgent, {", ".join(others)}
 FROM p"""
 
+
+ORACLES["engineer_raw_orders"] = _engineered("note", "_c7 AS column_8")
+ORACLES["guided_features"] = _engineered("note")
+ORACLES["guided_report"] = ORACLES["quality_report_raw_orders"]
+_FEATURES = f"({ORACLES['guided_features']})"
+ORACLES["guided_key_metrics"] = f"""
+SELECT count(*) AS n_rows, count(total_price) AS total_price_count, round(sum(total_price), 4) AS total_price_sum,
+       round(avg(total_price), 4) AS total_price_mean, round(min(total_price), 4) AS total_price_min,
+       round(max(total_price), 4) AS total_price_max
+FROM {_FEATURES}"""
+ORACLES["guided_summary"] = f"""
+SELECT paid, count(*) AS n_rows, count(total_price) AS total_price_count, round(avg(total_price), 6) AS total_price_mean,
+       round(stddev_samp(total_price), 6) AS total_price_std, min(total_price) AS total_price_min,
+       max(total_price) AS total_price_max
+FROM {_FEATURES} GROUP BY paid"""
+ORACLES["guided_box"] = _box(_FEATURES, "total_price", None)
+ORACLES["guided_ordinal"] = ORACLES["ordinal_distribution_known_scale"]
+ORACLES["guided_tags"] = f"""
+WITH {RAW_ORDERS}, c AS (SELECT DISTINCT * FROM ({_cells('raw_orders', 'tags', ',', '"Order ID"')}))
+SELECT tag, count(*) AS n FROM c GROUP BY tag"""
+
 ORACLES["guided_distributions"] = f"""
 WITH {RAW_ORDERS}, c AS (SELECT CASE WHEN "Paid" = 'Sim' THEN 'true' WHEN "Paid" IS NOT NULL THEN 'false' END AS paid
                          FROM raw_orders)

@@ -680,7 +680,7 @@ def encode_onehot_case(spark, folder):
 @query
 def engineer_raw_orders(spark, folder):
     raw = clean.clean_headers(raw_orders(spark, folder))
-    return engineer(raw, profile(raw)).drop("column_8", "note")
+    return engineer(raw, profile(raw))
 
 
 @query
@@ -701,6 +701,46 @@ def guided_tag_pairs(spark, folder):
     return run.tables["tag_pairs:tags"]()
 
 
+@query
+def guided_report(spark, folder):
+    return rounded(guided.guided_run(raw_orders(spark, folder)).report, 9, "ratio")
+
+
+@query
+def guided_features(spark, folder):
+    return guided.guided_run(raw_orders(spark, folder)).features
+
+
+@query
+def guided_key_metrics(spark, folder):
+    run = guided.guided_run(raw_orders(spark, folder))
+    return rounded(run.tables["key_metrics"](), 4, *[f"total_price_{s}" for s in ("sum", "mean", "min", "max")])
+
+
+@query
+def guided_summary(spark, folder):
+    run = guided.guided_run(raw_orders(spark, folder))
+    return rounded(run.tables["summary:paid"](), 6, "total_price_mean", "total_price_std")
+
+
+@query
+def guided_box(spark, folder):
+    run = guided.guided_run(raw_orders(spark, folder))
+    return rounded(run.tables["box:total_price"](), 6, "q1", "median", "q3")
+
+
+@query
+def guided_ordinal(spark, folder):
+    run = guided.guided_run(raw_orders(spark, folder))
+    return rounded(run.tables["ordinal:level"](), 9, "share")
+
+
+@query
+def guided_tags(spark, folder):
+    run = guided.guided_run(raw_orders(spark, folder))
+    return run.tables["tags:tags"]()
+
+
 # ---- sources ------------------------------------------------------------------------------------------------------
 
 def _copy(spark: SparkSession, df: DataFrame, fmt: str) -> str:
