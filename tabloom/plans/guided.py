@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 
 from ..operators import clean, order_statistics, tables, tags
-from ..session import stored
+from ..session import local_rows, stored
 from .features import engineer
 from .profiling import profile
 from .quality import quality_report
@@ -33,6 +33,18 @@ def clean_table(df: DataFrame) -> DataFrame:
     return clean.drop_empty_columns(clean.drop_empty_rows(clean.drop_junk_rows(named, names=labels)))
 
 
+def profile_of_cleaned(df: DataFrame, raw_profile: DataFrame, cleaned: DataFrame, distinct: str = "exact") -> DataFrame:
+    """The profile of ``cleaned``, which ``clean_table`` made of ``df``: that of ``df`` under the new names where no row was
+    dropped, as cleaning changes no cell; measured anew otherwise."""
+    rows = raw_profile.orderBy("position").collect()
+    if not rows or cleaned.count() != rows[0]["n_total"]:
+        return profile(cleaned, distinct)
+    names = df.columns if cleaned.columns == df.columns else clean.clean_names(df.columns)
+    place = {name: i for i, name in enumerate(cleaned.columns)}
+    kept = [r.asDict() | {"name": name, "position": place[name]} for r, name in zip(rows, names, strict=True) if name in place]
+    return local_rows(df.sparkSession, [tuple(r[f] for f in raw_profile.columns) for r in kept], raw_profile.schema)
+
+
 def dashboard_tables(features: DataFrame, source: DataFrame, prof: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """The tables that suit the column types, each as a function that makes it: nothing runs for tables not asked for.
 
@@ -91,6 +103,6 @@ def guided_run(df: DataFrame, distinct: str = "exact") -> GuidedResult:
     raw_profile = profile(df, distinct)
     report = quality_report(df, raw_profile)
     cleaned = attempt("clean", lambda: stored(clean_table(df)), df)
-    prof = profile(cleaned, distinct)
+    prof = profile_of_cleaned(df, raw_profile, cleaned, distinct)
     features = attempt("engineer", lambda: stored(engineer(cleaned, prof)), cleaned)
     return GuidedResult(report, cleaned, features, prof, dashboard_tables(features, cleaned, prof), tuple(problems))

@@ -149,6 +149,23 @@ def test_guided_run(raw):
         make().count()
 
 
+def test_the_profile_of_the_cleaned_table_is_measured_again_only_where_rows_went(spark, monkeypatch):
+    from tabloom.plans import guided
+
+    rows = [(f"ORD-{i}", "Sim" if i % 2 else "não", None, float(i)) for i in range(40)]
+    whole = spark.createDataFrame(rows, "`Order ID` string, Paid string, Empty string, `Total Price` double")
+    fields = [f for f in tl.profile(whole).columns if f != "sample_values"]
+    junk = whole.unionByName(spark.createDataFrame([("---", None, None, None)], whole.schema))
+    for df, measured in ((whole, 0), (junk, 1)):
+        raw_profile, cleaned = tl.profile(df), guided.clean_table(df)
+        expected = tl.profile(cleaned).select(fields).collect()
+        calls = []
+        monkeypatch.setattr(guided, "profile", lambda t, d, c=calls: c.append(1) or tl.profile(t, d))
+        got = guided.profile_of_cleaned(df, raw_profile, cleaned).orderBy("position").select(fields).collect()
+        assert got == expected and [r["name"] for r in got] == ["order_id", "paid", "total_price"]
+        assert len(calls) == measured
+
+
 def test_guided_run_goes_on_after_a_failing_row(raw, monkeypatch):
     def fail(df, *_):
         return df.withColumn("bad", F.when(F.rand() >= 0, F.raise_error(F.lit("no such value"))))
