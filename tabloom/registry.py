@@ -21,7 +21,7 @@ from .plans.profiling import profile, profile_values
 from .plans.quality import quality_report
 from .session import checkpoint_root, local_rows
 from .sources import readers
-from .sources.writers import save_table
+from .sources.writers import save_one_file, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,8 +820,10 @@ def _folder(spark: SparkSession) -> str:
 
 @query
 def csv_one_file_documents(spark, folder):
-    """All documents in one file whose cells hold line breaks; its splits are tasks of their own."""
-    return readers.load_table(spark, _copy(spark, table(spark, folder, "documents").coalesce(1), "csv"), "csv")
+    """All documents in one file whose cells hold line breaks; its splits are tasks of their own, as its parts were."""
+    path = _folder(spark)
+    save_one_file(table(spark, folder, "documents"), path, "csv")
+    return readers.load_table(spark, path, "csv")
 
 
 @query

@@ -4,8 +4,12 @@ import json
 import zipfile
 
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 import tabloom as tl
+from tabloom import registry
+from tabloom.sources import writers
 from tabloom.sources.readers import find_row_tag, sniff_separator
 
 
@@ -163,6 +167,35 @@ def test_line_breaks_in_cells(spark, tmp_path):
     assert sorted(map(tuple, tl.load_table(spark, back, "tsv").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    task = F.udf(lambda _: TaskContext.get().partitionId(), "long")
+    docs = spark.range(0, 900, 1, 9).select(F.col("id").alias("doc_id"), F.concat(F.lit('say "hi",\n'), "id").alias("text"),
+                                            task("id").alias("task"))
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    back = registry.QUERIES["csv_one_file_documents"](spark, str(tmp_path))
+    assert len(back.inputFiles()) <= 1
+    assert [tuple(r) for r in back.orderBy("doc_id").collect()] == [(i, f'say "hi",\n{i}', i // 100) for i in range(900)]
+
+
+@pytest.mark.parametrize("fmt, sep", [("csv", ","), ("tsv", "\t")])
+def test_one_file_is_what_one_task_writes(spark, tmp_path, monkeypatch, fmt, sep):
+    """Byte by byte, empty partitions and files that several tasks copy among them."""
+    monkeypatch.setattr(writers, "_PIECE", 50)
+    df = spark.range(0, 300, 1, 40).filter("id % 8 <> 3 and id not between 40 and 90").select(
+        "id", F.when(F.col("id") % 5 > 0, F.concat(F.lit(' ção, "\n\t'), "id")).alias('a "b",\tc'),
+        F.col("id").cast("timestamp").alias("at"))
+    for name, rows in (("some", df), ("none", df.filter("id < 0"))):
+        tl.save_table(rows.coalesce(1), str(tmp_path / f"{name}1"), fmt)
+        tl.save_one_file(rows, str(tmp_path / name), fmt)
+        (one,), (other,) = ([f for f in (tmp_path / x).iterdir() if f.name[0] not in "._"] for x in (f"{name}1", name))
+        assert one.read_bytes() == other.read_bytes()
+        assert {f.name for f in (tmp_path / name).iterdir()} <= {other.name, "_SUCCESS", "._SUCCESS.crc"}
+    with pytest.raises(ValueError):
+        tl.save_one_file(df, str(tmp_path / "x"), "xml")
+    with pytest.raises(Exception, match="already exists"):
+        tl.save_one_file(df, str(tmp_path / "some"), fmt)
+
+
 def test_json_lines_after_a_long_record(spark, tmp_path):
     """What a file is rests on whole lines, however long the first one is."""
     rows = [{"z": 1, "text": 'x "a": ' * 30_000, "b": 2, "a": 3}, {"z": 4, "text": "short", "b": 5, "a": 6}]
