@@ -21,9 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = write_down(now, "edges"), None
     while (mark := now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != before and mark[0]:
         before = mark
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # An edge goes from its larger node u to its smaller one v, so only nodes that are some edge's u see a smaller one.
+        low = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        large = now.join(low, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         following = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                      .unionAll(least.select("u", F.col("m").alias("v"))).distinct())

@@ -58,13 +58,20 @@ class Classifier:
             sums.append(F.when(F.size(hits) == 0, F.lit(self.silent[d])).otherwise(found / F.size(hits)))
         return sums
 
-    def posteriors(self, scores: Sequence[Column], temperature: float | None = None) -> list[Column]:
-        heat = self.temperature if temperature is None else temperature
-        logits = [F.lit(math.log(max(p, 1e-9))) + F.lit(heat) * s for p, s in zip(self.priors, scores)]
-        most = F.greatest(*logits) if len(logits) > 1 else logits[0]
-        parts = [F.exp(x - most) for x in logits]
-        total = reduce(lambda a, b: a + b, parts)
-        return [p / total for p in parts]
+    def posteriors(self, scored: DataFrame, heat: Column | None = None) -> DataFrame:
+        """``scored``, which has a score per domain in ``s0, s1, ...``, with the posteriors ``p0, p1, ...``.
+
+        Logits, exponentials and their sum are columns on the way. Written out for each posterior they would stand in it
+        once per domain and again, and the plan, which the driver holds, would be as large.
+        """
+        heat = F.lit(self.temperature) if heat is None else heat
+        count = range(len(self.domains))
+        logits = [F.lit(math.log(max(p, 1e-9))) + heat * F.col(f"s{k}") for k, p in enumerate(self.priors)]
+        steps = scored.select("*", *(x.alias(f"l{k}") for k, x in enumerate(logits)))
+        steps = steps.withColumn("most", F.greatest(*(f"l{k}" for k in count)) if len(count) > 1 else F.col("l0"))
+        steps = steps.select("*", *(F.exp(F.col(f"l{k}") - F.col("most")).alias(f"e{k}") for k in count))
+        steps = steps.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"e{k}") for k in count]))
+        return steps.select(*scored.columns, *((F.col(f"e{k}") / F.col("total")).alias(f"p{k}") for k in count))
 
 
 def _odds(inside: int, size: int, everywhere: int, total: int) -> float:
@@ -122,12 +129,12 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: Sequence[str],
     fitted.silent = tuple(
         _odds(empty.get(d, 0), sizes.get(d, 0), sum(empty.values()), total) if sizes.get(d, 0) else 0.0 for d in domains)
     scored = hits.select("domain", *(s.alias(f"s{k}") for k, s in enumerate(fitted.scores(F.col("hits")))))
-    losses = []
-    for heat in _TEMPERATURES:
-        chances = fitted.posteriors([F.col(f"s{k}") for k in range(len(domains))], heat)
-        own = reduce(lambda a, x: F.when(F.col("domain") == x[0], x[1]).otherwise(a), zip(domains, chances), F.lit(1.0))
-        losses.append(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))))
-    found = scored.agg(*(loss.alias(f"t{k}") for k, loss in enumerate(losses))).first()
+    # A row per temperature, so that the plan holds the posteriors once.
+    tried = fitted.posteriors(scored.select("*", F.explode(F.array(*map(F.lit, _TEMPERATURES))).alias("heat")), F.col("heat"))
+    own = reduce(lambda a, x: F.when(F.col("domain") == x[1], F.col(f"p{x[0]}")).otherwise(a), enumerate(domains), F.lit(1.0))
+    losses = tried.select("heat", (-F.log(F.greatest(own, F.lit(1e-12)))).alias("loss"))
+    found = losses.agg(*(F.avg(F.when(F.col("heat") == t, F.col("loss"))).alias(f"t{k}")
+                         for k, t in enumerate(_TEMPERATURES))).first()
     fitted.temperature = min(zip(found, _TEMPERATURES))[1]
     return fitted
 
@@ -141,8 +148,8 @@ def membership(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id
                        classifier.hits(F.col("words")).alias("hits"))
     read = read.select("doc_id", "raw", "n_tokens",
                        *(s.alias(f"s{k}") for k, s in enumerate(classifier.scores(F.col("hits")))))
-    chances = classifier.posteriors([F.col(f"s{k}") for k in range(len(classifier.domains))])
-    return read.select("doc_id", "raw", "n_tokens", *(p.alias(f"p_{d}") for p, d in zip(chances, classifier.domains)))
+    return classifier.posteriors(read).select(
+        "doc_id", "raw", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(classifier.domains)))
 
 
 @dataclass

@@ -165,7 +165,7 @@ class Model:
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels: full gradient steps with momentum, both classes weighing the same."""
-    x, y = x.astype(np.float32), y.astype(np.float32)  # mixed widths would copy x in every round
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)  # mixed widths would copy x in every round
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     share = min(max(float(y.mean()), 0.01), 0.99)
     weight = y / share + (1 - y) / (1 - share)
@@ -192,14 +192,18 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features that are not zero, and their places: most are zero, and the driver gets them all."""
     for batch in batches:
         for start in range(0, batch.num_rows, _ROWS):
-            rows = []
+            places, values = [], []
             for value in batch.column(1)[start:start + _ROWS]:
                 text, data = _text_and_bytes(value)
-                rows.append(features(measure(text, data), data).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[start:start + _ROWS], pa.array(rows, pa.binary())],
-                                             names=["code", "x"])
+                x = features(measure(text, data), data)
+                places.append((at := np.flatnonzero(x)).astype("<u2").tobytes())
+                values.append(x[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[start:start + _ROWS], pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+                names=["code", "places", "x"])
 
 
 def fit(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Model | None:
@@ -224,9 +228,12 @@ def fit(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Mod
             rows = distinct.filter(F.col("code").isin(side)).orderBy(F.xxhash64("raw"), "raw").limit(sample)
             chosen += [tuple(r) for r in rows.collect()]
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "raw long, code int"))
-    taken = read.join(few, "raw").dropDuplicates(["raw"]).select("code", "text").mapInArrow(_features, "code int, x binary")
+    taken = read.join(few, "raw").dropDuplicates(["raw"]).select("code", "text").mapInArrow(
+        _features, "code int, places binary, x binary")
     rows = taken.collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["x"], "<f4")
     y = np.array([known[r["code"]] for r in rows])
     weights, bias = fit_scorer(x, y)
     right = {name: (float(table[j, 0, BAD]), float(table[j, 1, GOOD])) for j, name in enumerate(LABELLERS)}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 import xxhash
 
 from tabloom.llm import exact_dedup, simhash
+from tabloom.llm.common import write_down
 from tabloom.llm.components import components
 from tabloom.llm.queries import QUERIES, table
 
@@ -150,3 +152,29 @@ def test_components_of_a_path_and_a_star(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(path + star + [(5, 5)], "a long, b long")).collect()}
     assert {found[i] for i in range(61)} == {0} and {found[1000 + i] for i in range(200)} == {1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_any_graph_by_small_plans(spark, monkeypatch):
+    """Against union-find; the plan of a round, which the driver holds, reads the edges of the last one few times."""
+    rng, plans = random.Random(5), []
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(900 + k % 7, 900) for k in range(30)]
+    parent = {n: n for pair in pairs for n in pair}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write_down(df, label)
+
+    monkeypatch.setattr("tabloom.llm.components.write_down", recorded)
+    found = components(spark.createDataFrame(pairs, "a long, b long"))
+    loops = {a for a, b in pairs if a == b} - {n for a, b in pairs if a != b for n in (a, b)}
+    assert {r["node"]: r["root"] for r in found.collect()} == {n: find(n) for n in parent if n not in loops}
+    assert len(plans) > 2 and all(plan.count("Relation") <= 6 for plan in plans[1:])

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,46 @@ def test_mixing_of_awkward_rows(spark, awkward):
 def test_labelled_languages(spark):
     n = labelled_languages(spark, SF).count()
     assert n == table(spark, SF, "labels").select("doc_id").distinct().count()
+
+
+def test_features_reach_the_driver_without_their_zeros():
+    texts = ["A plain text, of few words.", "", None, "MANY!! other ## marks | 漢字 " * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array(texts)], names=["code", "text"])
+    got = [r for b in quality._features(iter([batch])) for r in b.to_pylist()]
+    assert [r["code"] for r in got] == [0, 1, 2, 3]
+    for text, r in zip(texts, got):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        whole = np.zeros(quality.DIMENSIONS, np.float32)
+        whole[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["x"], "<f4")
+        assert (whole == quality.features(quality.measure(text or "", data), data)).all()
+        assert len(r["places"]) + len(r["x"]) < quality.DIMENSIONS
+
+
+def test_posteriors_stand_once_in_the_plan(spark):
+    """The posteriors of every temperature are what softmax gives; a plan on the driver holds each exponential once."""
+    rng = np.random.default_rng(4)
+    weights = {b: tuple(rng.normal(size=4).tolist()) for b in range(0, mixing.BUCKETS, 3)}
+    fitted = mixing.Classifier(("a", "b", "c", "d"), (0.5, 0.3, 0.2, 0.0), weights, (0.1, -0.2, 0.0, 0.3), 1.5)
+    docs = spark.createDataFrame([(k, " ".join(f"word{k * j}" for j in range(k % 5 * 9))) for k in range(40)],
+                                 "doc_id long, text string")
+    members = mixing.membership(docs, fitted)
+    assert members._jdf.queryExecution().optimizedPlan().toString().upper().count("EXP(") <= 4
+    scored = docs.select("doc_id", mixing.hashed_words(F.col("text")).alias("w")).select(
+        "doc_id", fitted.hits(F.col("w")).alias("h")).select("doc_id", F.array(*fitted.scores(F.col("h"))).alias("s"))
+    scores = {r["doc_id"]: np.array(r["s"]) for r in scored.collect()}
+    for r in members.collect():
+        logits = np.log(np.maximum(fitted.priors, 1e-9)) + 1.5 * scores[r["doc_id"]]
+        parts = np.exp(logits - logits.max())
+        assert np.allclose([r[f"p_{d}"] for d in "abcd"], parts / parts.sum(), rtol=1e-12)
+
+
+def test_the_temperature_is_the_best_listed(spark):
+    docs = [(k, " ".join(f"{'red' if (k + (k % 10 == 0)) % 2 else 'blue'}{j}" for j in range(4))) for k in range(60)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(60)], "doc_id long, domain string")
+    chosen, losses = mixing.fit_classifier(documents, known, ("a", "b")), {}
+    for heat in mixing._TEMPERATURES:
+        tried = mixing.replace(chosen, temperature=heat)
+        own = {r["doc_id"]: r["p_" + "ab"[r["doc_id"] % 2]] for r in mixing.membership(documents, tried).collect()}
+        losses[heat] = np.mean([-np.log(max(p, 1e-12)) for p in own.values()])
+    assert chosen.temperature == min(losses, key=losses.get)
